@@ -20,6 +20,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(read(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.jaccard import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.llm.mixing import mix
 
@@ -27,7 +33,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.drop("row_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op6_exact_dedup, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op6_exact_dedup, op8_ngram_jaccard_join, op9_source_mixing)}
 
 ORACLES = {
     "op2_url_filters": r"""
