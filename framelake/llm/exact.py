@@ -16,13 +16,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Grouping on (digest, salt, text) combines within each map task before anything is shuffled; the salt spreads the
     copies of one text over as many groups as there are shuffle partitions. Only one row for each salt group goes on to
-    the global combination on (digest, text). Both branches read the same salted aggregate, whose shuffle is reused, so
-    texts are shuffled twice in all; ids come back through a join on the salt group's smallest id.
+    the global combination on (digest, text). Both branches read the same salted aggregate, whose shuffle is reused (its
+    keys can't be null, else Spark would filter one branch below it), so texts are shuffled twice in all; ids come back through a join on the salt group's smallest id.
     """
     salts = max(16, shuffle_partitions(docs.sparkSession))
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
     rows = docs.select(F.struct(F.col(id_col).alias("id")).alias("row"), text.alias("text")).select(
-        "row", "text", F.sha2("text", 256).alias("digest"), F.pmod(F.xxhash64("row.id"), F.lit(salts)).alias("salt")
+        "row", "text", F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"), F.coalesce(F.pmod(F.xxhash64("row.id"), F.lit(salts)), F.lit(0)).alias("salt")
     )
     salted = rows.groupBy("digest", "salt", "text").agg(F.collect_list("row").alias("members"))
     ids = F.array_compact("members.id")

@@ -14,6 +14,35 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"), "page_id")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm import secrets
+
+    spans = F.col("spans")
+    base = secrets.base_only(spans)
+    return secrets.scan(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(secrets.count_of(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(spans).alias("spans"),
+    )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.toxicity import fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from framelake.llm import arrow_store
+
+    manifest = arrow_store.write(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return arrow_store.with_crc(arrow_store.read(manifest))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.llm.exact import groups
 
@@ -33,7 +62,14 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.drop("row_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op6_exact_dedup, op8_ngram_jaccard_join, op9_source_mixing)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.quality import fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filters, op3_secret_scan, op4_toxicity, op5_token_store, op6_exact_dedup, op8_ngram_jaccard_join, op9_source_mixing, op10_quality)}
 
 ORACLES = {
     "op2_url_filters": r"""
