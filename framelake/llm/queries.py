@@ -8,6 +8,17 @@ from framelake.llm.common import read
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from framelake.llm.bpe import decode, encode
+
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = decode(encode(read(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.llm.urls import judge
 
@@ -49,6 +60,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(read(spark, sf_dir, "documents"))
 
 
+def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake.llm.media import read_back, store
+
+    return read_back(store(read(spark, sf_dir, "documents")))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.llm.jaccard import near_duplicates
 
@@ -69,7 +86,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_secret_scan, op4_toxicity, op5_token_store, op6_exact_dedup, op8_ngram_jaccard_join, op9_source_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_url_filters, op3_secret_scan, op4_toxicity, op5_token_store, op6_exact_dedup, op7_media_chunks, op8_ngram_jaccard_join, op9_source_mixing, op10_quality)}
 
 ORACLES = {
     "op2_url_filters": r"""
