@@ -5,7 +5,7 @@ The smallest id of a group stays (a group whose ids are all null keeps one row);
 text exactly one stays. Ids keep their type.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.common import SPACE, shuffle_partitions
@@ -16,13 +16,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Grouping on (digest, salt, text) combines within each map task before anything is shuffled; the salt spreads the
     copies of one text over as many groups as there are shuffle partitions. Only one row for each salt group goes on to
-    the global combination on (digest, text). Both branches read the same salted aggregate, whose shuffle is reused (its
-    keys can't be null, else Spark would filter one branch below it), so texts are shuffled twice in all; ids come back through a join on the salt group's smallest id.
+    the global combination on (digest, text). Both branches read the same salted aggregate, whose shuffle is reused, so
+    texts are shuffled twice in all; ids come back through a join on the salt group's smallest id.
     """
     salts = max(16, shuffle_partitions(docs.sparkSession))
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
     rows = docs.select(F.struct(F.col(id_col).alias("id")).alias("row"), text.alias("text")).select(
-        "row", "text", F.coalesce(F.sha2("text", 256), F.lit("")).alias("digest"), F.coalesce(F.pmod(F.xxhash64("row.id"), F.lit(salts)), F.lit(0)).alias("salt")
+        "row", "text", F.sha2("text", 256).alias("digest"), F.pmod(F.xxhash64("row.id"), F.lit(salts)).alias("salt")
     )
     salted = rows.groupBy("digest", "salt", "text").agg(F.collect_list("row").alias("members"))
     ids = F.array_compact("members.id")
@@ -40,3 +40,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         .select("digest", "keep_id", "group_size", home.alias("home"), F.posexplode("members").alias("pos", "row"))
         .select(F.col("row.id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("pos") == F.col("home"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"))
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that groups() drops; columns as they are."""
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
+    winners = groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))
+    key = lambda i, d: F.concat_ws(":", d, F.coalesce(i.cast("string"), F.lit("")), i.isNull().cast("string"))
+    rows = docs.withColumn("__key", key(F.col(id_col), F.sha2(text, 256)))
+    kept = rows.join(winners.select(key(F.col("__id"), F.col("__digest")).alias("__key")).distinct(), "__key", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))  # repeated rows of one id and text
+    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)

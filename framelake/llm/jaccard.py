@@ -274,3 +274,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     rooted = known.join(roots.withColumnRenamed("node", "c"), "c", "left").select("doc_id", "n_shingles", F.coalesce("root", "c").alias("root"))
     least = staged(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs, of each component only the rows whose id is the component's; columns as they are. Documents without words
+    stay, and so do rows without an id."""
+    others = near_duplicates(docs, n, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)

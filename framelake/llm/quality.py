@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.llm import tokens
 from framelake.llm.common import held_out
@@ -152,5 +153,9 @@ def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
             x = pooled(batch.column(place), known.vectors)
             yield pa.record_batch([*batch.columns, pa.array(logits(known.logit(x) / known.temperature))], [*batch.schema.names, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(rows, f"{fields}, {name} double")
+    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """docs whose probability is at least THRESHOLD; columns as they are."""
+    return with_score(docs, model, "__quality").where(F.col("__quality") >= THRESHOLD).select(*docs.columns)
