@@ -69,7 +69,7 @@ class Model:
         return table
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, steps: int = 300, l2: float = 1e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, steps: int = 200, l2: float = 1e-3) -> Model:
     """Counts and features are gathered by Spark; the driver gets at most KEPT ratios and, for each of the at most
     `sample` rows, which kept features it has."""
 
@@ -106,21 +106,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
             yield pa.record_batch([batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["label", "hits"])
 
     sparse = rows.select("text", "label").mapInArrow(hits, "label int, hits array<int>").collect()
-    truth = np.array([r[0] for r in sparse], np.float64)
+    truth = np.array([r[0] for r in sparse], np.float32)
     x = np.zeros((len(sparse), len(model.features)), np.float32)
     for i, r in enumerate(sparse):
         x[i, r[1]] = 1
     x *= model.weights.astype(np.float32)
-    scale = np.where(truth == 1, 0.5 / ones, 0.5 / zeros) * len(truth)  # both labels weigh the same
-    w, b = np.zeros(x.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    scale = (np.where(truth == 1, 0.5 / ones, 0.5 / zeros) * len(truth)).astype(np.float32)  # both labels weigh the same
+    w, b = np.zeros(x.shape[1], np.float32), np.float32(0)  # single precision throughout: no copy of x in double
+    m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     for step in range(1, steps + 1):  # Adam on the whole sample
         error = (logits(x @ w + b) - truth) * scale
-        g = np.append(x.T @ error / len(truth) + l2 * w, error.mean())
+        g = np.append(error @ x / len(truth) + l2 * w, error.mean()).astype(np.float32)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return Model(model.features, w * model.weights, float(b))
+        move = np.float32(0.05) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, b = w - move[:-1].astype(np.float32), b - np.float32(move[-1])
+    return Model(model.features, w.astype(np.float64) * model.weights, float(b))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
