@@ -11,6 +11,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.functions.bits import big_word, little_word
 from framelake.plans.catalog import Catalog, Message, Signal
@@ -36,7 +37,7 @@ def place(signal: Signal) -> tuple[int, int, int]:
     return first, count, count * 8 - bit - signal.length
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _wide_bits(data: pd.Series, first: pd.Series, count: pd.Series, shift: pd.Series, length: pd.Series, little: pd.Series) -> pd.Series:
     """Fields that span nine bytes, which no 64-bit word holds."""
     out = []
@@ -49,7 +50,7 @@ def _wide_bits(data: pd.Series, first: pd.Series, count: pd.Series, shift: pd.Se
     return pd.Series(out, dtype="Int64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _as_float(bits: pd.Series, length: pd.Series) -> pd.Series:
     out = [None if pd.isna(b) else struct.unpack("<f", struct.pack("<I", int(b) & 0xFFFFFFFF))[0] if n == 32 else struct.unpack("<d", struct.pack("<q", int(b)))[0] for b, n in zip(bits, length)]
     return pd.Series(out, dtype="float64")

@@ -1,0 +1,141 @@
+"""Binary logs (LOGG files): containers of objects, as frames. Files are spread over tasks; inside a task containers are
+opened one after another, so memory holds the file's bytes and one container's objects.
+
+Objects may go on in the next container: what is left of one is put before the next.
+"""
+
+from __future__ import annotations
+
+import struct
+import zlib
+from collections.abc import Iterator
+from datetime import datetime, timezone
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from framelake.plans.catalog import SchemaError
+from framelake.sources.frames import normalised
+
+# Object types and flags of the format.
+CONTAINER, CLASSIC, CLASSIC_2, FD, FD_64, ERROR = 10, 1, 86, 100, 101, 73
+TEN_MICROSECONDS = 1
+FD_LENGTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 20, 24, 32, 48, 64])
+#: Bits of an error object's code -> what kind of error it is, by its segment field.
+ERROR_KINDS = {0: "bit", 1: "form", 2: "stuff", 3: "other"}
+
+
+def start_of(head: bytes) -> float:
+    """Seconds of the epoch at which a recording began (UTC), 0 if its date is none."""
+    year, month, _, day, hour, minute, second, milli = struct.unpack_from("<8H", head, 40)
+    try:
+        return datetime(year, month, day, hour, minute, second, milli * 1000, timezone.utc).timestamp()
+    except ValueError:
+        return 0.0
+
+
+def containers(data: bytes) -> Iterator[bytes]:
+    """The uncompressed content of each container, in order."""
+    at = struct.unpack_from("<I", data, 4)[0]
+    while at + 16 <= len(data):
+        if data[at : at + 4] != b"LOBJ":
+            at = data.find(b"LOBJ", at)
+            if at < 0:
+                return
+        head, _, size, kind = struct.unpack_from("<HHII", data, at + 4)
+        if size < 16:
+            return
+        if kind == CONTAINER:
+            method = struct.unpack_from("<H", data, at + 16)[0]
+            body = data[at + 32 : at + size]
+            yield zlib.decompress(body) if method == 2 else body
+        else:
+            yield data[at : at + size + size % 4]
+        at += size + size % 4
+
+
+def objects(chunk: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """(positions, types) of the whole objects of a chunk, by following their sizes, and where the rest begins."""
+    at, places, kinds, end = 0, [], [], len(chunk)
+    while at + 16 <= end:
+        if chunk[at : at + 4] != b"LOBJ":
+            found = chunk.find(b"LOBJ", at, min(end, at + 16))
+            found = found if found >= 0 else chunk.find(b"LOBJ", at)
+            if found < 0:
+                return np.array(places, np.int64), np.array(kinds, np.int64), max(at, end - 3)
+            at = found
+            continue
+        size, kind = struct.unpack_from("<II", chunk, at + 8)
+        if at + size > end:
+            break
+        places.append(at), kinds.append(kind)
+        at += max(size, 16)
+    return np.array(places, np.int64), np.array(kinds, np.int64), min(at, end)
+
+
+def _field(data: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
+    """Little-endian fields at many places; places beyond the end read as zeros."""
+    width = np.dtype(kind).itemsize
+    places = at[:, None] + np.arange(width)
+    return np.where(places < len(data), data[np.minimum(places, len(data) - 1)], 0).astype(np.uint8).reshape(-1, width).view("<" + kind).ravel()
+
+
+def decoded(chunk: bytes, places: np.ndarray, kinds: np.ndarray, start: float) -> dict[str, list]:
+    """Columns of the frames among the objects, in their order."""
+    data = np.frombuffer(chunk, np.uint8)
+    wanted = np.isin(kinds, (CLASSIC, CLASSIC_2, FD, FD_64, ERROR))
+    places, kinds = places[wanted], kinds[wanted]
+    if not len(places):
+        return {}
+    body = places + _field(data, places + 4, "u2")
+    end = places + _field(data, places + 8, "u4")
+    ticks, flags = _field(data, places + 24, "u8"), _field(data, places + 16, "u4")
+    t = np.where(flags == TEN_MICROSECONDS, ticks / 1e5, ticks / 1e9) + start
+    wide, classic, fd = kinds == FD_64, np.isin(kinds, (CLASSIC, CLASSIC_2)), kinds == FD
+    channel = (np.where(wide, _field(data, body, "u1"), _field(data, body, "u2")).astype(np.int64) - 1) % 256
+    code = np.where(wide, _field(data, body + 1, "u1"), _field(data, body + 3, "u1")).astype(np.int64)
+    ids = _field(data, body + 4, "u4").astype(np.int64) & 0x1FFFFFFF
+    valid = np.where(wide, _field(data, body + 2, "u1"), _field(data, body + 14, "u1")).astype(np.int64)
+    length = np.where(classic, np.minimum(code, 8), np.minimum(valid, FD_LENGTHS[np.minimum(code, 15)]))
+    first = body + np.where(wide, 40, np.where(fd, 20, 8))
+    length = np.where(kinds == ERROR, 0, np.maximum(np.minimum(length, end - first), 0))
+    segment = _field(data, body + 8, "u1") >> 6
+    return {
+        "t": t.tolist(), "channel": channel.tolist(), "frame_id": np.where(kinds == ERROR, 0, ids).tolist(), "kind": np.where(kinds == ERROR, "error", "data").tolist(),
+        "data": [chunk[a : a + n] for a, n in zip(first.tolist(), length.tolist())], "error_type": [ERROR_KINDS[s] if k == ERROR else None for k, s in zip(kinds.tolist(), segment.tolist())],
+    }
+
+
+def frames_of(content: bytes) -> Iterator[dict[str, list]]:
+    if content[:4] != b"LOGG":
+        raise SchemaError("not a binary log: the file doesn't begin with LOGG")
+    start, rest = start_of(content), b""
+    for body in containers(content):
+        chunk = rest + body
+        places, kinds, end = objects(chunk)
+        if columns := decoded(chunk, places, kinds, start):
+            yield columns
+        rest = chunk[end:]
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Frames of all binary logs under a path; each file is a log."""
+    from pyspark.sql import functions as F
+
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("log_id"), "content")
+
+    def rows(batches):
+        types = {"t": pa.float64(), "channel": pa.int32(), "frame_id": pa.int64(), "kind": pa.string(), "data": pa.binary(), "error_type": pa.string()}
+        for batch in batches:
+            for log, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seq = 0
+                for columns in frames_of(content.as_py()):
+                    n = len(columns["t"])
+                    yield pa.record_batch([pa.array([log] * n), pa.array(range(seq, seq + n), pa.int64()), *(pa.array(columns[c], k) for c, k in types.items())], ["log_id", "seq", *types])
+                    seq += n
+
+    spread = files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "log_id")
+    return normalised(spread.mapInArrow(rows, "log_id string, seq long, t double, channel int, frame_id long, kind string, data binary, error_type string"))
+
+

@@ -126,7 +126,7 @@ def event_words(events: DataFrame) -> DataFrame:
     rows = rows.withColumn("rn", n)
     counter = F.pmod(F.col("rn") - F.when(F.col("rn") % 97 == 0, 1).otherwise(0), F.lit(16))
     kinds = F.element_at(F.array(*map(F.lit, ERROR_TYPES)), (F.col("k") % 5 + 1).cast("int"))
-    state = F.when(F.col("v100") > 45_000, "bus_off").when(F.col("v100") > 35_000, "passive")
+    state = F.when(F.col("v100") > 15_000, "bus_off").when(F.col("v100") > 5_000, "passive")
     return rows.select(
         "log_id", "seq", "t_us", (F.col("t_us") / 1e6).alias("t"), "channel", "frame_id", "kind", "dlc", (counter + F.col("v100") * 256 + F.shiftleft("k", 32)).alias("word"), "v100", "k",
         F.when(F.col("kind") == "error", kinds).alias("error_type"), F.when(F.col("kind") == "error", state).alias("state"),
