@@ -32,10 +32,12 @@ from framelake.llm.common import staged
 from framelake.llm.components import components
 
 #: Classes that one task compares with one another.
-LOCAL = 128
+LOCAL = 512
 #: One document in so many is looked at to find common shingles, and how many of those are kept.
 SAMPLE, COMMON = 20, 100_000
 SLICE = 1 << 21
+#: Rounds with one pivot per region.
+SINGLE = 1
 
 
 def _multipliers(n: int) -> list[np.uint64]:
@@ -121,21 +123,25 @@ def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Staged (c, blob): a compressed text of each wanted class, the row with the smallest id; texts of other rows with
-    the same id are told apart by their sets."""
-    least = known.join(wanted, "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("__id"))
-    found = docs.select("doc_id", "text").join(least.select("__id").distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    """Staged (c, blob): a compressed text of each wanted class, from the row with the smallest id; rows with the same
+    id are told apart by their sets."""
+    least = known.join(wanted, "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("id"))
+    found = docs.select("doc_id", "text").join(least, F.col("doc_id").eqNullSafe(F.col("id"))).select("c", "text")
 
     def packed(batches):
         pack = zstandard.ZstdCompressor(level=1)
+        seen: set[int] = set()  # rows of one id meet in one task
         for batch in batches:
-            for start, part in sliced(batch.column(0)):
-                keys = [class_of(g) for g in shingle_sets(part, n)]
-                blobs = [pack.compress((t or "").encode()) for t in part.to_pylist()]
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["c", "blob"]).filter(pa.array([k is not None for k in keys]))
+            for start, part in sliced(batch.column(1)):
+                expected = batch.column(0).slice(start, len(part)).to_pylist()
+                rows = []
+                for c, text, grams in zip(expected, part.to_pylist(), shingle_sets(part, n)):
+                    if class_of(grams) == c and c not in seen:
+                        seen.add(c)
+                        rows.append((c, pack.compress(text.encode())))
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["c", "blob"])
 
-    rows = found.mapInArrow(packed, "c long, blob binary").join(wanted, "c", "left_semi")
-    return staged(rows.groupBy("c").agg(F.min("blob").alias("blob")))
+    return staged(found.mapInArrow(packed, "c long, blob binary"))
 
 
 def _unpacked(blobs: list[bytes], n: int) -> list[np.ndarray]:
@@ -166,8 +172,9 @@ def distances(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                     linked.append(100 * both >= percent * union)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["c", "p", "d", "linked"])
 
-    both = pairs.join(texts, "c").join(texts.select(F.col("c").alias("p"), F.col("blob").alias("pivot_blob")), "p")
-    return staged(both.select("c", "p", "blob", "pivot_blob").mapInArrow(measured, "c long, p long, d double, linked boolean"))
+    both = pairs.join(texts.alias("x"), F.col("x.c") == pairs["c"]).select(pairs["c"], "p", F.col("x.blob").alias("own"))
+    both = both.join(texts.alias("y"), F.col("y.c") == F.col("p"))  # both joins read one shuffle of the texts
+    return staged(both.select(pairs["c"], "p", "own", F.col("y.blob").alias("other")).mapInArrow(measured, "c long, p long, d double, linked boolean"))
 
 
 def _joined_inside(n: int, percent: int):
@@ -201,6 +208,13 @@ def _joined_inside(n: int, percent: int):
     return join
 
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _with_roots(regions: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         return regions.withColumn("root", F.col("c"))
@@ -243,28 +257,39 @@ def _round(regions: DataFrame, pivots: int, turn: int, texts: DataFrame, n: int,
     return kept, measured.where("linked").select(F.col("c").alias("a"), F.col("p").alias("b"))
 
 
+def _gathered(opened: DataFrame) -> DataFrame:
+    """Open regions with the same smallest class put together, where they have at most LOCAL classes then: near copies
+    share many shingles, and so a class's text goes to a task once and not for each of them."""
+    least = opened.groupBy("region").agg(F.min("c").alias("least"))
+    rows = opened.join(least, "region").withColumn("least", F.xxhash64("least", F.lit(-1)))
+    sizes = rows.select("least", "c").distinct().groupBy("least").agg(F.count("*").alias("classes"))
+    rows = rows.join(sizes, "least")
+    together = F.col("classes") <= LOCAL
+    return rows.select(F.when(together, F.col("least")).otherwise(F.col("region")).alias("region"), "c", "root", F.when(together, F.col("classes")).otherwise(F.col("members")).alias("members")).distinct()
+
+
 def links_of(docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links between classes that connect all classes within the threshold (not all pairs)."""
+    """(a, b): links between classes that connect all classes within the threshold (not all pairs).
+
+    The first round takes one pivot per region, as most regions are single shingles with few classes; regions that stay
+    large get more and more pivots."""
     keyed = known.where("prefix is not null").select("c", F.explode("prefix").alias("region")).distinct()
     by_key = Window.partitionBy("region")
     shared = keyed.withColumn("lo", F.min("c").over(by_key)).withColumn("hi", F.max("c").over(by_key)).where("lo < hi").select("region", "c")
-    regions = staged(shared)
-    texts = texts_of(docs, known, regions.select("c").distinct(), n)
-    todo, links, pivots, turn = regions, [], 1, 0
+    todo = staged(shared)
+    texts = texts_of(docs, known, todo.select("c").distinct(), n)
+    links, turn = [], 0
     inside = _joined_inside(n, percent)
     while True:
-        todo, new = _round(todo, pivots, turn, texts, n, percent)
+        todo, new = _round(todo, 1 if turn < SINGLE else 8 << (turn - SINGLE), turn, texts, n, percent)
         links.append(new)
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        opened = staged(_open(_with_roots(todo, every)))
-        small = opened.where(F.col("members") <= LOCAL).join(texts, "c")
-        links.append(staged(small.groupBy("region").applyInPandas(inside, "a long, b long")))
-        todo = opened.where(F.col("members") > LOCAL).select("region", "c")
+        opened = staged(_gathered(staged(_open(_with_roots(todo, union(links))))))
+        ready = F.col("members") <= LOCAL
+        local = opened.where(ready).join(texts, "c").select("region", "c", "root", "blob")
+        links.append(staged(local.groupBy("region").applyInPandas(inside, "a long, b long")))
+        todo, turn = opened.where(~ready).select("region", "c"), turn + 1
         if todo.isEmpty():
-            return every.unionByName(links[-1])
-        pivots, turn = 8 << turn, turn + 1
+            return union(links)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
