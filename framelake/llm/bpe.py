@@ -10,8 +10,10 @@ along. Blocks are made twice, for their words and for their places, from the sam
 between the two stops the job instead of giving wrong ids.
 """
 
+import functools
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from framelake.llm.common import shuffle_partitions
 #: Fixed value: the pattern that byte-level tokenizers of this family split texts with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of a block, about; and how many groups of words each shuffle partition gets.
-BLOCK_WORDS, GROUPS = 4_000_000, 2
+BLOCK_WORDS, GROUPS = 1_500_000, 2
 
 
 class Files:
@@ -157,10 +159,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             )
 
     def encoded(table: pa.Table) -> pa.Table:
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(tokenizer)
-        library.no_padding(), library.no_truncation()
+        library = _library(tokenizer)
         lists = table.column("words").combine_chunks()
         words = lists.flatten().dictionary_encode()
         known = words.dictionary.to_pylist()
@@ -205,6 +204,17 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     return blocks.join(parts, "block", "left").mapInArrow(assembled, f"{key} {kind}, ids array<int>")
 
 
+@functools.lru_cache(maxsize=1)
+def _library(path: str):
+    """The tokenizer, read once in each Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core; threads of the library only cost more
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_padding(), library.no_truncation()
+    return library
+
+
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... sizes[0] of them, then those of starts[1], and so on."""
     ends = np.cumsum(sizes)
