@@ -9,6 +9,8 @@ Null and empty texts have the end id alone. Null doc_ids come first, repeated id
 table makes a manifest without rows.
 """
 
+import functools
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,36 +25,61 @@ from pyspark.sql import functions as F
 from framelake.llm.common import shared_dir, shuffle_partitions, staged
 
 #: Words whose ids a task keeps at hand.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 
 
 def schema(length: int, wide: bool) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
+#: Signs that end a word without changing how what stands before them is split (an apostrophe would).
+ENDINGS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
+
+
 class WordCache:
-    """Encodes texts word by word, each word once while it is kept. Right for tokenizers that drop white space: space
-    and newline always part words there."""
+    """Encodes texts word by word, each word once while it is kept. Right for tokenizers that lower-case, drop white space
+    and split letters from other signs: space and newline always part words there, and a word's trailing signs are tokens
+    of their own."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core; threads of the library only cost more
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding(), self.tokenizer.no_truncation()
-        self.known: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    @staticmethod
+    def split(word: str) -> tuple[str, str]:
+        """(lower-cased stem, trailing signs) where that is the same to the tokenizer, else (word, "")."""
+        if "<|" in word or any(c > "\u024f" or c == "\u0130" for c in word if c > "\x7f"):
+            return word, ""
+        low = word.lower()
+        stem = low.rstrip(ENDINGS)
+        return (stem, low[len(stem) :]) if stem and (stem[-1].isalpha() or stem[-1].isdecimal()) else (low, "")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        new = list({w for words in split for w in words} - self.known.keys())
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            self.known.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-        known = self.known
+        if len(self.words) > KEPT_WORDS:
+            self.words, self.parts = {}, {}
+        new = {w: self.split(w) for words in split for w in words if w not in self.words}
+        unknown = list({p for both in new.values() for p in both} - self.parts.keys())
+        for at in range(0, len(unknown), 5_000):
+            part = unknown[at : at + 5_000]
+            self.parts.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        parts = self.parts
+        self.words.update((w, parts[a] + parts[b]) for w, (a, b) in new.items())
+        known = self.words
         return [np.frombuffer(b"".join([known[w] for w in words]), np.uint32) for words in split]
 
 
+@functools.lru_cache(maxsize=1)
+def word_cache(path: str) -> WordCache:
+    """The worker's cache: tasks that follow one another in a Python worker share it."""
+    return WordCache(path)
+
+
 def _open(path: str):
     return pa.fs.FileSystem.from_uri(path)
 
@@ -107,7 +134,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048,
         path, cache, writer, documents = f"{folder}/part-{part:07d}.arrows", None, None, []
         for batch in batches:
             for lo in range(0, len(batch), 256):
-                cache = cache or WordCache(tokenizer)
+                cache = cache or word_cache(tokenizer)
                 writer = writer or _Writer(path, length, wide)
                 some = batch.slice(lo, 256)
                 for doc, ids in zip(some.column(0).to_pylist(), cache.encode([t or "" for t in some.column(1).to_pylist()])):
