@@ -2,11 +2,12 @@
 
 Base kinds, leftmost and non-overlapping for each: `assign`, `access` and `hex` (see PATTERNS; matches that fail their
 length rule are dropped). The method adds kind `guess`: a value that follows a credential word, a separator and perhaps a
-quote, whose cheapest segmentation (dictionary words, dates, repeats, keyboard walks, brute force) takes at least
-LEAST_GUESSES guesses. Spans are in code points, end exclusive, sorted by start, then by kind in the order above. Null
-and empty texts have no spans; each row is scanned by itself, whole.
+quote, up to the next white space or quote, whose cheapest segmentation (dictionary words, dates, repeats, keyboard
+walks, brute force) of the whole value takes at least LEAST_GUESSES guesses. Spans are in code points, end exclusive,
+sorted by start, then by kind in the order above. Null and empty texts have no spans; each row is scanned by itself, whole.
 """
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -23,11 +24,12 @@ PATTERNS = {
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     "hex": (re.compile(r"[0-9a-f]{24,}"), 0, 24),  # runs are maximal: the same as [0-9a-f]+ of 24 or more
 }
-#: Where credentials stand: a word for them, a separator, and a value of 8 to 128 signs without white space or quotes.
-CONTEXT = re.compile(r"(?i:password|passwd|passphrase|pwd|secret|token|api_?key|credential|private_?key|access_?key|auth)[\"']?\x20*(?:=>|:=|[:=])\x20*[\"']?([!-&(-~]{8,128})", re.ASCII)
+#: Where credentials stand: a word for them, a separator, and a value of 8 signs or more without white space or quotes.
+CONTEXT = re.compile(r"(?i:password|passwd|passphrase|pwd|secret|token|api_?key|credential|private_?key|access_?key|auth)[\"']?\x20*(?:=>|:=|[:=])\x20*[\"']?((?u:[^\s\"']){8,})", re.ASCII)
 _HINTS = ("passw", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "credential", "vatekey", "vate_key", "accesskey", "access_key", "auth")
 #: Guesses beyond which a value counts as made, not as chosen for its looks.
 LEAST_GUESSES = 1e10
+LEAST_BITS = math.log2(LEAST_GUESSES)
 
 # Common parts of passwords, most frequent first (the rank is the number of guesses).
 COMMON_WORDS = """
@@ -51,56 +53,75 @@ def _near(a: str, b: str) -> bool:
 
 
 def _brute(sign: str) -> float:
-    """Bits of one sign that nothing explains."""
-    return math.log2(10 if sign.isdigit() else 26 if sign.isalpha() else 33)
-
-
-def pieces(value: str) -> Iterator[tuple[int, int, float]]:
-    """(start, end, bits) of every span of value that a guesser knows."""
-    lower, plain = value.lower(), value.lower().translate(_LEET)
-    n = len(value)
-    for i in range(n):
+    """Bits of one sign that nothing explains; beyond ASCII, the code points up to it."""
+    return math.log2(10 if "0" <= sign <= "9" else 33 if sign < "\x80" and not sign.isalpha() else 26 if sign < "\x80" else ord(sign))
+
+
+class Pieces:
+    """The spans of a value that a guesser knows and that cost less than limit bits; asked for by rising start.
+
+    A block, a run of equal signs apart, costs log2(10) bits a sign at least, so the limit bounds its size, and a walk's
+    length too: all pieces below the limit are found in time linear in the value's length."""
+
+    def __init__(self, value: str, limit: float):
+        self.value, self.limit = value, limit
+        self.lower = "".join(low if len(low := sign.lower()) == 1 else sign for sign in value)
+        self.plain = self.lower.translate(_LEET)
+        self.block = min(len(value) // 2, int(min(limit / math.log2(10), len(value))))
+        self.equal: dict[int, int] = {}
+
+    def differs(self, i: int, size: int) -> int:
+        """The first place from i on whose sign isn't the one that follows size places later."""
+        value, k = self.value, max(i, self.equal.get(size, 0))
+        while k + size < len(value) and value[k] == value[k + size]:
+            k += 1
+        self.equal[size] = k
+        return k
+
+    def starting(self, i: int) -> Iterator[tuple[int, float]]:
+        """(end, bits) of the pieces that start at i."""
+        value, lower, n = self.value, self.lower, len(self.value)
         for j in range(i + 3, min(n, i + LONGEST) + 1):
-            for form, extra in ((lower, 0.0), (plain, 1.0)):
+            for form, extra in ((lower, 0.0), (self.plain, 1.0)):
                 if rank := RANKS.get(form[i:j]):
-                    yield i, j, math.log2(rank + 1) + extra + (0.0 if value[i:j] == lower[i:j] else 1.0)
+                    yield j, math.log2(rank + 1) + extra + (0.0 if value[i:j] == lower[i:j] else 1.0)
                     break
-        for match in (_DATE.match(value, i),):
-            if match:
-                yield i, match.end(), math.log2(366 * 130 if match.end() - i > 4 else 130)
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
+        if match := _DATE.match(value, i):
+            yield match.end(), math.log2(366 * 130 if match.end() - i > 4 else 130)
+        j = self.differs(i, 1) + 1
         if j - i >= 3:
-            yield i, j, _brute(value[i]) + math.log2(j - i)
-        for size in range(2, (n - i) // 2 + 1):  # a repeated block
-            if value[i : i + size] == value[i + size : i + 2 * size]:
-                times = 2
-                while value[i + times * size : i + (times + 1) * size] == value[i : i + size]:
-                    times += 1
-                yield i, i + times * size, sum(map(_brute, value[i : i + size])) + math.log2(times)
-        j = i + 1
-        while j < n and _near(lower[j - 1], lower[j]):
-            j += 1
+            yield j, _brute(value[i]) + math.log2(j - i)
+        for size in range(2, min(self.block, (n - i) // 2) + 1):  # a repeated block
+            times = 1 + (self.differs(i, size) - i) // size
+            if times > 1:
+                yield i + times * size, sum(map(_brute, value[i : i + size])) + math.log2(times)
+        j, bits = i + 1, math.log2(47)
+        while j < n and bits < self.limit and _near(lower[j - 1], lower[j]):
+            j, bits = j + 1, bits + 1.5
         if j - i >= 3:  # a walk: its first key, then a turn or none at each step
-            yield i, j, math.log2(47) + 1.5 * (j - i - 1)
+            yield j, bits
         j = i + 1
-        while j < n and abs(ord(value[j]) - ord(value[j - 1])) == 1 and value[j].isalnum() and ord(value[j]) - ord(value[j - 1]) == ord(value[i + 1]) - ord(value[i]):
+        while j < n and abs(ord(value[j]) - ord(value[j - 1])) == 1 and value[j].isascii() and value[j].isalnum() and ord(value[j]) - ord(value[j - 1]) == ord(value[i + 1]) - ord(value[i]):
             j += 1
         if j - i >= 3:  # abc, 321
-            yield i, j, _brute(value[i]) + math.log2(j - i) + 1
+            yield j, _brute(value[i]) + math.log2(j - i) + 1
+
 
+def guess_bits(value: str, limit: float = math.inf) -> float:
+    """log2 of the guesses that the cheapest segmentation of the whole value takes, or limit if it takes so many or more.
 
-def guess_bits(value: str) -> float:
-    """log2 of the guesses that the cheapest segmentation of value takes: best[j] = min over pieces ending at j."""
-    n = len(value)
-    ending: dict[int, list[tuple[int, float]]] = {}
-    for i, j, bits in pieces(value):
-        ending.setdefault(j, []).append((i, bits))
-    best = [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = min([best[j - 1] + _brute(value[j - 1]), *(best[i] + bits + 0.5 for i, bits in ending.get(j, ()))])
-    return best[n]
+    best[j] = min over pieces ending at j; places that only cost limit or more lead to are never visited."""
+    known, best, places = Pieces(value, limit), {0: 0.0}, [0]
+    while places:
+        i = heapq.heappop(places)
+        if i == len(value):
+            return best[i]
+        for j, bits in ((i + 1, _brute(value[i])), *((j, bits + 0.5) for j, bits in known.starting(i))):
+            if best[i] + bits < min(limit, best.get(j, math.inf)):
+                if j not in best:
+                    heapq.heappush(places, j)
+                best[j] = best[i] + bits
+    return limit
 
 
 def spans_of(text: str) -> list[tuple[str, int, int]]:
@@ -112,7 +133,7 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
             continue
         found += [(kind, *m.span()) for m in pattern.finditer(text) if len(m[group]) >= least]
     if hinted:
-        found += [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_bits(m[1]) >= math.log2(LEAST_GUESSES)]
+        found += [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_bits(m[1], LEAST_BITS) >= LEAST_BITS]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -83,6 +83,21 @@ def test_secrets(documents):
     assert rows[1] == rows[2] == rows[4] == [] and [(s["kind"], s["start"], s["end"]) for s in rows[3]] == found
 
 
+def test_long_and_quoted_secrets():
+    from framelake.llm.secrets import guess_bits, spans_of
+
+    draw = random.Random(8)
+    signs = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789#!%&*+-/"
+    guesses = lambda text: [text[a:b] for k, a, b in spans_of(text) if k == "guess"]
+    tail = "".join(draw.choice(signs) for _ in range(240))
+    for value in (tail, "a" * 200 + tail, "password" * 20 + tail[:40], "\u00e9" + tail, "ab" * 60_000 + tail):
+        assert guesses(f"pwd={value} end") == guesses(f'"pwd": "{value}"') == [value]
+    assert guesses("pwd=" + "ab" * 60_000) == guesses("pwd=" + "a" * 100_000) == []
+    assert guesses('{"pwd":"hunter2","user":"bob","auth":"Zx9#kQ2!pLw7Rt"}') == ["Zx9#kQ2!pLw7Rt"]
+    for value in ("abcabcabc", "20240131", "qwertyuiop", "passwordpassword", "aaaaaaaa", tail[:9]):  # the limit changes no cost below it
+        assert guess_bits(value, 30.0) == pytest.approx(min(guess_bits(value), 30.0))
+
+
 def labelled(n=400, seed=1):
     draw = random.Random(seed)
     words = ["".join(draw.choice("aeioustrnl") for _ in range(draw.randint(2, 7))) for _ in range(300)]
