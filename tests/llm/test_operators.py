@@ -98,6 +98,27 @@ def test_long_and_quoted_secrets():
         assert guess_bits(value, 30.0) == pytest.approx(min(guess_bits(value), 30.0))
 
 
+def test_words_after_credential_words(documents):
+    from framelake.llm import secrets
+
+    draw = random.Random(9)
+    plain = "the missing ingredient, bien entendu; Verkehrswesen und Naturschutz, naturalmente el ayuntamiento \u00e9lectricit\u00e9 "
+    made = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(400)]
+    clean = "secret: ingredient Token: Verkehrswesen auth: ayuntamiento, token: \u00c9lectricit\u00e9 secret = \"naturalmente\" pwd=1ngr3dient"
+    leaked = "secret: xkqjvbzmwpgh token: naturschutzzkqwpvxj"
+    rows = [(i, plain + " ".join(made[i % 4 :: 4])) for i in range(40)] + [(50, clean), (51, leaked), (52, leaked + "."), (53, None), (54, "")]
+    docs = documents(*rows)
+    found = {r["doc_id"]: [text[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "guess"] for r in secrets.scan(docs).collect() for text in (dict(rows)[r["doc_id"]],)}
+    assert found[51] == ["xkqjvbzmwpgh", "naturschutzzkqwpvxj"] and found[52] == ["xkqjvbzmwpgh", "naturschutzzkqwpvxj."]
+    assert not any(found[i] for i in found if i not in (51, 52)) and len(found) == len(rows)
+    words = secrets.known_words(docs)
+    counts = defaultdict(int)
+    for _, t in rows[:40]:
+        for w in re.findall(r"[^\W\d_]{3,}", t.lower()):
+            counts[w] += 1
+    assert words["ingredient"] == pytest.approx(np.log2(1 + sum(c >= 40 for c in counts.values()))) and "xkqjvbzmwpgh" not in words
+
+
 def labelled(n=400, seed=1):
     draw = random.Random(seed)
     words = ["".join(draw.choice("aeioustrnl") for _ in range(draw.randint(2, 7))) for _ in range(300)]
