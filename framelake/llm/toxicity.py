@@ -1,26 +1,26 @@
 """Toxicity: a linear classifier of character n-grams, whose features are scaled by naive Bayes log-count ratios.
 
 Features say which 3- to 5-grams (hashed, A-Z lower-cased) occur in a text. Over the sample of labelled rows, each
-gets r = log of (share of toxic rows with it / share of others with it); those whose ratio is surest are kept, scaled
-by r, and weighted by logistic regression. Null and empty texts have no features: their score is the bias's.
+gets r = log of (share of toxic rows with it / share of others with it); all are scaled by r and weighted by a
+regularised logistic regression. Null and empty texts have no features: their score is the bias's.
 """
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import held_out
+from framelake.llm.common import held_out, staged
 from framelake.llm.jaccard import sliced
 from framelake.llm.labelled import SAMPLE, logits, training_rows
 
 BITS = 18
 ORDERS = (3, 4, 5)
-#: Features kept for the regression.
-KEPT = 2048
 _ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
 _LOWER = np.arange(128, dtype=np.uint32)
 _LOWER[0x41:0x5B] += 0x20
@@ -36,52 +36,44 @@ def grams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         owner = np.repeat(np.arange(len(values), dtype=np.int32), sizes)
         code = np.zeros(len(signs), np.uint32)
         for k in range(max(ORDERS)):
-            code[: len(signs) - k] += (signs[k:] + np.uint32(1)) * _ODD[k] if k else (signs + np.uint32(1)) * _ODD[0]
+            code[: max(0, len(signs) - k)] += (signs[k:] + np.uint32(1)) * _ODD[k] if k else (signs + np.uint32(1)) * _ODD[0]
             if k + 1 in ORDERS:
-                n = len(signs) - k
+                n = max(0, len(signs) - k)
                 whole = owner[:n] == owner[k:]
                 hashed = code[:n] ^ (code[:n] >> np.uint32(15))
                 hashed = (hashed * np.uint32(0x2C1B3C6D) + np.uint32(k)) >> np.uint32(32 - BITS)
-                yield start, hashed[whole].astype(np.int64), owner[:n][whole]
+                yield start, hashed[whole].astype(np.int32), owner[:n][whole]
 
 
-def _present(texts: pa.Array, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, kept feature): each that occurs, once; table maps hashes to kept features or -1."""
-    found: dict[int, list[np.ndarray]] = {}
-    for start, hashed, owner in grams(texts):
-        kept = table[hashed]
-        hit = kept >= 0
-        found.setdefault(start, []).append((owner[hit].astype(np.int64) + start) * KEPT + kept[hit])
-    for parts in found.values():
-        both = np.unique(np.concatenate(parts))
-        yield both // KEPT, both % KEPT
+def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, the distinct features that it has) for each text that has any."""
+    last = np.zeros(1 << BITS, np.int32)
+    for start, orders in groupby(grams(texts), itemgetter(0)):
+        parts = [(hashed, owner, np.searchsorted(owner, np.arange(owner[-1] + 2 if len(owner) else 1))) for _, hashed, owner in orders]
+        for t in range(max(len(first) - 1 for *_, first in parts)):
+            found = np.concatenate([hashed[first[t] : first[t + 1]] for hashed, _, first in parts if t + 1 < len(first)])
+            if len(found):
+                at = np.arange(len(found), dtype=np.int32)
+                last[found] = at
+                yield start + t, found[last[found] == at]
 
 
 @dataclass
 class Model:
-    features: np.ndarray  # hashes of the kept features
-    weights: np.ndarray  # regression weight times log-count ratio
+    weights: np.ndarray  # of each hashed feature: regression weight times log-count ratio
     bias: float
 
-    def table(self) -> np.ndarray:
-        table = np.full(1 << BITS, -1, np.int64)
-        table[self.features] = np.arange(len(self.features))
-        return table
-
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, steps: int = 200, l2: float = 1e-3) -> Model:
-    """Counts and features are gathered by Spark; the driver gets at most KEPT ratios and, for each of the at most
-    `sample` rows, which kept features it has."""
+    """Counts and features are gathered by Spark; the driver gets at most 2^BITS ratios and, for each of the at most
+    `sample` rows, which features it has, in 4 bytes each."""
 
     def counts(batches):
         total = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
-            truth = batch.column(1).to_numpy()
-            for start, hashed, owner in grams(batch.column(0)):
-                both = np.unique((owner.astype(np.int64) << BITS) + hashed)
-                toxic = truth[(both >> BITS) + start] == 1
-                for k, one in ((0, both[~toxic]), (1, both[toxic])):
-                    total[k] += np.bincount(one & ((1 << BITS) - 1), minlength=1 << BITS)
+            truth = batch.column(1).to_pylist()
+            for t, has in features(batch.column(0)):
+                total[1 if truth[t] == 1 else 0, has] += 1
         at = np.flatnonzero(total.sum(0))
         yield pa.record_batch([pa.array(at), pa.array(total[1][at]), pa.array(total[0][at])], ["feature", "ones", "zeros"])
 
@@ -89,50 +81,81 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     if not ones or not zeros:
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((ones + 1) / (zeros + 1))))
+        return Model(np.zeros(1 << BITS), float(np.log((ones + 1) / (zeros + 1))))
     ratio = F.log((F.col("ones") + 1) / (ones + 2)) - F.log((F.col("zeros") + 1) / (zeros + 2))
-    spread = F.sqrt(1 / (F.col("ones") + 1) + 1 / (F.col("zeros") + 1))
     table = rows.select("text", "label").mapInArrow(counts, "feature long, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    best = table.select("feature", ratio.alias("r"), F.abs(ratio / spread).alias("z")).orderBy(F.desc("z"), "feature").limit(KEPT).toPandas()
-    model = Model(best["feature"].to_numpy(), best["r"].to_numpy(), 0.0)
-    lookup = docs.sparkSession.sparkContext.broadcast(model.table())
+    known = table.select("feature", ratio.alias("r")).toPandas()
+    ratios = np.zeros(1 << BITS, np.float32)
+    ratios[known["feature"].to_numpy()] = known["r"].to_numpy()
 
     def hits(batches):
         for batch in batches:
-            lists: list[list[int]] = [[] for _ in range(len(batch))]
-            for text, kept in _present(batch.column(0), lookup.value):
-                for t, k in zip(text.tolist(), kept.tolist()):
-                    lists[t].append(k)
-            yield pa.record_batch([batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["label", "hits"])
-
-    sparse = rows.select("text", "label").mapInArrow(hits, "label int, hits array<int>").collect()
-    truth = np.array([r[0] for r in sparse], np.float32)
-    x = np.zeros((len(sparse), len(model.features)), np.float32)
-    for i, r in enumerate(sparse):
-        x[i, r[1]] = 1
-    x *= model.weights.astype(np.float32)
-    scale = (np.where(truth == 1, 0.5 / ones, 0.5 / zeros) * len(truth)).astype(np.float32)  # both labels weigh the same
-    w, b = np.zeros(x.shape[1], np.float32), np.float32(0)  # single precision throughout: no copy of x in double
-    m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
-    for step in range(1, steps + 1):  # Adam on the whole sample
-        error = (logits(x @ w + b) - truth) * scale
-        g = np.append(error @ x / len(truth) + l2 * w, error.mean()).astype(np.float32)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = np.float32(0.05) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1].astype(np.float32), b - np.float32(move[-1])
-    return Model(model.features, w.astype(np.float64) * model.weights, float(b))
+            has = [b""] * len(batch)
+            for t, one in features(batch.column(0)):
+                has[t] = one.tobytes()
+            yield pa.record_batch([batch.column(1), pa.array(has, pa.binary())], ["label", "has"])
+
+    truth, has = [], []
+    for r in staged(rows.select("text", "label").mapInArrow(hits, "label int, has binary")).toLocalIterator():  # a part at a time
+        truth.append(r[0])
+        has.append(np.frombuffer(r[1], np.int32))
+    weights, bias = regression(has, np.array(truth), ratios, steps, l2)
+    return Model(weights * ratios, bias)
+
+
+def regression(has: list[np.ndarray], truth: np.ndarray, ratios: np.ndarray, steps: int, l2: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic regression on features scaled by ratios, both labels weighing the same; L-BFGS."""
+    scale = np.where(truth == 1, 0.5 / (truth == 1).sum(), 0.5 / (truth != 1).sum())
+
+    def loss(x):
+        w = (x[:-1] * ratios).astype(np.float32)
+        z = np.array([w[one].sum() for one in has], np.float64) + x[-1]
+        error = (logits(z) - truth) * scale
+        g = np.zeros(len(ratios), np.float32)
+        for one, e in zip(has, error.astype(np.float32)):
+            g[one] += e  # the features of a row are distinct
+        value = float((scale * (np.logaddexp(0, z) - truth * z)).sum() + l2 / 2 * (x[:-1] @ x[:-1]))
+        return value, np.append(g * ratios + l2 * x[:-1], error.sum())
+
+    x = np.zeros(len(ratios) + 1)
+    value, g = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        q, back = g.copy(), []
+        for s, y, rho in reversed(past):
+            back.append(rho * (s @ q))
+            q -= back[-1] * y
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1e-12, float(np.linalg.norm(g)))
+        for (s, y, rho), a in zip(past, reversed(back)):
+            q += (a - rho * (y @ q)) * s
+        slope, length = float(g @ q), 1.0
+        for _ in range(20):
+            new, new_g = loss(x - length * q)
+            if new <= value - 1e-4 * length * slope:
+                break
+            length /= 2
+        else:
+            break
+        s, y = -length * q, new_g - g
+        if (curve := float(s @ y)) > 1e-12:
+            past = [*past[-5:], (s, y, 1 / curve)]
+        done = value - new < 1e-6 * max(value, 1e-6)
+        x, value, g = x + s, new, new_g
+        if done:
+            break
+    return x[:-1], float(x[-1])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, model.table()))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
-        known, table = shared.value
+        known = shared.value
         for batch in batches:
             total = np.full(len(batch), known.bias)
-            for text, kept in _present(batch.column(1), table):
-                total += np.bincount(text, weights=known.weights[kept], minlength=len(batch))
+            for t, has in features(batch.column(1)):
+                total[t] += known.weights[has].sum()
             yield pa.record_batch([batch.column(0), pa.array(logits(total))], ["doc_id", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]

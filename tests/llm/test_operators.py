@@ -151,6 +151,24 @@ def test_classifiers_on_held_out_rows(spark, documents, kind):
     assert len(none) == 3
 
 
+def test_toxic_wording_of_few_rows(spark, documents):
+    from framelake.llm import toxicity
+
+    draw = random.Random(4)
+    made = lambda n: ["".join(draw.choice("aeioustrnlbdg") for _ in range(7)) for _ in range(n)]
+    topic, common = made(400), made(100)
+    rows = [(i, " ".join(draw.sample(common, 20) + (draw.sample(topic, 60) if i % 3 == 0 else []))) for i in range(300)]
+    rare = [i for i, _ in rows if i % 3 and zlib.crc32(str(i).encode()) % 5][:4]
+    rows = [(i, t + " zzyqxvw" if i in rare else t) for i, t in rows]
+    plain = " ".join(common[:20])
+    docs = documents(*rows, (1000, plain), (1001, plain + " zzyqxvw"))
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0 or i in rare)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert score[1001] > score[1000] + 0.05
+    for alone in ("", None, "x"):  # a partition with one short text
+        assert toxicity.score(documents((1, alone)).coalesce(1), toxicity.fit(docs, labels.limit(0))).count() == 1
+
+
 def test_token_store(documents, spark, tmp_path):
     from framelake.llm import arrow_store
 
