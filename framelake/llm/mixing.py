@@ -123,9 +123,10 @@ def _few(plan: DataFrame, most: int = 100_000) -> bool:
     return plan.count() <= most
 
 
-def resample(docs: DataFrame, **options) -> DataFrame:
+def resample(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
     """docs as the mix takes them, with docs' columns: a document as often as the mix takes it whole, and where a
-    source's target ends inside it once more with only the words taken (from the start of its text, n_chars adapted).
+    source's target ends inside it once more with only the words taken (from the start of its text, n_chars adapted);
+    if whole, once more as it is when at least half of its words are taken, else not, so no text is changed.
     Rows that share id, source and size are matched to their takings in the order of their texts."""
     _, documents = mix(docs, **options)
     key = lambda size: F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0002")), F.coalesce("source", F.lit("\u0002")), size)
@@ -134,8 +135,11 @@ def resample(docs: DataFrame, **options) -> DataFrame:
     rows = docs.withColumn("__size", size).where("__size > 0").withColumn("__key", key(F.col("__size")))
     rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("text")))
     taken = F.coalesce(F.try_element_at("__takings", F.col("__nth")), F.lit(0))
-    whole = rows.join(takings, "__key").withColumn("__taken", taken).withColumn("__whole", F.floor(F.col("__taken") / F.col("__size")).cast("int")).withColumn("__rest", (F.col("__taken") % F.col("__size")).cast("int"))
-    copies = whole.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__whole")))).where((F.col("__copy") > 0) | (F.col("__rest") > 0))
+    known = rows.join(takings, "__key").withColumn("__taken", taken).withColumn("__whole", F.floor(F.col("__taken") / F.col("__size")).cast("int")).withColumn("__rest", (F.col("__taken") % F.col("__size")).cast("int"))
+    if whole:
+        times = F.col("__whole") + (F.col("__rest") * 2 >= F.col("__size")).cast("int")
+        return known.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    copies = known.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__whole")))).where((F.col("__copy") > 0) | (F.col("__rest") > 0))
     cut = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest("__rest", F.lit(1))))
     copies = copies.withColumn("text", F.when(F.col("__copy") == 0, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -50,3 +50,19 @@ def test_stages(spark, tmp_path):
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     expected = sorted((r["doc_id"], plain.encode(r["text"], add_special_tokens=False).ids) for r in seen[3])
     assert sorted((r["doc_id"], list(r["ids"])) for r in seen[4]) == expected
+
+
+def test_mixed_texts_are_whole(spark):
+    import corpus_pipeline
+    from framelake.llm import mixing
+
+    draw = random.Random(2)
+    rows = [(i, "\n ".join("w%d" % draw.randrange(90) for _ in range(draw.randint(1, 300))), "en", f"s{i % 4}", 7) for i in range(60)]
+    rows += [(100 + i, "only  one " * 20 * (i + 1), "en", f"t{i}", 7) for i in range(6)]  # sources of one document
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    given = {r[0]: r for r in rows}
+    out = [tuple(r) for r in corpus_pipeline.mixed_sources(spark, docs, "").collect()]
+    assert out and all(r == given[r[0]] for r in out)
+    times = {i: sum(r[0] == i for r in out) for i in given}
+    for r in mixing.mix(docs)[1].collect():
+        assert times[r["doc_id"]] == (2 * r["taken"] + r["size"]) // (2 * r["size"])
