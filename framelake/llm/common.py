@@ -1,5 +1,6 @@
 """Helpers that the training-data operators share."""
 
+import re
 import tempfile
 import uuid
 
@@ -14,20 +15,33 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under a temporary folder."""
+    """A new folder under spark.checkpoint.dir; where that is unset, under a temporary folder, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/framelake-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame) -> DataFrame:
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
+def staged(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """Writes df to a shared folder and reads it back: cuts lineage, fixes row identity, survives lost executors.
 
-    The shuffles that led to the table end with its write, so Spark is told to drop their files then."""
+    The shuffles that led to the table end with its write, so Spark is told to drop their files then. Its path is added to
+    `paths`, for dropped()."""
     spark = df.sparkSession
     path = shared_dir(spark)
+    if paths is not None:
+        paths.append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -48,3 +62,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def held_out(doc_id):
     """True for ids whose CRC-32 of the decimal text is 0 modulo 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def few(df: DataFrame, most: int = 200_000) -> bool:
+    """Whether a narrow table has so few rows that it may be broadcast; else Spark joins by shuffling."""
+    return df.limit(most + 1).count() <= most

@@ -2,42 +2,44 @@
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased; a document's set holds its distinct n-word
 shingles (64-bit hashes of them), or its whole word sequence as one if it has fewer words. Null, empty and blank texts
-have the empty set and link with nothing. Documents with the same set are one class; only classes are compared.
+have the empty set and link with nothing. Documents with the same set (128-bit digest) are one class; only classes are
+compared. Repeated ids are rows of their own; a null id has a part in links and is never the smallest of a component.
 
 How it joins. Almost all pairs of documents share nothing, so from any pivot nearly everything is at distance 1 and
-no region would be smaller than the corpus. So first regions come from an exact necessary condition: two sets within
-the threshold share one of their first (1 - t) n + 1 shingles in any fixed order, so the classes with such a shingle in
-common form a region. Shingles that a sample finds common sort last, which keeps shared passages from making regions;
-the sample changes the order only, never the result. Then, round by round:
-  - each region picks pivots; every class of the region gets its exact distance to them and joins the region of the
-    nearest one (Voronoi);
-  - a class links with a pivot within the threshold; classes known to be connected need no more comparisons;
-  - a class at most `eps` beyond the radius of another pivot's region is copied there (triangle inequality: else it
-    cannot link with any class at home there); pivots, which are compared with all, leave;
-  - regions whose classes are all connected end; small ones are joined exactly inside one task; large ones go on.
+no region would be smaller than the corpus. Pivots therefore get the classes that can be near them: two sets within the
+threshold share one of their first (1 - t) n + 1 shingles in any fixed order, so the smallest class that has a shingle
+there is the pivot of all other classes that do; the pivot's region holds them all. Shingles that a sample finds common
+sort last, which keeps shared passages from making regions; the sample changes the order only, never the result.
+Regions of at most LOCAL classes and ELEMENTS shingles are joined inside one task, larger ones by rounds of Spark joins.
+Both go the same way, until nothing is left to divide:
+  - a region picks pivots; every class of it gets its exact distance to them and joins the part of the nearest one
+    (Voronoi); a class links with a pivot within the threshold;
+  - a class at most `eps` beyond the radius of another pivot's part is copied there (triangle inequality: else it
+    cannot link with any class at home there); pivots, which have been compared with all, leave;
+  - parts whose classes are all connected end, others are regions of their own; the smallest are compared directly.
 """
 
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm import tokens
-from framelake.llm.common import staged
+from framelake.llm.common import dropped, few, shuffle_partitions, staged
 from framelake.llm.components import components
 
-#: Classes that one task compares with one another.
-LOCAL = 512
+#: Most classes of a region, and shingles of all of them (8 bytes each), that one task joins.
+LOCAL, ELEMENTS = 4096, 1 << 21
+#: Most classes that are compared directly with one another, and pivots of a region in a task.
+DIRECT, PIVOTS = 48, 8
 #: One document in so many is looked at to find common shingles, and how many of those are kept.
 SAMPLE, COMMON = 20, 100_000
 SLICE = 1 << 21
-#: Rounds with one pivot per region.
-SINGLE = 1
 
 
 def _multipliers(n: int) -> list[np.uint64]:
@@ -46,7 +48,7 @@ def _multipliers(n: int) -> list[np.uint64]:
 
 def sliced(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     """(start, part) of the texts, about SLICE bytes each (or one longer text)."""
-    sizes = np.fromiter((0 if t is None else t for t in pa.compute.binary_length(texts).to_pylist()), np.int64, len(texts))
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if i > start and total + size > SLICE:
@@ -69,7 +71,8 @@ def shingle_sets(texts: pa.Array, n: int = 5) -> Iterator[np.ndarray]:
         grams = tokens.mixed(grams)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             if b - a >= n:
-                yield np.unique(grams[a : b - n + 1])
+                some = np.sort(grams[a : b - n + 1])
+                yield some[np.append(True, some[1:] != some[:-1])]
             elif b > a:  # the length keeps short sequences apart from each other and from shingles
                 whole = np.array([b - a], np.uint64)
                 for k in range(b - a):
@@ -79,8 +82,8 @@ def shingle_sets(texts: pa.Array, n: int = 5) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def class_of(grams: np.ndarray) -> int | None:
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None
+def class_of(grams: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
 
 
 def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
@@ -96,52 +99,35 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "gram").limit(COMMON).select("gram").collect()], np.int64).view(np.uint64))
 
 
-def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Staged (doc_id, n_shingles, c, prefix): c is the class, null without words; a task gives a class's prefix once."""
+def classes(docs: DataFrame, n: int, percent: int, paths: list[str]) -> DataFrame:
+    """Staged (doc_id, row_key, n_shingles, digest, prefix, blob): digest is the class's, null without words. A task gives a class's
+    prefix (its shingles in order, 62 bits of each) and compressed text once."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n))
 
     def rows(batches):
-        known = common.value
-        seen: set[int] = set()
+        known, pack = common.value, zstandard.ZstdCompressor(level=1)
+        seen: set[bytes] = set()
         for batch in batches:
-            sizes, keys, prefixes = [], [], []
-            for grams in shingle_sets(batch.column(1), n):
-                key, size = class_of(grams), len(grams)
-                first = None
-                if size and key not in seen:
-                    if len(seen) < 500_000:
-                        seen.add(key)
-                    if len(known):
-                        often = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams
-                        grams = np.concatenate([grams[~often], grams[often]])
-                    first = grams[: size - -(-percent * size // 100) + 1].view(np.int64)
-                sizes.append(size), keys.append(key), prefixes.append(first)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "c", "prefix"])
+            for start, part in sliced(batch.column(2)):
+                sizes, keys, prefixes, blobs = [], [], [], []
+                for text, grams in zip(part, shingle_sets(part, n)):
+                    key, size = class_of(grams), len(grams)
+                    first = blob = None
+                    if size and key not in seen:
+                        if len(seen) < 200_000:
+                            seen.add(key)
+                        place = (grams >> np.uint64(2)).view(np.int64)
+                        if len(known):
+                            often = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams
+                            place = np.sort(np.where(often, place | (1 << 62), place))
+                        first = place[: size - -(-percent * size // 100) + 1]
+                        blob = pack.compress(text.as_py().encode())
+                    sizes.append(size), keys.append(key), prefixes.append(first), blobs.append(blob)
+                own = [c.slice(start, len(part)) for c in batch.columns[:2]]
+                yield pa.record_batch([*own, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], ["doc_id", "row_key", "n_shingles", "digest", "prefix", "blob"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return staged(docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_shingles long, c long, prefix array<long>"))
-
-
-def texts_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Staged (c, blob): a compressed text of each wanted class, from the row with the smallest id; rows with the same
-    id are told apart by their sets."""
-    least = known.join(wanted, "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("id"))
-    found = docs.select("doc_id", "text").join(least, F.col("doc_id").eqNullSafe(F.col("id"))).select("c", "text")
-
-    def packed(batches):
-        pack = zstandard.ZstdCompressor(level=1)
-        seen: set[int] = set()  # rows of one id meet in one task
-        for batch in batches:
-            for start, part in sliced(batch.column(1)):
-                expected = batch.column(0).slice(start, len(part)).to_pylist()
-                rows = []
-                for c, text, grams in zip(expected, part.to_pylist(), shingle_sets(part, n)):
-                    if class_of(grams) == c and c not in seen:
-                        seen.add(c)
-                        rows.append((c, pack.compress(text.encode())))
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["c", "blob"])
-
-    return staged(found.mapInArrow(packed, "c long, blob binary"))
+    return staged(docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(rows, f"doc_id {kind}, row_key long, n_shingles long, digest binary, prefix array<long>, blob binary"), paths)
 
 
 def _unpacked(blobs: list[bytes], n: int) -> list[np.ndarray]:
@@ -153,7 +139,132 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
 
 
-def distances(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+class Region:
+    """One region's classes in a task: links that connect all of them that are within the threshold.
+
+    Shingles that two classes or more have are numbered, so that a class is compared with many by a table look-up."""
+
+    def __init__(self, sets: list[np.ndarray], groups: list[int], percent: int):
+        self.order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+        self.sizes = np.array([len(sets[i]) for i in self.order])
+        _, number, often = np.unique(np.concatenate([sets[i] for i in self.order]), return_inverse=True, return_counts=True)
+        ends, number = np.cumsum(self.sizes), number.reshape(-1)
+        self.sets = [one[often[one] > 1] for one in np.split(number, ends[:-1])]
+        self.table = np.zeros(len(often), bool)
+        self.percent, self.eps = percent, 1 - percent / 100 + 1e-9
+        self.parent: dict[int, int] = {}
+        self.group = [groups[i] for i in self.order]
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, i: int) -> int:
+        x = self.group[i]
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def link(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.parent[a] = b
+            self.links.append((self.order[i], self.order[j]))
+
+    def flat(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([self.sets[i] for i in members]), np.concatenate([[0], np.cumsum([len(self.sets[i]) for i in members])])
+
+    def measured(self, i: int, members: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Distances of class i to members, which it links with where they are within the threshold."""
+        self.table[self.sets[i]] = True
+        upto = np.concatenate([[0], np.cumsum(self.table[flat])])
+        self.table[self.sets[i]] = False
+        both = upto[starts[1:]] - upto[starts[:-1]]
+        union = self.sizes[i] + self.sizes[members] - both
+        for j in members[100 * both >= self.percent * union].tolist():
+            self.link(i, j)
+        return 1 - both / union
+
+    def compare(self, members: np.ndarray) -> None:
+        """All members with one another, by size, but for sizes that are too far apart and what is connected."""
+        flat, starts = self.flat(members)
+        last = np.searchsorted(self.percent * self.sizes[members], 100 * self.sizes[members], side="right")
+        for k, i in enumerate(members.tolist()):
+            a, b = k + 1, int(last[k])
+            if a < b and any(self.root(j) != self.root(i) for j in members[a:b].tolist()):
+                self.measured(i, members[a:b], flat[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+
+    def join(self, members: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """members (all classes if None; places in order of size) by Voronoi parts."""
+        members = np.arange(len(self.sets)) if members is None else members
+        if len({self.root(i) for i in members.tolist()}) < 2:
+            return self.links
+        if len(members) <= DIRECT:
+            self.compare(members)
+            return self.links
+        pivots = np.linspace(0, len(members) - 1, PIVOTS).astype(int)  # over all sizes
+        flat, starts = self.flat(members)
+        d = np.stack([self.measured(members[k], members, flat, starts) for k in pivots])
+        free = np.setdiff1d(np.arange(len(members)), pivots)
+        d, rest = d[:, free], members[free]
+        home = d.argmin(0)
+        parts = []
+        for k in range(PIVOTS):
+            radius = d[k, home == k].max(initial=-1.0)
+            parts.append(rest[d[k] <= radius + self.eps] if radius >= 0 else rest[:0])
+        if sum(len(p) for p in parts) ** 2 > len(rest) ** 2 * 4:  # copies outweigh what the division saves
+            self.compare(rest)
+            return self.links
+        for part in parts:
+            self.join(part)
+        return self.links
+
+
+def _joined(sets: list[np.ndarray], groups: list[int], percent: int) -> list[tuple[int, int]]:
+    if len(sets) > 2:
+        return Region(sets, groups, percent).join()
+    both = _shared(*sets) if len(sets) == 2 and groups[0] != groups[1] else 0
+    return [(0, 1)] if both and 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both) else []
+
+
+def links_inside(regions: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links within each region of regions(region, c, root), each region joined by one task, many in turn."""
+
+    def run(rows: pa.Table) -> pa.RecordBatch:
+        region = rows["region"].to_numpy()
+        ends = [*(np.flatnonzero(np.diff(region)) + 1).tolist(), len(region)]
+        sizes = np.cumsum(rows["n"].to_numpy())
+        a, b, start = [], [], 0
+        while start < len(region):
+            stop = next((e for e in ends if e > start and sizes[e - 1] - sizes[start] > ELEMENTS // 4), ends[-1])
+            sets = _unpacked(rows["blob"].slice(start, stop - start).to_pylist(), n)
+            ids, roots = (rows[name].slice(start, stop - start).to_pylist() for name in ("c", "root"))
+            lo = 0
+            for hi in (e - start for e in ends if start < e <= stop):
+                for i, j in _joined(sets[lo:hi], roots[lo:hi], percent):
+                    a.append(ids[lo + i]), b.append(ids[lo + j])
+                lo = hi
+            start = stop
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def rows(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                region = part.column(0).to_numpy()
+                cut = int(np.searchsorted(region, region[-1]))  # the last region may go on
+                if cut or held and held[-1].column(0)[-1].as_py() != region[-1]:
+                    yield run(pa.Table.from_batches([*held, part.slice(0, cut)] if cut else held))
+                    held = []
+                held.append(part.slice(cut))
+        if held:
+            yield run(pa.Table.from_batches(held))
+
+    full = regions.join(texts, "c").select("region", "c", "root", "n", "blob")
+    dealt = full.repartition(shuffle_partitions(regions.sparkSession), "region").sortWithinPartitions("region")
+    return dealt.mapInArrow(rows, "a long, b long")
+
+
+def distances(pairs: DataFrame, texts: DataFrame, n: int, percent: int, paths: list[str]) -> DataFrame:
     """Staged (c, p, d, linked) for pairs(c, p): exact distances, one pair a row."""
 
     def measured(batches):
@@ -174,38 +285,7 @@ def distances(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
     both = pairs.join(texts.alias("x"), F.col("x.c") == pairs["c"]).select(pairs["c"], "p", F.col("x.blob").alias("own"))
     both = both.join(texts.alias("y"), F.col("y.c") == F.col("p"))  # both joins read one shuffle of the texts
-    return staged(both.select(pairs["c"], "p", "own", F.col("y.blob").alias("other")).mapInArrow(measured, "c long, p long, d double, linked boolean"))
-
-
-def _joined_inside(n: int, percent: int):
-    """For one small region: links that connect what is within the threshold, skipping what is already connected."""
-
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = _unpacked(rows["blob"].tolist(), n)
-        order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-        ids, parent = rows["c"].tolist(), {}
-
-        def root(x):
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        group = rows["root"].tolist()
-        links = []
-        for at, i in enumerate(order):
-            for j in order[at + 1 :]:
-                a, b = len(sets[i]), len(sets[j])
-                if 100 * a < percent * b:
-                    break
-                if root(group[i]) == root(group[j]):
-                    continue
-                both = _shared(sets[i], sets[j])
-                if 100 * both >= percent * (a + b - both):
-                    parent[root(group[i])] = root(group[j])
-                    links.append((ids[i], ids[j]))
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
-
-    return join
+    return staged(both.select(pairs["c"], "p", "own", F.col("y.blob").alias("other")).mapInArrow(measured, "c long, p long, d double, linked boolean"), paths)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -223,86 +303,94 @@ def _with_roots(regions: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _open(regions: DataFrame) -> DataFrame:
-    """Regions (region, c, root) whose classes aren't all connected, with their size; of equal regions one stays."""
+    """Regions (region, c, n, root) whose classes aren't all connected, with whether a task can join them; of equal regions
+    one stays."""
     about = regions.groupBy("region").agg(
-        F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("mark"), F.min("c").alias("least"), F.max("c").alias("most")
+        F.count("*").alias("members"), F.sum("n").alias("elements"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("mark"), F.min("c").alias("least"), F.max("c").alias("most")
     )
-    one = about.where("lo < hi").groupBy("members", "mark", "least", "most").agg(F.min("region").alias("region")).select("region", "members")
-    return regions.join(one, "region")
+    one = about.where("lo < hi").groupBy("members", "mark", "least", "most").agg(F.min("region").alias("region"), F.any_value("elements").alias("elements"))
+    fits = (F.col("members") <= LOCAL) & (F.col("elements") <= ELEMENTS)
+    return regions.join(one.select("region", fits.alias("fits")), "region")
 
 
-def _round(regions: DataFrame, pivots: int, turn: int, texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(next regions (region, c), links) after one Voronoi round over regions (region, c)."""
+def _round(regions: DataFrame, pivots: int, turn: int, texts: DataFrame, n: int, percent: int, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(next regions (region, c, n), links) after one Voronoi round over regions (region, c, n)."""
     eps = 1 - percent / 100 + 1e-9
-    if pivots == 1:
-        chosen = regions.groupBy("region").agg(F.min("c").alias("p"))
-    else:
-        nth = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("c", F.lit(turn)), "c"))
-        chosen = regions.select("region", F.col("c").alias("p"), nth.alias("nth")).where(F.col("nth") <= pivots).select("region", "p")
-    near = regions.select("region", "c").join(staged(chosen), "region")
-    measured = distances(near.where("c <> p").select("c", "p").distinct(), texts, n, percent)
+    bucket = F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(pivots))
+    chosen = staged(regions.groupBy("region", bucket.alias("bucket")).agg(F.min("c").alias("p")).select("region", "p"), paths)
+    near = regions.join(chosen, "region")
+    measured = distances(near.where("c <> p").select("c", "p").distinct(), texts, n, percent, paths)
     placed = near.join(measured, ["c", "p"])  # a pivot's row with itself goes
-    if pivots == 1:
-        alone = placed.select("region", "p", "c", "d", "linked").withColumn("home", F.lit(True))
-    else:
-        is_pivot = F.max(F.col("__pivot")).over(Window.partitionBy("region", "c"))
-        own = chosen.select("region", F.col("p").alias("c"), F.lit(True).alias("__pivot"))
-        free = placed.join(own, ["region", "c"], "left").withColumn("__is", is_pivot).where("__is is null").drop("__pivot", "__is")
-        alone = free.withColumn("home", F.row_number().over(Window.partitionBy("region", "c").orderBy("d", "p")) == 1)
+    own = chosen.select("region", F.col("p").alias("c"))
+    free = placed.join(own, ["region", "c"], "left_anti")
+    alone = free.withColumn("home", F.row_number().over(Window.partitionBy("region", "c").orderBy("d", "p")) == 1)
     radius = F.max(F.when(F.col("home"), F.col("d")))
     # Only links with a class that isn't linked to the pivot are still unknown, so the nearest such class bounds the rest.
     cells = alone.groupBy("region", "p").agg(radius.alias("radius"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("outside"))
     inside = (F.col("home") | (F.col("d") <= F.col("radius") + eps)) & (~F.col("linked") | (F.col("d") >= F.col("outside") - eps))
-    kept = alone.join(staged(cells), ["region", "p"]).where(inside).select(F.xxhash64("region", "p", F.lit(turn)).alias("region"), "c").distinct()
+    kept = alone.join(staged(cells, paths), ["region", "p"]).where(inside).select(F.xxhash64("region", "p", F.lit(turn)).alias("region"), "c", "n").distinct()
     return kept, measured.where("linked").select(F.col("c").alias("a"), F.col("p").alias("b"))
 
 
-def _gathered(opened: DataFrame) -> DataFrame:
-    """Open regions with the same smallest class put together, where they have at most LOCAL classes then: near copies
-    share many shingles, and so a class's text goes to a task once and not for each of them."""
-    least = opened.groupBy("region").agg(F.min("c").alias("least"))
-    rows = opened.join(least, "region").withColumn("least", F.xxhash64("least", F.lit(-1)))
-    sizes = rows.select("least", "c").distinct().groupBy("least").agg(F.count("*").alias("classes"))
-    rows = rows.join(sizes, "least")
-    together = F.col("classes") <= LOCAL
-    return rows.select(F.when(together, F.col("least")).otherwise(F.col("region")).alias("region"), "c", "root", F.when(together, F.col("classes")).otherwise(F.col("members")).alias("members")).distinct()
-
-
-def links_of(docs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links between classes that connect all classes within the threshold (not all pairs).
-
-    The first round takes one pivot per region, as most regions are single shingles with few classes; regions that stay
-    large get more and more pivots."""
-    keyed = known.where("prefix is not null").select("c", F.explode("prefix").alias("region")).distinct()
-    by_key = Window.partitionBy("region")
-    shared = keyed.withColumn("lo", F.min("c").over(by_key)).withColumn("hi", F.max("c").over(by_key)).where("lo < hi").select("region", "c")
-    todo = staged(shared)
-    texts = texts_of(docs, known, todo.select("c").distinct(), n)
+def links_of(known: DataFrame, n: int, percent: int, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((digest, c), (a, b)): the classes by number, and links between them that connect all classes within the
+    threshold (not all pairs)."""
+    early: list[str] = []  # what is read no more once the regions' texts are there
+    distinct = known.where("prefix is not null").select("digest", F.col("n_shingles").alias("n"), "prefix").dropDuplicates(["digest"])
+    numbered = staged(distinct.select(F.monotonically_increasing_id().alias("c"), "digest", "n", "prefix"), early)
+    names = staged(numbered.select("digest", "c"), paths)
+    keyed = numbered.select("c", "n", F.explode("prefix").alias("gram"))
+    pivots = keyed.groupBy("gram").agg(F.min("c").alias("p"), F.count("*").alias("m")).where("m > 1").select("gram", "p")
+    shared = staged(keyed.join(pivots, "gram"), paths)
+    # A pivot's region, or where that is too large for a task one region for each of its shingles.
+    mine = shared.select("p", "c", "n").distinct()
+    about = mine.groupBy("p").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
+    large = staged(about.where((F.col("members") > LOCAL) | (F.col("elements") > ELEMENTS)).select("p"), paths)
+    regions = mine.join(large, "p", "left_anti").select(F.col("p").alias("region"), "c", "n")
+    apart = shared.join(large, "p", "left_semi").select(F.xxhash64("gram", F.lit(-1)).alias("region"), "c", "n")
+    todo = staged(regions.unionByName(apart), paths)
+    wanted = shared.select("c").distinct().join(names, "c")
+    texts = known.where("blob is not null").select("digest", "blob").join(wanted, "digest").select("c", "blob").dropDuplicates(["c"])
+    texts = staged(texts, paths)
+    dropped(known.sparkSession, early)
     links, turn = [], 0
-    inside = _joined_inside(n, percent)
     while True:
-        todo, new = _round(todo, 1 if turn < SINGLE else 8 << (turn - SINGLE), turn, texts, n, percent)
-        links.append(new)
-        opened = staged(_gathered(staged(_open(_with_roots(todo, union(links))))))
-        ready = F.col("members") <= LOCAL
-        local = opened.where(ready).join(texts, "c").select("region", "c", "root", "blob")
-        links.append(staged(local.groupBy("region").applyInPandas(inside, "a long, b long")))
-        todo, turn = opened.where(~ready).select("region", "c"), turn + 1
+        opened = staged(_open(_with_roots(todo, union(links) if links else None)), paths)
+        links.append(staged(links_inside(opened.where("fits"), texts, n, percent), paths))
+        todo = opened.where(~F.col("fits")).select("region", "c", "n")
         if todo.isEmpty():
-            return union(links)
+            return names, union(links)
+        todo, new = _round(todo, PIVOTS << turn, turn, texts, n, percent, paths)
+        todo, turn = staged(todo, paths), turn + 1
+        links.append(new)
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Staged (doc_id, row_key, n_shingles, root): row_key is a hash of the text, root names the component, null without words."""
+    paths: list[str] = []
+    rows: list[str] = []
+    known = classes(docs, n, percent, rows)
+    names, links = links_of(known, n, percent, paths)
+    roots = names.join(components(links).withColumnRenamed("node", "c"), "c", "left").select("digest", F.coalesce("root", "c").alias("root"))
+    out = staged(known.drop("prefix", "blob").join(roots, "digest", "left").select("doc_id", "row_key", "n_shingles", "root"))
+    dropped(docs.sparkSession, paths + rows)
+    return out
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text): the smallest id that links reach."""
-    known = classes(docs, n, percent)
-    roots = components(links_of(docs, known, n, percent))
-    rooted = known.join(roots.withColumnRenamed("node", "c"), "c", "left").select("doc_id", "n_shingles", F.coalesce("root", "c").alias("root"))
-    least = staged(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")))
+    rooted = _components(docs, n, percent)
+    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs, of each component only the rows whose id is the component's; columns as they are. Documents without words
-    stay, and so do rows without an id."""
-    others = near_duplicates(docs, n, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """docs, of each component only the row with the smallest id (null last; of rows with that id, the one whose text
+    has the smallest hash); columns as they are. Documents without words stay. Rows with the same id and text are taken
+    for one and stay together."""
+    rooted = _components(docs, n, percent).where("root is not null").withColumn("rank", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    first = rooted.groupBy("root").agg(F.min("rank").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    others = staged(rooted.join(first, "root").where(F.col("rank") > F.col("first")).select("doc_id", "row_key").distinct())
+    others = others.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"))
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    return docs.join(F.broadcast(others) if few(others) else others, same, "left_anti")

@@ -1,5 +1,7 @@
 """Vectorised tokens of whole batches of texts: one pass of numpy over their joined UTF-8 bytes."""
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -38,12 +40,19 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*values, b""]), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=1)
+def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, MULTIPLIER, np.uint64), np.full(n, INVERSE, np.uint64)
     up[:1] = down[:1] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse; a worker keeps a table of 2^22 of them, longer ones are made anew."""
+    up, down = _table(1 << 22) if n <= 1 << 22 else _table.__wrapped__(n)
+    return up[:n], down[:n]
+
+
 def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end], whatever their length: prefix sums of a polynomial with an odd base."""
     if not len(starts):

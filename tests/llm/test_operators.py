@@ -250,7 +250,8 @@ def plain_components(rows, percent=80, n=5):
     return sorted((i, len(sets[k]), min(least[root(k)]) if sets[k] else i) for k, (i, _) in enumerate(rows))
 
 
-def test_jaccard_join(documents, monkeypatch):
+@pytest.mark.parametrize("local", [24, 4096])  # 24: regions are divided in rounds of Spark joins
+def test_jaccard_join(documents, monkeypatch, local):
     from framelake.llm import jaccard
 
     draw = random.Random(5)
@@ -268,8 +269,9 @@ def test_jaccard_join(documents, monkeypatch):
     passage = " ".join(words[100:160])
     rows += [(len(rows) + i, passage + " " + " ".join(draw.choice(words) for _ in range(draw.randint(1, 90)))) for i in range(40)]
     rows += [(len(rows) + i, rows[30][1]) for i in range(5)]
-    monkeypatch.setattr(jaccard, "LOCAL", 8)  # so that regions are divided in several rounds
-    monkeypatch.setattr(jaccard, "SINGLE", 1)
+    monkeypatch.setattr(jaccard, "LOCAL", local)
+    monkeypatch.setattr(jaccard, "DIRECT", 8)
+    monkeypatch.setattr(jaccard, "PIVOTS", 4)
     docs = documents(*rows)
     got = sorted(tuple(r) for r in jaccard.near_duplicates(docs).collect())
     assert got == plain_components(rows)
@@ -277,6 +279,20 @@ def test_jaccard_join(documents, monkeypatch):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in got})
 
 
+def test_jaccard_repeats_and_null_ids(documents):
+    from framelake.llm import jaccard
+
+    one, two = " ".join("a%d" % i for i in range(40)), " ".join("b%d" % i for i in range(40))
+    rows = [(7, one), (7, two), (3, two + " x"), (None, one + " y"), (None, "alone and only here now"), (9, "c d e f g h"), (9, "c d e f g h"), (5, None), (None, "  ")]
+    docs = documents(*rows)
+    got = sorted((tuple(map(str, r)) for r in jaccard.near_duplicates(docs).collect()))
+    expected = [(7, 36, 7), (7, 36, 3), (3, 37, 3), (None, 37, 7), (None, 1, None), (9, 2, 9), (9, 2, 9), (5, 0, 5), (None, 0, None)]
+    assert got == sorted(tuple(map(str, r)) for r in expected)
+    kept = sorted(map(str, ((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect())))
+    assert kept == sorted(map(str, [(7, one), (3, two + " x"), (None, "alone and only here now"), (9, "c d e f g h"), (9, "c d e f g h"), (5, None), (None, "  ")]))
+    assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_mixing(documents, monkeypatch):
     from framelake.llm import mixing
 
