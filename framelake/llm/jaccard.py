@@ -8,8 +8,9 @@ compared. Repeated ids are rows of their own; a null id has a part in links and
 How it joins. Almost all pairs of documents share nothing, so from any pivot nearly everything is at distance 1 and
 no region would be smaller than the corpus. Pivots therefore get the classes that can be near them: two sets within the
 threshold share one of their first (1 - t) n + 1 shingles in any fixed order, so the smallest class that has a shingle
-there is the pivot of all other classes that do; the pivot's region holds them all. Shingles that a sample finds common
-sort last, which keeps shared passages from making regions; the sample changes the order only, never the result.
+there is the pivot of all other classes that do; the pivot's region holds them all. First, classes that cannot link with
+any other leave: of the shingles whose hash is below a bound (RATE of all), those that no other class has are counted, and
+a class with more than (1 - t) n of them is within the threshold of none. That spares documents which share a passage only.
 Regions of at most LOCAL classes and ELEMENTS shingles are joined inside one task, larger ones by rounds of Spark joins.
 Both go the same way, until nothing is left to divide:
   - a region picks pivots; every class of it gets its exact distance to them and joins the part of the nearest one
@@ -37,8 +38,9 @@ from framelake.llm.components import components
 LOCAL, ELEMENTS = 4096, 1 << 21
 #: Most classes that are compared directly with one another, and pivots of a region in a task.
 DIRECT, PIVOTS = 48, 8
-#: One document in so many is looked at to find common shingles, and how many of those are kept.
-SAMPLE, COMMON = 20, 100_000
+#: The share of all shingles that are looked at to tell classes apart, and the bound of their 62-bit hashes.
+RATE = 1 / 3
+BOUND = int(RATE * (1 << 62))
 SLICE = 1 << 21
 
 
@@ -86,48 +88,51 @@ def class_of(grams: np.ndarray) -> bytes | None:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
 
 
-def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of the shingles that a sample of documents repeats most; at most COMMON, so small everywhere."""
+def classes(docs: DataFrame, n: int, percent: int, paths: list[str]) -> DataFrame:
+    """Staged (doc_id, row_key, n_shingles, digest, grams): row_key is a hash of the text, digest is the class's, null
+    without words. A task gives a class's first shingles once, as 62-bit hashes that rise: those below BOUND, and the
+    first (1 - t) n + 1 in any case."""
 
-    def grams(batches):
+    def rows(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            for one in shingle_sets(batch.column(0), n):
-                yield pa.record_batch([pa.array(one.view(np.int64))], ["gram"])
+            sizes, keys, firsts = [], [], []
+            for grams in shingle_sets(batch.column(2), n):
+                key, size = class_of(grams), len(grams)
+                first = None
+                if size and key not in seen:
+                    if len(seen) < 200_000:
+                        seen.add(key)
+                    place = (grams >> np.uint64(2)).view(np.int64)
+                    first = place[: max(int(np.searchsorted(place, BOUND)), size - -(-percent * size // 100) + 1)]
+                sizes.append(size), keys.append(key), firsts.append(first)
+            yield pa.record_batch([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "row_key", "n_shingles", "digest", "grams"])
 
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    counts = some.mapInArrow(grams, "gram long").groupBy("gram").count().where("count >= 3")
-    return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "gram").limit(COMMON).select("gram").collect()], np.int64).view(np.uint64))
+    kind = dict(docs.dtypes)["doc_id"]
+    return staged(docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(rows, f"doc_id {kind}, row_key long, n_shingles long, digest binary, grams array<long>"), paths)
 
 
-def classes(docs: DataFrame, n: int, percent: int, paths: list[str]) -> DataFrame:
-    """Staged (doc_id, row_key, n_shingles, digest, prefix, blob): digest is the class's, null without words. A task gives a class's
-    prefix (its shingles in order, 62 bits of each) and compressed text once."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, n))
+def able(numbered: DataFrame, percent: int, paths: list[str]) -> DataFrame:
+    """Staged (c, n, prefix) of the classes that may link with another; numbered(c, n, grams) has all."""
+    grams = numbered.select("c", F.explode(F.filter("grams", lambda g: g < BOUND)).alias("gram"))
+    alone = grams.groupBy("gram").agg(F.min("c").alias("c"), F.count("*").alias("m")).where("m = 1").groupBy("c").agg(F.count("*").alias("own"))
+    prefix = F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    both = numbered.select("c", "n", prefix.alias("prefix")).join(alone, "c", "left")
+    return staged(both.where(100 * F.coalesce("own", F.lit(0)) <= (100 - percent) * F.col("n")).drop("own"), paths)
 
-    def rows(batches):
-        known, pack = common.value, zstandard.ZstdCompressor(level=1)
-        seen: set[bytes] = set()
+
+def texts_of(docs: DataFrame, wanted: DataFrame, paths: list[str]) -> DataFrame:
+    """Staged (c, blob): a compressed text of each class of wanted(c, doc_id, row_key)."""
+    found = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key"), "text")
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__key") == F.col("row_key"))
+
+    def packed(batches):
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for start, part in sliced(batch.column(2)):
-                sizes, keys, prefixes, blobs = [], [], [], []
-                for text, grams in zip(part, shingle_sets(part, n)):
-                    key, size = class_of(grams), len(grams)
-                    first = blob = None
-                    if size and key not in seen:
-                        if len(seen) < 200_000:
-                            seen.add(key)
-                        place = (grams >> np.uint64(2)).view(np.int64)
-                        if len(known):
-                            often = known[np.minimum(np.searchsorted(known, grams), len(known) - 1)] == grams
-                            place = np.sort(np.where(often, place | (1 << 62), place))
-                        first = place[: size - -(-percent * size // 100) + 1]
-                        blob = pack.compress(text.as_py().encode())
-                    sizes.append(size), keys.append(key), prefixes.append(first), blobs.append(blob)
-                own = [c.slice(start, len(part)) for c in batch.columns[:2]]
-                yield pa.record_batch([*own, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], ["doc_id", "row_key", "n_shingles", "digest", "prefix", "blob"])
+            yield pa.record_batch([batch.column(0), pa.array([pack.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["c", "blob"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return staged(docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(rows, f"doc_id {kind}, row_key long, n_shingles long, digest binary, prefix array<long>, blob binary"), paths)
+    rows = found.join(F.broadcast(wanted) if few(wanted) else wanted, same).select("c", "text")
+    return staged(rows.mapInArrow(packed, "c long, blob binary").dropDuplicates(["c"]), paths)
 
 
 def _unpacked(blobs: list[bytes], n: int) -> list[np.ndarray]:
@@ -332,14 +337,16 @@ def _round(regions: DataFrame, pivots: int, turn: int, texts: DataFrame, n: int,
     return kept, measured.where("linked").select(F.col("c").alias("a"), F.col("p").alias("b"))
 
 
-def links_of(known: DataFrame, n: int, percent: int, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """((digest, c), (a, b)): the classes by number, and links between them that connect all classes within the
-    threshold (not all pairs)."""
-    early: list[str] = []  # what is read no more once the regions' texts are there
-    distinct = known.where("prefix is not null").select("digest", F.col("n_shingles").alias("n"), "prefix").dropDuplicates(["digest"])
-    numbered = staged(distinct.select(F.monotonically_increasing_id().alias("c"), "digest", "n", "prefix"), early)
-    names = staged(numbered.select("digest", "c"), paths)
-    keyed = numbered.select("c", "n", F.explode("prefix").alias("gram"))
+def links_of(docs: DataFrame, known: DataFrame, n: int, percent: int, rows: list[str], paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, row_key, n_shingles, c), (a, b)): each row's class by number, and links between classes that connect all
+    classes within the threshold (not all pairs). `rows` are the paths of known, which goes as soon as it may."""
+    spark, early = docs.sparkSession, []
+    distinct = known.where("grams is not null").select("digest", F.col("n_shingles").alias("n"), "grams").dropDuplicates(["digest"])
+    numbered = staged(distinct.select(F.monotonically_increasing_id().alias("c"), "digest", "n", "grams"), early)
+    names = staged(known.drop("grams").join(numbered.select("digest", "c"), "digest", "left").drop("digest"), paths)
+    dropped(spark, rows)
+    keyed = able(numbered.drop("digest"), percent, paths).select("c", "n", F.explode("prefix").alias("gram"))
+    dropped(spark, early)
     pivots = keyed.groupBy("gram").agg(F.min("c").alias("p"), F.count("*").alias("m")).where("m > 1").select("gram", "p")
     shared = staged(keyed.join(pivots, "gram"), paths)
     # A pivot's region, or where that is too large for a task one region for each of its shingles.
@@ -349,10 +356,8 @@ def links_of(known: DataFrame, n: int, percent: int, paths: list[str]) -> tuple[
     regions = mine.join(large, "p", "left_anti").select(F.col("p").alias("region"), "c", "n")
     apart = shared.join(large, "p", "left_semi").select(F.xxhash64("gram", F.lit(-1)).alias("region"), "c", "n")
     todo = staged(regions.unionByName(apart), paths)
-    wanted = shared.select("c").distinct().join(names, "c")
-    texts = known.where("blob is not null").select("digest", "blob").join(wanted, "digest").select("c", "blob").dropDuplicates(["c"])
-    texts = staged(texts, paths)
-    dropped(known.sparkSession, early)
+    wanted = staged(names.join(todo.select("c").distinct(), "c").groupBy("c").agg(F.min(F.struct("doc_id", "row_key")).alias("row")).select("c", "row.*"), paths)
+    texts = texts_of(docs, wanted, paths)
     links, turn = [], 0
     while True:
         opened = staged(_open(_with_roots(todo, union(links) if links else None)), paths)
@@ -367,13 +372,12 @@ def links_of(known: DataFrame, n: int, percent: int, paths: list[str]) -> tuple[
 
 def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Staged (doc_id, row_key, n_shingles, root): row_key is a hash of the text, root names the component, null without words."""
-    paths: list[str] = []
     rows: list[str] = []
-    known = classes(docs, n, percent, rows)
-    names, links = links_of(known, n, percent, paths)
-    roots = names.join(components(links).withColumnRenamed("node", "c"), "c", "left").select("digest", F.coalesce("root", "c").alias("root"))
-    out = staged(known.drop("prefix", "blob").join(roots, "digest", "left").select("doc_id", "row_key", "n_shingles", "root"))
-    dropped(docs.sparkSession, paths + rows)
+    paths: list[str] = []
+    names, links = links_of(docs, classes(docs, n, percent, rows), n, percent, rows, paths)
+    roots = components(links).withColumnRenamed("node", "c")
+    out = staged(names.join(roots, "c", "left").select("doc_id", "row_key", "n_shingles", F.coalesce("root", "c").alias("root")))
+    dropped(docs.sparkSession, paths)
     return out
 
 
