@@ -5,10 +5,10 @@ The smallest id of a group stays (a group whose ids are all null keeps one row);
 text exactly one stays. Ids keep their type.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import SPACE, shuffle_partitions
+from framelake.llm.common import SPACE, few, shuffle_partitions, staged
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,11 +43,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that groups() drops; columns as they are."""
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
-    winners = groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))
-    key = lambda i, d: F.concat_ws(":", d, F.coalesce(i.cast("string"), F.lit("")), i.isNull().cast("string"))
-    rows = docs.withColumn("__key", key(F.col(id_col), F.sha2(text, 256)))
-    kept = rows.join(winners.select(key(F.col("__id"), F.col("__digest")).alias("__key")).distinct(), "__key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))  # repeated rows of one id and text
-    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    """docs without the rows that groups() drops; columns as they are. Of repeated rows (one id, equal texts) the one stays
+    that comes first by its text as it is, then by its other columns written as JSON.
+
+    groups() runs once, into a narrow staged table. What it drops is a key (id, digest), so docs are read once more and
+    filtered by a join with the dropped keys, which is a map-side one where they are few."""
+    found = staged(groups(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"), "kept"))
+    keys = found.groupBy("__id", "__digest").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
+    digest = F.sha2(F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), SPACE, " "), 256)
+
+    def joined(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.select("__id", "__digest")
+        same = rows[id_col].eqNullSafe(some["__id"]) & (digest == some["__digest"])
+        return rows.join(F.broadcast(some) if few(some) else some, same, how)
+
+    kept = joined(docs, keys.where(~F.col("kept")), "left_anti")
+    repeated = keys.where("kept and rows > 1")
+    if repeated.isEmpty():
+        return kept
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    order = F.struct(F.col(text_col).isNotNull(), F.col(text_col), F.to_json(F.struct(*others)) if others else F.lit(""))
+    first = joined(kept, repeated, "left_semi").groupBy(F.col(id_col).alias("__id"), digest.alias("__digest")).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return joined(kept, repeated, "left_anti").unionByName(first.select("row.*"))
