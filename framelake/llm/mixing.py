@@ -9,10 +9,10 @@ taken 0. Repeated rows are separate documents. Rows keep their identity because
 before anything is ranked.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import WORD, staged
+from framelake.llm.common import WORD, few, shuffle_partitions, staged
 
 #: Fractional part of the golden ratio: the step of the point sequence.
 GOLDEN = 0.6180339887498949
@@ -20,6 +20,7 @@ GOLDEN = 0.6180339887498949
 CHUNK = 4096
 #: Fewest blocks a source with enough words is cut into, so that small sources interleave as well.
 LEAST_BLOCKS = 16
+SEED = 7
 
 
 def targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
@@ -53,18 +54,24 @@ def _running(rows: DataFrame, keys: list[str], order: list[str], value: str, out
     return joined.withColumn(out, F.col("__base") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("__base")
 
 
-def sizes_of(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Staged (row_id, doc_id, source, size, place): place is the row's position on the shuffled circle of its source."""
+def place(seed: int) -> Column:
+    return F.xxhash64("doc_id", "text", F.lit(seed))
+
+
+def sizes_of(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """Staged (row_id, doc_id, source, size, place): place is the row's position on the shuffled circle of its source, a hash
+    of id and text (so rows without an id, or of one id, are spread too)."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("place"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", size.alias("size"), place(seed).alias("place"))
     return staged(rows)
 
 
 def schedule(plan: DataFrame, slots: int) -> DataFrame:
     """plan(source_no, blocks, low, high) and the number of points -> (source_no, rank, slot): where each block comes.
 
-    Points are drawn in proportion to the blocks that each source needs; a few more are drawn, later ranks are dropped.
-    A point finds its source through an equi-join on one of 4,096 cells of the unit interval.
+    Points are drawn in proportion to the blocks that each source needs, some more than that; ranks beyond a source's
+    blocks are dropped. A point finds its source through an equi-join on one of 4,096 cells of the unit interval. Ranks
+    that the points didn't reach (their share of an interval is off by a few points) take slots after all points.
     """
     cells = 4096
     spark = plan.sparkSession
@@ -72,16 +79,21 @@ def schedule(plan: DataFrame, slots: int) -> DataFrame:
     points = spark.range(extra).select(F.col("id").alias("slot"), F.expr(f"pmod((id + 0.5D) * {GOLDEN}D, 1.0D)").alias("at")).withColumn("cell", F.floor(F.col("at") * cells))
     spans = plan.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))))
     drawn = points.join(spans, "cell").where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))).select("source_no", "blocks", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"), F.lit(1).alias("one"))
-    ranked = _running(drawn, ["source_no"], ["slot"], "one", "rank")
-    return ranked.where(F.col("rank") < F.col("blocks")).select("source_no", "rank", "slot")
+    ranked = staged(_running(drawn, ["source_no"], ["slot"], "one", "rank").where(F.col("rank") < F.col("blocks")).select("source_no", "rank", "slot"))
+    reached = ranked.groupBy("source_no").agg(F.count("*").alias("reached"))
+    short = plan.join(reached, "source_no", "left").withColumn("reached", F.coalesce("reached", F.lit(0))).where("reached < blocks")
+    late = short.select("source_no", F.explode(F.sequence(F.col("reached"), F.col("blocks") - 1)).alias("rank"))
+    return ranked.unionByName(late.select("source_no", "rank", (F.lit(extra) + F.col("rank")).alias("slot")))
 
 
-def mix(docs: DataFrame, block: int = 1024, max_epochs: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block: int = 1024, max_epochs: int = 3, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(pieces, documents).
 
-    pieces(slot, row_id, epoch, words): the mix, in the order of its slots; each piece is some words of one document.
-    documents(row_id, doc_id, source, size, source_size, target, taken): one row for each row of docs. A slot that the
-    points did not reach comes at the end (slot null), so every source takes its target, rounded down, to the word.
+    pieces(slot, row_id, epoch, words): the mix, in the order of its slots; each piece is some words of one document. Only
+    what the schedule gave a slot is in it. The schedule has a slot for every block, so every source takes its target, rounded
+    down, to the word.
+    documents(row_id, place, doc_id, source, size, source_size, target, taken, first_slot): one row for each row of docs, with the
+    words that its pieces take and the first slot of them (null if it has none).
     """
     rows = sizes_of(docs, seed)
     spark = docs.sparkSession
@@ -108,40 +120,40 @@ def mix(docs: DataFrame, block: int = 1024, max_epochs: int = 3, seed: int = 7)
     cut = epochs.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / F.col("block")), F.floor((F.col("to") - 1) / F.col("block")))))
     piece = F.least("to", (F.col("rank") + 1) * F.col("block")) - F.greatest("from", F.col("rank") * F.col("block"))
     cut = cut.select("row_id", "source_no", "epoch", "rank", piece.cast("long").alias("words"))
-    pieces = cut.join(schedule(plan.select("source_no", "blocks", "low", "high"), slots), ["source_no", "rank"], "left").select("slot", "row_id", "epoch", "words")
-    taken = pieces.groupBy("row_id").agg(F.sum("words").alias("taken"))
+    pieces = cut.join(schedule(plan.select("source_no", "blocks", "low", "high"), slots), ["source_no", "rank"]).select("slot", "row_id", "epoch", "words")
+    taken = pieces.groupBy("row_id").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     per_doc = rows.join(taken, "row_id", "left")
     known = plan.select(F.col("source").alias("__source"), "source_size", "target")
-    documents = per_doc.join(F.broadcast(known) if _few(plan) else known, per_doc["source"].eqNullSafe(F.col("__source"))).select(
-        "row_id", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+    documents = per_doc.join(F.broadcast(known) if few(plan) else known, per_doc["source"].eqNullSafe(F.col("__source"))).select(
+        "row_id", "place", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot"
     )
     return pieces, documents
 
 
-def _few(plan: DataFrame, most: int = 100_000) -> bool:
-    """Whether there are so few sources that their table may be broadcast; else Spark joins by shuffling."""
-    return plan.count() <= most
-
-
 def resample(docs: DataFrame, whole: bool = False, **options) -> DataFrame:
-    """docs as the mix takes them, with docs' columns: a document as often as the mix takes it whole, and where a
-    source's target ends inside it once more with only the words taken (from the start of its text, n_chars adapted);
-    if whole, once more as it is when at least half of its words are taken, else not, so no text is changed.
-    Rows that share id, source and size are matched to their takings in the order of their texts."""
-    _, documents = mix(docs, **options)
-    key = lambda size: F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0002")), F.coalesce("source", F.lit("\u0002")), size)
-    takings = documents.where("taken > 0").select(key(F.col("size")).alias("__key"), "taken").groupBy("__key").agg(F.sort_array(F.collect_list("taken"), False).alias("__takings"))
+    """docs as the mix takes them, with docs' columns, in the order of the mix's slots: a document as often as the mix takes
+    it whole, and where a source's target ends inside it once more with only the words taken (from the start of its text,
+    n_chars adapted); if whole, once more as it is when at least half of its words are taken, else not, so no text is changed.
+    Rows that share id, source, size and text are matched to their takings in the order of these."""
+    pieces, documents = mix(docs, **options)
+    key = lambda size: F.xxhash64("doc_id", "source", size, "__place").alias("__key")
+    copies = pieces.groupBy("row_id", "epoch").agg(F.min("slot").alias("slot"), F.sum("words").cast("long").alias("words"))
+    taken = copies.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("slot", "words"))).alias("copies"))  # max_epochs at most
+    rows = documents.select("row_id", "doc_id", "source", "size", F.col("place").alias("__place")).join(taken, "row_id")
+    takings = rows.select(key(F.col("size")), "copies").groupBy("__key").agg(F.sort_array(F.collect_list("copies")).alias("__takings"))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("__size", size).where("__size > 0").withColumn("__key", key(F.col("__size")))
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("text")))
-    taken = F.coalesce(F.try_element_at("__takings", F.col("__nth")), F.lit(0))
-    known = rows.join(takings, "__key").withColumn("__taken", taken).withColumn("__whole", F.floor(F.col("__taken") / F.col("__size")).cast("int")).withColumn("__rest", (F.col("__taken") % F.col("__size")).cast("int"))
+    marked = docs.withColumn("__size", size).where("__size > 0").withColumn("__place", place(options.get("seed", SEED)))
+    marked = marked.withColumn("__key", key(F.col("__size"))).join(takings, "__key")
+    marked = marked.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("text")))
+    known = marked.withColumn("__copy", F.explode(F.try_element_at("__takings", F.col("__nth"))))
+    words = F.col("__copy.words")
     if whole:
-        times = F.col("__whole") + (F.col("__rest") * 2 >= F.col("__size")).cast("int")
-        return known.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
-    copies = known.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__whole")))).where((F.col("__copy") > 0) | (F.col("__rest") > 0))
-    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest("__rest", F.lit(1))))
-    copies = copies.withColumn("text", F.when(F.col("__copy") == 0, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        copies = copies.withColumn("n_chars", F.when(F.col("__copy") == 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return copies.select(*docs.columns)
+        out = known.where(words * 2 >= F.col("__size"))
+    else:
+        cut = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words.cast("int")))
+        part = words < F.col("__size")
+        out = known.withColumn("text", F.when(part, cut).otherwise(F.col("text")))
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    out = out.withColumn("__slot", F.col("__copy.slot"))
+    return out.repartitionByRange(shuffle_partitions(docs.sparkSession), "__slot").sortWithinPartitions("__slot", "__key").select(*docs.columns)

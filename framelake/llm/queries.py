@@ -76,7 +76,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.llm.mixing import mix
 
     _, documents = mix(read(spark, sf_dir, "documents"))
-    return documents.drop("row_id")
+    return documents.drop("row_id", "place")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
