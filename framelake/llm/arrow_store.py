@@ -1,15 +1,17 @@
 """Token ids in Arrow stream files of fixed-size lists: equal-length sequences with masks, mapped without copying.
 
-A part file holds the documents of one range of ids, in ascending order: record batches of one or more sequences of
-`length` ids and as many mask signs (1: an id, 0: padding, only at a part's end). As all sequences are equally long,
-sequence k of a part is a fixed slice of the mapped file. A second stream file lists (doc_id, start, n_tokens) of the
-part's documents. Ids are 16 bits wide where the vocabulary allows it, else 32.
+A part file holds the documents of one range of ids, in ascending order: record batches of BATCH sequences (the last may
+have fewer) of `length` ids and as many mask signs (1: an id, 0: padding, only at a part's end). As all sequences are
+equally long and all batches but the last have the same size, sequence k of a part is a fixed slice of the mapped file
+(`Sequences`). A second stream file lists (doc_id, start, n_tokens) of the part's documents. Ids are 16 bits wide where
+the tokenizer's vocabulary allows it, else 32.
 
 Null and empty texts have the end id alone. Null doc_ids come first, repeated ids in the order of their texts. An empty
 table makes a manifest without rows.
 """
 
 import functools
+import json
 import os
 import uuid
 import zlib
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import shared_dir, shuffle_partitions, staged
 
-#: Words whose ids a task keeps at hand.
-KEPT_WORDS = 300_000
+#: Words whose ids a task keeps at hand, and sequences in a record batch.
+KEPT_WORDS, BATCH = 300_000, 64
 
 
 def schema(length: int, wide: bool) -> pa.Schema:
@@ -36,42 +38,89 @@ def schema(length: int, wide: bool) -> pa.Schema:
 ENDINGS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 
 
+# What WordCache takes for granted in a tokenizer's file.
+_NORMAL = ("NFC", "Replace", "Lowercase")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def about(path: str) -> tuple[int, bool, np.ndarray]:
+    """(ids of the vocabulary and the added tokens, whether words can be encoded apart, ids that end a word) of a tokenizer."""
+    with open(path) as source:
+        said = json.load(source)
+    vocabulary, suffix = said["model"].get("vocab", {}), said["model"].get("end_of_word_suffix")
+    pairs = [*vocabulary.items(), *((a["content"], a["id"]) for a in said["added_tokens"])] if isinstance(vocabulary, dict) else []
+    ends = np.zeros(max((i for _, i in pairs), default=-1) + 1, bool)
+    if suffix:
+        ends[[i for t, i in pairs if t.endswith(suffix)]] = True
+    normal = tuple(x["type"] for x in (said["normalizer"] or {}).get("normalizers", ()))
+    splits = [x for x in (said["pre_tokenizer"] or {}).get("pretokenizers", ()) if x["type"] == "Split"]
+    special = all("<|" in a["content"] for a in said["added_tokens"])
+    apart = bool(suffix) and normal == _NORMAL and [x["pattern"].get("Regex") for x in splits] == [_PATTERN] and said["post_processor"] is None and special
+    return len(ends), apart, ends
+
+
 class WordCache:
-    """Encodes texts word by word, each word once while it is kept. Right for tokenizers that lower-case, drop white space
-    and split letters from other signs: space and newline always part words there, and a word's trailing signs are tokens
-    of their own."""
+    """Encodes texts word by word, each word once while it is kept, with tokenizers that lower-case, drop white space and split
+    letters from other signs: space and newline always part words there, and a word's trailing signs are tokens of their
+    own. Words of letters alone need no normalising (they are lower-cased, and composed as far as they may be) and no
+    splitting, so many are encoded at once; a token with the suffix for ends ends each. Texts of other tokenizers are
+    encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core; threads of the library only cost more
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding(), self.tokenizer.no_truncation()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for one in (self.tokenizer, self.letters):
+            one.no_padding(), one.no_truncation()
+        _, self.apart, self.ends = about(path)
+        if self.apart:
+            self.letters.normalizer = None
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     @staticmethod
     def split(word: str) -> tuple[str, str]:
         """(lower-cased stem, trailing signs) where that is the same to the tokenizer, else (word, "")."""
-        if "<|" in word or any(c > "\u024f" or c == "\u0130" for c in word if c > "\x7f"):
+        if not word.isascii() and any(c > "\u024f" or c == "\u0130" for c in word) or "<|" in word:
             return word, ""
         low = word.lower()
         stem = low.rstrip(ENDINGS)
         return (stem, low[len(stem) :]) if stem and (stem[-1].isalpha() or stem[-1].isdecimal()) else (low, "")
 
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, parts: list[str]) -> None:
+        """Puts the ids of parts into self.parts."""
+        plain = [p for p in parts if p.isalpha() and (p.isascii() or max(p) <= "\u024f" and p == p.lower() and "\u0130" not in p)]
+        for at in range(0, len(plain), 2_000):
+            some = plain[at : at + 2_000]
+            ids = np.array(self.letters.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            last = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(last) != len(some) or last[-1] != 4 * len(ids):
+                raise RuntimeError("a word of letters has more than one token that ends it")
+            whole = ids.tobytes()
+            self.parts.update(zip(some, (whole[a:b] for a, b in zip([0, *last[:-1].tolist()], last.tolist()))))
+        other = [p for p in parts if p not in self.parts]
+        for at in range(0, len(other), 5_000):
+            some = other[at : at + 5_000]
+            self.parts.update(zip(some, (x.tobytes() for x in self.plain(some))))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.apart:
+            return self.plain(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > KEPT_WORDS:
-            self.words, self.parts = {}, {}
-        new = {w: self.split(w) for words in split for w in words if w not in self.words}
-        unknown = list({p for both in new.values() for p in both} - self.parts.keys())
-        for at in range(0, len(unknown), 5_000):
-            part = unknown[at : at + 5_000]
-            self.parts.update(zip(part, (np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        now = set().union(*split)
+        if len(self.words) > KEPT_WORDS:  # words of this batch stay, among them the frequent ones
+            self.words, self.parts = {w: self.words[w] for w in now if w in self.words}, {}
+        new = {w: self.split(w) for w in now if w not in self.words}
+        self.learn(list({p for both in new.values() for p in both} - self.parts.keys()))
         parts = self.parts
         self.words.update((w, parts[a] + parts[b]) for w, (a, b) in new.items())
-        known = self.words
-        return [np.frombuffer(b"".join([known[w] for w in words]), np.uint32) for words in split]
+        known = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)), np.uint32) for words in split]
 
 
 @functools.lru_cache(maxsize=1)
@@ -99,8 +148,8 @@ class _Writer:
     def add(self, ids: np.ndarray) -> None:
         self.rest.append(ids)
         self.pending, self.total = self.pending + len(ids), self.total + len(ids)
-        if self.pending >= 64 * self.length:
-            self._flush(self.pending // self.length * self.length, 0)
+        if self.pending >= BATCH * self.length:
+            self._flush(self.pending // (BATCH * self.length) * BATCH * self.length, 0)
 
     def _flush(self, n: int, padding: int) -> None:
         flat = np.concatenate(self.rest) if self.rest else np.zeros(0, np.uint32)
@@ -109,7 +158,9 @@ class _Writer:
         mask = np.ones(n + padding, np.uint8)
         mask[n:] = 0
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (values, mask)]
-        self.stream.write_batch(pa.record_batch(lists, schema=self.schema))
+        whole = pa.record_batch(lists, schema=self.schema)
+        for at in range(0, len(whole), BATCH):
+            self.stream.write_batch(whole.slice(at, BATCH))
 
     def close(self) -> None:
         if self.pending:
@@ -118,14 +169,14 @@ class _Writer:
         self.fs.move(self.temporary, self.path)  # a repeated task writes the same once more
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, vocabulary: int = 1 << 16, folder: str | None = None) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, folder: str | None = None) -> DataFrame:
     """Writes docs(doc_id, text) in ascending doc_id order; returns the staged manifest (part, path, n_docs, n_tokens,
     start), start being the number of ids in all parts before.
 
     Texts are dealt by ranges of doc_id (one shuffle) and encoded where they are written.
     """
     folder = folder or shared_dir(docs.sparkSession)
-    wide = vocabulary > 1 << 16
+    wide = max(about(tokenizer)[0], end_id + 1) > 1 << 16
     fs, root = _open(folder)
     fs.create_dir(root, recursive=True)
 
@@ -167,6 +218,32 @@ def sequences(path: str) -> Iterator[pa.RecordBatch]:
         yield from stream
 
 
+class Sequences:
+    """Random access to the sequences of a part: [k] is (ids, mask) of sequence k, for local files as views of the mapped file.
+    Nothing but one batch's head is read to find it."""
+
+    def __init__(self, path: str):
+        fs, name = _open(path)
+        self.source = pa.memory_map(name) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file(name)
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.source))
+        self.first = self.source.tell()
+        pa.ipc.read_message(self.source)
+        self.stride = self.source.tell() - self.first  # of every batch but the last
+        self.length = self.schema.field("ids").type.list_size
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        number, at = divmod(k, BATCH)
+        place = self.first + number * self.stride
+        if k < 0 or place >= self.source.size() - 8:  # 8 bytes end the stream
+            raise IndexError(k)
+        self.source.seek(place)
+        batch = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+        if at >= len(batch):
+            raise IndexError(k)
+        ids, mask = (batch.column(i).values.to_numpy()[at * self.length : (at + 1) * self.length] for i in (0, 1))
+        return ids, mask
+
+
 def read(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
     """(doc_id, start, ids) of every document in the files that the manifest names, start counted over all parts."""
 

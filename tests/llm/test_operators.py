@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -184,6 +185,36 @@ def test_token_store(documents, spark, tmp_path):
     batch = next(arrow_store.sequences(manifest.first()["path"]))
     assert batch.schema.field("ids").type == pa.list_(pa.uint16(), 64) and set(batch.column(1).flatten().to_pylist()) <= {0, 1}
     assert arrow_store.read(arrow_store.write(docs.limit(0), WORD)).count() == 0
+    wide = arrow_store.read(arrow_store.write(docs, BYTE)).collect()  # another tokenizer: texts are encoded whole
+    assert sorted(map(str, ([*r["ids"]] for r in wide))) == sorted(str([*library(BYTE).encode(t or "", add_special_tokens=False).ids, 1]) for _, t in TRICKY)
+
+
+def test_sequences_are_views(documents):
+    from framelake.llm import arrow_store
+
+    docs = documents(*((i, "word and other words " * (40 * i)) for i in range(30))).coalesce(1)
+    path = arrow_store.write(docs, WORD, length=32).orderBy(F.desc("n_tokens")).first()["path"]
+    every = [s for b in arrow_store.sequences(path) for s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    some = arrow_store.Sequences(path)
+    assert len(every) > 2 * arrow_store.BATCH
+    before = pa.total_allocated_bytes()
+    for k in (0, 1, arrow_store.BATCH, len(every) - 1, 5):
+        ids, mask = some[k]
+        assert (ids.tolist(), mask.tolist()) == every[k] and not ids.flags.owndata and not mask.flags.owndata
+    held = [some[k] for k in range(len(every))]
+    assert len(held) and pa.total_allocated_bytes() - before < 4096  # views of the map, not copies
+    for k in (-1, len(every), len(every) + 10_000):
+        with pytest.raises(IndexError):
+            some[k]
+
+
+def test_words_apart_or_whole():
+    from framelake.llm.arrow_store import WordCache
+
+    draw, cache, plain = random.Random(1), WordCache(WORD), library(WORD)
+    signs = "abcXYZ\u00e9\u00c9\u0130\u00df\u01c5\u024f\u0300\u0345\u1e9e\u3042 \n\t\u00a0'.,!?|<>#$-_0123456789\u00aa\u00b2\u2460"
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 60))) for _ in range(4000)] + ["a<|endoftext|>b", "it's IT'LL don't", "x'", "  "]
+    assert all(list(a) == plain.encode(t, add_special_tokens=False).ids for a, t in zip(cache.encode(texts), texts))
 
 
 def test_exact_groups(documents):
