@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.functions.bits import big_word, little_word
+from framelake.functions.bits import big_word, byteswapped, little_word
 from framelake.plans.catalog import Catalog, Message, Signal
 
 SAMPLE = "struct<raw: bigint, num: double, label: string>"
@@ -43,7 +43,8 @@ def _wide_bits(data: pd.Series, first: pd.Series, count: pd.Series, shift: pd.Se
     out = []
     for d, a, n, s, bits, le in zip(data, first, count, shift, length, little):
         value = None
-        if d is not None and len(d) >= a + n:
+        if d is not None and not pd.isna(a) and len(d) >= a + n:
+            a, n, s, bits = int(a), int(n), int(s), int(bits)
             value = int.from_bytes(d[a : a + n], "little" if le else "big") >> s & (1 << bits) - 1
             value -= (value >> 63) << 64
         out.append(value)
@@ -56,10 +57,20 @@ def _as_float(bits: pd.Series, length: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def raw(signal: Signal, data: Column) -> Column:
-    """The field's integer, sign-extended where it is signed."""
+def with_words(frames: DataFrame) -> DataFrame:
+    """frames with __big and __little: the first eight bytes of data (filled up with zeros) as integers, read once a frame."""
+    head = F.conv(F.rpad(F.hex(F.substring("data", 1, 8)), 16, "0"), 16, -10).cast("long")
+    return frames.withColumn("__big", head).withColumn("__little", byteswapped(F.col("__big")))
+
+
+def raw(signal: Signal, data: Column, words: bool = False) -> Column:
+    """The field's integer, sign-extended where it is signed; with words, over frames that have with_words()'s columns."""
     first, count, shift = place(signal)
-    if count > 8:
+    if words and first + count <= 8:
+        at = first * 8 + shift if signal.little_endian else 64 - (first + count) * 8 + shift
+        value = F.col("__little" if signal.little_endian else "__big")
+        value = F.shiftrightunsigned(value, at) if at else value
+    elif count > 8:
         value = _wide_bits(data, *(F.lit(x) for x in (first, count, shift, signal.length, signal.little_endian)))
     else:
         value = word(data, first, count, signal.little_endian)
@@ -87,20 +98,20 @@ def label(signal: Signal, value: Column) -> Column:
     return case
 
 
-def present(message: Message, signal: Signal, data: Column, dlc: Column, frame_id: Column) -> Column:
+def present(message: Message, signal: Signal, data: Column, dlc: Column, frame_id: Column, words: bool = False) -> Column:
     """Whether a frame carries a sample of the signal."""
     here = (frame_id == message.frame_id) & (dlc >= message.length)
     if signal.selected_by is not None and message.selector:
-        here = here & (raw(message.selector, data) == signal.selected_by)
+        here = here & (raw(message.selector, data, words) == signal.selected_by)
     return F.coalesce(here, F.lit(False))
 
 
-def sample(message: Message, signal: Signal) -> Column:
+def sample(message: Message, signal: Signal, words: bool = False) -> Column:
     """struct(raw, num, label), null where the frame has no sample; over columns data, dlc, frame_id."""
     data = F.col("data")
-    value = raw(signal, data)
+    value = raw(signal, data, words)
     whole = F.struct(value.alias("raw"), scaled(signal, value).alias("num"), label(signal, value).alias("label"))
-    return F.when(present(message, signal, data, F.col("dlc"), F.col("frame_id")), whole)
+    return F.when(present(message, signal, data, F.col("dlc"), F.col("frame_id"), words), whole)
 
 
 def resolve(catalog: Catalog, names: list[str]) -> dict[str, tuple[Message, Signal]]:
@@ -117,22 +128,76 @@ def wide(frames: DataFrame, catalog: Catalog, names: list[str]) -> DataFrame:
     """(log_id, t, seq, channel, frame_id, one struct column per name): samples of the frames that carry any."""
     found = resolve(catalog, names)
     ids = sorted({m.frame_id for m, _ in found.values()})
-    columns = [(sample(*found[n]) if n in found else F.lit(None).cast(SAMPLE)).alias(n) for n in names]
-    return data_frames(frames, ids).select("log_id", "t", "seq", "channel", "frame_id", *columns)
+    columns = [(sample(*found[n], words=True) if n in found else F.lit(None).cast(SAMPLE)).alias(n) for n in names]
+    return with_words(data_frames(frames, ids)).select("log_id", "t", "seq", "channel", "frame_id", *columns)
+
+
+def _field(signal: Signal | None) -> dict:
+    """Where a signal's bits are, as columns of the table that frames join with: the word's first byte and size, the shifts
+    within it and (for fields in the first eight bytes) within the payload's whole word, mask, and the sign's bit."""
+    if signal is None:
+        return dict.fromkeys(("first", "count", "shift", "at", "bits", "little", "mask", "sign"))
+    first, count, shift = place(signal)
+    at = None
+    if first + count <= 8:
+        at = first * 8 + shift if signal.little_endian else 64 - (first + count) * 8 + shift
+    mask = -1 if signal.length >= 64 else (1 << signal.length) - 1
+    return {"first": first, "count": count, "shift": shift, "at": at, "bits": signal.length, "little": signal.little_endian, "mask": mask, "sign": 1 << signal.length - 1 if signal.signed and signal.length < 64 else 0}
+
+
+_FIELD = "struct<first: int, count: int, shift: int, at: int, bits: int, little: boolean, mask: bigint, sign: bigint>"
+
+
+def _signals(frames: DataFrame, pairs: list[tuple[Message, Signal]]) -> DataFrame:
+    """A row per signal, small as the schema is."""
+    rows = []
+    for m, s in pairs:
+        mux = s.selected_by is not None and m.selector is not None
+        rows.append((m.frame_id, m.length, s.name, _field(s), _field(m.selector) if mux else None, s.selected_by if mux else None, float(s.scale), float(s.offset), s.length, s.is_float, dict(reversed(s.choices))))
+    kind = f"message_id long, least int, signal string, field {_FIELD}, selector {_FIELD}, selected_by long, scale double, offset double, bits int, is_float boolean, choices map<bigint, string>"
+    return frames.sparkSession.createDataFrame(rows, kind)
+
+
+def _shifted(word_: Column, by: Column) -> Column:
+    return F.call_function("shiftrightunsigned", word_, by)
+
+
+def _bits_of(field: Column, wide_fields: bool) -> Column:
+    """The integer of a field, given by columns, of a frame with its payload (data) and its words (__big, __little)."""
+    part = F.substring("data", field["first"] + 1, field["count"])
+    far = _shifted(F.when(field["little"], little_word(part)).otherwise(big_word(part)), field["shift"])
+    if wide_fields:
+        far = F.when(field["count"] > 8, _wide_bits(F.col("data"), field["first"], field["count"], field["shift"], field["bits"], field["little"])).otherwise(far)
+    near = _shifted(F.when(field["little"], F.col("__little")).otherwise(F.col("__big")), field["at"])
+    value = F.when(field["at"].isNotNull(), near).otherwise(far).bitwiseAND(field["mask"])
+    return value.bitwiseXOR(field["sign"]) - field["sign"]
 
 
 def samples(frames: DataFrame, catalog: Catalog, names: list[str] | None = None) -> DataFrame:
     """Long form (log_id, message_id, signal, channel, t, seq, raw, num, label), only for the names asked for; without
-    names every signal of every message, each under its own message."""
+    names every signal of every message, each under its own message.
+
+    Frames join a table of the signals, so the plan is as large for one signal as for a whole schema; a payload's first
+    eight bytes become a word once, which all its signals shift. Python sees only fields over nine bytes and floats, and
+    nothing if the schema has none of them."""
     if names is None:
         pairs = [(m, s) for m in catalog.messages for s in m.signals]
     else:
         pairs = list(resolve(catalog, names).values())
     ids = sorted({m.frame_id for m, _ in pairs})
-    one = [F.when(sample(m, s).isNotNull(), F.struct(F.lit(s.name).alias("signal"), sample(m, s).alias("v"))) for m, s in pairs]
-    every = F.explode(F.array_compact(F.array(*one))) if one else F.explode(F.array().cast(f"array<struct<signal: string, v: {SAMPLE}>>"))
-    rows = data_frames(frames, ids).select("log_id", F.col("frame_id").alias("message_id"), "channel", "t", "seq", every.alias("s"))
-    return rows.select("log_id", "message_id", F.col("s.signal").alias("signal"), "channel", "t", "seq", "s.v.raw", "s.v.num", "s.v.label")
+    wide_fields = any(place(x)[1] > 8 for m, s in pairs for x in (s, m.selector) if x)
+    rows = with_words(data_frames(frames, ids).select("log_id", "frame_id", "channel", "t", "seq", "dlc", "data"))
+    known = F.broadcast(_signals(frames, pairs))  # as many rows as the schema has signals
+    rows = rows.join(known, (F.col("frame_id") == F.col("message_id")) & (F.col("dlc") >= F.col("least")))
+    if any(s.selected_by is not None and m.selector for m, s in pairs):
+        rows = rows.where(F.col("selector").isNull() | (_bits_of(F.col("selector"), wide_fields) == F.col("selected_by")))
+    rows = rows.select("log_id", "message_id", "signal", "channel", "t", "seq", _bits_of(F.col("field"), wide_fields).alias("raw"), "scale", "offset", "bits", "is_float", "choices")
+    number = F.col("raw").cast("double")
+    if any(s.is_float for _, s in pairs):
+        number = F.when(F.col("is_float"), _as_float(F.col("raw"), F.col("bits"))).otherwise(number)
+    plain = (F.col("scale") == 1) & (F.col("offset") == 0)
+    number = F.when(plain, number).otherwise(number * F.col("scale") + F.col("offset"))
+    return rows.select("log_id", "message_id", "signal", "channel", "t", "seq", "raw", number.alias("num"), F.try_element_at("choices", F.col("raw")).alias("label"))
 
 
 def plotted(signal: Signal, value: Column) -> Column:
