@@ -12,22 +12,24 @@ there is the pivot of all other classes that do; the pivot's region holds them a
 any other leave: of the shingles whose hash is below a bound (RATE of all), those that no other class has are counted, and
 a class with more than (1 - t) n of them is within the threshold of none. That spares documents which share a passage only.
 Regions of at most LOCAL classes and ELEMENTS shingles are joined inside one task, larger ones by rounds of Spark joins.
-Both go the same way, until nothing is left to divide:
-  - a region picks pivots; every class of it gets its exact distance to them and joins the part of the nearest one
-    (Voronoi); a class links with a pivot within the threshold;
-  - a class at most `eps` beyond the radius of another pivot's part is copied there (triangle inequality: else it
-    cannot link with any class at home there); pivots, which have been compared with all, leave;
-  - parts whose classes are all connected end, others are regions of their own; the smallest are compared directly.
+Both go the same way, until nothing is left:
+  - a region picks pivots among classes that aren't connected with most others yet; every class of it gets its exact
+    distance to them and links with those within the threshold; pivots, which have been compared with all, leave;
+  - a region whose classes are all connected ends;
+  - each class joins the part of its nearest pivot (Voronoi), and a class at most `eps` beyond the radius of another
+    pivot's part is copied there (triangle inequality: else it cannot link with any class at home there). The parts are
+    the next regions, unless the copies outweigh what the division saves: then the region stays whole.
 """
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm import tokens
@@ -35,9 +37,11 @@ from framelake.llm.common import dropped, few, shuffle_partitions, staged
 from framelake.llm.components import components
 
 #: Most classes of a region, and shingles of all of them (8 bytes each), that one task joins.
-LOCAL, ELEMENTS = 4096, 1 << 21
-#: Most classes that are compared directly with one another, and pivots of a region in a task.
-DIRECT, PIVOTS = 48, 8
+LOCAL, ELEMENTS = 8192, 1 << 21
+#: Most classes that are compared directly with one another; pivots of a region in a task, and at most in a round of joins.
+DIRECT, PIVOTS, MOST_PIVOTS = 48, 8, 256
+#: Copies for each class up to which a division is worth it.
+COPIES = 2
 #: The share of all shingles that are looked at to tell classes apart, and the bound of their 62-bit hashes.
 RATE = 1 / 3
 BOUND = int(RATE * (1 << 62))
@@ -162,7 +166,9 @@ class Region:
         self.links: list[tuple[int, int]] = []
 
     def root(self, i: int) -> int:
-        x = self.group[i]
+        return self.root_of(self.group[i])
+
+    def root_of(self, x: int) -> int:
         while (up := self.parent.get(x, x)) != x:
             self.parent[x] = self.parent.get(up, up)
             x = up
@@ -189,11 +195,19 @@ class Region:
         return 1 - both / union
 
     def compare(self, members: np.ndarray) -> None:
-        """All members with one another, by size, but for sizes that are too far apart and what is connected."""
+        """All members with one another, but for sizes that are too far apart and what is connected: those outside the
+        largest connected group with all, the others only with those."""
         flat, starts = self.flat(members)
-        last = np.searchsorted(self.percent * self.sizes[members], 100 * self.sizes[members], side="right")
+        sizes = self.sizes[members]
+        last = np.searchsorted(self.percent * sizes, 100 * sizes, side="right")
+        first = np.searchsorted(100 * sizes, self.percent * sizes, side="left")
+        roots = Counter(self.root(i) for i in members.tolist())
+        most, n = roots.most_common(1)[0]
+        few_left = 2 * n > len(members)
         for k, i in enumerate(members.tolist()):
-            a, b = k + 1, int(last[k])
+            if few_left and self.root(i) == self.root_of(most):
+                continue
+            a, b = (int(first[k]) if few_left else k + 1), int(last[k])
             if a < b and any(self.root(j) != self.root(i) for j in members[a:b].tolist()):
                 self.measured(i, members[a:b], flat[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
 
@@ -215,7 +229,7 @@ class Region:
         for k in range(PIVOTS):
             radius = d[k, home == k].max(initial=-1.0)
             parts.append(rest[d[k] <= radius + self.eps] if radius >= 0 else rest[:0])
-        if sum(len(p) for p in parts) ** 2 > len(rest) ** 2 * 4:  # copies outweigh what the division saves
+        if sum(len(p) for p in parts) > COPIES * len(rest):
             self.compare(rest)
             return self.links
         for part in parts:
@@ -269,28 +283,43 @@ def links_inside(regions: DataFrame, texts: DataFrame, n: int, percent: int) ->
     return dealt.mapInArrow(rows, "a long, b long")
 
 
-def distances(pairs: DataFrame, texts: DataFrame, n: int, percent: int, paths: list[str]) -> DataFrame:
-    """Staged (c, p, d, linked) for pairs(c, p): exact distances, one pair a row."""
+def distances(regions: DataFrame, chosen: DataFrame, texts: DataFrame, n: int, percent: int, paths: list[str]) -> DataFrame:
+    """Staged (region, c, n, d array<double>, linked array<long>) of the classes of regions(region, c, n, members) that
+    aren't among chosen(region, p): distances to the region's pivots in the order of p, and pivots within the threshold.
+
+    A region is dealt over as many tasks as it has times LOCAL classes; each gets the pivots first, then its classes."""
+    shares = F.greatest(F.lit(1), F.ceil(F.col("members") / LOCAL)).cast("int")
+    rows = regions.select("region", F.pmod(F.xxhash64("c"), shares).cast("int").alias("share"), F.lit(1).alias("role"), "c", "n")
+    heads = regions.select("region", shares.alias("shares")).distinct().join(chosen, "region")
+    heads = heads.select("region", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), F.col("p").alias("c"), F.lit(0).cast("long").alias("n"))
+    both = heads.unionByName(rows.join(chosen.withColumnRenamed("p", "c"), ["region", "c"], "left_anti")).join(texts, "c")
+    dealt = both.select("region", "share", "role", "c", "n", "blob").repartition(shuffle_partitions(regions.sparkSession), "region", "share").sortWithinPartitions("region", "share", "role", "c")
 
     def measured(batches):
+        at, pivots, sets, table, universe = None, [], [], None, None
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                pivots = part.column(1).to_pylist()
-                which = {p: i for i, p in reversed(list(enumerate(pivots)))}
-                blobs = part.column(3).to_pylist()
-                sets = dict(zip(which, _unpacked([blobs[i] for i in which.values()], n)))
-                d, linked = [], []
-                for grams, p in zip(_unpacked(part.column(2).to_pylist(), n), pivots):
-                    both = _shared(grams, sets[p])
-                    union = len(grams) + len(sets[p]) - both
-                    d.append(1 - both / union)
-                    linked.append(100 * both >= percent * union)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["c", "p", "d", "linked"])
-
-    both = pairs.join(texts.alias("x"), F.col("x.c") == pairs["c"]).select(pairs["c"], "p", F.col("x.blob").alias("own"))
-    both = both.join(texts.alias("y"), F.col("y.c") == F.col("p"))  # both joins read one shuffle of the texts
-    return staged(both.select(pairs["c"], "p", "own", F.col("y.blob").alias("other")).mapInArrow(measured, "c long, p long, d double, linked boolean"), paths)
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                keys = list(zip(*(part.column(i).to_pylist() for i in range(5))))
+                out = []
+                for (region, share, role, c, size), grams in zip(keys, _unpacked(part.column(5).to_pylist(), n)):
+                    if (region, share) != at:
+                        at, pivots, sets, table = (region, share), [], [], None
+                    if role == 0:
+                        pivots.append(c), sets.append(grams)
+                        continue
+                    if table is None:
+                        universe = np.unique(np.concatenate(sets))
+                        table = np.stack([np.isin(universe, s, assume_unique=True) for s in sets], axis=1)
+                        sizes = np.array([len(s) for s in sets])
+                    place = np.minimum(np.searchsorted(universe, grams), len(universe) - 1)
+                    both = table[place[universe[place] == grams]].sum(0)
+                    union = len(grams) + sizes - both
+                    out.append((region, c, size, 1 - both / union, [p for p, yes in zip(pivots, 100 * both >= percent * union) if yes]))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, types)], ["region", "c", "n", "d", "linked"])
+
+    return staged(dealt.mapInArrow(measured, "region long, c long, n long, d array<double>, linked array<long>"), paths)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -308,33 +337,37 @@ def _with_roots(regions: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _open(regions: DataFrame) -> DataFrame:
-    """Regions (region, c, n, root) whose classes aren't all connected, with whether a task can join them; of equal regions
-    one stays."""
-    about = regions.groupBy("region").agg(
-        F.count("*").alias("members"), F.sum("n").alias("elements"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("mark"), F.min("c").alias("least"), F.max("c").alias("most")
+    """Regions (region, c, n, root) whose classes aren't all connected, with their size, whether a task can join them, and the
+    root of most of their classes; of equal regions one stays."""
+    groups = regions.groupBy("region", "root").agg(
+        F.count("*").alias("classes"), F.sum("n").alias("elements"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("mark"), F.min("c").alias("least"), F.max("c").alias("most")
     )
-    one = about.where("lo < hi").groupBy("members", "mark", "least", "most").agg(F.min("region").alias("region"), F.any_value("elements").alias("elements"))
-    fits = (F.col("members") <= LOCAL) & (F.col("elements") <= ELEMENTS)
-    return regions.join(one.select("region", fits.alias("fits")), "region")
+    about = groups.groupBy("region").agg(
+        F.sum("classes").alias("members"), F.sum("elements").alias("elements"), F.count("*").alias("groups"), F.max_by("root", F.struct("classes", "root")).alias("main"),
+        F.sum("mark").alias("mark"), F.min("least").alias("least"), F.max("most").alias("most"),
+    )
+    one = about.where("groups > 1").groupBy("members", "mark", "least", "most").agg(F.min(F.struct("region", "elements", "main")).alias("r"))
+    fits = (F.col("members") <= LOCAL) & (F.col("r.elements") <= ELEMENTS)
+    return regions.join(one.select("r.region", "members", "r.main", fits.alias("fits")), "region")
 
 
 def _round(regions: DataFrame, pivots: int, turn: int, texts: DataFrame, n: int, percent: int, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(next regions (region, c, n), links) after one Voronoi round over regions (region, c, n)."""
+    """(next regions (region, c, n), links) after one round over regions (region, c, n, root, members, main). The pivots are
+    classes outside the main group, the smallest of each of so many hash buckets."""
     eps = 1 - percent / 100 + 1e-9
     bucket = F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(pivots))
-    chosen = staged(regions.groupBy("region", bucket.alias("bucket")).agg(F.min("c").alias("p")).select("region", "p"), paths)
-    near = regions.join(chosen, "region")
-    measured = distances(near.where("c <> p").select("c", "p").distinct(), texts, n, percent, paths)
-    placed = near.join(measured, ["c", "p"])  # a pivot's row with itself goes
-    own = chosen.select("region", F.col("p").alias("c"))
-    free = placed.join(own, ["region", "c"], "left_anti")
-    alone = free.withColumn("home", F.row_number().over(Window.partitionBy("region", "c").orderBy("d", "p")) == 1)
-    radius = F.max(F.when(F.col("home"), F.col("d")))
-    # Only links with a class that isn't linked to the pivot are still unknown, so the nearest such class bounds the rest.
-    cells = alone.groupBy("region", "p").agg(radius.alias("radius"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("outside"))
-    inside = (F.col("home") | (F.col("d") <= F.col("radius") + eps)) & (~F.col("linked") | (F.col("d") >= F.col("outside") - eps))
-    kept = alone.join(staged(cells, paths), ["region", "p"]).where(inside).select(F.xxhash64("region", "p", F.lit(turn)).alias("region"), "c", "n").distinct()
-    return kept, measured.where("linked").select(F.col("c").alias("a"), F.col("p").alias("b"))
+    chosen = staged(regions.where("root <> main").groupBy("region", bucket.alias("bucket")).agg(F.min("c").alias("p")).select("region", "p"), paths)
+    measured = distances(regions.select("region", "c", "n", "members"), chosen, texts, n, percent, paths)
+    links = measured.select(F.explode("linked").alias("b"), F.col("c").alias("a")).select("a", "b")
+    placed = measured.withColumn("home", F.array_position("d", F.array_min("d")).cast("int"))
+    radius = placed.groupBy("region", "home").agg(F.max(F.element_at("d", F.col("home"))).alias("radius"))
+    radii = staged(radius.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("home", "radius"))).alias("radii")), paths)  # an entry for each pivot
+    near = F.filter(F.sequence(F.lit(1), F.size("d")), lambda k: F.element_at("d", k) <= F.coalesce(F.try_element_at("radii", k), F.lit(-1.0)) + eps)
+    spread = placed.join(radii, "region").select("region", "c", "n", near.alias("parts"))
+    about = spread.groupBy("region").agg(F.count("*").alias("rows"), F.sum(F.size("parts")).alias("copies"))
+    worth = staged(about.select("region", (F.col("copies") <= COPIES * F.col("rows")).alias("divided")), paths)
+    both = spread.join(worth, "region").withColumn("part", F.explode(F.when(F.col("divided"), F.col("parts")).otherwise(F.array(F.lit(0)))))
+    return both.select(F.xxhash64("region", "part", F.lit(turn)).alias("region"), "c", "n"), links
 
 
 def links_of(docs: DataFrame, known: DataFrame, n: int, percent: int, rows: list[str], paths: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -349,10 +382,10 @@ def links_of(docs: DataFrame, known: DataFrame, n: int, percent: int, rows: list
     dropped(spark, early)
     pivots = keyed.groupBy("gram").agg(F.min("c").alias("p"), F.count("*").alias("m")).where("m > 1").select("gram", "p")
     shared = staged(keyed.join(pivots, "gram"), paths)
-    # A pivot's region, or where that is too large for a task one region for each of its shingles.
-    mine = shared.select("p", "c", "n").distinct()
-    about = mine.groupBy("p").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
-    large = staged(about.where((F.col("members") > LOCAL) | (F.col("elements") > ELEMENTS)).select("p"), paths)
+    # A pivot's region; where that is too large for a task, a region for each of its shingles if these overlap little.
+    mine = shared.groupBy("p", "c", "n").agg(F.count("*").alias("grams"))
+    about = mine.groupBy("p").agg(F.count("*").alias("members"), F.sum("n").alias("elements"), F.sum("grams").alias("rows"))
+    large = staged(about.where(((F.col("members") > LOCAL) | (F.col("elements") > ELEMENTS)) & (F.col("rows") <= 4 * F.col("members"))).select("p"), paths)
     regions = mine.join(large, "p", "left_anti").select(F.col("p").alias("region"), "c", "n")
     apart = shared.join(large, "p", "left_semi").select(F.xxhash64("gram", F.lit(-1)).alias("region"), "c", "n")
     todo = staged(regions.unionByName(apart), paths)
@@ -362,10 +395,10 @@ def links_of(docs: DataFrame, known: DataFrame, n: int, percent: int, rows: list
     while True:
         opened = staged(_open(_with_roots(todo, union(links) if links else None)), paths)
         links.append(staged(links_inside(opened.where("fits"), texts, n, percent), paths))
-        todo = opened.where(~F.col("fits")).select("region", "c", "n")
+        todo = opened.where(~F.col("fits"))
         if todo.isEmpty():
             return names, union(links)
-        todo, new = _round(todo, PIVOTS << turn, turn, texts, n, percent, paths)
+        todo, new = _round(todo, min(MOST_PIVOTS, 2 * PIVOTS << turn), turn, texts, n, percent, paths)
         todo, turn = staged(todo, paths), turn + 1
         links.append(new)
 

@@ -281,7 +281,7 @@ def plain_components(rows, percent=80, n=5):
     return sorted((i, len(sets[k]), min(least[root(k)]) if sets[k] else i) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("local", [24, 4096])  # 24: regions are divided in rounds of Spark joins
+@pytest.mark.parametrize("local", [48, 8192])  # 48: regions are divided in rounds of Spark joins
 def test_jaccard_join(documents, monkeypatch, local):
     from framelake.llm import jaccard
 
@@ -303,6 +303,7 @@ def test_jaccard_join(documents, monkeypatch, local):
     monkeypatch.setattr(jaccard, "LOCAL", local)
     monkeypatch.setattr(jaccard, "DIRECT", 8)
     monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard, "MOST_PIVOTS", 16)
     docs = documents(*rows)
     got = sorted(tuple(r) for r in jaccard.near_duplicates(docs).collect())
     assert got == plain_components(rows)
