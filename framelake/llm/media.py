@@ -119,14 +119,15 @@ def _with_lists(packs: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def result_of(n_bytes: int, parts: list[bytes], digests: list[bytes]) -> tuple:
-    """What is reported of a payload put together from verified parts. Its stored form is its chunk list."""
+    """What is reported of a payload put together from verified parts. Its stored form, which alone gives it back, is its
+    ordered chunk list followed by each of its distinct chunks once."""
     for part, digest in zip(parts, digests, strict=True):
         if hashlib.sha256(part).digest() != digest:
             raise RuntimeError("a chunk isn't what its digest says")
     whole = b"".join(parts)
     if len(whole) % UNIT or not 0 <= len(whole) - n_bytes <= UNIT or whole[n_bytes:].strip(b"\xff"):
         raise RuntimeError("a payload has the wrong length or padding")
-    form = b"".join(d + len(p).to_bytes(4, "little") for p, d in zip(parts, digests))
+    form = b"".join([*(d + len(p).to_bytes(4, "little") for p, d in zip(parts, digests)), *dict(zip(digests, parts)).values()])
     counts = np.bincount(np.frombuffer(whole, np.uint8), minlength=256) / len(whole)
     mean = float(counts @ np.arange(256))
     entropy = float(-(counts[counts > 0] * np.log2(counts[counts > 0])).sum())
