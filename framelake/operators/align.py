@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.operators.decode import data_frames, resolve, sample, SAMPLE
+from framelake.operators.decode import data_frames, resolve, sample, SAMPLE, with_words
 from framelake.plans.catalog import Catalog
 
 
@@ -25,14 +25,16 @@ def chunk_of(t: Column, seconds: float) -> Column:
 def at_ticks(frames: DataFrame, catalog: Catalog, names: list[str]) -> DataFrame:
     """(log_id, t, one nullable sample struct per name, sampled): what was recorded at each tick."""
     found = resolve(catalog, names)
-    columns = [(sample(*found[n]) if n in found else F.lit(None).cast(SAMPLE)).alias(n) for n in names]
-    rows = data_frames(frames).select("log_id", "t", "seq", *columns)
+    columns = [(sample(*found[n], words=True) if n in found else F.lit(None).cast(SAMPLE)).alias(n) for n in names]
+    rows = with_words(data_frames(frames)).select("log_id", "t", "seq", *columns)
     last = [F.max_by(n, F.when(F.col(n).isNotNull(), F.col("seq"))).alias(n) for n in names]
     out = rows.groupBy("log_id", "t").agg(*last) if last else rows.select("log_id", "t").distinct()
-    some = F.lit(False)
-    for n in names:
-        some = some | F.col(n).isNotNull()
-    return out.withColumn("sampled", some)
+    return out.withColumn("sampled", recorded(names))
+
+
+def recorded(names: list[str] | tuple[str, ...]) -> Column:
+    """Whether any of the names has a sample at the row's tick."""
+    return F.coalesce(*(F.when(F.col(n).isNotNull(), True) for n in names), F.lit(False))
 
 
 def _prefixed(small: DataFrame, names: list[str]) -> DataFrame:

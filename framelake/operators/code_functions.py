@@ -3,7 +3,7 @@
 The code runs as it is given, with all of Python's means: only for specs that are trusted (allow_code). Ticks come in
 order of time; s.X and s["X"] are values in force (None before the first sample), s.prev those at the tick before (on the
 first tick the current ones), s.rising, s.falling and s.changed compare with the tick before (None on the first).
-reason(text) explains a transition, attempt(text) records an attempt at this tick. update() gives the new state, or None
+reason(text) explains a transition, attempt(text) records an attempt at this tick (of several calls the last counts). update() gives the new state, or None
 to keep it.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators.align import at_ticks, hold
+from framelake.operators.align import at_ticks, hold, recorded
 from framelake.plans.catalog import Catalog, SchemaError
 from framelake.plans.functions import CodeFunction
 
@@ -87,8 +87,8 @@ class Signals:
 
 def replay(function_id: str, code: str, ticks: Iterable[tuple[float, dict[str, Any]]]) -> Iterator[dict]:
     """Events, attempts and intervals of one function over ticks (t, values), in order of time."""
-    said: dict[str, Any] = {"reason": None, "attempts": []}
-    space: dict[str, Any] = {"reason": lambda text: said.update(reason=str(text)), "attempt": lambda text: said["attempts"].append(str(text))}
+    said: dict[str, Any] = {"reason": None, "attempt": None}
+    space: dict[str, Any] = {"reason": lambda text: said.update(reason=str(text)), "attempt": lambda text: said.update(attempt=str(text))}
     exec(compile(code, f"<{function_id}>", "exec"), space)
     if not callable(space.get("update")):
         raise SchemaError(f"function {function_id!r} has no update(t, s, dt)")
@@ -102,7 +102,7 @@ def replay(function_id: str, code: str, ticks: Iterable[tuple[float, dict[str, A
         if first and on(state):
             start = t
         s.step(values, first)
-        said.update(reason=None, attempts=[])
+        said.update(reason=None, attempt=None)
         try:
             new = space["update"](t, s, 0.0 if first else t - last)
         except Exception as error:
@@ -118,18 +118,20 @@ def replay(function_id: str, code: str, ticks: Iterable[tuple[float, dict[str, A
                     yield {"kind": "interval", "type": None, "t": start, "end": t, "summary": None, "evidence": {}}
                     start = None
             state = new
-        for text in said["attempts"]:
-            yield {"kind": "attempt", "type": None, "t": t, "end": None, "summary": text, "evidence": evidence}
+        if said["attempt"] is not None:
+            yield {"kind": "attempt", "type": None, "t": t, "end": None, "summary": said["attempt"], "evidence": evidence}
         last = t
     if start is not None and last is not None:
         yield {"kind": "interval", "type": None, "t": start, "end": last, "summary": None, "evidence": {}}
 
 
 def replay_wide(timeline: DataFrame, functions: list[CodeFunction], names: list[str], integral: frozenset[str] = frozenset()) -> DataFrame:
-    """timeline(log_id, t, one column per name) through all functions. Each (log, function) is one ordered stream in one
-    task: rows come in Arrow batches, and only a batch is in memory at a time."""
+    """timeline(log_id, t, one column per name) through all functions; where it has __runs (ids of functions), a tick is run
+    by those only. Each (log, function) is one ordered stream in one task: rows come in Arrow batches, and only a batch is
+    in memory at a time."""
     by_id = {f.id: f for f in functions}
-    rows = timeline.select("log_id", "t", *names).withColumn("function", F.explode(F.array(*(F.lit(f.id) for f in functions))))
+    runs = F.col("__runs") if "__runs" in timeline.columns else F.array(*(F.lit(f.id) for f in functions))
+    rows = timeline.withColumn("function", F.explode(runs)).select("log_id", "t", *names, "function")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
@@ -164,17 +166,20 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def run(frames: DataFrame, catalog: Catalog, functions: list[CodeFunction], fast: bool = False, allow_code: bool = False, chunk_seconds: float = 600.0) -> DataFrame:
-    """Events, attempts and intervals of code functions over a log. With fast only ticks at which one of their signals is
-    recorded, and each log's first."""
+    """Events, attempts and intervals of code functions over a log. With fast a function sees only ticks at which one of the
+    signals that its text names is recorded, or all ticks if none ever is."""
     if not allow_code:
         raise PermissionError("code in specs runs only with allow_code=True")
     names = catalog.names() if any(f.every_signal for f in functions) else sorted({n for f in functions for n in f.signals})
     ticks = at_ticks(frames, catalog, names)
     if fast:
-        first = ticks.groupBy("log_id").agg(F.min("t").alias("__first"))
-        ticks = ticks.join(first, "log_id").where(F.col("sampled") | (F.col("t") == F.col("__first"))).drop("__first")
+        own = {f.id: recorded([n for n in f.signals if n in names]) for f in functions}
+        some = ticks.groupBy("log_id").agg(*(F.max(seen).alias(f"__any_{i}") for i, seen in enumerate(own.values())))
+        runs = F.array_compact(F.array(*(F.when(seen | ~F.col(f"__any_{i}"), F.lit(id_)) for i, (id_, seen) in enumerate(own.items()))))
+        ticks = ticks.join(some, "log_id").withColumn("__runs", runs).where(F.size("__runs") > 0).drop(*(f"__any_{i}" for i in range(len(own))))
     held = hold(ticks, names, chunk_seconds)
     enumerated = {n for n in names if (found := catalog.find(n)) and found[1].choices}
     integral = frozenset(n for n in names if (found := catalog.find(n)) and found[1].integral)
     value = lambda n: F.coalesce(F.col(f"cur_{n}")["label"], F.col(f"cur_{n}")["num"].cast("string")) if n in enumerated else F.col(f"cur_{n}")["num"]
-    return replay_wide(held.select("log_id", "t", *(value(n).alias(n) for n in names)), functions, names, integral - frozenset(enumerated))
+    runs = ["__runs"] if fast else []
+    return replay_wide(held.select("log_id", "t", *(value(n).alias(n) for n in names), *runs), functions, names, integral - frozenset(enumerated))

@@ -17,9 +17,9 @@ from framelake.operators.decode import byte_fields, data_frames, samples
 from framelake.plans.catalog import Catalog
 
 SEVERITIES = ("critical", "error", "warn", "info")
-#: Names that say what a signal is.
-COUNTER_NAME = r"(?i)(alive|counter|cnt|roll|(^|_)rc($|_)|count)"
-CHECKSUM_NAME = r"(?i)(crc|checksum|chksum|chks|(^|_)cs($|_))"
+# Names that say what a signal is.
+COUNTER_NAME = r"(?i)(rolling|alive|counter|cntr|msgcnt|_cnt|\bcnt\b|_alv|_rc\b)"
+CHECKSUM_NAME = r"(?i)(checksum|chksum|chks|crc|_cs\b)"
 
 
 @dataclass(frozen=True)

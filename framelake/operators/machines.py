@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.operators.align import at_ticks, hold
+from framelake.operators.align import at_ticks, hold, recorded
 from framelake.plans.catalog import Catalog
 from framelake.plans.conditions import Compiler, summary
 from framelake.plans.functions import Machine
@@ -52,16 +52,18 @@ def _evaluated(frames: DataFrame, catalog: Catalog, machines: list[Machine], fas
     names = sorted({n for m in machines for n in m.signals})
     compiler = Compiler(catalog)
     ticks = at_ticks(frames, catalog, names)
-    if fast:  # only ticks at which a signal of these machines was recorded, and each log's first
+    if fast:  # only ticks at which a signal of some machine was recorded, and each log's first
         starts = ticks.groupBy("log_id").agg(F.min("t").alias("__first"))
-        ticks = ticks.join(starts, "log_id").where(F.col("sampled") | (F.col("t") == F.col("__first"))).drop("__first")
+        ticks = ticks.join(starts, "log_id").where(F.col("sampled") | (F.col("t") == F.col("__first")))
     wide = hold(ticks, names, chunk_seconds)
     each = []
     for position, machine in enumerate(machines):
         enter, exit_ = compiler.test(machine.enter), compiler.test(machine.exit) if machine.exit else F.lit(False)
         trigger = compiler.test(machine.trigger) if machine.trigger else F.lit(False)
-        each.append(F.struct(F.lit(machine.id).alias("function"), F.lit(position).alias("position"), enter.alias("on_enter"), exit_.alias("on_exit"), trigger.alias("on_trigger"), F.lit(machine.initial).alias("initial")))
-    return wide.withColumn("__m", F.explode(F.array(*each))).select("*", "__m.*").drop("__m")
+        one = F.struct(F.lit(machine.id).alias("function"), F.lit(position).alias("position"), enter.alias("on_enter"), exit_.alias("on_exit"), trigger.alias("on_trigger"), F.lit(machine.initial).alias("initial"))
+        # Of those ticks a machine sees its own; between them its signals keep their values, so the tick before is right too.
+        each.append(F.when(recorded(machine.signals) | (F.col("t") == F.col("__first")), one) if fast else one)
+    return wide.withColumn("__m", F.explode(F.array_compact(F.array(*each)))).select("*", "__m.*").drop("__m", "__first")
 
 
 def _by_machine(machines: list[Machine], value, kind: str) -> Column:

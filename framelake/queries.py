@@ -29,7 +29,7 @@ data AS (SELECT * FROM frames WHERE kind = 'data'),
 good AS (SELECT *, word & 15 AS c_raw, (word >> 8) & 65535 AS v_raw, (word >> 32) & 127 AS k_raw, (word >> 34) & 7 AS m_raw, (['OFF', 'READY', 'RUN', 'FAULT'])[((word >> 34) & 7) + 1] AS m_label
          FROM data WHERE dlc >= 8 AND frame_id <= 261)
 """
-#: Held values on all ticks: Value256, Mode257 and Count258 with the tick before.
+#: Held values on all ticks: Value256, Mode257 and Counter258 with the tick before.
 ZOH = (
     BASE
     + """,
@@ -37,11 +37,11 @@ sampled_at AS (
   SELECT t, max_by(CASE WHEN frame_id = 256 AND dlc >= 8 THEN ((word >> 8) & 65535) * 0.01::DOUBLE + 0.0 END, seq) FILTER (frame_id = 256 AND dlc >= 8) AS v,
          max_by(CASE WHEN frame_id = 257 AND dlc >= 8 THEN coalesce((['OFF', 'READY', 'RUN', 'FAULT'])[((word >> 34) & 7) + 1], ((word >> 34) & 7)::VARCHAR) END, seq) FILTER (frame_id = 257 AND dlc >= 8) AS m,
          max_by(CASE WHEN frame_id = 258 AND dlc >= 8 THEN (word & 15)::DOUBLE END, seq) FILTER (frame_id = 258 AND dlc >= 8) AS c FROM data GROUP BY t),
-cur AS (SELECT t, v IS NOT NULL OR m IS NOT NULL OR c IS NOT NULL AS sampled, last_value(v IGNORE NULLS) OVER w AS v, last_value(m IGNORE NULLS) OVER w AS m, last_value(c IGNORE NULLS) OVER w AS c FROM sampled_at
+cur AS (SELECT t, v IS NOT NULL OR m IS NOT NULL OR c IS NOT NULL AS sampled, v IS NOT NULL AS sv, m IS NOT NULL AS sm, c IS NOT NULL AS sc, last_value(v IGNORE NULLS) OVER w AS v, last_value(m IGNORE NULLS) OVER w AS m, last_value(c IGNORE NULLS) OVER w AS c FROM sampled_at
         WINDOW w AS (ORDER BY t ROWS UNBOUNDED PRECEDING)),
 zoh AS (SELECT *, lag(v) OVER (ORDER BY t) AS pv, lag(m) OVER (ORDER BY t) AS pm, lag(c) OVER (ORDER BY t) AS pc, row_number() OVER (ORDER BY t) AS n FROM cur)"""
 )
-NAMES = ["Value256", "Mode257", "Count258"]
+NAMES = ["Value256", "Mode257", "Counter258"]
 CHUNK = 86_400.0
 
 
@@ -78,7 +78,7 @@ def q_frames_projection(spark, sf_dir):
 @query(
     BASE
     + """SELECT seq, signal, raw, num, label FROM (
-    SELECT seq, 'Count' || frame_id AS signal, c_raw AS raw, c_raw::DOUBLE AS num, NULL::VARCHAR AS label FROM good UNION ALL SELECT seq, 'Value' || frame_id, v_raw, round(v_raw * 0.01::DOUBLE, 6), NULL FROM good
+    SELECT seq, 'Counter' || frame_id AS signal, c_raw AS raw, c_raw::DOUBLE AS num, NULL::VARCHAR AS label FROM good UNION ALL SELECT seq, 'Value' || frame_id, v_raw, round(v_raw * 0.01::DOUBLE, 6), NULL FROM good
     UNION ALL SELECT seq, 'K' || frame_id, k_raw, k_raw::DOUBLE, NULL FROM good UNION ALL SELECT seq, 'Mode' || frame_id, m_raw, m_raw::DOUBLE, m_label FROM good)"""
 )
 def q_decode_signals(spark, sf_dir):
@@ -139,7 +139,7 @@ def q_asof_errors(spark, sf_dir):
 @query(ZOH + "SELECT t, round(v, 6) AS value, m AS mode, c AS count, round(pv, 6) AS previous FROM zoh")
 def q_zoh_align(spark, sf_dir):
     mode = Compiler(source.event_catalog()).actual("Mode257")
-    return _held(spark, sf_dir).select("t", F.round("cur_Value256.num", 6).alias("value"), mode.alias("mode"), F.col("cur_Count258.num").alias("count"), F.round("prev_Value256.num", 6).alias("previous"))
+    return _held(spark, sf_dir).select("t", F.round("cur_Value256.num", 6).alias("value"), mode.alias("mode"), F.col("cur_Counter258.num").alias("count"), F.round("prev_Value256.num", 6).alias("previous"))
 
 
 _TRUTHY = "({0} IS NOT NULL AND lower({0}) NOT IN ('off', '0', '0.0'))"
@@ -151,10 +151,10 @@ _TRUTHY = "({0} IS NOT NULL AND lower({0}) NOT IN ('off', '0', '0.0'))"
 )
 def q_edges(spark, sf_dir):
     test = Compiler(source.event_catalog()).test
-    return _held(spark, sf_dir).select("t", test({"rising": "Mode257"}).alias("rising"), test({"falling": "Mode257"}).alias("falling"), test({"changed": "Mode257"}).alias("changed"), test({"rising": "Count258"}).alias("count_rising"))
+    return _held(spark, sf_dir).select("t", test({"rising": "Mode257"}).alias("rising"), test({"falling": "Mode257"}).alias("falling"), test({"changed": "Mode257"}).alias("changed"), test({"rising": "Counter258"}).alias("count_rising"))
 
 
-CONDITION = {"all": [{"any": [{"signal": "Value256", "op": ">=", "value": 300}, {"signal": "Mode257", "op": "==", "value": "RUN"}]}, {"not": {"signal": "Count258", "op": "<", "value": "0x4"}}]}
+CONDITION = {"all": [{"any": [{"signal": "Value256", "op": ">=", "value": 300}, {"signal": "Mode257", "op": "==", "value": "RUN"}]}, {"not": {"signal": "Counter258", "op": "<", "value": "0x4"}}]}
 
 
 @query(ZOH + "SELECT t, (CASE WHEN v IS NULL THEN true ELSE v >= 300 END OR coalesce(m = 'RUN', false)) AND NOT CASE WHEN c IS NULL THEN false ELSE c < 4 END AS ok, round(v - 300, 6) AS margin FROM zoh")
@@ -172,7 +172,7 @@ def q_constant_runs(spark, sf_dir):
 SPEC = {
     "functions": [
         {"id": "level", "name": "Level high", "enter": {"signal": "Value256", "op": ">", "value": 350}, "exit": {"signal": "Value256", "op": "<", "value": 150}, "trigger": {"changed": "Mode257"}},
-        {"id": "mode", "name": "Mode runs", "enter": {"all": [{"rising": "Mode257"}, {"signal": "Count258", "op": ">=", "value": 8}]}, "exit": {"signal": "Mode257", "op": "==", "value": "OFF"}, "initial": True},
+        {"id": "mode", "name": "Mode runs", "enter": {"all": [{"rising": "Mode257"}, {"signal": "Counter258", "op": ">=", "value": 8}]}, "exit": {"signal": "Mode257", "op": "==", "value": "OFF"}, "initial": True},
     ]
 }
 #: The machines as tests per tick, then as scans: the state is the last set or reset, turned by later toggles.
@@ -185,8 +185,9 @@ steps2 AS (SELECT *, last_value(s IGNORE NULLS) OVER w AS ls, last_value(CASE WH
 steps3 AS (SELECT *, (coalesce(ls + tog - lt, initial::INT + tog) % 2) = 1 AS after FROM steps2),
 steps AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY function ORDER BY t), initial) AS before FROM steps3)""".replace("{up}", f"({_TRUTHY.format('m')} AND NOT {_TRUTHY.format('pm')})")
 FSM = ZOH + LATCH.replace("{z}", "zoh")
-#: Fast mode keeps ticks with a sample and the first; the tick before is then the one kept before.
-FAST = ZOH + ", kept AS (SELECT t, sampled, v, m, c FROM cur WHERE sampled OR t = (SELECT min(t) FROM cur)), fast AS (SELECT *, lag(v) OVER (ORDER BY t) AS pv, lag(m) OVER (ORDER BY t) AS pm, lag(c) OVER (ORDER BY t) AS pc, row_number() OVER (ORDER BY t) AS n FROM kept)" + LATCH.replace("{z}", "fast")
+#: In fast mode a machine keeps ticks with a sample of its own signals, and the first; the tick before is the one kept before.
+_KEPT = "{} AS (SELECT t, sampled, v, m, c, lag(v) OVER (ORDER BY t) AS pv, lag(m) OVER (ORDER BY t) AS pm, lag(c) OVER (ORDER BY t) AS pc, row_number() OVER (ORDER BY t) AS n FROM cur WHERE {})"
+FAST = ZOH + ", " + _KEPT.format("fast_level", "sv OR sm OR t = (SELECT min(t) FROM cur)") + ", " + _KEPT.format("fast_mode", "sm OR sc OR t = (SELECT min(t) FROM cur)") + LATCH.replace("{z}", "fast_level", 1).replace("{z}", "fast_mode")
 
 
 def _machines():
@@ -202,7 +203,10 @@ def q_fsm_events(spark, sf_dir):
     return machines.events(_steps(spark, sf_dir), source.event_catalog(), _machines()).select("function", "type", "t")
 
 
-@query(FSM + "SELECT function, t, CASE WHEN function = 'level' THEN 1 ELSE 2 - (NOT e)::INT END::INT AS blocking FROM steps WHERE g AND NOT e AND NOT after")
+_TRIED = "SELECT function, t, CASE WHEN function = 'level' THEN 1 ELSE 2 - (NOT e)::INT END::INT AS blocking FROM steps WHERE g AND NOT e AND NOT after"
+
+
+@query(FSM + _TRIED)
 def q_fsm_attempts(spark, sf_dir):
     found = machines.attempts(_steps(spark, sf_dir), source.event_catalog(), _machines())
     return found.select("function", "t", F.size("blocking").alias("blocking"))
@@ -222,6 +226,12 @@ def q_fsm_fast(spark, sf_dir):
     return machines.events(_steps(spark, sf_dir, True), source.event_catalog(), _machines()).select("function", "type", "t")
 
 
+@query(FAST + _TRIED)
+def q_fsm_fast_attempts(spark, sf_dir):
+    found = machines.attempts(_steps(spark, sf_dir, True), source.event_catalog(), _machines())
+    return found.select("function", "t", F.size("blocking").alias("blocking"))
+
+
 @query(
     ZOH
     + """, ok AS (SELECT t, CASE WHEN v IS NULL THEN true ELSE v > 250 END AS ok FROM zoh), w AS (SELECT *, lag(ok) OVER (ORDER BY t) AS was FROM ok),
@@ -279,7 +289,7 @@ def q_trace(spark, sf_dir):
     frames = _frames(spark, sf_dir)
     first = frames.agg(F.min("t")).first()[0]
     rows = series.trace(frames, source.event_catalog(), first + 100_000, first + 900_000, 300)
-    return rows.select("seq", "frame_id", "name", "dlc", F.col("signals")[F.concat(F.lit("Count"), F.col("frame_id"))].alias("count"))
+    return rows.select("seq", "frame_id", "name", "dlc", F.col("signals")[F.concat(F.lit("Counter"), F.col("frame_id"))].alias("count"))
 
 
 @query("SELECT * FROM (VALUES ('level', 'Value256', 'available'), ('level', 'Absent', 'missing'), ('mode', 'Mode257', 'available')) v(function, signal, status)")
@@ -449,7 +459,7 @@ def q_rank_messages(spark, sf_dir):
 #: Long samples of all signals.
 LONG = (
     BASE
-    + """, long AS (SELECT frame_id AS message_id, channel, t, seq, 'Count' || frame_id AS signal, c_raw AS raw, c_raw::DOUBLE AS num, NULL::VARCHAR AS label, 4 AS bits FROM good
+    + """, long AS (SELECT frame_id AS message_id, channel, t, seq, 'Counter' || frame_id AS signal, c_raw AS raw, c_raw::DOUBLE AS num, NULL::VARCHAR AS label, 4 AS bits FROM good
   UNION ALL SELECT frame_id, channel, t, seq, 'Value' || frame_id, v_raw, v_raw * 0.01::DOUBLE, NULL, 16 FROM good UNION ALL SELECT frame_id, channel, t, seq, 'K' || frame_id, k_raw, k_raw::DOUBLE, NULL, 7 FROM good
   UNION ALL SELECT frame_id, channel, t, seq, 'Mode' || frame_id, m_raw, m_raw::DOUBLE, m_label, 3 FROM good)"""
 )
@@ -495,7 +505,7 @@ STEPS = (
 )
 
 
-@query(STEPS + 'SELECT \'Count\' || c.frame_id AS signal, c.channel, c.t, c.step FROM c WHERE step IS NOT NULL AND step NOT IN (0, 1, -15) AND NOT EXISTS (SELECT 1 FROM gaps g WHERE g.frame_id = c.frame_id AND g.channel = c.channel AND g.start = c.before)')
+@query(STEPS + 'SELECT \'Counter\' || c.frame_id AS signal, c.channel, c.t, c.step FROM c WHERE step IS NOT NULL AND step NOT IN (0, 1, -15) AND NOT EXISTS (SELECT 1 FROM gaps g WHERE g.frame_id = c.frame_id AND g.channel = c.channel AND g.start = c.before)')
 def q_counter_jump(spark, sf_dir):
     frames, catalog = _frames(spark, sf_dir), source.event_catalog()
     steps = diagnostics.counter_steps(decode.samples(frames, catalog), catalog)
@@ -507,7 +517,7 @@ def q_counter_jump(spark, sf_dir):
     STEPS
     + """, h AS (SELECT *, coalesce((step <> 0)::INT, 0) AS ch FROM c), r AS (SELECT *, sum(ch) OVER (PARTITION BY frame_id, channel ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS run FROM h),
     g AS (SELECT frame_id, channel, run, count(*) AS len, min(t) AS a, max(t) AS z FROM r GROUP BY 1, 2, 3), b AS (SELECT frame_id, channel, arg_max(a, len * 1000000 - run) AS a, arg_max(z, len * 1000000 - run) AS z, max(len) AS len FROM g GROUP BY 1, 2)
-    SELECT 'Count' || frame_id AS signal, channel, a AS start, z AS "end" FROM b JOIN base USING (frame_id, channel) WHERE len > 1 AND z - a >= greatest(0.1, 0.5 * base_ms / 1000)"""
+    SELECT 'Counter' || frame_id AS signal, channel, a AS start, z AS "end" FROM b JOIN base USING (frame_id, channel) WHERE len > 1 AND z - a >= greatest(0.1, 0.5 * base_ms / 1000)"""
 )
 def q_counter_freeze(spark, sf_dir):
     frames, catalog = _frames(spark, sf_dir), source.event_catalog()
@@ -533,17 +543,26 @@ def update(t, s, dt):
 """
 
 
-@query(
-    ZOH
-    + """, r AS (SELECT t, m, pm, n, v, CASE WHEN v > 350 THEN 1 WHEN v < 150 THEN 0 END AS s FROM zoh), l AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), 0) AS st FROM r), b AS (SELECT *, coalesce(lag(st) OVER (ORDER BY t), 0) AS was FROM l)
+_CODE_SQL = """, r AS (SELECT t, m, pm, n, v, CASE WHEN v > 350 THEN 1 WHEN v < 150 THEN 0 END AS s FROM {z}), l AS (SELECT *, coalesce(last_value(s IGNORE NULLS) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING), 0) AS st FROM r), b AS (SELECT *, coalesce(lag(st) OVER (ORDER BY t), 0) AS was FROM l)
     SELECT 'event' AS kind, CASE WHEN st = 1 THEN 'enter' ELSE 'exit' END AS type, t FROM b WHERE st <> was UNION ALL SELECT 'attempt', NULL, t FROM b WHERE v BETWEEN 150 AND 350 AND m = 'RUN' AND m IS DISTINCT FROM pm"""
-)
-def q_code_function(spark, sf_dir):
+
+
+def _coded(spark, sf_dir, fast):
     _, coded = specs.parse({"functions": [{"id": "high", "code": CODE}]}, source.event_catalog())
-    out = code_functions.run(_frames(spark, sf_dir), source.event_catalog(), coded, allow_code=True, chunk_seconds=CHUNK)
+    out = code_functions.run(_frames(spark, sf_dir), source.event_catalog(), coded, fast, allow_code=True, chunk_seconds=CHUNK)
     return out.where("kind <> 'interval'").select("kind", "type", "t")
 
 
+@query(ZOH + _CODE_SQL.replace("{z}", "zoh"))
+def q_code_function(spark, sf_dir):
+    return _coded(spark, sf_dir, False)
+
+
+@query(ZOH + ", " + _KEPT.format("fast", "sv OR sm") + _CODE_SQL.replace("{z}", "fast"))
+def q_code_fast(spark, sf_dir):
+    return _coded(spark, sf_dir, True)
+
+
 def _rendered(spark, sf_dir, line) -> DataFrame:
     """Lines of text made of the projection's frames, one log per channel."""
     frames = _frames(spark, sf_dir)

@@ -72,6 +72,7 @@ BO_ 512 MotorStatus: 8 MCU
 BA_DEF_DEF_ "GenMsgCycleTime" 20;
 VAL_ 258 CruiseState 0 "IDLE" 1 "ARMED" 2 "ACTIVE" 3 "CANCEL";
 """
+# The demo's functions.
 CRUISE_SPEC = {
     "functions": [
         {
@@ -139,12 +140,12 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_catalog(ids: tuple[int, ...] = (256, 257, 258, 259, 260, 261)) -> Catalog:
-    """Of the eight ids six are known. Each message has its own signals Count, Value and Mode, numbered like the id."""
+    """Of the eight ids six are known. Each message has its own signals Counter, Value, K and Mode, numbered like the id."""
     messages = []
     for i in ids:
         mode = tuple((n, name) for n, name in enumerate(("OFF", "READY", "RUN", "FAULT")))
         signals = (
-            Signal(f"Count{i}", 0, 4), Signal(f"Value{i}", 8, 16, scale=0.01, minimum=0.0, maximum=480.0, unit="V"), Signal(f"K{i}", 32, 7), Signal(f"Mode{i}", 34, 3, choices=mode),
+            Signal(f"Counter{i}", 0, 4), Signal(f"Value{i}", 8, 16, scale=0.01, minimum=0.0, maximum=480.0, unit="V"), Signal(f"K{i}", 32, 7), Signal(f"Mode{i}", 34, 3, choices=mode),
         )
         messages.append(Message(i, f"Event{i}", 8, signals, (f"Node{i % 3}",), cycle_ms=None if i % 2 else 2_000_000.0))
     return Catalog(tuple(messages), ("Node0", "Node1", "Node2"))
