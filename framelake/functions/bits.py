@@ -41,15 +41,12 @@ def hex_bytes(text: Column) -> Column:
     With several parts (or a 0x first) each part is one byte of any number of digits; a value above 255 spoils the row.
     One part alone is a run of pairs, or a single byte if its digits are odd in number."""
     clean = F.trim(F.regexp_replace(text, r"[,\s]+", " "))
-    parts = F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
-    digits = F.transform(parts, lambda p: F.regexp_replace(p, "^0[xX]", ""))
-    prefixed = F.regexp_like(clean, F.lit("^0[xX]"))
-    allowed = F.when(prefixed, F.forall(parts, lambda p: F.regexp_like(p, F.lit("^(0[xX])?[0-9a-fA-F]+$")))).otherwise(F.forall(parts, lambda p: F.regexp_like(p, F.lit("^[0-9a-fA-F]+$"))))
-    short = F.transform(digits, lambda p: F.regexp_replace(p, "^0+(?=.)", ""))
-    single = F.forall(short, lambda p: F.length(p) <= 2)
-    joined = F.array_join(F.transform(short, lambda p: F.lpad(p, 2, "0")), "")
-    run = ~prefixed & (F.size(parts) == 1) & (F.length(clean) % 2 == 0)
-    return F.when(allowed & run, F.unhex(clean)).when(allowed & single, F.unhex(joined))
+    run = F.regexp_like(clean, F.lit("^(?:[0-9a-fA-F]{2})+$"))
+    allowed = F.regexp_like(clean, F.lit("^(?:0[xX][0-9a-fA-F]+(?: (?:0[xX])?[0-9a-fA-F]+)*|[0-9a-fA-F]+(?: [0-9a-fA-F]+)*)$"))
+    short = F.regexp_replace(F.concat(F.lit(" "), clean), " (?:0[xX])?0*([0-9a-fA-F])", " $1")
+    single = F.regexp_like(short, F.lit("^(?: [0-9a-fA-F]{1,2})+$"))
+    padded = F.regexp_replace(short, " ([0-9a-fA-F])(?= |$)", " 0$1")
+    return F.when(clean == "", F.unhex(F.lit(""))).when(run, F.unhex(clean)).when(allowed & single, F.unhex(F.replace(padded, F.lit(" "))))
 
 
 def integer(text: Column) -> Column:

@@ -6,8 +6,9 @@ Each parser takes a DataFrame of lines (log_id, line_no, line) or a path. Lines
 from __future__ import annotations
 
 import csv
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions.bits import hex_bytes, integer
@@ -23,44 +24,65 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_name").alias("log_id"), F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
+#: Stands between the parts of a line that a pattern has found; no part can hold it.
+CUT = "\u0001"
+
+
+def _cut(line: Column, *patterns: tuple[str, str]) -> Column:
+    """The parts of a line as an array, after an empty one and the name of the first (name, pattern) that fits: all groups of
+    it. Each pattern is run once; a line that none fits is an array of one."""
+    for name, pattern in patterns:
+        line = F.regexp_replace(line, F.lit(pattern), F.lit(CUT + name + "".join(f"{CUT}${i + 1}" for i in range(re.compile(pattern).groups))))
+    return F.split(line, CUT)
+
+
+def payload(text: Column) -> Column:
+    """hex_bytes() of text that mostly is pairs of digits with single spaces, for which it is quicker."""
+    return F.when(F.regexp_like(text, F.lit("^[0-9a-fA-F]{2}(?: [0-9a-fA-F]{2})*$")), F.unhex(F.replace(text, F.lit(" ")))).otherwise(hex_bytes(text))
+
+
 def parse_asc(lines: DataFrame) -> DataFrame:
     """Data lines `t channel id Rx|Tx d length bytes` and lines of error frames and bus states. Ids are in the base that
     the head names (hexadecimal if it names none); with absolute timestamps data frames count from their log's first.
     An x at the end of an id marks an extended one. Data frames get channel 0, events keep theirs and their time."""
     head = r"(?i)^\s*base\s+(\w+)\s+timestamps\s+(\w+)"
-    said = lines.where(F.regexp_like("line", F.lit(head))).groupBy("log_id").agg(
+    said = lines.where(F.lower("line").contains("timestamps") & F.regexp_like("line", F.lit(head))).groupBy("log_id").agg(
         F.max_by(F.lower(F.regexp_extract("line", head, 1)), "line_no").alias("base"), F.max_by(F.lower(F.regexp_extract("line", head, 2)), "line_no").alias("stamps")
     )
-    data = rf"^\s*{NUMBER}\s+(\d+)\s+([0-9a-fA-F]+)(x?)\s+(Rx|Tx)\s+d\s+(\d+)\s+([0-9a-fA-F ]+?)\s*$"
-    part = lambda n: F.regexp_extract("line", data, n)
-    rows = lines.where(F.regexp_like("line", F.lit(data))).join(F.broadcast(said), "log_id", "left")  # a row per log
-    decimal = F.col("base").isNotNull() & ~F.col("base").isin("hex", "hexadecimal")
-    frame_id = F.when(decimal, part(3).try_cast("long")).otherwise(F.conv(part(3), 16, 10).cast("long"))
-    rows = rows.select("log_id", F.col("line_no").alias("seq"), part(1).cast("double").alias("t"), frame_id.alias("frame_id"), hex_bytes(part(7)).alias("data"), F.col("stamps").isin("absolute", "abs").alias("absolute"))
-    rows = rows.where("data is not null and frame_id is not null")
-    first = rows.where("absolute").groupBy("log_id").agg(F.min_by("t", "seq").alias("first"))
-    rows = rows.join(F.broadcast(first), "log_id", "left").withColumn("t", F.when(F.col("absolute"), F.col("t") - F.col("first")).otherwise(F.col("t")))
+    data = rf"^\s*{NUMBER}\s+(\d+)\s+([0-9a-fA-F]+)x?\s+(?:Rx|Tx)\s+d\s+\d+\s+([0-9a-fA-F ]+?)\s*$"
     event = rf"^\s*{NUMBER}\s+(\d+)\s+(.*)$"
-    rest = F.lower(F.regexp_extract("line", event, 3))
-    others = lines.where(F.regexp_like("line", F.lit(event)) & ~F.regexp_like("line", F.lit(data)))
+    known = lines.join(F.broadcast(said), "log_id", "left").withColumn("absolute", F.coalesce(F.col("stamps").isin("absolute", "abs"), F.lit(False)))  # a row per log
+    cut = known.select("log_id", F.col("line_no").alias("seq"), "base", "absolute", F.explode(F.array(_cut(F.col("line"), ("data", data), ("event", event)))).alias("p")).where("size(p) > 1")
+    part = lambda n: F.get("p", F.lit(n))
+    decimal = F.col("base").isNotNull() & ~F.col("base").isin("hex", "hexadecimal")
+    frame_id = F.when(decimal, part(4).try_cast("long")).otherwise(F.conv(part(4), 16, 10).cast("long"))
+    is_data = part(1) == "data"
+    rest = F.lower(part(4))
     is_error = rest.contains("errorframe") | rest.contains("error frame")
     kind = F
     for word in ("stuff", "form", "crc", "ack", "bit"):
         kind = kind.when(rest.contains(word), word)
     state = F.when(rest.contains("busoff") | rest.contains("bus off"), "bus_off").when(rest.contains("error passive") | rest.contains("errorpassive"), "passive").when(rest.contains("error active") | rest.contains("erroractive"), "active")
-    events = others.select(
-        "log_id", F.col("line_no").alias("seq"), F.regexp_extract("line", event, 1).cast("double").alias("t"), F.regexp_extract("line", event, 2).cast("int").alias("channel"), F.lit(0).alias("frame_id"),
-        F.when(is_error, "error").otherwise("status").alias("kind"), F.when(is_error, kind.otherwise("other")).alias("error_type"), F.when(~is_error, state).alias("state"), F.lit(b"").alias("data"),
-    ).where("kind = 'error' or state is not null")
-    return normalised(rows.drop("absolute", "first")).unionByName(normalised(events))
+    rows = cut.select(
+        "log_id", "seq", "absolute", part(2).cast("double").alias("t"),
+        F.when(is_data, F.lit(0)).otherwise(part(3).cast("int")).alias("channel"),
+        F.when(is_data, frame_id).otherwise(F.lit(0)).alias("frame_id"),
+        F.when(is_data, "data").when(is_error, "error").otherwise("status").alias("kind"),
+        F.when(~is_data & is_error, kind.otherwise("other")).alias("error_type"),
+        F.when(~is_data & ~is_error, state).alias("state"),
+        F.when(is_data, payload(part(5))).otherwise(F.lit(b"")).alias("data"),
+    ).where("kind = 'error' or state is not null or (kind = 'data' and data is not null and frame_id is not null)")
+    first = rows.where("absolute and kind = 'data'").groupBy("log_id").agg(F.min_by("t", "seq").alias("first"))
+    rows = rows.join(F.broadcast(first), "log_id", "left")  # a row per log
+    return normalised(rows.withColumn("t", F.when(F.col("kind") == "data", F.col("t") - F.coalesce("first", F.lit(0.0))).otherwise(F.col("t"))).drop("absolute", "first"))
 
 
 def parse_trc(lines: DataFrame) -> DataFrame:
     """`[n)] t id Rx|Tx [d] length bytes`; times as they stand."""
-    data = rf"^\s*(?:\d+\)\s+)?{NUMBER}\s+([0-9a-fA-F]+)\s+(?:Rx|Tx)\s+(?:d\s+)?(\d+)\s+([0-9a-fA-F ]+?)\s*$"
-    part = lambda n: F.regexp_extract("line", data, n)
-    rows = lines.where(F.regexp_like("line", F.lit(data)))
-    return normalised(rows.select("log_id", F.col("line_no").alias("seq"), part(1).cast("double").alias("t"), F.conv(part(2), 16, 10).cast("long").alias("frame_id"), hex_bytes(part(4)).alias("data")).where("data is not null"))
+    data = rf"^\s*(?:\d+\)\s+)?{NUMBER}\s+([0-9a-fA-F]+)\s+(?:Rx|Tx)\s+(?:d\s+)?\d+\s+([0-9a-fA-F ]+?)\s*$"
+    cut = lines.select("log_id", F.col("line_no").alias("seq"), F.explode(F.array(_cut(F.col("line"), ("data", data)))).alias("p")).where("size(p) > 1")
+    part = lambda n: F.get("p", F.lit(n))
+    return normalised(cut.select("log_id", "seq", part(2).cast("double").alias("t"), F.conv(part(3), 16, 10).cast("long").alias("frame_id"), payload(part(4)).alias("data")).where("data is not null"))
 
 
 # Names of columns in heads of tables of frames, and what units scale times by.
