@@ -189,6 +189,13 @@ def severity_order() -> Column:
     return F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
 
 
+def severity_counts(findings: DataFrame) -> DataFrame:
+    """(severity, n): a row for each severity, worst first, n 0 where there is no finding."""
+    every = findings.sparkSession.createDataFrame([(s,) for s in SEVERITIES], "severity string")
+    counts = findings.groupBy("severity").agg(F.count("*").alias("n"))
+    return every.join(counts, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).cast("long").alias("n")).orderBy(severity_order())
+
+
 def bus_findings(frames: DataFrame, config: Config) -> DataFrame:
     """All bus findings, worst first, then latest first. A log without data frames has none."""
     logs = data_frames(frames).select("log_id").distinct()
@@ -213,14 +220,14 @@ def gap_factor(config: Config) -> float:
     return 1 + max(config.tolerance, 0.5)
 
 
-def message_gaps(frames: DataFrame, config: Config) -> DataFrame:
-    """Gaps of messages with the bus frames inside them."""
-    return timing.with_traffic(timing.message_gaps(frames, bases(frames, config), gap_factor(config)), timing.counts_before(frames))
+def message_gaps(frames: DataFrame, config: Config, every: DataFrame | None = None) -> DataFrame:
+    """Gaps of messages with the bus frames inside them, counted among `every` (else among frames)."""
+    return timing.with_traffic(timing.message_gaps(frames, bases(frames, config), gap_factor(config)), timing.counts_before(frames if every is None else every))
 
 
-def check_message_gaps(frames: DataFrame, config: Config, most: int = 10) -> DataFrame:
+def check_message_gaps(frames: DataFrame, config: Config, most: int = 10, every: DataFrame | None = None) -> DataFrame:
     """The longest gaps of each id; where there are more, a summary says how many frames are missing in all."""
-    gaps = message_gaps(frames, config)
+    gaps = message_gaps(frames, config, every)
     by_length = Window.partitionBy("log_id", "frame_id").orderBy(F.desc("gap_ms"), "start")
     longest = gaps.withColumn("nth", F.row_number().over(by_length)).where(F.col("nth") <= most)
     one = finding(longest, "msg_gap", F.when(F.col("inside") > 0, "error").otherwise("warn"), F.format_string("%s missing for %.1f ms", hex_id("frame_id"), "gap_ms"), F.col("start"), F.col("end"), F.array(hex_id("frame_id")), F.col("missing"))
@@ -244,8 +251,8 @@ def check_message_periods(frames: DataFrame, config: Config) -> DataFrame:
     return finding(rows, "msg_period", severity, F.format_string("%s: %s", hex_id("frame_id"), "what"), F.col("first_t"), F.col("last_t"), F.array(hex_id("frame_id")), F.col("median_ms"))
 
 
-def check_stop_late(frames: DataFrame, config: Config) -> DataFrame:
-    rows = timing.stop_late(frames, bases(frames, config))
+def check_stop_late(frames: DataFrame, config: Config, every: DataFrame | None = None) -> DataFrame:
+    rows = timing.stop_late(frames if every is None else every, bases(frames, config))
     id_ = F.array(hex_id("frame_id"))
     stopped = finding(rows.where("stopped"), "msg_stop", "error", F.format_string("%s ends %.3f s before the log", hex_id("frame_id"), "silent_s"), entities=id_, value=F.col("silent_s"))
     return stopped.unionByName(finding(rows.where("late"), "msg_late", "warn", F.format_string("%s begins %.3f s after the log", hex_id("frame_id"), "late_s"), entities=id_, value=F.col("late_s")))

@@ -68,9 +68,9 @@ def trace(frames: DataFrame, catalog: Catalog, start: float, end: float, most: i
     return rows.select("log_id", "t", "seq", "channel", "frame_id", name.alias("name"), "dlc", payload_text(F.col("data")).alias("payload"), decoded.alias("signals"))
 
 
-def event_list(events: DataFrame, functions: DataFrame, types: list[str] | None = None, ids: list[str] | None = None, text: str | None = None, most: int = 3000) -> DataFrame:
-    """Events (and attempts) in order of time, with their function's name; filters by type, function, and text in id,
-    name or summary whatever its case."""
+def matching_events(events: DataFrame, functions: DataFrame, types: list[str] | None = None, ids: list[str] | None = None, text: str | None = None) -> DataFrame:
+    """Events (and attempts) with their function's name; filters by type, function, and text in id, name or summary
+    whatever its case."""
     rows = events.join(F.broadcast(functions.select("function", "name")), "function", "left")  # a row per function
     if types:
         rows = rows.where(F.col("type").isin(types))
@@ -79,7 +79,23 @@ def event_list(events: DataFrame, functions: DataFrame, types: list[str] | None
     if text:
         where = F.lower(F.concat_ws(" ", "function", "name", "summary"))
         rows = rows.where(where.contains(text.lower()))
-    return rows.orderBy("t", "position", "type").limit(most)
+    return rows
+
+
+def event_list(events: DataFrame, functions: DataFrame, types: list[str] | None = None, ids: list[str] | None = None, text: str | None = None, most: int = 3000) -> DataFrame:
+    """The first of the matching events, in order of time."""
+    return matching_events(events, functions, types, ids, text).orderBy("t", "position", "type").limit(most)
+
+
+def event_total(events: DataFrame, functions: DataFrame, types: list[str] | None = None, ids: list[str] | None = None, text: str | None = None, most: int = 3000) -> DataFrame:
+    """One row (total, truncated): how many events match, and whether event_list() leaves some out."""
+    return matching_events(events, functions, types, ids, text).agg(F.count("*").alias("total"), (F.count("*") > most).alias("truncated"))
+
+
+def latest_event(events: DataFrame, t: float) -> DataFrame:
+    """Of each log and function the last event at or before t."""
+    before = events.where(F.col("t") <= t)
+    return before.groupBy("log_id", "function").agg(F.max_by(F.struct("type", "t", "summary"), F.struct("t", "position", "type")).alias("e")).select("log_id", "function", "e.*")
 
 
 def event_counts(events: DataFrame, functions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import bits
-from framelake.operators import align, code_functions, decode, diagnostics, machines, series, timing
+from framelake.operators import align, code_functions, decode, diagnostics, machines, message_report, series, timing
 from framelake.plans import functions as specs
 from framelake.plans.conditions import Compiler, normalised
 from framelake.sources import frames as source
@@ -526,6 +526,47 @@ def q_counter_freeze(spark, sf_dir):
     return diagnostics.counter_freezes(steps, tenth).select("signal", "channel", "start", "end")
 
 
+@query(BASE + "SELECT 'msg_absent' AS \"check\", 'error' AS severity, '0x109' AS entity, (SELECT count(DISTINCT frame_id) FROM data WHERE abs(frame_id - 265) <= 4)::DOUBLE AS value")
+def q_message_absent(spark, sf_dir):
+    found = message_report.diagnose(_frames(spark, sf_dir), source.event_catalog(), 265, _config())
+    return found.findings.select("check", "severity", F.col("entities")[0].alias("entity"), "value")
+
+
+@query(BASE + "SELECT channel, count(*) AS n_frames, min(t) AS first_t, max(t) AS last_t, (SELECT count(DISTINCT channel) FROM data WHERE frame_id = 257)::INT AS channels FROM data WHERE frame_id = 257 GROUP BY channel")
+def q_message_report(spark, sf_dir):
+    found = message_report.diagnose(_frames(spark, sf_dir), source.event_catalog(), 257, _config())
+    return found.stats.select("channel", "n_frames", "first_t", "last_t", F.size("channels").alias("channels"))
+
+
+@query(
+    STATS
+    + """, m AS (SELECT frame_id, arg_max(channel, n * 10 - channel) AS channel FROM (SELECT frame_id, channel, count(*) AS n FROM data WHERE frame_id IN (262, 263) GROUP BY 1, 2) GROUP BY 1),
+    c AS (SELECT frame_id, channel, t, seq, lag(t) OVER o AS before, (word & 15) - lag(word & 15) OVER o AS step FROM data JOIN m USING (frame_id, channel) WINDOW o AS (PARTITION BY frame_id ORDER BY t, seq))
+    SELECT frame_id AS message_id, 'Byte0.low' AS signal, count(*) AS n, min(t) AS t FROM c WHERE step IS NOT NULL AND step NOT IN (0, 1, -15)
+    AND NOT EXISTS (SELECT 1 FROM gaps g WHERE g.frame_id = c.frame_id AND g.channel = c.channel AND g.start = c.before) GROUP BY 1"""
+)
+def q_raw_counter_jumps(spark, sf_dir):
+    frames = decode.data_frames(_frames(spark, sf_dir), [262, 263])
+    counters = diagnostics.raw_counters(diagnostics.raw_fields(frames))
+    gaps = timing.message_gaps(frames, diagnostics.bases(frames, _config()), 1.5)
+    jumps = diagnostics.counter_jumps(message_report.raw_steps(frames, counters), gaps)
+    return jumps.groupBy("message_id", "signal").agg(F.count("*").alias("n"), F.min("t").alias("t"))
+
+
+@query(FSM + "SELECT count(*) AS total, count(*) > 10 AS truncated FROM steps WHERE before <> after AND after")
+def q_event_total(spark, sf_dir):
+    found = machines.events(_steps(spark, sf_dir), source.event_catalog(), _machines())
+    return series.event_total(found, _functions(spark), ["enter"], most=10)
+
+
+@query(FSM + "SELECT function, CASE WHEN after THEN 'enter' ELSE 'exit' END AS type, t FROM (SELECT *, row_number() OVER (PARTITION BY function ORDER BY t DESC) AS k FROM steps WHERE before <> after AND t <= (SELECT min(t) + 2000000 FROM zoh)) WHERE k = 1")
+def q_latest_event(spark, sf_dir):
+    frames = _frames(spark, sf_dir)
+    at = frames.where("kind = 'data'").agg(F.min("t")).first()[0] + 2_000_000
+    found = machines.events(_steps(spark, sf_dir), source.event_catalog(), _machines())
+    return series.latest_event(found, at).select("function", "type", "t")
+
+
 CODE = """
 ACTIVE = "HIGH"
 INITIAL = "LOW"

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.operators import align, code_functions, decode, diagnostics, machines, series
+from framelake.operators import align, code_functions, decode, diagnostics, machines, message_report, series
 from framelake.plans import functions as specs
 from framelake.plans.catalog import Catalog, parse_dbc
 from framelake.sources import frames as source
@@ -76,6 +76,24 @@ class Project:
             out["intervals"].append(rows.where("kind = 'interval'").select("log_id", "function", F.col("t").alias("start"), "end"))
         return {name: diagnostics.union(parts) for name, parts in out.items() if parts}
 
+    def events(self, types: list[str] | None = None, ids: list[str] | None = None, text: str | None = None, most: int = 3000, fast: bool = False) -> dict:
+        """events (the first that match, in order of time), total and truncated, of the spec's declared functions."""
+        declared, _ = specs.parse(self.spec, self.catalog)
+        found = machines.events(machines.run(self.frames, self.catalog, declared, fast), self.catalog, declared)
+        names = self.spark.createDataFrame([(m.id, m.name) for m in declared], "function string, name string")
+        total = series.event_total(found, names, types, ids, text, most).first()
+        return {"events": series.event_list(found, names, types, ids, text, most), "total": total["total"], "truncated": total["truncated"]}
+
+    def diagnose(self, text: str | int, config: diagnostics.Config | None = None) -> message_report.Report | dict:
+        """The report of one message, named as resolve() understands it; if that knows no message, what may be meant."""
+        meant = {"frame_id": text, "matched_by": "dec"} if isinstance(text, int) else self.resolve(text)
+        if meant["frame_id"] is None:
+            return meant
+        out = message_report.diagnose(self.frames, self.catalog, meant["frame_id"], config)
+        if meant["matched_by"] == "dec_as_hex":
+            out.notes.append(f"no id is {text} in decimal, so it was read as hexadecimal")
+        return out
+
     def watch(self, condition: dict) -> tuple[DataFrame, DataFrame]:
         return machines.watch(self.frames, self.catalog, condition)
 
@@ -86,12 +104,16 @@ class Project:
             parts.append(diagnostics.signal_findings(self.frames, self.catalog, config))
         return diagnostics.union(parts)
 
-    def report(self, config: diagnostics.Config | None = None, form: str = "markdown", most: int = 500) -> str:
-        """The worst findings as text, at most so many."""
-        rows = self.findings(config).orderBy(diagnostics.severity_order(), "time_start").limit(most).collect()
+    def report(self, config: diagnostics.Config | None = None, form: str = "markdown", most: int | None = None, ident: str | int | None = None) -> str:
+        """All findings as text, worst first (or the first `most`); with ident, the report of that one message."""
+        if ident is not None:
+            one = self.diagnose(ident, config)
+            return message_report.markdown(one) if isinstance(one, message_report.Report) else "No such message. Candidates: " + ", ".join(one["candidates"]) + "\n"
+        found = self.findings(config).orderBy(diagnostics.severity_order(), "time_start")
+        rows = (found if most is None else found.limit(most)).collect()
         about, can = self.summary(), diagnostics.capabilities(self.frames, bool(self.catalog.messages))
         if form == "json":
-            return json.dumps({"summary": about, "capabilities": can, "findings": [r.asDict() for r in rows]})
+            return json.dumps({"summary": about, "capabilities": can, "severity_counts": {s: sum(r["severity"] == s for r in rows) for s in diagnostics.SEVERITIES}, "findings": [r.asDict() for r in rows]})
         lines = ["# Bus report", "", "## Overview", *(f"- {k}: {v}" for k, v in about.items()), "", "## Capabilities", *(f"- {k}: {'yes' if v else 'no'}" for k, v in can.items()), "", "## Findings"]
         return "\n".join([*lines, *(f"- **{r['severity']}** {r['check']}: {r['title']}" + (f" ({r['time_start']:.3f} s)" if r["time_start"] is not None else "") for r in rows)]) + "\n"
 
@@ -99,12 +121,13 @@ class Project:
         """The message that a text means: 0x1F, 1Fh, decimal (or, where only that is known, its digits as hexadecimal), a
         name or part of one; else what may be meant, at most 20."""
         known = {m.frame_id: m.name for m in self.catalog.messages}
-        ids = set(known)
-        if self.frames is not None:
-            ids |= {r[0] for r in decode.data_frames(self.frames).select("frame_id").distinct().limit(100_000).collect()}
         clean = text.strip()
         low = clean.lower()
         as_hex = lambda s: int(s, 16) if s and all(c in "0123456789abcdef" for c in s) else None
+        meant = [i for i in (int(clean) if clean.isdigit() else None, as_hex(low)) if i is not None]
+        ids = set(known)
+        if self.frames is not None and meant:  # only the ids that the text can mean are looked for
+            ids |= {r[0] for r in decode.data_frames(self.frames, meant).select("frame_id").distinct().collect()}
         by_name = [m for m in self.catalog.messages if m.name.lower() == low]
         if low.startswith("0x") and as_hex(low[2:]) is not None:
             return {"frame_id": as_hex(low[2:]), "matched_by": "hex"}
