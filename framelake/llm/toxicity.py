@@ -5,6 +5,7 @@ gets r = log of (share of toxic rows with it / share of others with it); all are
 regularised logistic regression. Null and empty texts have no features: their score is the bias's.
 """
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -77,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         at = np.flatnonzero(total.sum(0))
         yield pa.record_batch([pa.array(at), pa.array(total[1][at]), pa.array(total[0][at])], ["feature", "ones", "zeros"])
 
-    rows = training_rows(docs, labels, label, sample)
+    rows = staged(training_rows(docs, labels, label, sample))  # at most `sample` texts; read three times
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     if not ones or not zeros:
@@ -99,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     for r in staged(rows.select("text", "label").mapInArrow(hits, "label int, has binary")).toLocalIterator():  # a part at a time
         truth.append(r[0])
         has.append(np.frombuffer(r[1], np.int32))
-    weights, bias = regression(has, np.array(truth), ratios, steps, l2)
+    order = sorted(range(len(has)), key=lambda i: (truth[i], hashlib.blake2b(has[i], digest_size=16).digest()))  # the rows' order is Spark's
+    weights, bias = regression([has[i] for i in order], np.array(truth)[order], ratios, steps, l2)
     return Model(weights * ratios, bias)
 
 
