@@ -13,6 +13,7 @@ table makes a manifest without rows.
 import functools
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,6 +39,9 @@ def schema(length: int, wide: bool) -> pa.Schema:
 ENDINGS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 
 
+#: Finds signs of a word that may be composed or lower-cased otherwise than Python does it.
+FAR = re.compile("[^\\x00-\\u024f]|\\u0130").search
+
 # What WordCache takes for granted in a tokenizer's file.
 _NORMAL = ("NFC", "Replace", "Lowercase")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -83,9 +87,11 @@ class WordCache:
     @staticmethod
     def split(word: str) -> tuple[str, str]:
         """(lower-cased stem, trailing signs) where that is the same to the tokenizer, else (word, "")."""
-        if not word.isascii() and any(c > "\u024f" or c == "\u0130" for c in word) or "<|" in word:
+        if not word.isascii() and FAR(word) or "<|" in word:
             return word, ""
         low = word.lower()
+        if low.isalpha():
+            return low, ""
         stem = low.rstrip(ENDINGS)
         return (stem, low[len(stem) :]) if stem and (stem[-1].isalpha() or stem[-1].isdecimal()) else (low, "")
 
@@ -94,7 +100,7 @@ class WordCache:
 
     def learn(self, parts: list[str]) -> None:
         """Puts the ids of parts into self.parts."""
-        plain = [p for p in parts if p.isalpha() and (p.isascii() or max(p) <= "\u024f" and p == p.lower() and "\u0130" not in p)]
+        plain = [p for p in parts if p.isalpha() and (p.isascii() or not FAR(p))]  # split() has lower-cased them
         for at in range(0, len(plain), 2_000):
             some = plain[at : at + 2_000]
             ids = np.array(self.letters.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
@@ -114,9 +120,12 @@ class WordCache:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         now = set().union(*split)
         if len(self.words) > KEPT_WORDS:  # words of this batch stay, among them the frequent ones
-            self.words, self.parts = {w: self.words[w] for w in now if w in self.words}, {}
-        new = {w: self.split(w) for w in now if w not in self.words}
-        self.learn(list({p for both in new.values() for p in both} - self.parts.keys()))
+            self.words = {w: self.words[w] for w in now if w in self.words}
+        new = {w: (w.lower(), "") if w.isascii() and w.isalpha() else self.split(w) for w in now if w not in self.words}
+        every = {p for both in new.values() for p in both}
+        if len(self.parts) > KEPT_WORDS:
+            self.parts = {p: self.parts[p] for p in every if p in self.parts}
+        self.learn(list(every - self.parts.keys()))
         parts = self.parts
         self.words.update((w, parts[a] + parts[b]) for w, (a, b) in new.items())
         known = self.words.__getitem__
