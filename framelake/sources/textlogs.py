@@ -21,7 +21,12 @@ NUMBER = r"(\d+(?:\.\d+)?)"
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
     """(log_id, line_no, line) of a text file; the log is the file, line_no its place among the lines as read."""
     text = spark.read.text(path)
-    return text.select(F.col("_metadata.file_name").alias("log_id"), F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return text.select(F.col("_metadata.file_name").alias("log_id"), F.monotonically_increasing_id().alias("line_no"), line_text(F.col("value")).alias("line"))
+
+
+def line_text(value: Column) -> Column:
+    """A line as text: UTF-8, or where its bytes aren't that Latin-1; without a carriage return at its end."""
+    return F.regexp_replace(F.when(F.is_valid_utf8(value), value).otherwise(F.decode(value.cast("binary"), "ISO-8859-1")), "\r$", "")
 
 
 #: Stands between the parts of a line that a pattern has found; no part can hold it.
@@ -49,9 +54,17 @@ def parse_asc(lines: DataFrame) -> DataFrame:
     said = lines.where(F.lower("line").contains("timestamps") & F.regexp_like("line", F.lit(head))).groupBy("log_id").agg(
         F.max_by(F.lower(F.regexp_extract("line", head, 1)), "line_no").alias("base"), F.max_by(F.lower(F.regexp_extract("line", head, 2)), "line_no").alias("stamps")
     )
+    known = lines.join(F.broadcast(said), "log_id", "left").withColumn("absolute", F.coalesce(F.col("stamps").isin("absolute", "abs"), F.lit(False)))  # a row per log
+    rows = asc_rows(known)
+    first = rows.where("absolute and kind = 'data'").groupBy("log_id").agg(F.min_by("t", "seq").alias("first"))
+    rows = rows.join(F.broadcast(first), "log_id", "left")  # a row per log
+    return normalised(rows.withColumn("t", F.when(F.col("kind") == "data", F.col("t") - F.coalesce("first", F.lit(0.0))).otherwise(F.col("t"))).drop("absolute", "first"))
+
+
+def asc_rows(known: DataFrame) -> DataFrame:
+    """Frames of known(log_id, line_no, line, base, absolute), line by line, with times as they stand."""
     data = rf"^\s*{NUMBER}\s+(\d+)\s+([0-9a-fA-F]+)x?\s+(?:Rx|Tx)\s+d\s+\d+\s+([0-9a-fA-F ]+?)\s*$"
     event = rf"^\s*{NUMBER}\s+(\d+)\s+(.*)$"
-    known = lines.join(F.broadcast(said), "log_id", "left").withColumn("absolute", F.coalesce(F.col("stamps").isin("absolute", "abs"), F.lit(False)))  # a row per log
     cut = known.select("log_id", F.col("line_no").alias("seq"), "base", "absolute", F.explode(F.array(_cut(F.col("line"), ("data", data), ("event", event)))).alias("p")).where("size(p) > 1")
     part = lambda n: F.get("p", F.lit(n))
     decimal = F.col("base").isNotNull() & ~F.col("base").isin("hex", "hexadecimal")
@@ -63,7 +76,7 @@ def parse_asc(lines: DataFrame) -> DataFrame:
     for word in ("stuff", "form", "crc", "ack", "bit"):
         kind = kind.when(rest.contains(word), word)
     state = F.when(rest.contains("busoff") | rest.contains("bus off"), "bus_off").when(rest.contains("error passive") | rest.contains("errorpassive"), "passive").when(rest.contains("error active") | rest.contains("erroractive"), "active")
-    rows = cut.select(
+    return cut.select(
         "log_id", "seq", "absolute", part(2).cast("double").alias("t"),
         F.when(is_data, F.lit(0)).otherwise(part(3).cast("int")).alias("channel"),
         F.when(is_data, frame_id).otherwise(F.lit(0)).alias("frame_id"),
@@ -72,9 +85,6 @@ def parse_asc(lines: DataFrame) -> DataFrame:
         F.when(~is_data & ~is_error, state).alias("state"),
         F.when(is_data, payload(part(5))).otherwise(F.lit(b"")).alias("data"),
     ).where("kind = 'error' or state is not null or (kind = 'data' and data is not null and frame_id is not null)")
-    first = rows.where("absolute and kind = 'data'").groupBy("log_id").agg(F.min_by("t", "seq").alias("first"))
-    rows = rows.join(F.broadcast(first), "log_id", "left")  # a row per log
-    return normalised(rows.withColumn("t", F.when(F.col("kind") == "data", F.col("t") - F.coalesce("first", F.lit(0.0))).otherwise(F.col("t"))).drop("absolute", "first"))
 
 
 def parse_trc(lines: DataFrame) -> DataFrame:

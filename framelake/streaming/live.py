@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from framelake.functions.bits import frame_bits
+from framelake.sources import textlogs
+from framelake.sources.frames import normalised, window
 
 
 def load(frames: DataFrame, baud: float = 500_000, window: str = "100 milliseconds", seconds: float = 0.1, late: str = "2 seconds") -> DataFrame:
@@ -36,23 +38,39 @@ def busy_spans(frames: DataFrame, gap: str = "500 milliseconds", late: str = "2
     return rows.groupBy("log_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("log_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def frames_of(spark: SparkSession, folder: str, start: float | None = None, end: float | None = None, decimal: bool = False, files: int = 1) -> DataFrame:
+    """A stream of frames, with ts, from ASC files that appear in a folder, so many at a time; ids are hexadecimal unless
+    decimal, times count from the epoch, and an inclusive span of them may be chosen."""
+    text = spark.readStream.option("maxFilesPerTrigger", files).text(folder)
+    lines = text.select(F.col("_metadata.file_name").alias("log_id"), F.lit(0).alias("line_no"), textlogs.line_text(F.col("value")).alias("line"))
+    rows = normalised(textlogs.asc_rows(lines.withColumn("base", F.lit("dec" if decimal else "hex")).withColumn("absolute", F.lit(False))).drop("absolute"))
+    return window(rows, start, end).withColumn("ts", F.timestamp_seconds("t"))
+
+
 class Latch(StatefulProcessor):
-    """One machine of one log: state is whether it is on and since when. Rows (t, on_enter, on_exit) are taken in order of
-    t within a batch; give batches of whole instants."""
+    """One machine of one log: state is whether it is on and since when. Rows (t, on_enter, on_exit and, where attempts are
+    wanted, on_trigger) are taken in order of t within a batch; give batches of whole instants. `initial` has the ids of
+    functions that are on at the start."""
+
+    def __init__(self, initial: frozenset[str] = frozenset()):
+        self.initial = initial
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", T.StructType([T.StructField("on", T.BooleanType()), T.StructField("since", T.DoubleType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        on, since = self.state.get() if self.state.exists() else (False, None)
+        on, since = self.state.get() if self.state.exists() else (key[1] in self.initial, None)
         out = []
-        for t, enter, leave in sorted(r for part in rows for r in part[["t", "on_enter", "on_exit"]].itertuples(index=False, name=None)):
+        steps = (part if "on_trigger" in part.columns else part.assign(on_trigger=False) for part in rows)
+        for t, enter, leave, trigger in sorted(r for part in steps for r in part[["t", "on_enter", "on_exit", "on_trigger"]].itertuples(index=False, name=None)):
             if on and leave:
                 out.append((*key, "exit", t, since))
                 on, since = False, None
             elif not on and enter:
                 out.append((*key, "enter", t, None))
                 on, since = True, t
+            if trigger and not enter and not on:
+                out.append((*key, "attempt", t, None))
         self.state.update((on, since))
         yield pd.DataFrame(out, columns=["log_id", "function", "type", "t", "since"])
 
@@ -60,6 +78,7 @@ class Latch(StatefulProcessor):
         pass
 
 
-def machine_events(steps: DataFrame) -> DataFrame:
-    """(log_id, function, type, t, since) from a stream of steps (log_id, function, t, on_enter, on_exit)."""
-    return steps.groupBy("log_id", "function").transformWithStateInPandas(Latch(), "log_id string, function string, type string, t double, since double", "Append", "None")
+def machine_events(steps: DataFrame, initial: frozenset[str] = frozenset()) -> DataFrame:
+    """(log_id, function, type, t, since) from a stream of steps (log_id, function, t, on_enter, on_exit[, on_trigger]): enters,
+    exits and blocked attempts."""
+    return steps.groupBy("log_id", "function").transformWithStateInPandas(Latch(initial), "log_id string, function string, type string, t double, since double", "Append", "None")
