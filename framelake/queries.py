@@ -681,3 +681,18 @@ def q_signal_findings(spark, sf_dir):
     return diagnostics.signal_findings(_frames(spark, sf_dir), source.event_catalog(), _config())
 
 
+@query(BASE + "SELECT seq, array_to_string(list_transform(range(dlc), lambda i: printf('%02x', (word >> (8 * i)) & 255)), ' ') AS payload FROM frames")
+def q_hex_payloads(spark, sf_dir):
+    """Every payload written in one of the four forms, by its number, and read again."""
+    spaced = bits.payload_text(F.col("data"))
+    form = F.col("seq") % 4
+    text = F.when(form == 0, spaced).when(form == 1, F.hex("data")).when(form == 2, F.regexp_replace(spaced, "([0-9a-f]{2})", "0x$1")).otherwise(F.replace(spaced, F.lit(" "), F.lit(",")))
+    return _frames(spark, sf_dir).select("seq", text.alias("text")).select("seq", bits.payload_text(bits.hex_bytes(F.col("text"))).alias("payload"))
+
+
+@query(BASE + "SELECT seq, CASE WHEN seq % 3 = 2 THEN seq + 2684354560 ELSE seq END::BIGINT AS value FROM frames")
+def q_parse_ids(spark, sf_dir):
+    """Numbers written as 0x and digits, as decimals, or as bare hexadecimal digits, and read again."""
+    form, number = F.col("seq") % 3, F.col("seq")
+    text = F.when(form == 0, F.concat(F.lit("0x"), F.hex(number))).when(form == 1, number.cast("string")).otherwise(F.lower(F.hex(number + F.lit(0xA0000000))))
+    return _frames(spark, sf_dir).select("seq", text.alias("text")).select("seq", bits.integer(F.col("text")).alias("value"))
