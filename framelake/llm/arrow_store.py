@@ -1,7 +1,7 @@
 """Token ids in Arrow stream files of fixed-size lists: equal-length sequences with masks, mapped without copying.
 
 A part file holds the documents of one range of ids, in ascending order: record batches of BATCH sequences (the last may
-have fewer) of `length` ids and as many mask signs (1: an id, 0: padding, only at a part's end). As all sequences are
+have fewer) of `length` ids and as many mask bits (set: an id, not set: padding, only at a part's end). As all sequences are
 equally long and all batches but the last have the same size, sequence k of a part is a fixed slice of the mapped file
 (`Sequences`). A second stream file lists (doc_id, start, n_tokens) of the part's documents. Ids are 16 bits wide where
 the tokenizer's vocabulary allows it, else 32.
@@ -11,6 +11,7 @@ table makes a manifest without rows.
 """
 
 import functools
+import gc
 import json
 import os
 import re
@@ -32,7 +33,7 @@ KEPT_WORDS, BATCH = 300_000, 64
 
 
 def schema(length: int, wide: bool) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 #: Signs that end a word without changing how what stands before them is split (an apostrophe would).
@@ -77,7 +78,8 @@ class WordCache:
         self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
         for one in (self.tokenizer, self.letters):
             one.no_padding(), one.no_truncation()
-        _, self.apart, self.ends = about(path)
+        size, self.apart, self.ends = about(path)
+        self.kind = np.uint32 if size > 1 << 16 else np.uint16
         if self.apart:
             self.letters.normalizer = None
             self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -96,16 +98,16 @@ class WordCache:
         return (stem, low[len(stem) :]) if stem and (stem[-1].isalpha() or stem[-1].isdecimal()) else (low, "")
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, parts: list[str]) -> None:
         """Puts the ids of parts into self.parts."""
         plain = [p for p in parts if p.isalpha() and (p.isascii() or not FAR(p))]  # split() has lower-cased them
         for at in range(0, len(plain), 2_000):
             some = plain[at : at + 2_000]
-            ids = np.array(self.letters.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            last = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(last) != len(some) or last[-1] != 4 * len(ids):
+            ids = np.array(self.letters.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+            last = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(last) != len(some) or last[-1] != ids.nbytes:
                 raise RuntimeError("a word of letters has more than one token that ends it")
             whole = ids.tobytes()
             self.parts.update(zip(some, (whole[a:b] for a, b in zip([0, *last[:-1].tolist()], last.tolist()))))
@@ -117,11 +119,18 @@ class WordCache:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.apart:
             return self.plain(texts)
+        gc.disable()  # words and their ids make no cycles, but looking for some among so many takes time
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         now = set().union(*split)
         if len(self.words) > KEPT_WORDS:  # words of this batch stay, among them the frequent ones
             self.words = {w: self.words[w] for w in now if w in self.words}
-        new = {w: (w.lower(), "") if w.isascii() and w.isalpha() else self.split(w) for w in now if w not in self.words}
+        new = {w: (w.lower(), "") if w.isascii() and w.isalpha() else self.split(w) for w in now.difference(self.words)}
         every = {p for both in new.values() for p in both}
         if len(self.parts) > KEPT_WORDS:
             self.parts = {p: self.parts[p] for p in every if p in self.parts}
@@ -129,7 +138,7 @@ class WordCache:
         parts = self.parts
         self.words.update((w, parts[a] + parts[b]) for w, (a, b) in new.items())
         known = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(known, words)), np.uint32) for words in split]
+        return [np.frombuffer(b"".join(map(known, words)), self.kind) for words in split]
 
 
 @functools.lru_cache(maxsize=1)
@@ -148,7 +157,7 @@ class _Writer:
     def __init__(self, path: str, length: int, wide: bool):
         self.fs, self.path = _open(path)
         self.temporary = f"{self.path}.{uuid.uuid4().hex}"
-        self.schema, self.length = schema(length, wide), length
+        self.schema, self.length, self.kind = schema(length, wide), length, np.uint32 if wide else np.uint16
         self.sink = self.fs.open_output_stream(self.temporary)
         self.stream = pa.ipc.new_stream(self.sink, self.schema)
         self.rest: list[np.ndarray] = []
@@ -161,11 +170,11 @@ class _Writer:
             self._flush(self.pending // (BATCH * self.length) * BATCH * self.length, 0)
 
     def _flush(self, n: int, padding: int) -> None:
-        flat = np.concatenate(self.rest) if self.rest else np.zeros(0, np.uint32)
+        flat = np.concatenate(self.rest) if self.rest else np.zeros(0, self.kind)
         self.rest, self.pending = [flat[n:]], len(flat) - n
-        values = np.concatenate([flat[:n], np.zeros(padding, np.uint32)]).astype(self.schema.field(0).type.value_type.to_pandas_dtype())
-        mask = np.ones(n + padding, np.uint8)
-        mask[n:] = 0
+        values = np.concatenate([flat[:n], np.zeros(padding, self.kind)]).astype(self.kind, copy=False)
+        mask = np.ones(n + padding, bool)
+        mask[n:] = False
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (values, mask)]
         whole = pa.record_batch(lists, schema=self.schema)
         for at in range(0, len(whole), BATCH):
@@ -199,7 +208,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048,
                 some = batch.slice(lo, 256)
                 for doc, ids in zip(some.column(0).to_pylist(), cache.encode([t or "" for t in some.column(1).to_pylist()])):
                     documents.append((doc, writer.total, len(ids) + 1))
-                    writer.add(np.append(ids, np.uint32(end_id)))
+                    writer.add(np.append(ids, np.asarray(end_id, writer.kind)))
         if writer:
             writer.close()
             keys, starts, sizes = zip(*documents)
@@ -228,8 +237,8 @@ def sequences(path: str) -> Iterator[pa.RecordBatch]:
 
 
 class Sequences:
-    """Random access to the sequences of a part: [k] is (ids, mask) of sequence k, for local files as views of the mapped file.
-    Nothing but one batch's head is read to find it."""
+    """Random access to the sequences of a part: [k] is (ids, mask) of sequence k, an array of numbers and an Arrow array of
+    bits, for local files as views of the mapped file. Nothing but one batch's head is read to find it."""
 
     def __init__(self, path: str):
         fs, name = _open(path)
@@ -240,7 +249,7 @@ class Sequences:
         self.stride = self.source.tell() - self.first  # of every batch but the last
         self.length = self.schema.field("ids").type.list_size
 
-    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         number, at = divmod(k, BATCH)
         place = self.first + number * self.stride
         if k < 0 or place >= self.source.size() - 8:  # 8 bytes end the stream
@@ -249,8 +258,8 @@ class Sequences:
         batch = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
         if at >= len(batch):
             raise IndexError(k)
-        ids, mask = (batch.column(i).values.to_numpy()[at * self.length : (at + 1) * self.length] for i in (0, 1))
-        return ids, mask
+        ids, mask = (batch.column(i).values.slice(at * self.length, self.length) for i in (0, 1))
+        return ids.to_numpy(), mask
 
 
 def read(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
@@ -270,8 +279,8 @@ def read(manifest: DataFrame, key_type: str = "bigint") -> DataFrame:
                     last = starts[hi - 1] + sizes[hi - 1]
                     while first + len(held) < last:
                         one = next(parts)
-                        values, mask = one.column(0).flatten().to_numpy(), one.column(1).flatten().to_numpy()
-                        held = np.concatenate([held, values[mask == 1]])
+                        values, mask = one.column(0).flatten().to_numpy(), one.column(1).flatten()
+                        held = np.concatenate([held, values if mask.true_count == len(mask) else values[mask.to_numpy(zero_copy_only=False)]])
                     offsets = np.append(starts[lo:hi], last) - first
                     ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(held.astype(np.int32)))
                     yield pa.record_batch([keys.slice(lo, hi - lo), pa.array(starts[lo:hi] + base), ids], ["doc_id", "start", "ids"])
