@@ -67,3 +67,24 @@ def held_out(doc_id):
 def few(df: DataFrame, most: int = 200_000) -> bool:
     """Whether a narrow table has so few rows that it may be broadcast; else Spark joins by shuffling."""
     return df.limit(most + 1).count() <= most
+
+
+#: A key that more than one in so many rows has is hot: there are fewer hot keys than this.
+HOT = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows, each with the columns that `table` has for its key (nulls where it has none, and for null keys).
+
+    `table` has one row a key; its column n, which isn't taken over, says how many of the rows have the key. Hot keys, fewer
+    than HOT, are looked up in a broadcast part; other rows meet the rest of the table by a shuffle, in which no key has
+    many rows. Rows that are done, and null keys, are spread over that shuffle's tasks. `table` should be staged."""
+    new = [c for c in table.columns if c not in (key, "n")]
+    least = (table.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = table.where(F.col("n") > least).select(F.col(key).alias("__key"), F.struct(*new).alias("__hot"))
+    rest = table.where(F.col("n") <= least).select(F.col(key).alias("__key"), F.lit(0).alias("__spread"), F.struct(*new).alias("__cold"))
+    done = F.col("__hot").isNotNull() | F.col(key).isNull()
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left").drop("__key")
+    met = met.withColumn("__at", F.when(done, 1 + F.monotonically_increasing_id() % 65536).otherwise(F.lit(0)))
+    met = met.join(rest, (F.col(key) == F.col("__key")) & (F.col("__at") == F.col("__spread")), "left")
+    return met.select(*rows.columns, *(F.coalesce(F.col(f"__hot.{c}"), F.col(f"__cold.{c}")).alias(c) for c in new))
