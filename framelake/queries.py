@@ -10,7 +10,8 @@ from framelake.operators import align, code_functions, decode, diagnostics, mach
 from framelake.plans import functions as specs
 from framelake.plans.conditions import Compiler, normalised
 from framelake.sources import frames as source
-from framelake.sources import textlogs
+from framelake.sources import blf, textlogs
+from framelake.sources.places import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -635,6 +636,36 @@ def q_parse_csv(spark, sf_dir):
     return _parsed(textlogs.parse_csv(_rendered(spark, sf_dir, line), head))
 
 
+@query(_PARSED.format(channel="0", id="frame_id", dlc="dlc", error="NULL::VARCHAR", where="WHERE kind = 'data'"))
+def q_parse_csv_heads(spark, sf_dir):
+    """Four tables of the same frames' quarters, whose heads name the columns otherwise and in other orders."""
+    hexed, data = F.concat(F.lit("0x"), F.hex("frame_id")), bits.payload_text(F.col("data"))
+    forms = [
+        ("identifier,raw,dlc,time[us]", lambda t: F.concat_ws(",", hexed, data, "dlc", t.cast("string"))),
+        ("d;msgid;t[us]", lambda t: F.concat_ws(";", data, F.col("frame_id").cast("string"), t.cast("string"))),
+        ("direction\tts\tpayload\tarbitration_id", lambda t: F.concat_ws("\t", F.lit("Rx"), _seconds(t), data, hexed)),
+        ('"timestamp[us]","can_id","data_bytes"', lambda t: F.concat_ws(",", F.format_string('"%d"', t), F.concat(F.lit('"'), hexed, F.lit('"')), F.concat(F.lit('"'), data, F.lit('"')))),
+    ]
+    frames = _frames(spark, sf_dir).where("kind = 'data'")
+    parts = []
+    for k, (head, line) in enumerate(forms):
+        some = frames.where(F.col("seq") % len(forms) == k)
+        rows = some.select(F.lit("log").alias("log_id"), F.col("seq").alias("line_no"), line(F.rint(F.col("t") * 1e6).cast("long")).alias("line"))
+        parts.append(_parsed(textlogs.parse_csv(rows, [head, *(r["line"] for r in rows.orderBy("line_no").limit(5).collect())])))
+    return diagnostics.union(parts)
+
+
+@query(BASE + """SELECT t_us, channel, kind, CASE WHEN kind = 'data' THEN dlc ELSE 0 END AS dlc, error_type,
+    CASE WHEN kind = 'data' THEN frame_id ELSE map {'stuff': 1, 'form': 2, 'ack': 4, 'bit': 8, 'crc': 32}[error_type] END::BIGINT AS frame_id,
+    CASE WHEN kind = 'error' THEN 0 WHEN dlc = 4 THEN word & 4294967295 ELSE word END::BIGINT AS word FROM frames""")
+def q_read_blf(spark, sf_dir):
+    """All frames written as binary logs, one for each of Spark's partitions, and read again by ranges of 128 kB."""
+    folder = shared_folder(spark)
+    blf.write(_frames(spark, sf_dir).orderBy("t", "seq"), folder).agg(F.sum("frames")).collect()
+    frames = blf.read(spark, folder, 128 << 10)
+    return frames.select(F.rint(F.col("t") * 1e6).cast("long").alias("t_us"), "channel", "kind", "dlc", "error_type", "frame_id", F.when(F.col("kind") == "error", F.lit(0).cast("long")).otherwise(bits.little_word(F.col("data"))).alias("word"))
+
+
 @query(_PARSED.format(channel="channel", id="frame_id", dlc="dlc", error="NULL::VARCHAR", where="WHERE kind = 'data'"))
 def q_parse_json(spark, sf_dir):
     frames = _frames(spark, sf_dir).where("kind = 'data'")

@@ -1,7 +1,10 @@
-"""Binary logs (LOGG files): containers of objects, as frames. Files are spread over tasks; inside a task containers are
-opened one after another, so memory holds the file's bytes and one container's objects.
+"""Binary logs (LOGG files): containers of objects, as frames, read by byte ranges.
 
-Objects may go on in the next container: what is left of one is put before the next.
+A file is cut into ranges whatever is in it; only its size is looked at beforehand. A range has the containers that begin in
+it. Objects run on from one container into the next, so a range first reads the containers just before it, follows their
+chain of objects to their end, and so knows how much of its first container belongs to an object that began
+earlier; its own last object it completes from the containers behind it. Both ends are compared with what the next
+range will find, and a difference is an error: no frame is lost, read twice or misread in silence.
 """
 
 from __future__ import annotations
@@ -9,21 +12,35 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from framelake.plans.catalog import SchemaError
 from framelake.sources.frames import normalised
+from framelake.sources.places import opened
 
-# Object types and flags of the format.
+# Object types, flags and layout of the format.
 CONTAINER, CLASSIC, CLASSIC_2, FD, FD_64, ERROR = 10, 1, 86, 100, 101, 73
 TEN_MICROSECONDS = 1
-FD_LENGTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 20, 24, 32, 48, 64])
-#: Bits of an error object's code -> what kind of error it is, by its segment field.
-ERROR_KINDS = {0: "bit", 1: "form", 2: "stuff", 3: "other"}
+SIGNATURE = b"LOBJ"
+HEAD, INNER_HEAD, WIDE_BODY = 16, 32, 40
+ZLIB, PLAIN = 2, 0
+LONGEST_PAD = 7
+#: Bits of an error frame's id -> what it says; the first that is set counts.
+ERROR_BITS = ((0x01, "stuff"), (0x02, "form"), (0x04, "ack"), (0x08, "bit"), (0x10, "bit"), (0x20, "crc"))
+
+COLUMNS = "log_id string, seq long, t double, channel int, frame_id long, kind string, data binary, error_type string"
+_NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+#: Bytes of a range, and how far before it the first look goes.
+SPLIT, LOOK_BACK = 64 << 20, 1 << 20
+#: A frame's seq: the place of the container in which its object ends, and the object's number among those, below this bound.
+PER_CONTAINER = 1 << 22
 
 
 def start_of(head: bytes) -> float:
@@ -35,107 +52,355 @@ def start_of(head: bytes) -> float:
         return 0.0
 
 
-def containers(data: bytes) -> Iterator[bytes]:
-    """The uncompressed content of each container, in order."""
-    at = struct.unpack_from("<I", data, 4)[0]
-    while at + 16 <= len(data):
-        if data[at : at + 4] != b"LOBJ":
-            at = data.find(b"LOBJ", at)
-            if at < 0:
-                return
-        head, _, size, kind = struct.unpack_from("<HHII", data, at + 4)
-        if size < 16:
-            return
-        if kind == CONTAINER:
-            method = struct.unpack_from("<H", data, at + 16)[0]
-            body = data[at + 32 : at + size]
-            yield zlib.decompress(body) if method == 2 else body
-        else:
-            yield data[at : at + size + size % 4]
-        at += size + size % 4
-
-
-def objects(chunk: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """(positions, types) of the whole objects of a chunk, by following their sizes, and where the rest begins."""
-    at, places, kinds, end = 0, [], [], len(chunk)
-    while at + 16 <= end:
-        if chunk[at : at + 4] != b"LOBJ":
-            found = chunk.find(b"LOBJ", at, min(end, at + 16))
-            found = found if found >= 0 else chunk.find(b"LOBJ", at)
-            if found < 0:
-                return np.array(places, np.int64), np.array(kinds, np.int64), max(at, end - 3)
-            at = found
-            continue
-        size, kind = struct.unpack_from("<II", chunk, at + 8)
-        if at + size > end:
-            break
-        places.append(at), kinds.append(kind)
-        at += max(size, 16)
-    return np.array(places, np.int64), np.array(kinds, np.int64), min(at, end)
+# --- containers ----------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Log:
+    """A file by places: read(at, n) gives at most n bytes."""
+
+    read: object
+    size: int
+
+    def __post_init__(self):
+        head = self.read(0, 144)
+        if head[:4] != b"LOGG" or len(head) < 72:
+            raise SchemaError("not a binary log: the file doesn't begin with LOGG")
+        self.first, self.start = struct.unpack_from("<I", head, 4)[0], start_of(head)
+
+    def head(self, at: int) -> tuple[int, int] | None:
+        """(size, type) of the object at a place of the file, None at its end."""
+        raw = self.read(at, HEAD)
+        if not raw:
+            return None
+        if len(raw) < HEAD or raw[:4] != SIGNATURE:
+            raise SchemaError(f"no object at byte {at} of the log")
+        size, kind = struct.unpack_from("<II", raw, 8)
+        if size < HEAD:
+            raise SchemaError(f"the object at byte {at} has the size {size}")
+        return size, kind
+
+    def containers(self, at: int, end: int) -> Iterator[tuple[int, bytes]]:
+        """(place, content) of the containers that begin from an object's place `at` on and before `end`."""
+        while at < end and (found := self.head(at)):
+            size, kind = found
+            if kind == CONTAINER:
+                yield at, self.content(at, size)
+            at += size + size % 4
+
+    def content(self, at: int, size: int) -> bytes:
+        raw = self.read(at + HEAD, size - HEAD)
+        method = struct.unpack_from("<H", raw)[0] if len(raw) >= 16 else -1
+        if len(raw) < size - HEAD or method not in (PLAIN, ZLIB):
+            raise SchemaError(f"the container at byte {at} is cut off or packed in an unknown way ({method})")
+        return zlib.decompress(raw[16:]) if method == ZLIB else raw[16:]
+
+    def next_container(self, at: int) -> int:
+        """Where the first container at or behind a place begins (the file's first object, if the place isn't behind it), or
+        the file's end. Objects of containers that aren't packed have heads too, but of other types."""
+        if at <= self.first:
+            return self.first
+        while at < self.size:
+            block = self.read(at, LOOK_BACK + len(SIGNATURE))
+            for near in _all(block, SIGNATURE):
+                if self._is_container(at + near):
+                    return at + near
+            at += LOOK_BACK
+        return self.size
+
+    def _is_container(self, at: int) -> bool:
+        raw = self.read(at, 2 * HEAD)
+        if len(raw) < 2 * HEAD:
+            return False
+        head, _, size, kind, method = struct.unpack_from("<HHIIH", raw, 4)
+        if (head, kind) != (HEAD, CONTAINER) or method not in (PLAIN, ZLIB) or size < 2 * HEAD or at + size > self.size:
+            return False
+        return self.read(at + size + size % 4, len(SIGNATURE)) in (SIGNATURE, b"")
+
+    def before(self, at: int) -> tuple[int, bytes]:
+        """(place, rest): the first container from `at` on, and the bytes of an object that begins in a container
+        before it and ends in one from there on (or is padding)."""
+        place = self.next_container(at)
+        look = LOOK_BACK
+        while True:
+            begin = self.next_container(max(self.first, at - look))
+            content = b"".join(c for _, c in self.containers(begin, place)) if begin < place else b""
+            if begin <= self.first:
+                return place, content[_end(objects(content)) :]
+            for near in _all(content, SIGNATURE):
+                try:
+                    found = objects(content[near:])
+                except SchemaError:  # a payload that holds the signature
+                    continue
+                if len(found) > 8:
+                    return place, content[near + _end(found) :]
+            look *= 4
+
+
+def _all(content: bytes, part: bytes) -> Iterator[int]:
+    at = content.find(part)
+    while at >= 0:
+        yield at
+        at = content.find(part, at + 1)
+
+
+# --- objects -------------------------------------------------------------------------------------------------------
 
 
 def _field(data: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
     """Little-endian fields at many places; places beyond the end read as zeros."""
     width = np.dtype(kind).itemsize
     places = at[:, None] + np.arange(width)
-    return np.where(places < len(data), data[np.minimum(places, len(data) - 1)], 0).astype(np.uint8).reshape(-1, width).view("<" + kind).ravel()
-
-
-def decoded(chunk: bytes, places: np.ndarray, kinds: np.ndarray, start: float) -> dict[str, list]:
-    """Columns of the frames among the objects, in their order."""
-    data = np.frombuffer(chunk, np.uint8)
-    wanted = np.isin(kinds, (CLASSIC, CLASSIC_2, FD, FD_64, ERROR))
-    places, kinds = places[wanted], kinds[wanted]
-    if not len(places):
-        return {}
-    body = places + _field(data, places + 4, "u2")
-    end = places + _field(data, places + 8, "u4")
-    ticks, flags = _field(data, places + 24, "u8"), _field(data, places + 16, "u4")
-    t = np.where(flags == TEN_MICROSECONDS, ticks / 1e5, ticks / 1e9) + start
-    wide, classic, fd = kinds == FD_64, np.isin(kinds, (CLASSIC, CLASSIC_2)), kinds == FD
-    channel = (np.where(wide, _field(data, body, "u1"), _field(data, body, "u2")).astype(np.int64) - 1) % 256
-    code = np.where(wide, _field(data, body + 1, "u1"), _field(data, body + 3, "u1")).astype(np.int64)
-    ids = _field(data, body + 4, "u4").astype(np.int64) & 0x1FFFFFFF
-    valid = np.where(wide, _field(data, body + 2, "u1"), _field(data, body + 14, "u1")).astype(np.int64)
-    length = np.where(classic, np.minimum(code, 8), np.minimum(valid, FD_LENGTHS[np.minimum(code, 15)]))
-    first = body + np.where(wide, 40, np.where(fd, 20, 8))
-    length = np.where(kinds == ERROR, 0, np.maximum(np.minimum(length, end - first), 0))
-    segment = _field(data, body + 8, "u1") >> 6
-    return {
-        "t": t.tolist(), "channel": channel.tolist(), "frame_id": np.where(kinds == ERROR, 0, ids).tolist(), "kind": np.where(kinds == ERROR, "error", "data").tolist(),
-        "data": [chunk[a : a + n] for a, n in zip(first.tolist(), length.tolist())], "error_type": [ERROR_KINDS[s] if k == ERROR else None for k, s in zip(kinds.tolist(), segment.tolist())],
-    }
-
-
-def frames_of(content: bytes) -> Iterator[dict[str, list]]:
-    if content[:4] != b"LOGG":
-        raise SchemaError("not a binary log: the file doesn't begin with LOGG")
-    start, rest = start_of(content), b""
-    for body in containers(content):
-        chunk = rest + body
-        places, kinds, end = objects(chunk)
-        if columns := decoded(chunk, places, kinds, start):
-            yield columns
-        rest = chunk[end:]
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of all binary logs under a path; each file is a log."""
-    from pyspark.sql import functions as F
+    return np.where(places < len(data), data[np.minimum(places, max(0, len(data) - 1))], 0).astype(np.uint8).reshape(-1, width).view("<" + kind).ravel()
+
+
+def objects(content: bytes) -> np.ndarray:
+    """(place, size, type) of each whole object, a row each.
+
+    All places with the signature are candidates. As a rule each is as far from the one before as that one's size says, up
+    to a few bytes of padding; else payloads hold the signature too, and the chain of sizes is followed from the first
+    on. A chain that breaks is an error. What follows the last whole object is left to the caller."""
+    data = np.frombuffer(content, np.uint8)
+    if len(data) < HEAD:
+        return np.zeros((0, 3), np.int64)
+    found = np.flatnonzero((data[:-3] == 0x4C) & (data[1:-2] == 0x4F) & (data[2:-1] == 0x42) & (data[3:] == 0x4A))
+    found = found[found + HEAD <= len(data)]
+    if not len(found):
+        return np.zeros((0, 3), np.int64)
+    if found[0] > LONGEST_PAD:
+        raise SchemaError(f"a container has no object in its first bytes but at {found[0]}")
+    size, kind = _field(data, found + 8, "u4").astype(np.int64), _field(data, found + 12, "u4").astype(np.int64)
+    following = np.searchsorted(found, found + size)
+    if not (following == np.arange(1, len(found) + 1)).all():
+        chain = []
+        k = 0
+        while k < len(found):
+            if size[k] < HEAD:
+                raise SchemaError(f"an object at {found[k]} has the size {size[k]}")
+            chain.append(k)
+            if found[k] + size[k] > len(data):
+                break
+            k = int(following[k])
+        found, size, kind = found[chain], size[chain], kind[chain]
+    gaps = np.diff(found) - size[:-1]
+    if (gaps > LONGEST_PAD).any() or (gaps < 0).any():
+        raise SchemaError(f"the chain of objects breaks at {found[int(np.argmax((gaps > LONGEST_PAD) | (gaps < 0)))]}")
+    return np.column_stack([found, size, kind])[found + size <= len(data)]
+
+
+def _end(found: np.ndarray) -> int:
+    return int(found[-1, 0] + found[-1, 1]) if len(found) else 0
+
+
+def _binary(data: np.ndarray, first: np.ndarray, held: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Payloads of `length` bytes, of which `held` are at their places and the rest are zeros."""
+    ends = np.cumsum(length)
+    inside = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length, length)
+    at = np.repeat(first, length) + inside
+    flat = np.where(inside < np.repeat(held, length), data[np.minimum(at, max(0, len(data) - 1))], 0).astype(np.uint8)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(flat.tobytes())])
+
+
+def frames_in(content: bytes, found: np.ndarray, start: float) -> tuple[np.ndarray, list[pa.Array]]:
+    """(rows of `found` that are frames, columns t, channel, frame_id, kind, data, error_type)."""
+    data = np.frombuffer(content, np.uint8)
+    at = np.flatnonzero(np.isin(found[:, 2], (CLASSIC, CLASSIC_2, FD, FD_64, ERROR)))
+    place, size, kind = found[at].T
+    ticks = _field(data, place + 24, "u8").astype(np.float64)
+    t = np.where(_field(data, place + 16, "u4") == TEN_MICROSECONDS, ticks / 1e5, ticks / 1e9) + start
+    body, error, wide, fd = place + INNER_HEAD, kind == ERROR, kind == FD_64, kind == FD
+    channel = np.where(wide, _field(data, body, "u1"), _field(data, body, "u2")).astype(np.int64) - 1
+    ids = _field(data, np.where(error, body + 16, body + 4), "u4").astype(np.int64) & 0x1FFFFFFF
+    said = _field(data, np.where(wide, body + 2, np.where(fd, body + 14, body + 3)), "u1").astype(np.int64)
+    length = np.where(error, 0, np.minimum(said, np.where(wide | fd, 64, 8)))
+    beyond = _field(data, body + 35, "u1").astype(np.int64)
+    room = np.where(wide, np.where(beyond > 0, beyond, size) - _field(data, place + 4, "u2") - WIDE_BODY, 64)
+    payload = _binary(data, body + np.where(wide, WIDE_BODY, np.where(fd, 20, 8)), np.clip(np.minimum(length, room), 0, None), length)
+    what = np.full(len(at), "other", object)
+    for bit, name in reversed(ERROR_BITS):
+        what[ids & bit > 0] = name
+    kinds = pa.array(np.where(error, "error", "data"), pa.string())
+    return at, [pa.array(t), pa.array((channel % 256).astype(np.int32)), pa.array(ids), kinds, payload, pa.array(what, pa.string(), mask=~error)]
+
+
+def range_frames(log: Log, begin: int, end: int, name: str) -> Iterator[pa.RecordBatch]:
+    """Frames whose objects begin in the containers that begin from `begin` to before `end`."""
+    place, rest = log.before(begin)
+    if place >= end:
+        return
+    last, expected = log.before(end) if end < log.size else (log.size, None)
+    foreign = bool(rest.strip(b"\0"))  # an object that the range before has; else padding
+    for at, content in log.containers(place, last):
+        chunk = rest + content
+        found = objects(chunk)
+        if len(found) > PER_CONTAINER:
+            raise SchemaError(f"the container at byte {at} has too many objects")
+        first = int(foreign)
+        which, columns = frames_in(chunk, found[first:], log.start)
+        foreign = foreign and not len(found)
+        rest = chunk[_end(found) :]
+        if len(which):
+            yield pa.record_batch([pa.repeat(pa.scalar(name), len(which)), pa.array(at * PER_CONTAINER + first + which), *columns], _NAMES)
+    if expected is not None and expected != rest:
+        raise SchemaError(f"the chain of objects breaks before byte {last}")
+    if foreign or not rest.strip(b"\0"):
+        return
+    for at, content in log.containers(last, log.size):  # the last object goes on behind the range
+        rest += content
+        if len(found := objects(rest)):
+            which, columns = frames_in(rest, found[:1], log.start)
+            if len(which):
+                yield pa.record_batch([pa.array([name]), pa.array([at * PER_CONTAINER]), *columns], _NAMES)
+            return
+
+
+def frames_of(content: bytes, name: str = "log") -> Iterator[pa.RecordBatch]:
+    """Frames of a whole file's bytes."""
+    log = Log(lambda at, n: content[at : at + n], len(content))
+    yield from range_frames(log, 0, log.size, name)
+
+
+# --- source --------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Range(InputPartition):
+    path: str
+    begin: int
+    end: int
 
+
+class _Blocks:
+    """Reads of a file by way of its last block read, as heads and bodies follow one another."""
+
+    def __init__(self, file, block: int = 4 << 20):
+        self.file, self.size, self.block, self.at, self.held = file, file.size(), block, 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        n = max(0, min(n, self.size - at))
+        if not (self.at <= at and at + n <= self.at + len(self.held)):
+            self.at, self.held = at, self.file.read_at(min(max(n, self.block), self.size - at), at) if n else b""
+        return self.held[at - self.at : at - self.at + n]
+
+
+class Ranges(DataSourceReader):
+    """Byte ranges of all logs under a path, planned from the files' sizes alone."""
+
+    def __init__(self, path: str, split: int):
+        self.path, self.split = path, split
+
+    def partitions(self) -> list[Range]:
+        from pyarrow import fs
+
+        system, path = opened(self.path)
+        about = system.get_file_info(path)
+        files = [about] if about.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path, recursive=True))
+        logs = [f for f in files if f.type == fs.FileType.File and (f.path.lower().endswith(".blf") or f is about)]
+        return [Range(f.path, at, min(at + self.split, f.size)) for f in sorted(logs, key=lambda f: f.path) for at in range(0, max(f.size, 1), self.split)]
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        system, _ = opened(self.path)
+        with system.open_input_file(partition.path) as file:
+            log = Log(_Blocks(file).read, file.size())
+            yield from range_frames(log, partition.begin, partition.end, partition.path.rsplit("/", 1)[-1])
+
+
+class BinaryLogs(DataSource):
+    """spark.read.format("framelake_blf").option("split", bytes).load(path)"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "framelake_blf"
+
+    def schema(self) -> str:
+        return COLUMNS
+
+    def reader(self, schema) -> DataSourceReader:
+        return Ranges(self.options["path"], int(self.options.get("split", SPLIT)))
+
+
+def read(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """Frames of all binary logs under a path; each file is a log, read by several tasks where it is larger than `split`.
+
+    The path is on a disk that all machines mount, or in a store that Arrow opens; whole_files() reads others."""
+    spark.dataSource.register(BinaryLogs)
+    return normalised(spark.read.format("framelake_blf").option("split", split).load(path))
+
+
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """Like read(), by Spark's own reader of binary files: any store, but a task and at most 2 GB for each file."""
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("log_id"), "content")
 
-    def rows(batches):
-        types = {"t": pa.float64(), "channel": pa.int32(), "frame_id": pa.int64(), "kind": pa.string(), "data": pa.binary(), "error_type": pa.string()}
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for log, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seq = 0
-                for columns in frames_of(content.as_py()):
-                    n = len(columns["t"])
-                    yield pa.record_batch([pa.array([log] * n), pa.array(range(seq, seq + n), pa.int64()), *(pa.array(columns[c], k) for c, k in types.items())], ["log_id", "seq", *types])
-                    seq += n
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from frames_of(content.as_py(), name)
+
+    return normalised(files.mapInArrow(rows, COLUMNS))
+
+
+# --- writing -------------------------------------------------------------------------------------------------------
+
+
+def _object(kind: int, ticks: int, body: bytes) -> bytes:
+    whole = SIGNATURE + struct.pack("<HHII", INNER_HEAD, 1, INNER_HEAD + len(body), kind) + struct.pack("<IHHQ", 2, 0, 0, ticks) + body
+    return whole + b"\0" * (len(whole) % 4)
+
 
-    spread = files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "log_id")
-    return normalised(spread.mapInArrow(rows, "log_id string, seq long, t double, channel int, frame_id long, kind string, data binary, error_type string"))
+def packed(row: tuple, start: float) -> bytes:
+    """An object for a frame (t, channel, frame_id, kind, data, error_type)."""
+    t, channel, ident, kind, data, what = row
+    ticks = max(0, round((t - start) * 1e9))
+    if kind == "error":
+        bits = next((b for b, name in ERROR_BITS if name == what), 0)
+        return _object(ERROR, ticks, struct.pack("<H14xI12x", channel + 1, bits))
+    if len(data) <= 8:
+        return _object(CLASSIC, ticks, struct.pack("<HBBI", channel + 1, 0, len(data), ident | (ident > 0x7FF) << 31) + data.ljust(8, b"\0"))
+    return _object(FD_64, ticks, struct.pack("<BBBBI", channel + 1, 0, len(data), 0, ident | (ident > 0x7FF) << 31) + b"\0" * 32 + data)
 
 
+def container(content: bytes) -> bytes:
+    body = zlib.compress(content, 1)
+    whole = SIGNATURE + struct.pack("<HHII", HEAD, 1, 2 * HEAD + len(body), CONTAINER) + struct.pack("<HHIII", ZLIB, 0, 0, len(content), 0) + body
+    return whole + b"\0" * (len(whole) % 4)
+
+
+def file_head(start: float) -> bytes:
+    at = datetime.fromtimestamp(start, timezone.utc)
+    date = struct.pack("<8H", at.year, at.month, at.isoweekday() % 7, at.day, at.hour, at.minute, at.second, at.microsecond // 1000)
+    return (b"LOGG" + struct.pack("<I", 144) + b"\0" * 32 + date).ljust(144, b"\0")
+
+
+def write(frames: DataFrame, folder: str, content: int = 128 << 10) -> DataFrame:
+    """Writes the frames of each of Spark's partitions, in their order, to a binary log of its own; containers hold `content`
+    bytes, wherever objects end. Gives (path, frames); run it once, as an action. A task that is run again writes the
+    same name, which appears when its file is complete."""
+    system_path = folder
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        system, path = opened(system_path)
+        system.create_dir(path, recursive=True)
+        context = TaskContext.get()
+        name, n, start, rest, out = f"{path}/part-{context.partitionId():05d}.blf", 0, 0.0, b"", None
+        scratch = f"{name}.{context.taskAttemptId()}"
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if out is None:
+                    start = float(int(row[0]))
+                    out = system.open_output_stream(scratch)
+                    out.write(file_head(start))
+                rest += packed(row, start)
+                n += 1
+                if len(rest) >= content:
+                    out.write(container(rest[:content]))
+                    rest = rest[content:]
+        if out is not None:
+            if rest:
+                out.write(container(rest))
+            out.close()
+            system.move(scratch, name)
+            yield pa.record_batch([pa.array([name]), pa.array([n])], ["path", "frames"])
+
+    return frames.select("t", "channel", "frame_id", "kind", "data", "error_type").mapInArrow(files, "path string, frames long")

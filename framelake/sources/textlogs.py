@@ -95,44 +95,59 @@ def parse_trc(lines: DataFrame) -> DataFrame:
     return normalised(cut.select("log_id", "seq", part(2).cast("double").alias("t"), F.conv(part(3), 16, 10).cast("long").alias("frame_id"), payload(part(4)).alias("data")).where("data is not null"))
 
 
-# Names of columns in heads of tables of frames, and what units scale times by.
-TIME_NAMES = ("timestamp", "time", "t", "ts", "time_s", "seconds", "time_ms", "timestamp_ms", "ms", "time_us", "timestamp_us", "us", "time_ns", "timestamp_ns", "ns")
-ID_NAMES = ("id", "frame_id", "can_id", "canid", "arbitration_id", "message_id")
-DATA_NAMES = ("data", "payload", "bytes", "data_bytes", "hex")
-
-
-def time_scale(name: str) -> float:
-    name = name.strip().lower()
-    return next((scale for unit, scale in (("ms", 1e-3), ("us", 1e-6), ("ns", 1e-9)) if name == unit or name.endswith(f"_{unit}") or f"({unit})" in name or f"[{unit}]" in name), 1.0)
-
-
-def sniffed(head: list[str]) -> tuple[str, dict[str, int], float, bool]:
-    """(delimiter, columns of time, id and data, time scale, whether the first line is a head) from a file's first lines."""
-    if not head:
+# Names of columns in heads of tables, and of times that have a unit.
+TIME_NAMES = ("timestamp", "time", "t", "t[ms]", "time[ms]", "t[us]", "time[us]", "ts")
+ID_NAMES = ("id", "canid", "can_id", "identifier", "arbitration_id", "frame_id", "msgid")
+DATA_NAMES = ("data", "payload", "bytes", "data_bytes", "d", "raw")
+OTHER_NAMES = ("channel", "dir", "direction", "dlc")
+TIME_UNITS = {
+    1e-3: ("t[ms]", "time[ms]", "timestamp[ms]", "time_ms", "tms"),
+    1e-6: ("t[us]", "time[us]", "timestamp[us]", "time_us", "tus"),
+    1e-9: ("t[ns]", "time[ns]"),
+}
+#: Names of times that only the lists of units have; they count as times too.
+UNIT_NAMES = tuple(n for names in TIME_UNITS.values() for n in names if n not in TIME_NAMES)
+
+
+def time_scale(names: list[str]) -> float:
+    """Seconds of a unit of time: of the first name in a head that tells one."""
+    return next((scale for n in names for scale, known in TIME_UNITS.items() if n in known), 1.0)
+
+
+def sniffed(head: list[str]) -> tuple[str, dict[str, int], float, int]:
+    """(delimiter, columns of time, id and data, time scale, lines before the rows) from a file's first lines. A first line
+    with a known name is a head and must name all three columns; without one they are the first three."""
+    first = next((i for i, line in enumerate(head) if line.strip("\ufeff\r\n")), None)
+    if first is None:
         raise SchemaError("the table is empty")
+    text = [head[first].lstrip("\ufeff"), *head[first + 1 :]]
     try:
-        delimiter = csv.Sniffer().sniff("\n".join(head[:20]), ",;\t ").delimiter
+        delimiter = csv.Sniffer().sniff("\n".join(text[:20]), ",;\t ").delimiter
     except csv.Error:
-        delimiter = ","
-    names = [c.strip().strip('"').lower() for c in head[0].split(delimiter)]
-    bare = [n.split("(")[0].split("[")[0].strip() for n in names]
-    find = lambda known: next((i for i, n in enumerate(bare) if n in known), None)
-    at = {"t": find(TIME_NAMES), "id": find(ID_NAMES), "data": find(DATA_NAMES)}
+        delimiter = next((d for d in ",;\t " if d in text[0]), ",")
+    names = [c.strip().strip('"').strip().lower() for c in text[0].split(delimiter)]
+    find = lambda known: next((i for i, n in enumerate(names) if n in known), None)
+    if find((*TIME_NAMES, *ID_NAMES, *DATA_NAMES, *OTHER_NAMES, *UNIT_NAMES)) is None:
+        return delimiter, {"t": 0, "id": 1, "data": 2}, 1.0, first
+    time = find(TIME_NAMES)
+    at = {"t": find(UNIT_NAMES) if time is None else time, "id": find(ID_NAMES), "data": find(DATA_NAMES)}
     if None in at.values():
-        return delimiter, {"t": 0, "id": 1, "data": 2}, 1.0, False
-    return delimiter, at, time_scale(names[at["t"]]), True
+        raise SchemaError(f"the table's head {text[0]!r} names no column for {', '.join(k for k, v in at.items() if v is None)}")
+    return delimiter, at, time_scale(names), first + 1
 
 
 def parse_csv(lines: DataFrame, head: list[str]) -> DataFrame:
-    """Rows of a table with a head (known names of columns, times scaled by the unit named) or, without one, time, id and
-    data in the first three columns."""
-    delimiter, at, scale, has_head = sniffed(head)
+    """Rows of a table with a head (known names of columns, in any order, and times scaled by their unit) or, without one,
+    time, id and data in the first three columns. Rows that lack a cell or don't parse are left out, and so are data of
+    decimal digits alone, which may be a number as well as bytes."""
+    delimiter, at, scale, before = sniffed(head)
     cells = F.split(F.regexp_replace("line", '"', ""), "\\Q" + delimiter + "\\E")
-    data = F.try_element_at(cells, F.lit(at["data"] + 1))
-    if delimiter == " ":  # then bytes are cells of their own
+    cell = lambda name: F.trim(F.try_element_at(cells, F.lit(at[name] + 1)))
+    data = cell("data")
+    if delimiter == " " and at["data"] == max(at.values()):  # then bytes are cells of their own
         data = F.array_join(F.slice(cells, at["data"] + 1, 64), " ")
-    rows = lines.where(F.col("line") != head[0]) if has_head else lines
-    rows = rows.select("log_id", F.col("line_no").alias("seq"), (F.try_element_at(cells, F.lit(at["t"] + 1)).try_cast("double") * scale).alias("t"), integer(F.try_element_at(cells, F.lit(at["id"] + 1))).alias("frame_id"), hex_bytes(data).alias("data"))
+    rows = lines.where(~F.col("line").isin(head[:before])) if before else lines
+    rows = rows.select("log_id", F.col("line_no").alias("seq"), (cell("t").try_cast("double") * scale).alias("t"), integer(cell("id")).alias("frame_id"), F.when(~F.regexp_like(data, F.lit("^[0-9]+$")), hex_bytes(data)).alias("data"))
     return normalised(rows.where("t is not null and frame_id is not null and data is not null"))
 
 

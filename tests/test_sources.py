@@ -76,43 +76,124 @@ def test_asc(spark):
 
 
 def test_csv_json_trc(spark):
-    table = ["time_ms;id;data", "1500;0x10;00 ff", "x;1;00", "2000;20;0102"]
+    table = ["time_ms;id;data", "1500;0x10;00 ff", "x;1;00", "2000;20;01 02", "2500;20;0102"]  # digits alone are no bytes
     rows = textlogs.parse_csv(lines(spark, *table), table).orderBy("seq").collect()
     assert [(r["t"], r["frame_id"], bytes(r["data"])) for r in rows] == [(1.5, 16, b"\x00\xff"), (2.0, 20, b"\x01\x02")]
-    bare = ["0.1,1F,00", "0.2,2,01"]
+    bare = ["0.1,1F,00 1f", "0.2,2,a1"]
     assert [r["frame_id"] for r in textlogs.parse_csv(lines(spark, *bare), bare).orderBy("seq").collect()] == [31, 2]
     doc = spark.createDataFrame([("a", '{"frames":[{"t":1,"id":"0x1","data":[1,258]},{"time":2,"can_id":5,"payload":"0a","channel":3},{"t":3}]}')], "log_id string, text string")
     assert [(r["t"], r["frame_id"], bytes(r["data"]), r["channel"]) for r in textlogs.parse_json(doc).orderBy("seq").collect()] == [(1.0, 1, b"\x01\x02", 0), (2.0, 5, b"\x0a", 3)]
     assert [r["frame_id"] for r in textlogs.parse_trc(lines(spark, "1) 1.5 0123 Rx 2 01 02", "2.5 7FF Tx d 1 00", ";x")).orderBy("seq").collect()] == [0x123, 0x7FF]
 
 
+@pytest.mark.parametrize(
+    "head, row",
+    [
+        ("identifier,time,raw", "0x10,1.5,00 ff"), ("\ufeffmsgid;d;t[ms]", "16;0x0 0xff;1500"), ("Arbitration_ID\tDLC\tTimestamp\tPayload", "16\t2\t1.5\t00ff"),
+        ('"canid","bytes","time_us"', '"0x10","00 ff","1500000"'), ("dir,ts,can_id,data_bytes", "Rx,1.5,10h,00 ff\nTx,1.5,0x10,00ff"), ("t id data", "1.5 0x10 00 ff"), ("tns,frame_id,data,time[ns]", "0,16,00ff,1500000000"),
+    ],
+)
+def test_heads_of_tables(spark, head, row):
+    table = ["", head, *row.split("\n")]
+    rows = textlogs.parse_csv(lines(spark, *table), table).collect()
+    assert [(r["t"], r["frame_id"], bytes(r["data"])) for r in rows] == [(1.5, 16, b"\x00\xff")]
+
+
+def test_heads_that_lack_a_column(spark):
+    for head in ("channel,x,y", "time,id", "seconds,id,data"):  # a name that isn't in the lists counts for nothing
+        with pytest.raises(SchemaError):
+            textlogs.sniffed([head, "1,2,3"])
+    assert textlogs.sniffed(["a,b,c", "1,2,3"])[1] == {"t": 0, "id": 1, "data": 2}
+
+
 def obj(kind, body, ticks=0, flags=2):
     whole = b"LOBJ" + struct.pack("<HHII", 32, 1, 32 + len(body), kind) + struct.pack("<IHHQ", flags, 0, 0, ticks) + body
     return whole + b"\0" * (len(whole) % 4)
 
 
-def test_binary_log(spark, tmp_path):
-    classic = lambda i, data, ticks: obj(1, struct.pack("<HBBI", 2, 0, len(data), i) + data.ljust(8, b"\0"), ticks)
-    wide = obj(101, struct.pack("<BBBBI", 1, 9, 12, 0, 0x80000123) + b"\0" * 32 + bytes(range(12)), 3_000_000_000)
-    stream = classic(0x10, b"LOBJ\x01", 1_000_000_000) + obj(73, struct.pack("<HHIB", 1, 0, 0, 0x40) + b"\0" * 30, 2_000_000_000) + wide
-    cut = len(stream) - 20
-    parts = [stream[:cut], stream[cut:]]
+def classic(ident, data, ticks, channel=2):
+    return obj(1, struct.pack("<HBBI", channel, 0, len(data), ident) + data.ljust(8, b"\0"), ticks)
+
+
+def recording(parts, pack=True):
+    """A log whose containers hold the parts; every other one isn't packed, and other objects lie between them."""
     out = b"LOGG" + struct.pack("<I", 144) + b"\0" * 32 + struct.pack("<8H", 1970, 1, 0, 1, 0, 0, 10, 0) + b"\0" * 88
-    for part in parts:
-        body = zlib.compress(part)
-        out += b"LOBJ" + struct.pack("<HHII", 16, 1, 32 + len(body), 10) + struct.pack("<HHIII", 2, 0, 0, len(part), 0) + body
+    for k, part in enumerate(parts):
+        body = zlib.compress(part) if pack and k % 2 == 0 else part
+        out += b"LOBJ" + struct.pack("<HHII", 16, 1, 32 + len(body), 10) + struct.pack("<HHIII", 2 if body != part else 0, 0, 0, len(part), 0) + body
         out += b"\0" * ((32 + len(body)) % 4)
-    (tmp_path / "a.blf").write_bytes(out)
-    rows = textlogs.read_log(spark, str(tmp_path / "a.blf")).orderBy("seq").collect()
-    assert [(r["t"], r["frame_id"], r["kind"], r["channel"], bytes(r["data"]), r["error_type"]) for r in rows] == [
-        (11.0, 0x10, "data", 1, b"LOBJ\x01", None), (12.0, 0, "error", 0, b"", "form"), (13.0, 0x123, "data", 0, bytes(range(12)), None)
+        if k % 5 == 3:
+            out += obj(65, b"note" * 3)
+    return out
+
+
+def test_binary_log(spark, tmp_path):
+    long = obj(101, struct.pack("<BBBBI", 1, 9, 12, 0, 0x80000123) + b"\0" * 32 + bytes(range(12)), 3_000_000_000)
+    short = obj(101, struct.pack("<BBBBI", 1, 9, 12, 0, 0x80000124) + b"\0" * 32 + bytes(range(5)), 3_500_000_000)  # says 12, has 5
+    flexible = obj(100, struct.pack("<HBBIIBBB5x", 3, 0, 15, 0x20, 0, 0, 0, 20) + bytes(range(64)), 400_000, 1)
+    errors = b"".join(obj(73, struct.pack("<H14xI12x", 1, bits), 2_000_000_000) for bits in (0x80000006, 0x10, 0x21, 0x40, 0x20))
+    stream = classic(0x10, b"LOBJ\x01", 1_000_000_000) + errors + long + short + flexible
+    cut = len(stream) - 100
+    (tmp_path / "a.blf").write_bytes(recording([stream[:cut], stream[cut:]]))
+    shown = lambda frames: [(r["t"], r["frame_id"], r["kind"], r["channel"], bytes(r["data"]), r["error_type"]) for r in frames.orderBy("seq").collect()]
+    expected = [
+        (11.0, 0x10, "data", 1, b"LOBJ\x01", None),
+        *((12.0, i, "error", 0, b"", what) for i, what in ((6, "form"), (0x10, "bit"), (0x21, "stuff"), (0x40, "other"), (0x20, "crc"))),
+        (13.0, 0x123, "data", 0, bytes(range(12)), None), (13.5, 0x124, "data", 0, bytes(range(5)) + b"\0" * 7, None), (14.0, 0x20, "data", 2, bytes(range(20)), None),
     ]
+    assert shown(textlogs.read_log(spark, str(tmp_path / "a.blf"))) == shown(blf.whole_files(spark, str(tmp_path / "a.blf"))) == expected
     with pytest.raises(SchemaError):
         next(blf.frames_of(b"nothing"))
     with pytest.raises(SchemaError):
         textlogs.read_log(spark, "x.mf4")
 
 
+def test_binary_log_in_ranges(spark, tmp_path):
+    """Any cut of a file gives the same frames, whether objects end with containers, span several, or hold signatures."""
+    draw, stream = random.Random(11), b""
+    for i in range(900):
+        bait = draw.choice([b"", b"LOBJ", b"LOBJ\x20\0\x01", draw.randbytes(8)])
+        stream += classic(draw.randrange(2048), bait.ljust(8, b"!")[: draw.randint(4, 8)], i) if draw.random() < 0.8 else obj(draw.choice([101, 6]), struct.pack("<BBBBI", 1, 0, 64, 0, 5) + b"\0" * 32 + (b"LOBJ" + struct.pack("<HHII", 32, 1, draw.randrange(40, 200), 1)).ljust(64, b"x"), i)
+    parts = []
+    while stream:
+        n = draw.choice([3, 20, 90, 700, 2500])
+        parts, stream = [*parts, stream[:n]], stream[n:]
+    content = recording(parts)
+    log = blf.Log(lambda at, n: content[at : at + n], len(content))
+    whole = [r for b in blf.frames_of(content) for r in b.to_pylist()]
+    assert len(whole) > 700 and [r["seq"] for r in whole] == sorted({r["seq"] for r in whole})
+    for split in (500, 3000, 40_000):
+        some = [r for at in range(0, len(content), split) for b in blf.range_frames(log, at, min(at + split, len(content)), "log") for r in b.to_pylist()]
+        assert some == whole
+    (tmp_path / "b.blf").write_bytes(content)
+    read = blf.read(spark, str(tmp_path), split=20_000)
+    assert read.rdd.getNumPartitions() == 3 and [bytes(r["data"]) for r in read.orderBy("seq").collect()] == [r["data"] for r in whole]
+
+
+def test_broken_binary_logs():
+    frames = b"".join(classic(i, bytes(8), i) for i in range(60))
+    good = recording([frames])
+    rows = lambda content: sum(len(b) for b in blf.frames_of(content))
+    assert rows(good) == 60
+    gap = recording([frames[:480] + b"?" * 9 + frames[480:]], pack=False)  # more than padding between two objects
+    late = recording([b"?" * 8 + frames], pack=False)
+    zero = recording([frames[:480] + b"LOBJ" + struct.pack("<HHII", 32, 1, 0, 1) + b"\0" * 32 + frames[480:]], pack=False)
+    for content in (gap, late, zero, good[:-40], good[:144] + b"junk" + good[144:], good.replace(struct.pack("<HHI", 2, 0, 0), struct.pack("<HHI", 7, 0, 0), 1)):
+        with pytest.raises(SchemaError):
+            rows(content)
+    padded = recording([frames[:480] + b"\0" * 7 + frames[480:]], pack=False)
+    assert rows(padded) == 60 and rows(recording([b""])) == 0 and rows(recording([])) == 0
+
+
+def test_written_binary_logs(spark, tmp_path):
+    frames = source.normalised(spark.range(3000).select(F.col("id").alias("seq"), (1e9 + F.col("id") / 1000).alias("t"), (F.col("id") % 3).cast("int").alias("channel"), (F.col("id") % 5000).alias("frame_id"),
+        F.when(F.col("id") % 50 == 0, "error").otherwise("data").alias("kind"), F.when(F.col("id") % 50 == 0, F.lit(b"")).otherwise(F.unhex(F.repeat(F.lit("a1"), (F.col("id") % 13).cast("int")))).alias("data"), F.when(F.col("id") % 50 == 0, "ack").alias("error_type")))
+    assert blf.write(frames.repartition(2), f"file://{tmp_path}/logs", 5000).agg(F.sum("frames")).first()[0] == 3000
+    back = blf.read(spark, f"file://{tmp_path}/logs", 10_000)
+    key = lambda df: sorted((round(r["t"] * 1000), r["channel"], r["frame_id"] if r["kind"] == "data" else 4, r["kind"], bytes(r["data"]), r["error_type"]) for r in df.collect())
+    assert key(back) == key(frames) and back.select("log_id").distinct().count() == 2
+
+
 def test_hex_and_numbers(spark):
     rows = spark.createDataFrame([("00 11", b"\x00\x11"), ("0x1 0xFF", b"\x01\xff"), ("abc", None), ("", b""), ("1FF 0", None)], "text string, expected binary")
     for r in rows.select("text", "expected", bits.hex_bytes(F.col("text")).alias("got")).collect():
