@@ -22,6 +22,19 @@ def chunk_of(t: Column, seconds: float) -> Column:
     return F.floor(t / F.lit(float(seconds))).cast("long")
 
 
+def previous(rows: DataFrame, keys: list[str], values: dict[str, str], chunk_seconds: float = 600.0) -> DataFrame:
+    """rows(keys..., t, seq, ...) with values {column: new name} of the row before among those with the same keys, by (t, seq);
+    null at the first. Within chunks of time a window looks back; each chunk's last row, one small row, goes on to the
+    next chunk. So no task has a key's whole history."""
+    packed = F.struct(*values)
+    rows = rows.withColumn("__chunk", chunk_of(F.col("t"), chunk_seconds))
+    last = rows.groupBy(*keys, "__chunk").agg(F.max_by(packed, F.struct("t", "seq")).alias("__last"))
+    carried = last.select(*keys, "__chunk", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__chunk")).alias("__carried"))
+    before = F.coalesce(F.lag(packed).over(Window.partitionBy(*keys, "__chunk").orderBy("t", "seq")), F.col("__carried"))
+    found = rows.join(carried, [*keys, "__chunk"]).withColumn("__before", before)
+    return found.withColumns({new: F.col("__before")[c] for c, new in values.items()}).drop("__chunk", "__carried", "__before")
+
+
 def at_ticks(frames: DataFrame, catalog: Catalog, names: list[str]) -> DataFrame:
     """(log_id, t, one nullable sample struct per name, sampled): what was recorded at each tick."""
     found = resolve(catalog, names)

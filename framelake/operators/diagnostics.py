@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.operators import timing
+from framelake.operators.align import previous
 from framelake.operators.decode import byte_fields, data_frames, samples
 from framelake.plans.catalog import Catalog
 
@@ -36,6 +37,7 @@ class Config:
     storm_window: float = 0.1
     offline_factor: float = 3.0
     near: float = 0.05
+    chunk: float = timing.CHUNK  # of time, which a task looks at in one piece
     periods: dict[int, float] = field(default_factory=dict)
     nodes: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
@@ -83,7 +85,7 @@ def check_load(frames: DataFrame, config: Config) -> DataFrame:
 
 def periodicity(frames: DataFrame, config: Config) -> DataFrame:
     """(log_id, frame_id, start, end, gap_ms, missing): gaps beyond the schema's period, all channels merged."""
-    rows = timing.deltas(frames, ["log_id", "frame_id"]).where("before is not null").join(periods_table(frames, config), "frame_id")
+    rows = timing.deltas(frames, ["log_id", "frame_id"], config.chunk).where("before is not null").join(periods_table(frames, config), "frame_id")
     gap = F.col("delta") * 1000
     late = rows.where(gap > F.col("cycle_time_ms") * (1 + config.tolerance))
     return late.select("log_id", "frame_id", F.col("before").alias("start"), F.col("t").alias("end"), gap.alias("gap_ms"), timing.missing(gap, F.col("cycle_time_ms")).alias("missing"))
@@ -95,7 +97,7 @@ def check_periodicity(frames: DataFrame, config: Config) -> DataFrame:
 
 
 def check_silence(frames: DataFrame, config: Config) -> DataFrame:
-    rows = timing.silence(frames, config.silence)
+    rows = timing.silence(frames, config.silence, config.chunk)
     return finding(rows, "bus_silence", "error", F.format_string("no frame for %.3f s", "gap"), F.col("start"), F.col("end"), value=F.col("gap"))
 
 
@@ -109,12 +111,12 @@ def node_gaps(frames: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     which a log has no frame at all (log_id, node)."""
     nodes = node_table(frames, config)
     sent = data_frames(frames).join(nodes, "frame_id")
-    before = F.lag("t").over(Window.partitionBy("log_id", "node").orderBy("t", "seq"))
-    gaps = sent.select("log_id", "node", "period_ms", "t", "seq", before.alias("start"), F.col("t").alias("end"))
+    sent = sent.select("log_id", "node", "period_ms", "t", "seq", "kind")
+    gaps = previous(sent, ["log_id", "node"], {"t": "start"}, config.chunk).withColumn("end", F.col("t"))
     gaps = gaps.withColumn("gap", F.col("end") - F.col("start")).where(F.col("gap") * 1000 > F.col("period_ms") * config.offline_factor)
     # Frames of others within [start, end]: all frames of the closed span, less the node's own at its ends.
-    both = timing.counts_before(frames)
-    own = timing.counts_before(sent, ["log_id", "node"])
+    both = timing.counts_before(frames, chunk_seconds=config.chunk)
+    own = timing.counts_before(sent, ["log_id", "node"], config.chunk)
     first = both.select("log_id", F.col("t").alias("start"), F.col("under").alias("__a")).join(own.select("log_id", "node", F.col("t").alias("start"), F.col("under").alias("__own_a")), ["log_id", "start"])
     last = both.select("log_id", F.col("t").alias("end"), F.col("upto").alias("__b")).join(own.select("log_id", "node", F.col("t").alias("end"), F.col("upto").alias("__own_b")), ["log_id", "end"])
     gaps = gaps.join(first, ["log_id", "node", "start"]).join(last, ["log_id", "node", "end"])
@@ -213,7 +215,7 @@ def capabilities(frames: DataFrame, with_schema: bool) -> dict[str, bool]:
 
 
 def bases(frames: DataFrame, config: Config) -> DataFrame:
-    return timing.base_period(timing.period_stats(frames), periods_table(frames, config), config.tolerance)
+    return timing.base_period(timing.period_stats(frames, chunk_seconds=config.chunk), periods_table(frames, config), config.tolerance)
 
 
 def gap_factor(config: Config) -> float:
@@ -222,7 +224,7 @@ def gap_factor(config: Config) -> float:
 
 def message_gaps(frames: DataFrame, config: Config, every: DataFrame | None = None) -> DataFrame:
     """Gaps of messages with the bus frames inside them, counted among `every` (else among frames)."""
-    return timing.with_traffic(timing.message_gaps(frames, bases(frames, config), gap_factor(config)), timing.counts_before(frames if every is None else every))
+    return timing.with_traffic(timing.message_gaps(frames, bases(frames, config), gap_factor(config), config.chunk), timing.counts_before(frames if every is None else every, chunk_seconds=config.chunk))
 
 
 def check_message_gaps(frames: DataFrame, config: Config, most: int = 10, every: DataFrame | None = None) -> DataFrame:
@@ -259,7 +261,7 @@ def check_stop_late(frames: DataFrame, config: Config, every: DataFrame | None =
 
 
 def check_bursts(frames: DataFrame, config: Config) -> DataFrame:
-    rows = timing.bursts(frames, bases(frames, config))
+    rows = timing.bursts(frames, bases(frames, config), config.chunk)
     return finding(rows, "msg_burst", "warn", F.format_string("%s: %d frames too early", hex_id("frame_id"), "bursts"), entities=F.array(hex_id("frame_id")), value=F.col("bursts"))
 
 
@@ -288,15 +290,15 @@ def payload_key(data: Column | str = "data") -> Column:
     return F.rpad(F.hex(data), 128, "0")
 
 
-def payload_runs(frames: DataFrame) -> DataFrame:
+def payload_runs(frames: DataFrame, chunk_seconds: float = timing.CHUNK) -> DataFrame:
     """(log_id, frame_id, n, changes, run_start, run_end, run_length, first_t, last_t) of payloads, channels merged."""
     rows = data_frames(frames).select("log_id", "frame_id", "t", "seq", payload_key().alias("p"))
     bounds = rows.groupBy("log_id", "frame_id").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
-    return timing.longest_runs(rows, ["log_id", "frame_id"], "p").join(bounds, ["log_id", "frame_id"])
+    return timing.longest_runs(rows, ["log_id", "frame_id"], "p", chunk_seconds).join(bounds, ["log_id", "frame_id"])
 
 
-def check_payloads(frames: DataFrame) -> DataFrame:
-    rows = payload_runs(frames).withColumn("held", F.col("run_end") - F.col("run_start"))
+def check_payloads(frames: DataFrame, config: Config = Config()) -> DataFrame:
+    rows = payload_runs(frames, config.chunk).withColumn("held", F.col("run_end") - F.col("run_start"))
     id_ = F.array(hex_id("frame_id"))
     whole = rows.where("n >= 3 and changes = 0")
     part = rows.where("changes > 0").where(F.col("held") >= timing.stuck_bound(F.col("last_t") - F.col("first_t")))
@@ -305,8 +307,8 @@ def check_payloads(frames: DataFrame) -> DataFrame:
 
 
 def check_errors_near(frames: DataFrame, config: Config, most: int = 10) -> DataFrame:
-    gaps = timing.message_gaps(frames, bases(frames, config), gap_factor(config)).select("log_id", "frame_id", "channel", "start", "end")
-    near = timing.errors_near(gaps, frames, config.near).groupBy("log_id", "frame_id", "start", "end").agg(F.array_sort(F.collect_list(F.format_string("%s x%d", "what", "n"))).alias("what"), F.sum("n").alias("n"))
+    gaps = timing.message_gaps(frames, bases(frames, config), gap_factor(config), config.chunk).select("log_id", "frame_id", "channel", "start", "end")
+    near = timing.errors_near(gaps, frames, config.near, config.chunk).groupBy("log_id", "frame_id", "start", "end").agg(F.array_sort(F.collect_list(F.format_string("%s x%d", "what", "n"))).alias("what"), F.sum("n").alias("n"))
     first = near.withColumn("nth", F.row_number().over(Window.partitionBy("log_id", "frame_id").orderBy("start"))).where(F.col("nth") <= most)
     return finding(first, "msg_error_nearby", "error", F.format_string("%s: %d bus errors at a gap", hex_id("frame_id"), "n"), F.col("start"), F.col("end"), F.col("what"), F.col("n"))
 
@@ -320,7 +322,7 @@ def message_findings(frames: DataFrame, catalog: Catalog, config: Config) -> Dat
     """Findings of all messages, worst first, then earliest first."""
     messages = catalog.message_table(frames.sparkSession)
     parts = [check_message_periods(frames, config), check_message_gaps(frames, config), check_bursts(frames, config), check_stop_late(frames, config), check_dlc(frames, messages), check_channels(frames)]
-    parts += [check_payloads(frames), check_errors_near(frames, config), check_decode(frames, messages)]
+    parts += [check_payloads(frames, config), check_errors_near(frames, config), check_decode(frames, messages)]
     return union(parts).orderBy(severity_order(), F.coalesce("time_start", F.lit(0.0)), "check", "title")
 
 
@@ -345,15 +347,15 @@ def ranking(frames: DataFrame, config: Config, most: int = 30) -> DataFrame:
 # --- raw fields without a schema ----------------------------------------------------------------------------------
 
 
-def raw_fields(frames: DataFrame) -> DataFrame:
+def raw_fields(frames: DataFrame, chunk_seconds: float = timing.CHUNK) -> DataFrame:
     """(log_id, frame_id, byte, field, bits, n, uniques, steps, equal, changes, max_value) of the primary channel's bytes and
     nibbles, as wide as the shortest frame; ids with at least 8 frames."""
     sizes = data_frames(frames).groupBy("log_id", "frame_id", "channel").agg(F.count("*").alias("n"), F.min("dlc").alias("width"))
     nth = F.row_number().over(Window.partitionBy("log_id", "frame_id").orderBy(F.desc("n"), "channel"))
     main = sizes.withColumn("nth", nth).where("nth = 1 and n >= 8").select("log_id", "frame_id", "channel", "width")
     rows = byte_fields(frames).join(main, ["log_id", "frame_id", "channel"]).where("byte < width")
-    step = F.col("value") - F.lag("value").over(Window.partitionBy("log_id", "frame_id", "byte", "field").orderBy("t", "seq"))
-    rows = rows.withColumn("step", step).withColumn("modulus", F.when(F.col("bits") == 8, 256).otherwise(16))
+    rows = previous(rows, ["log_id", "frame_id", "byte", "field"], {"value": "last"}, chunk_seconds).withColumn("step", F.col("value") - F.col("last"))
+    rows = rows.withColumn("modulus", F.when(F.col("bits") == 8, 256).otherwise(16))
     is_step = (F.col("step") == 1) | (F.col("step") == 1 - F.col("modulus"))
     return rows.groupBy("log_id", "frame_id", "byte", "field", "bits").agg(
         F.count("*").alias("n"), F.count_distinct("value").alias("uniques"), F.count_if(is_step).alias("steps"), F.count_if(F.col("step") == 0).alias("equal"), F.count_if(F.col("step") != 0).alias("changes")
@@ -381,7 +383,7 @@ def checksum_bytes(fields: DataFrame, counters: DataFrame, most: int = 4) -> Dat
 SIGNAL = ["log_id", "message_id", "signal"]
 
 
-def signal_profiles(values: DataFrame) -> DataFrame:
+def signal_profiles(values: DataFrame, chunk_seconds: float = timing.CHUNK) -> DataFrame:
     """values as decode.samples() gives them -> (log_id, message_id, signal, n, changes, uniques, minimum, maximum,
     last, constant, run_start, run_end, first_t, last_t)."""
     rows = values.withColumn("shown", F.coalesce("label", F.col("num").cast("string")))
@@ -389,7 +391,7 @@ def signal_profiles(values: DataFrame) -> DataFrame:
         F.count_distinct("shown").alias("uniques"), F.min(F.when(F.col("label").isNull(), F.col("num"))).alias("minimum"), F.max(F.when(F.col("label").isNull(), F.col("num"))).alias("maximum"),
         F.max_by("shown", F.struct("t", "seq")).alias("last"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
     )
-    runs = timing.longest_runs(rows, SIGNAL, "shown")
+    runs = timing.longest_runs(rows, SIGNAL, "shown", chunk_seconds)
     return runs.join(stats, SIGNAL).withColumn("constant", F.col("changes") == 0)
 
 
@@ -422,12 +424,11 @@ def invalid_labels(values: DataFrame, catalog: Catalog) -> DataFrame:
     return rows.groupBy(*SIGNAL).agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.sort_array(F.collect_set("raw")).alias("raws"))
 
 
-def counter_steps(values: DataFrame, catalog: Catalog) -> DataFrame:
+def counter_steps(values: DataFrame, catalog: Catalog, chunk_seconds: float = timing.CHUNK) -> DataFrame:
     """Samples of counters with their step since the last one: signals named like counters, or that behave so (8 samples
     or more, 4 values or more, 70 % steps)."""
     rows = values.join(signal_meta(values, catalog).select("message_id", "signal", "bits", "enumerated"), ["message_id", "signal"]).where("not enumerated")
-    order = Window.partitionBy(*SIGNAL, "channel").orderBy("t", "seq")
-    rows = rows.withColumn("before", F.lag("t").over(order)).withColumn("step", F.col("raw") - F.lag("raw").over(order)).withColumn("modulus", F.expr("shiftleft(1L, bits)"))
+    rows = previous(rows, [*SIGNAL, "channel"], {"t": "before", "raw": "last"}, chunk_seconds).withColumn("step", F.col("raw") - F.col("last")).withColumn("modulus", F.expr("shiftleft(1L, bits)"))
     rows = rows.withColumn("is_step", (F.col("step") == 1) | (F.col("step") == 1 - F.col("modulus")))
     about = rows.groupBy(*SIGNAL).agg(F.count("*").alias("n"), F.count_distinct("raw").alias("uniques"), F.count_if("is_step").alias("steps"), F.count("step").alias("pairs"))
     counts = about.where(F.regexp_like("signal", F.lit(COUNTER_NAME)) | ((F.col("n") >= 8) & (F.col("uniques") >= 4) & (F.col("steps") >= 0.7 * F.col("pairs")))).select(*SIGNAL)
@@ -441,9 +442,9 @@ def counter_jumps(steps: DataFrame, gaps: DataFrame) -> DataFrame:
     return rows.join(across, ["log_id", "message_id", "channel", "before"], "left_anti").select(*SIGNAL, "channel", "t", "step")
 
 
-def counter_freezes(steps: DataFrame, base: DataFrame) -> DataFrame:
+def counter_freezes(steps: DataFrame, base: DataFrame, chunk_seconds: float = timing.CHUNK) -> DataFrame:
     """Longest stretch without a step, if 0.1 s or five base periods long: (keys..., channel, start, end)."""
-    runs = timing.longest_runs(steps, [*SIGNAL, "channel"], "raw").join(base.select("log_id", F.col("frame_id").alias("message_id"), "channel", "base_ms"), ["log_id", "message_id", "channel"])
+    runs = timing.longest_runs(steps, [*SIGNAL, "channel"], "raw", chunk_seconds).join(base.select("log_id", F.col("frame_id").alias("message_id"), "channel", "base_ms"), ["log_id", "message_id", "channel"])
     held = F.col("run_end") - F.col("run_start")
     return runs.where(held >= F.greatest(F.lit(0.1), 5 * F.col("base_ms") / 1000)).where("run_length > 1").select(*SIGNAL, "channel", F.col("run_start").alias("start"), F.col("run_end").alias("end"))
 
@@ -451,11 +452,11 @@ def counter_freezes(steps: DataFrame, base: DataFrame) -> DataFrame:
 def signal_findings(frames: DataFrame, catalog: Catalog, config: Config) -> DataFrame:
     """Findings of all signals of all messages that can be decoded, worst first."""
     values = samples(frames, catalog)
-    profiles, base = signal_profiles(values), bases(frames, config)
-    steps = counter_steps(values, catalog)
+    profiles, base = signal_profiles(values, config.chunk), bases(frames, config)
+    steps = counter_steps(values, catalog, config.chunk)
     name = F.array("signal")
     beyond, unnamed = out_of_range(values, catalog), invalid_labels(values, catalog)
-    jumps = counter_jumps(steps, timing.message_gaps(frames, base, gap_factor(config))).groupBy(*SIGNAL).agg(F.count("*").alias("n"), F.min("t").alias("t"))
+    jumps = counter_jumps(steps, timing.message_gaps(frames, base, gap_factor(config), config.chunk)).groupBy(*SIGNAL).agg(F.count("*").alias("n"), F.min("t").alias("t"))
     sums = [s.name for m in catalog.messages for s in m.signals if re.search(CHECKSUM_NAME, s.name)]
     parts = [
         check_constant(profiles),
@@ -463,7 +464,7 @@ def signal_findings(frames: DataFrame, catalog: Catalog, config: Config) -> Data
         finding(beyond, "sig_range", "warn", F.format_string("%s out of range %d times", "signal", "n"), F.col("first_t"), None, name, F.col("n")),
         finding(unnamed, "sig_enum_invalid", "warn", F.format_string("%s has unnamed values %d times", "signal", "n"), F.col("first_t"), None, name, F.col("n")),
         finding(jumps, "sig_counter", "error", F.format_string("%s jumps %d times", "signal", "n"), F.col("t"), None, name, F.col("n")),
-        finding(counter_freezes(steps, base), "sig_counter", "error", F.format_string("%s stops counting", "signal"), F.col("start"), F.col("end"), name),
+        finding(counter_freezes(steps, base, config.chunk), "sig_counter", "error", F.format_string("%s stops counting", "signal"), F.col("start"), F.col("end"), name),
         finding(profiles.where("constant and n >= 3").where(F.col("signal").isin(sums)), "sig_checksum", "warn", F.format_string("checksum %s never changes", "signal"), F.col("first_t"), F.col("last_t"), name),
     ]
     return union(parts).orderBy(severity_order(), F.coalesce("time_start", F.lit(0.0)), "check", "title")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.operators import diagnostics, timing
+from framelake.operators.align import previous
 from framelake.operators.decode import byte_fields, data_frames
 from framelake.plans.catalog import Catalog
 
@@ -54,29 +55,28 @@ def absent(frames: DataFrame, catalog: Catalog, frame_id: int) -> DataFrame:
     return diagnostics.finding(near.withColumn("log_id", F.lit(None).cast("string")), "msg_absent", "error", title, entities=F.array(F.lit(f"0x{frame_id:X}")), value=F.col("n"))
 
 
-def raw_steps(frames: DataFrame, counters: DataFrame) -> DataFrame:
+def raw_steps(frames: DataFrame, counters: DataFrame, chunk_seconds: float = timing.CHUNK) -> DataFrame:
     """Values of raw fields that count, of the primary channel, with their steps, as counter_steps() gives those of signals."""
     main = diagnostics.primary(data_frames(frames).groupBy("log_id", "frame_id", "channel").agg(F.count("*").alias("n_frames"))).select("log_id", "frame_id", "channel")
     rows = byte_fields(frames).join(main, ["log_id", "frame_id", "channel"]).join(counters.select("log_id", "frame_id", "byte", "field"), ["log_id", "frame_id", "byte", "field"])
     name = F.concat(F.lit("Byte"), F.col("byte").cast("string"), F.when(F.col("field") == "byte", "").otherwise(F.concat(F.lit("."), F.col("field"))))
     rows = rows.select("log_id", F.col("frame_id").alias("message_id"), name.alias("signal"), "channel", "t", "seq", F.col("value").alias("raw"), "bits")
     modulus = F.when(F.col("bits") == 8, 256).otherwise(16)
-    order = Window.partitionBy(*diagnostics.SIGNAL, "channel").orderBy("t", "seq")
-    rows = rows.withColumn("before", F.lag("t").over(order)).withColumn("step", F.col("raw") - F.lag("raw").over(order))
+    rows = previous(rows, [*diagnostics.SIGNAL, "channel"], {"t": "before", "raw": "last"}, chunk_seconds).withColumn("step", F.col("raw") - F.col("last"))
     return rows.withColumn("is_step", (F.col("step") == 1) | (F.col("step") == 1 - modulus))
 
 
 def raw_findings(frames: DataFrame, config: diagnostics.Config) -> tuple[DataFrame, DataFrame]:
     """(counting fields and bytes that may be checksums, findings): jumps and stops of the fields that count. Nothing is said
     about whether a checksum is right, as its rule can't be known."""
-    fields = diagnostics.raw_fields(frames)
+    fields = diagnostics.raw_fields(frames, config.chunk)
     counters = diagnostics.raw_counters(fields)
-    steps, base = raw_steps(frames, counters), diagnostics.bases(frames, config)
-    gaps = timing.message_gaps(frames, base, diagnostics.gap_factor(config))
+    steps, base = raw_steps(frames, counters, config.chunk), diagnostics.bases(frames, config)
+    gaps = timing.message_gaps(frames, base, diagnostics.gap_factor(config), config.chunk)
     jumps = diagnostics.counter_jumps(steps, gaps).groupBy(*diagnostics.SIGNAL).agg(F.count("*").alias("n"), F.min("t").alias("t"))
     name = F.array("signal")
     found = diagnostics.finding(jumps, "msg_raw_counter", "error", F.format_string("%s jumps %d times", "signal", "n"), F.col("t"), None, name, F.col("n"))
-    stops = diagnostics.finding(diagnostics.counter_freezes(steps, base), "msg_raw_counter", "error", F.format_string("%s stops counting", "signal"), F.col("start"), F.col("end"), name)
+    stops = diagnostics.finding(diagnostics.counter_freezes(steps, base, config.chunk), "msg_raw_counter", "error", F.format_string("%s stops counting", "signal"), F.col("start"), F.col("end"), name)
     kinds = counters.select("log_id", "frame_id", "byte", "field", F.lit("counter").alias("role"), "ratio")
     sums = diagnostics.checksum_bytes(fields, counters).select("log_id", "frame_id", "byte", F.lit("byte").alias("field"), F.lit("checksum").alias("role"), "ratio")
     return kinds.unionByName(sums), found.unionByName(stops)
@@ -88,7 +88,7 @@ def signal_section(frames: DataFrame, catalog: Catalog, config: diagnostics.Conf
 
     found = diagnostics.signal_findings(frames, catalog, config)
     issues = found.select("log_id", F.explode("entities").alias("signal"), "check").groupBy("log_id", "signal").agg(F.array_sort(F.collect_set("check")).alias("issues"))
-    profiles = diagnostics.signal_profiles(samples(frames, catalog)).join(issues, ["log_id", "signal"], "left")
+    profiles = diagnostics.signal_profiles(samples(frames, catalog), config.chunk).join(issues, ["log_id", "signal"], "left")
     return profiles.withColumn("issues", F.coalesce("issues", F.array().cast("array<string>"))), found
 
 
@@ -103,8 +103,8 @@ def diagnose(frames: DataFrame, catalog: Catalog, frame_id: int, config: diagnos
     small = Catalog((message,) if message else (), catalog.nodes)
     table = small.message_table(frames.sparkSession)
     parts = [diagnostics.check_message_periods(own, config), diagnostics.check_message_gaps(own, config, every=frames), diagnostics.check_bursts(own, config), diagnostics.check_stop_late(own, config, every=frames)]
-    parts += [diagnostics.check_dlc(own, table), diagnostics.check_channels(own), diagnostics.check_payloads(own), diagnostics.check_errors_near(own, config), diagnostics.check_decode(own, table)]
-    stats = timing.period_stats(mine).join(diagnostics.channels_of(mine), ["log_id", "frame_id"])
+    parts += [diagnostics.check_dlc(own, table), diagnostics.check_channels(own), diagnostics.check_payloads(own, config), diagnostics.check_errors_near(own, config), diagnostics.check_decode(own, table)]
+    stats = timing.period_stats(mine, chunk_seconds=config.chunk).join(diagnostics.channels_of(mine), ["log_id", "frame_id"])
     out = Report(about, message is not None, True, diagnostics.union(parts), stats=stats)
     if message is None:
         out.raw, more = raw_findings(mine, config)

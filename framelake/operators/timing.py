@@ -9,24 +9,59 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.bits import frame_bits
+from framelake.operators.align import chunk_of, previous
 from framelake.operators.decode import data_frames
 
 MESSAGE = ["log_id", "frame_id", "channel"]
 
 
-def deltas(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """Data frames with before (the previous instant of the same keys) and delta."""
-    before = F.lag("t").over(Window.partitionBy(*keys).orderBy("t", "seq"))
-    return data_frames(frames).withColumn("before", before).withColumn("delta", F.col("t") - F.col("before"))
+#: Seconds of a chunk of time, where a caller names none: what a task looks at in one piece.
+CHUNK = 600.0
 
 
-def period_stats(frames: DataFrame, keys: list[str] = MESSAGE) -> DataFrame:
+def deltas(frames: DataFrame, keys: list[str], chunk_seconds: float = CHUNK) -> DataFrame:
+    """Data frames with before (the previous instant of the same keys) and delta; in chunks of time."""
+    return previous(data_frames(frames), keys, {"t": "before"}, chunk_seconds).withColumn("delta", F.col("t") - F.col("before"))
+
+
+#: Bins of an octave into which values are sorted before their order is looked at.
+BINS = 4096
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys..., one column for each share): exact quantiles of values that aren't negative, interpolated between neighbours.
+
+    Equal values are counted first, before any shuffle; then values are counted by bins of their logarithm. A wanted rank
+    names a bin, and only values in such bins (of which a key has two for each share at most) are put in order. So no
+    task holds a key's values."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    counts = counts.withColumn("__bin", F.when(F.col("__v") > 0, F.floor(F.log2("__v") * BINS)).otherwise(F.lit(-(1 << 40))))
+    bins = counts.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__m"))
+    upto = F.sum("__m").over(Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0))
+    placed = bins.withColumn("__under", upto - F.col("__m")).withColumn("__all", F.sum("__m").over(Window.partitionBy(*keys)))
+    rank = lambda share: F.lit(float(share)) * (F.col("__all") - 1)
+    holds = lambda r, under, n: (r >= F.col(under)) & (r < F.col(under) + F.col(n))
+    wanted = F.lit(False)
+    for share in shares.values():
+        wanted = wanted | holds(F.floor(rank(share)), "__under", "__m") | holds(F.ceil(rank(share)), "__under", "__m")
+    chosen = placed.where(wanted).select(*keys, "__bin", "__under", "__all")
+    within = F.sum("__n").over(Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.join(chosen, [*keys, "__bin"]).withColumn("__from", F.col("__under") + within - F.col("__n"))
+    at = lambda r: F.max(F.when(holds(r, "__from", "__n"), F.col("__v")))
+    ends = [c for name, share in shares.items() for c in (at(F.floor(rank(share))).alias(f"__low_{name}"), at(F.ceil(rank(share))).alias(f"__high_{name}"))]
+    found = ranked.groupBy(*keys).agg(F.max("__all").alias("__all"), *ends)
+    part = lambda share: rank(share) - F.floor(rank(share))
+    return found.select(*keys, *((F.col(f"__low_{n}") * (1 - part(p)) + F.col(f"__high_{n}") * part(p)).alias(n) for n, p in shares.items()))
+
+
+def period_stats(frames: DataFrame, keys: list[str] = MESSAGE, chunk_seconds: float = CHUNK) -> DataFrame:
     """Frames, first and last instant, and inter-arrival statistics in milliseconds (population deviation)."""
-    ms = F.col("delta") * 1000
-    return deltas(frames, keys).groupBy(*keys).agg(
-        F.count("*").alias("n_frames"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.median(ms).alias("median_ms"), F.avg(ms).alias("mean_ms"),
-        F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"), F.percentile(ms, 0.99).alias("p99_ms"), F.stddev_pop(ms).alias("std_ms"),
-    )
+    rows = deltas(frames, keys, chunk_seconds).select(*keys, "t", (F.col("delta") * 1000).alias("ms"))
+    whole = rows.groupBy(*keys).agg(
+        F.count("*").alias("n_frames"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.avg("ms").alias("mean_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.stddev_pop("ms").alias("std_ms")
+    )
+    found = whole.join(quantiles(rows, keys, "ms", {"median_ms": 0.5, "p99_ms": 0.99}), keys, "left")
+    return found.select(*keys, "n_frames", "first_t", "last_t", "median_ms", "mean_ms", "min_ms", "max_ms", "p99_ms", "std_ms")
 
 
 def rate(n: Column, first: Column, last: Column) -> Column:
@@ -48,16 +83,16 @@ def missing(gap: Column, base: Column) -> Column:
     return F.greatest(F.lit(1.0), F.rint(gap / base) - 1).cast("long")
 
 
-def message_gaps(frames: DataFrame, bases: DataFrame, factor: float) -> DataFrame:
+def message_gaps(frames: DataFrame, bases: DataFrame, factor: float, chunk_seconds: float = CHUNK) -> DataFrame:
     """Gaps of more than base_ms * factor: (keys..., start, end, gap_ms, missing, base_ms)."""
-    rows = deltas(frames, MESSAGE).where("before is not null").join(bases.select(*MESSAGE, "base_ms"), MESSAGE)
+    rows = deltas(frames, MESSAGE, chunk_seconds).where("before is not null").join(bases.select(*MESSAGE, "base_ms"), MESSAGE)
     gap = F.col("delta") * 1000
     return rows.where((F.col("base_ms") > 0) & (gap > F.col("base_ms") * factor)).select(*MESSAGE, F.col("before").alias("start"), F.col("t").alias("end"), gap.alias("gap_ms"), missing(gap, F.col("base_ms")).alias("missing"), "base_ms")
 
 
-def bursts(frames: DataFrame, bases: DataFrame) -> DataFrame:
+def bursts(frames: DataFrame, bases: DataFrame, chunk_seconds: float = CHUNK) -> DataFrame:
     """Per id: arrivals less than a quarter of the base period after the one before; ids without any are left out."""
-    rows = deltas(frames, MESSAGE).join(bases.select(*MESSAGE, "base_ms"), MESSAGE)
+    rows = deltas(frames, MESSAGE, chunk_seconds).join(bases.select(*MESSAGE, "base_ms"), MESSAGE)
     counts = rows.groupBy("log_id", "frame_id").agg(F.count_if(F.col("delta") * 1000 < 0.25 * F.col("base_ms")).alias("bursts"))
     return counts.where("bursts > 0")
 
@@ -74,10 +109,8 @@ def stop_late(frames: DataFrame, bases: DataFrame) -> DataFrame:
     return rows.select(*MESSAGE, (F.col("silent_s") > bound).alias("stopped"), (F.col("late_s") > bound).alias("late"), "silent_s", "late_s")
 
 
-def counts_before(frames: DataFrame, keys: list[str] = ["log_id"], chunk_seconds: float = 600.0) -> DataFrame:  # noqa: B006
+def counts_before(frames: DataFrame, keys: list[str] = ["log_id"], chunk_seconds: float = CHUNK) -> DataFrame:  # noqa: B006
     """(keys..., t, upto, under): data frames at or before each instant, and before it; in chunks of time."""
-    from framelake.operators.align import chunk_of
-
     at = data_frames(frames).groupBy(*keys, "t").agg(F.count("*").alias("n")).withColumn("chunk", chunk_of(F.col("t"), chunk_seconds))
     sums = at.groupBy(*keys, "chunk").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,15 +127,26 @@ def with_traffic(gaps: DataFrame, counts: DataFrame) -> DataFrame:
     return gaps.join(first, ["log_id", "start"]).join(last, ["log_id", "end"]).withColumn("inside", F.col("__to") - F.col("__from")).drop("__from", "__to")
 
 
-def errors_near(gaps: DataFrame, frames: DataFrame, slack: float = 0.05) -> DataFrame:
-    """(gap columns..., what, n): communication events within slack of a gap, counted by what they say. Gaps are cut
-    into cells of time, so events and gaps meet in an equi-join; a pair that meets in one cell only counts once."""
-    cell = 3600.0
-    events = frames.where("kind <> 'data'").select("log_id", F.col("t").alias("at"), F.coalesce("error_type", "state", "kind").alias("what"), F.floor(F.col("t") / cell).alias("cell"))
-    low, high = F.col("start") - slack, F.col("end") + slack
-    cut = gaps.withColumn("cell", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
-    pairs = cut.join(events, ["log_id", "cell"]).where((F.col("at") >= low) & (F.col("at") <= high))
-    return pairs.groupBy(*gaps.columns, "what").agg(F.count("*").alias("n"))
+def errors_near(gaps: DataFrame, frames: DataFrame, slack: float = 0.05, chunk_seconds: float = CHUNK) -> DataFrame:
+    """(gap columns..., what, n): communication events within slack of a gap, counted by what they say.
+
+    No gap meets an event: of each kind that a log has (a few), the events up to a gap's end are counted, and those before its
+    start, by running counts in chunks of time; their difference is what lies between."""
+    events = frames.where("kind <> 'data'").groupBy("log_id", F.coalesce("error_type", "state", "kind").alias("what"), "t").agg(F.count("*").alias("__n"))
+    kinds = events.select("log_id", "what").distinct()
+    ends = F.array(F.struct((F.col("start") - slack).alias("t"), F.lit(-1).alias("__side")), F.struct((F.col("end") + slack).alias("t"), F.lit(1).alias("__side")))
+    asked = gaps.distinct().join(kinds, "log_id").select(F.struct(*gaps.columns).alias("__gap"), "log_id", "what", F.inline(ends))
+    none = F.lit(None).cast(asked.schema["__gap"].dataType)
+    both = asked.withColumn("__n", F.lit(0).cast("long")).unionByName(events.select(none.alias("__gap"), "log_id", "what", "t", F.lit(0).alias("__side"), "__n"))
+    both = both.withColumn("__chunk", chunk_of(F.col("t"), chunk_seconds))
+    keys = ["log_id", "what"]
+    sums = both.groupBy(*keys, "__chunk").agg(F.sum("__n").alias("__m"))
+    earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*keys, "__chunk", F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__base"))
+    inside = F.sum("__n").over(Window.partitionBy(*keys, "__chunk").orderBy("t", "__side").rowsBetween(Window.unboundedPreceding, 0))
+    counted = both.join(base, [*keys, "__chunk"]).withColumn("__upto", F.col("__base") + inside).where("__gap is not null")
+    found = counted.groupBy("__gap", "what").agg(F.sum(F.col("__upto") * F.col("__side")).alias("n")).where("n > 0")
+    return found.select("__gap.*", "what", "n")
 
 
 def binned(rows: DataFrame, keys: list[str], seconds: float, weight: Column) -> DataFrame:
@@ -127,10 +171,8 @@ def bus_load(frames: DataFrame, baud: float = 500_000, seconds: float = 0.1) ->
     return joined.select("log_id", "channel", "n_frames", mean.alias("mean_load"), F.coalesce(F.col("most") / (baud * seconds) * 100, F.lit(0.0)).alias("peak_load"))
 
 
-def silence(frames: DataFrame, seconds: float = 0.5, chunk_seconds: float = 600.0) -> DataFrame:
+def silence(frames: DataFrame, seconds: float = 0.5, chunk_seconds: float = CHUNK) -> DataFrame:
     """(log_id, start, end, gap): gaps between consecutive bus frames, across channels; in chunks of time."""
-    from framelake.operators.align import chunk_of
-
     at = data_frames(frames).select("log_id", "t").distinct().withColumn("chunk", chunk_of(F.col("t"), chunk_seconds))
     ends = at.groupBy("log_id", "chunk").agg(F.max("t").alias("__last"))
     ends = ends.select("log_id", "chunk", F.lag("__last").over(Window.partitionBy("log_id").orderBy("chunk")).alias("__before"))
@@ -139,16 +181,29 @@ def silence(frames: DataFrame, seconds: float = 0.5, chunk_seconds: float = 600.
     return gaps.withColumn("gap", F.col("end") - F.col("start")).where(F.col("gap") > seconds)
 
 
-def longest_runs(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+def longest_runs(rows: DataFrame, keys: list[str], value: str, chunk_seconds: float = CHUNK) -> DataFrame:
     """(keys..., n, changes, run_start, run_end, run_length) of rows(keys..., t, seq, value): the longest stretch of
-    equal consecutive values, by samples; the earliest of equally long ones."""
-    order = Window.partitionBy(*keys).orderBy("t", "seq")
-    changed = (~F.col(value).eqNullSafe(F.lag(value).over(order)) & (F.row_number().over(order) > 1)).cast("int")
-    marked = rows.withColumn("__changed", changed)
-    runs = marked.withColumn("__run", F.sum("__changed").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy(*keys, "__run").agg(F.count("*").alias("length"), F.min("t").alias("start"), F.max("t").alias("end"))
-    best = F.max_by(F.struct("start", "end", "length"), F.struct("length", -F.col("__run"))).alias("r")
-    return runs.groupBy(*keys).agg(F.sum("length").alias("n"), (F.count("*") - 1).alias("changes"), best).select(*keys, "n", "changes", F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"), F.col("r.length").alias("run_length"))
+    equal consecutive values, by samples; the earliest of equally long ones.
+
+    Runs are found within chunks of time. Only a chunk's first and last run may go on in its neighbours: over all chunks
+    these, two small rows a chunk, are put in order, and joined where their values are equal."""
+    order = Window.partitionBy(*keys, "__chunk").orderBy("t", "seq")
+    marked = rows.select(*keys, "t", "seq", F.col(value).alias("__v"), chunk_of(F.col("t"), chunk_seconds).alias("__chunk"))
+    marked = marked.withColumn("__new", (~F.col("__v").eqNullSafe(F.lag("__v").over(order)) & (F.row_number().over(order) > 1)).cast("int"))
+    marked = marked.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct("t", "seq")
+    runs = marked.groupBy(*keys, "__chunk", "__run").agg(F.first("__v").alias("__v"), F.count("*").alias("length"), F.min(place).alias("start"), F.max(place).alias("end"))
+    runs = runs.withColumn("__last", F.max("__run").over(Window.partitionBy(*keys, "__chunk")))
+    inner, outer = (F.col("__run") > 0) & (F.col("__run") < F.col("__last")), Window.partitionBy(*keys).orderBy("__chunk", "__run")
+    edges = runs.where(~inner)
+    goes_on = F.col("__v").eqNullSafe(F.lag("__v").over(outer)) & (F.col("__chunk") != F.lag("__chunk").over(outer))
+    edges = edges.withColumn("__new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    edges = edges.withColumn("__run", F.sum("__new").over(outer.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = edges.groupBy(*keys, "__run").agg(F.sum("length").alias("length"), F.min("start").alias("start"), F.max("end").alias("end"))
+    every = edges.select(*keys, "length", "start", "end").unionByName(runs.where(inner).select(*keys, "length", "start", "end"))
+    best = F.min_by(F.struct("start", "end", "length"), F.struct((-F.col("length")).alias("size"), "start")).alias("r")
+    found = every.groupBy(*keys).agg(F.sum("length").alias("n"), (F.count("*") - 1).alias("changes"), best)
+    return found.select(*keys, "n", "changes", F.col("r.start.t").alias("run_start"), F.col("r.end.t").alias("run_end"), F.col("r.length").alias("run_length"))
 
 
 def stuck_bound(span: Column) -> Column:

@@ -67,7 +67,7 @@ def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _config(**changes) -> diagnostics.Config:
-    return diagnostics.Config.of(source.event_catalog(), baud=1.0, load_window=3600.0, silence=1800.0, storm_count=3, storm_window=3600.0, near=60.0, **changes)
+    return diagnostics.Config.of(source.event_catalog(), baud=1.0, load_window=3600.0, silence=1800.0, storm_count=3, storm_window=3600.0, near=60.0, chunk=CHUNK, **changes)
 
 
 @query(BASE + "SELECT seq, t_us, channel, frame_id, frame_id > 2047 AS is_extended, kind, dlc, array_to_string(list_transform(range(dlc), lambda i: printf('%02x', (word >> (8 * i)) & 255)), ' ') AS payload FROM frames")
@@ -371,7 +371,7 @@ inside AS (SELECT g.*, (SELECT count(*) FROM data x WHERE x.t > g.start AND x.t
 
 @query(STATS + "SELECT frame_id, channel, n_frames, " + ", ".join(f"round({c}, 3) AS {c}" for c in ("median_ms", "mean_ms", "min_ms", "max_ms", "p99_ms", "std_ms")) + " FROM st")
 def q_period_stats(spark, sf_dir):
-    return timing.period_stats(_frames(spark, sf_dir)).select("frame_id", "channel", "n_frames", *(F.round(c, 3).alias(c) for c in ("median_ms", "mean_ms", "min_ms", "max_ms", "p99_ms", "std_ms")))
+    return timing.period_stats(_frames(spark, sf_dir), chunk_seconds=CHUNK).select("frame_id", "channel", "n_frames", *(F.round(c, 3).alias(c) for c in ("median_ms", "mean_ms", "min_ms", "max_ms", "p99_ms", "std_ms")))
 
 
 @query(STATS + 'SELECT frame_id, channel, start, "end", round(gap_ms, 3) AS gap_ms, missing, inside FROM inside')
@@ -382,7 +382,7 @@ def q_gaps(spark, sf_dir):
 @query(STATS + "SELECT frame_id, count(*)::BIGINT AS bursts FROM d JOIN base USING (frame_id, channel) WHERE ms < 0.25 * base_ms GROUP BY 1")
 def q_bursts(spark, sf_dir):
     frames = _frames(spark, sf_dir)
-    return timing.bursts(frames, diagnostics.bases(frames, _config())).drop("log_id")
+    return timing.bursts(frames, diagnostics.bases(frames, _config()), CHUNK).drop("log_id")
 
 
 @query(STATS + ", l AS (SELECT min(t) AS a, max(t) AS z FROM data) SELECT frame_id, channel, z - last_t > greatest(5 * base_ms / 1000, 0.5) AS stopped, first_t - a > greatest(5 * base_ms / 1000, 0.5) AS late, round(z - last_t, 3) AS silent_s, round(first_t - a, 3) AS late_s FROM base, l")
@@ -408,14 +408,14 @@ def q_multichannel(spark, sf_dir):
     SELECT frame_id, sum(len)::BIGINT AS n, (count(*) - 1)::BIGINT AS changes, max(len)::BIGINT AS run_length FROM g GROUP BY 1"""
 )
 def q_payload_stuck(spark, sf_dir):
-    return diagnostics.payload_runs(_frames(spark, sf_dir)).select("frame_id", "n", "changes", "run_length")
+    return diagnostics.payload_runs(_frames(spark, sf_dir), CHUNK).select("frame_id", "n", "changes", "run_length")
 
 
 @query(STATS + ", e AS (SELECT t, coalesce(error_type, state, kind) AS what FROM frames WHERE kind <> 'data') SELECT frame_id, channel, start, what, count(*)::BIGINT AS n FROM gaps JOIN e ON e.t BETWEEN start - 60 AND \"end\" + 60 GROUP BY 1, 2, 3, 4")
 def q_error_nearby(spark, sf_dir):
     frames = _frames(spark, sf_dir)
-    gaps = timing.message_gaps(frames, diagnostics.bases(frames, _config()), 1.5).select("log_id", "frame_id", "channel", "start", "end")
-    return timing.errors_near(gaps, frames, 60.0).select("frame_id", "channel", "start", "what", "n")
+    gaps = timing.message_gaps(frames, diagnostics.bases(frames, _config()), 1.5, CHUNK).select("log_id", "frame_id", "channel", "start", "end")
+    return timing.errors_near(gaps, frames, 60.0, CHUNK).select("frame_id", "channel", "start", "what", "n")
 
 
 #: Bytes and nibbles of the primary channel of each id, without a schema.
@@ -432,7 +432,7 @@ counters AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id,
 
 @query(FIELDS + "SELECT frame_id, byte::INT AS byte, field, bits::INT AS bits, round(steps / (n - 1), 6) AS ratio FROM counters")
 def q_raw_counter(spark, sf_dir):
-    return diagnostics.raw_counters(diagnostics.raw_fields(_frames(spark, sf_dir))).select("frame_id", "byte", "field", "bits", F.round("ratio", 6).alias("ratio"))
+    return diagnostics.raw_counters(diagnostics.raw_fields(_frames(spark, sf_dir), CHUNK)).select("frame_id", "byte", "field", "bits", F.round("ratio", 6).alias("ratio"))
 
 
 @query(
@@ -441,7 +441,7 @@ def q_raw_counter(spark, sf_dir):
     WHERE field = 'byte' AND uniques >= 8 AND changes / (n - 1) >= 0.5 AND NOT EXISTS (SELECT 1 FROM counters c WHERE c.frame_id = a.frame_id AND c.byte = a.byte)) WHERE nth <= 4"""
 )
 def q_checksum_bytes(spark, sf_dir):
-    fields = diagnostics.raw_fields(_frames(spark, sf_dir))
+    fields = diagnostics.raw_fields(_frames(spark, sf_dir), CHUNK)
     return diagnostics.checksum_bytes(fields, diagnostics.raw_counters(fields)).select("frame_id", "byte", F.round("ratio", 6).alias("ratio"), "uniques")
 
 
@@ -472,7 +472,7 @@ LONG = (
     SELECT signal, count(*)::BIGINT AS n, sum(ch)::BIGINT AS changes, count(DISTINCT shown)::BIGINT AS uniques, round(min(CASE WHEN label IS NULL THEN num END), 6) AS minimum, round(max(CASE WHEN label IS NULL THEN num END), 6) AS maximum FROM h GROUP BY 1"""
 )
 def q_signal_profile(spark, sf_dir):
-    profiles = diagnostics.signal_profiles(decode.samples(_frames(spark, sf_dir), source.event_catalog()))
+    profiles = diagnostics.signal_profiles(decode.samples(_frames(spark, sf_dir), source.event_catalog()), CHUNK)
     return profiles.select("signal", "n", "changes", "uniques", F.round("minimum", 6).alias("minimum"), F.round("maximum", 6).alias("maximum"))
 
 
@@ -483,7 +483,7 @@ def q_signal_profile(spark, sf_dir):
     SELECT signal, arg_max(a, len * 1000000 - run) AS run_start, arg_max(z, len * 1000000 - run) AS run_end, max(len) AS run_length FROM g GROUP BY 1"""
 )
 def q_sig_stuck(spark, sf_dir):
-    profiles = diagnostics.signal_profiles(decode.samples(_frames(spark, sf_dir), source.event_catalog()))
+    profiles = diagnostics.signal_profiles(decode.samples(_frames(spark, sf_dir), source.event_catalog()), CHUNK)
     return profiles.select("signal", "run_start", "run_end", "run_length")
 
 
@@ -509,8 +509,8 @@ STEPS = (
 @query(STEPS + 'SELECT \'Counter\' || c.frame_id AS signal, c.channel, c.t, c.step FROM c WHERE step IS NOT NULL AND step NOT IN (0, 1, -15) AND NOT EXISTS (SELECT 1 FROM gaps g WHERE g.frame_id = c.frame_id AND g.channel = c.channel AND g.start = c.before)')
 def q_counter_jump(spark, sf_dir):
     frames, catalog = _frames(spark, sf_dir), source.event_catalog()
-    steps = diagnostics.counter_steps(decode.samples(frames, catalog), catalog)
-    gaps = timing.message_gaps(frames, diagnostics.bases(frames, _config()), 1.5)
+    steps = diagnostics.counter_steps(decode.samples(frames, catalog), catalog, CHUNK)
+    gaps = timing.message_gaps(frames, diagnostics.bases(frames, _config()), 1.5, CHUNK)
     return diagnostics.counter_jumps(steps, gaps).select("signal", "channel", "t", "step")
 
 
@@ -522,9 +522,9 @@ def q_counter_jump(spark, sf_dir):
 )
 def q_counter_freeze(spark, sf_dir):
     frames, catalog = _frames(spark, sf_dir), source.event_catalog()
-    steps = diagnostics.counter_steps(decode.samples(frames, catalog), catalog)
+    steps = diagnostics.counter_steps(decode.samples(frames, catalog), catalog, CHUNK)
     tenth = diagnostics.bases(frames, _config()).withColumn("base_ms", F.col("base_ms") / 10)  # this projection never stops for five periods
-    return diagnostics.counter_freezes(steps, tenth).select("signal", "channel", "start", "end")
+    return diagnostics.counter_freezes(steps, tenth, CHUNK).select("signal", "channel", "start", "end")
 
 
 @query(BASE + "SELECT 'msg_absent' AS \"check\", 'error' AS severity, '0x109' AS entity, (SELECT count(DISTINCT frame_id) FROM data WHERE abs(frame_id - 265) <= 4)::DOUBLE AS value")
@@ -548,9 +548,9 @@ def q_message_report(spark, sf_dir):
 )
 def q_raw_counter_jumps(spark, sf_dir):
     frames = decode.data_frames(_frames(spark, sf_dir), [262, 263])
-    counters = diagnostics.raw_counters(diagnostics.raw_fields(frames))
-    gaps = timing.message_gaps(frames, diagnostics.bases(frames, _config()), 1.5)
-    jumps = diagnostics.counter_jumps(message_report.raw_steps(frames, counters), gaps)
+    counters = diagnostics.raw_counters(diagnostics.raw_fields(frames, CHUNK))
+    gaps = timing.message_gaps(frames, diagnostics.bases(frames, _config()), 1.5, CHUNK)
+    jumps = diagnostics.counter_jumps(message_report.raw_steps(frames, counters, CHUNK), gaps)
     return jumps.groupBy("message_id", "signal").agg(F.count("*").alias("n"), F.min("t").alias("t"))
 
 

@@ -141,13 +141,15 @@ def parse_csv(lines: DataFrame, head: list[str]) -> DataFrame:
     time, id and data in the first three columns. Rows that lack a cell or don't parse are left out, and so are data of
     decimal digits alone, which may be a number as well as bytes."""
     delimiter, at, scale, before = sniffed(head)
-    cells = F.split(F.regexp_replace("line", '"', ""), "\\Q" + delimiter + "\\E")
-    cell = lambda name: F.trim(F.try_element_at(cells, F.lit(at[name] + 1)))
+    rows = lines.where(~F.col("line").isin(head[:before])) if before else lines
+    # Generators keep Spark from writing the cells' expressions into each of their uses.
+    cells = rows.select("log_id", F.col("line_no").alias("seq"), F.explode(F.array(F.split(F.regexp_replace("line", '"', ""), "\\Q" + delimiter + "\\E"))).alias("cells"))
+    cell = lambda name: F.trim(F.try_element_at("cells", F.lit(at[name] + 1)))
     data = cell("data")
     if delimiter == " " and at["data"] == max(at.values()):  # then bytes are cells of their own
-        data = F.array_join(F.slice(cells, at["data"] + 1, 64), " ")
-    rows = lines.where(~F.col("line").isin(head[:before])) if before else lines
-    rows = rows.select("log_id", F.col("line_no").alias("seq"), (cell("t").try_cast("double") * scale).alias("t"), integer(cell("id")).alias("frame_id"), F.when(~F.regexp_like(data, F.lit("^[0-9]+$")), hex_bytes(data)).alias("data"))
+        data = F.array_join(F.slice("cells", at["data"] + 1, 64), " ")
+    said = cells.select("log_id", "seq", F.inline(F.array(F.struct(cell("t").alias("t"), cell("id").alias("id"), data.alias("text")))))
+    rows = said.where(~F.regexp_like("text", F.lit("^[0-9]+$"))).select("log_id", "seq", (F.col("t").try_cast("double") * scale).alias("t"), integer(F.col("id")).alias("frame_id"), payload(F.col("text")).alias("data"))
     return normalised(rows.where("t is not null and frame_id is not null and data is not null"))
 
 
