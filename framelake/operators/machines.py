@@ -50,20 +50,26 @@ def latch(rows: DataFrame, keys: list[str], enter: str = "on_enter", exit_: str
 def _evaluated(frames: DataFrame, catalog: Catalog, machines: list[Machine], fast: bool, chunk_seconds: float) -> DataFrame:
     """One row per tick and machine: function, position, on_enter, on_exit, on_trigger, initial."""
     names = sorted({n for m in machines for n in m.signals})
-    compiler = Compiler(catalog)
     ticks = at_ticks(frames, catalog, names)
     if fast:  # only ticks at which a signal of some machine was recorded, and each log's first
         starts = ticks.groupBy("log_id").agg(F.min("t").alias("__first"))
         ticks = ticks.join(starts, "log_id").where(F.col("sampled") | (F.col("t") == F.col("__first")))
     wide = hold(ticks, names, chunk_seconds)
-    each = []
+    return told(wide, catalog, machines, lambda machine: recorded(machine.signals) | (F.col("t") == F.col("__first")) if fast else None).drop("__first")
+
+
+def told(wide: DataFrame, catalog: Catalog, machines: list[Machine], seen=lambda machine: None) -> DataFrame:
+    """wide(log_id, t, cur_<name>, prev_<name>, ...), a row per tick -> one row per tick and machine, with function, position,
+    on_enter, on_exit, on_trigger and initial. Of all ticks a machine sees those for which seen(machine) holds; between
+    them its signals keep their values, so the tick before is right too."""
+    compiler, each = Compiler(catalog), []
     for position, machine in enumerate(machines):
         enter, exit_ = compiler.test(machine.enter), compiler.test(machine.exit) if machine.exit else F.lit(False)
         trigger = compiler.test(machine.trigger) if machine.trigger else F.lit(False)
         one = F.struct(F.lit(machine.id).alias("function"), F.lit(position).alias("position"), enter.alias("on_enter"), exit_.alias("on_exit"), trigger.alias("on_trigger"), F.lit(machine.initial).alias("initial"))
-        # Of those ticks a machine sees its own; between them its signals keep their values, so the tick before is right too.
-        each.append(F.when(recorded(machine.signals) | (F.col("t") == F.col("__first")), one) if fast else one)
-    return wide.withColumn("__m", F.explode(F.array_compact(F.array(*each)))).select("*", "__m.*").drop("__m", "__first")
+        condition = seen(machine)
+        each.append(one if condition is None else F.when(condition, one))
+    return wide.withColumn("__m", F.explode(F.array_compact(F.array(*each)))).select("*", "__m.*").drop("__m")
 
 
 def _by_machine(machines: list[Machine], value, kind: str) -> Column:

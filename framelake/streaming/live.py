@@ -1,20 +1,27 @@
-"""Live recordings: the engine's timing checks and machines over streams of frames.
+"""Live recordings: the engine's timing checks, held signals and machines over streams of frames.
 
 Streams have the columns of frames and ts (timestamp). Windows are aligned to the epoch, not to a log's first frame as in
-batch. Late rows beyond the watermark are dropped.
+batch. Late rows beyond the watermark are dropped. Operators with state of their own need the RocksDB state store
+(spark.sql.streaming.stateStore.providerClass).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from framelake.functions.bits import frame_bits
+from framelake.operators import machines
+from framelake.operators.decode import SAMPLE, resolve, sample, with_words
+from framelake.plans.catalog import Catalog
+from framelake.plans.functions import Machine
 from framelake.sources import textlogs
 from framelake.sources.frames import normalised, window
 
@@ -47,6 +54,97 @@ def frames_of(spark: SparkSession, folder: str, start: float | None = None, end:
     return window(rows, start, end).withColumn("ts", F.timestamp_seconds("t"))
 
 
+def _sample_columns(names: list[str]) -> list[T.StructField]:
+    kinds = (("raw", T.LongType()), ("num", T.DoubleType()), ("label", T.StringType()))
+    return [T.StructField(f"{n}_{part}", kind) for n in names for part, kind in kinds]
+
+
+#: Seconds by which event times are put off in Hold, as the first watermark is 0 and logs may begin at 0.
+AHEAD = 86_400.0
+
+
+class Hold(StatefulProcessor):
+    """Signals of one log, held: for each instant of its frames the values in force at it and at the instant before.
+
+    Frames wait in a list until the watermark has passed them, so that they come out in order of (t, seq) however they came
+    in; a timer stands for the first that waits. State: the waiting frames, the last value of each signal, and the last
+    instant that was given out. What is waiting is as much as comes within the watermark's delay. Frames of instants that
+    were given out already are too late and left out."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.columns = ["log_id", "t", "ts", *(f.name for which in ("cur", "prev") for f in _sample_columns([f"{which}_{n}" for n in names]))]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        frame = [T.StructField("t", T.DoubleType()), T.StructField("seq", T.LongType()), *_sample_columns(self.names)]
+        self.waiting = handle.getListState("waiting", T.StructType(frame))
+        self.values = handle.getMapState("values", T.StructType([T.StructField("signal", T.StringType())]), T.StructType(_sample_columns([""])))
+        self.done = handle.getValueState("done", T.StructType([T.StructField("t", T.DoubleType())]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        done = self.done.get()[0] if self.done.exists() else None
+        parts = ["t", "seq", *(f.name for f in _sample_columns(self.names))]
+        new = [tuple(r[c] for c in parts) for r in rows]
+        new = [r for r in new if done is None or r[0] > done]
+        return self._given_out(key, [*(tuple(r) for r in self.waiting.get()), *new], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._given_out(key, [tuple(r) for r in self.waiting.get()], timerValues)
+
+    def _given_out(self, key, frames: list[tuple], timer_values) -> Iterator[Row]:
+        """Rows of the instants that the watermark has passed; the other frames go on waiting."""
+        passed = timer_values.getCurrentWatermarkInMs() / 1000 - AHEAD
+        frames.sort(key=lambda r: r[:2])
+        ready = [r for r in frames if r[0] < passed]
+        left = frames[len(ready) :]
+        self.waiting.put(left) if left else self.waiting.clear()
+        if left:
+            self.handle.registerTimer(math.floor((left[0][0] + AHEAD) * 1000) + 1)
+        if not ready:
+            return
+        held = [tuple(self.values.getValue((n,))) if self.values.containsKey((n,)) else (None, None, None) for n in self.names]
+        started = self.done.exists()
+        for k, frame in enumerate(ready):
+            if k == 0 or frame[0] != ready[k - 1][0]:
+                before = list(held) if started else [(None, None, None)] * len(self.names)
+            for i in range(len(self.names)):
+                sample = frame[2 + 3 * i : 5 + 3 * i]
+                if sample[0] is not None or sample[1] is not None:
+                    held[i] = sample
+            if k + 1 == len(ready) or ready[k + 1][0] != frame[0]:
+                started = True
+                yield Row(*self.columns)(key[0], frame[0], datetime.fromtimestamp(frame[0], timezone.utc), *(x for s in held for x in s), *(x for s in before for x in s))
+        for n, sample in zip(self.names, held):
+            if sample != (None, None, None):
+                self.values.updateValue((n,), sample)
+        self.done.update((ready[-1][0],))
+
+    def close(self) -> None:
+        pass
+
+
+def held(frames: DataFrame, catalog: Catalog, names: list[str], late: str = "2 seconds") -> DataFrame:
+    """(log_id, t, ts, cur_<name>, prev_<name>) of each instant of a stream's data frames, as align.held() gives it for a log
+    that is at rest: an instant comes out when the watermark, `late` behind the newest frame, has passed it."""
+    found = resolve(catalog, names)
+    samples = [(sample(*found[n], words=True) if n in found else F.lit(None).cast(SAMPLE)).alias(n) for n in names]
+    timed = frames.where("kind = 'data'").withColumn("__ts", F.timestamp_seconds(F.col("t") + AHEAD)).withWatermark("__ts", late)
+    rows = with_words(timed).select("log_id", "__ts", "t", "seq", *samples)
+    rows = rows.select("log_id", "__ts", "t", "seq", *(F.col(n)[part].alias(f"{n}_{part}") for n in names for part in ("raw", "num", "label")))
+    flat = _sample_columns([f"{which}_{n}" for which in ("cur", "prev") for n in names])
+    out = T.StructType([T.StructField("log_id", T.StringType()), T.StructField("t", T.DoubleType()), T.StructField("ts", T.TimestampType()), *flat])
+    told = rows.groupBy("log_id").transformWithState(Hold(names), out, "Append", "EventTime")
+    one = lambda name: F.when(F.col(f"{name}_raw").isNotNull() | F.col(f"{name}_num").isNotNull(), F.struct(F.col(f"{name}_raw").alias("raw"), F.col(f"{name}_num").alias("num"), F.col(f"{name}_label").alias("label"))).alias(name)
+    return told.select("log_id", "t", "ts", *(one(f"{which}_{n}") for n in names for which in ("cur", "prev")))
+
+
+def machine_steps(frames: DataFrame, catalog: Catalog, functions: list[Machine], late: str = "2 seconds") -> DataFrame:
+    """(log_id, function, t, ts, on_enter, on_exit, on_trigger): what each machine is told at each instant of a stream."""
+    names = sorted({n for m in functions for n in m.signals})
+    return machines.told(held(frames, catalog, names, late), catalog, functions).select("log_id", "function", "t", "ts", "on_enter", "on_exit", "on_trigger")
+
+
 class Latch(StatefulProcessor):
     """One machine of one log: state is whether it is on and since when. Rows (t, on_enter, on_exit and, where attempts are
     wanted, on_trigger) are taken in order of t within a batch; give batches of whole instants. `initial` has the ids of
@@ -78,6 +176,13 @@ class Latch(StatefulProcessor):
         pass
 
 
+def machines_of(frames: DataFrame, catalog: Catalog, functions: list[Machine], late: str = "2 seconds") -> DataFrame:
+    """(log_id, function, type, t, since) from a stream of frames: enters, exits (with when the machine was entered, so that
+    they are intervals too) and blocked attempts, the same as machines.run() finds in the log at rest."""
+    initial = frozenset(m.id for m in functions if m.initial)
+    return machine_events(machine_steps(frames, catalog, functions, late), initial)
+
+
 def machine_events(steps: DataFrame, initial: frozenset[str] = frozenset()) -> DataFrame:
     """(log_id, function, type, t, since) from a stream of steps (log_id, function, t, on_enter, on_exit[, on_trigger]): enters,
     exits and blocked attempts."""

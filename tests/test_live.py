@@ -1,6 +1,13 @@
-"""Streams: frames from files that appear, machines with initial states and attempts."""
+"""Streams: frames from files that appear, held signals, machines with initial states and attempts."""
 
+import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from framelake.operators import align, machines
+from framelake.plans import functions
+from framelake.sources import frames as source
 from framelake.sources import textlogs
 from framelake.streaming import live
 
@@ -31,3 +38,84 @@ def test_machine_with_initial_state_and_attempts(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     assert sorted((r["function"], r["type"], r["t"]) for r in got) == [("f", "attempt", 2.0), ("f", "enter", 3.0), ("f", "exit", 1.0)]
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+SPEC = {
+    "functions": [
+        *source.CRUISE_SPEC["functions"],
+        {"id": "level", "enter": {"signal": "VehSpd", "op": ">", "value": 31}, "exit": {"signal": "CruiseState", "op": "==", "value": "IDLE"}, "trigger": {"signal": "BrakePedal", "op": "==", "value": 1}, "initial_active": True},
+    ]
+}
+
+
+def batches(spark, tmp_path, parts):
+    """A stream of the parts, one after the other; the files' names give their order."""
+    folder = tmp_path / "frames"
+    folder.mkdir()
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        file = next((tmp_path / f"p{k}").glob("*.parquet"))
+        file.rename(folder / f"{k:03d}.parquet")
+        import os
+
+        os.utime(folder / f"{k:03d}.parquet", (1_000_000 + k, 1_000_000 + k))
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def shuffled_parts(spark, seconds=2.0):
+    """The demo of two logs, with the frames of three seconds out of order, and a frame far ahead that ends it."""
+    draw = random.Random(4)
+    one = source.cruise_frames(spark).where("t < 20")
+    both = one.unionByName(one.withColumn("log_id", F.lit("again")).where("frame_id <> 256 or t < 9")).withColumn("ts", F.timestamp_seconds("t"))
+    rows = sorted(both.collect(), key=lambda r: (r["t"] // 3, draw.random()))
+    end = both.where("seq = 0").withColumn("t", F.lit(1000.0)).withColumn("ts", F.timestamp_seconds("t")).collect()
+    size = len(rows) // 5
+    parts = [rows[k : k + size] for k in range(0, len(rows), size)] + [end]
+    return both, [spark.createDataFrame(p, both.schema) for p in parts]
+
+
+def test_held_signals_of_shuffled_batches(spark, tmp_path, rocks):
+    both, parts = shuffled_parts(spark)
+    names = ["VehSpd", "CruiseState", "Nothing"]
+    got = {(r["log_id"], r["t"]): r for r in rows(live.held(batches(spark, tmp_path, parts), source.cruise_catalog(), names, "4 seconds"), "live_held")}
+    want = align.held(both, source.cruise_catalog(), names).collect()
+    assert len(got) == len(want) == 2 * 1000
+    for r in want:
+        for n in names:
+            for which in ("cur", "prev"):
+                assert got[r["log_id"], r["t"]][f"{which}_{n}"] == r[f"{which}_{n}"], (r["t"], n, which)
+
+
+def test_machines_over_a_stream_that_starts_again(spark, tmp_path, rocks):
+    both, parts = shuffled_parts(spark)
+    catalog = source.cruise_catalog()
+    declared, _ = functions.parse(SPEC, catalog)
+    steps = machines.run(both, catalog, declared)
+    want = {(r["log_id"], r["function"], r["type"], r["t"]) for r in machines.events(steps, catalog, declared).collect()}
+    want |= {(r["log_id"], r["function"], "attempt", r["t"]) for r in machines.attempts(steps, catalog, declared).collect()}
+    spans = {(r["log_id"], r["function"], r["start"], r["end"]) for r in machines.intervals(steps).where("not open").collect()}
+    stream = live.machines_of(batches(spark, tmp_path, parts[:3]), catalog, declared, "4 seconds")
+    folder = tmp_path / "frames"
+
+    def run():
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out")).collect()
+
+    first = len(run())
+    for k, part in enumerate(parts[3:], 3):  # more files come, and the query starts again where it was
+        part.coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        next((tmp_path / f"p{k}").glob("*.parquet")).rename(folder / f"{k:03d}.parquet")
+    got = run()
+    assert 0 < first < len(got) == len(want)
+    assert {(r["log_id"], r["function"], r["type"], r["t"]) for r in got} == want
+    assert {(r["log_id"], r["function"], r["since"], r["t"]) for r in got if r["type"] == "exit" and r["since"] is not None} <= spans
