@@ -6,8 +6,8 @@ equally long and all batches but the last have the same size, sequence k of a pa
 (`Sequences`). A second stream file lists (doc_id, start, n_tokens) of the part's documents. Ids are 16 bits wide where
 the tokenizer's vocabulary allows it, else 32.
 
-Null and empty texts have the end id alone. Null doc_ids come first, repeated ids in the order of their texts. An empty
-table makes a manifest without rows.
+Null and empty texts have the end id alone. Null doc_ids come first, rows with equal ids in the order of a hash of their
+texts. An empty table makes a manifest without rows.
 """
 
 import functools
@@ -187,11 +187,36 @@ class _Writer:
         self.fs.move(self.temporary, self.path)  # a repeated task writes the same once more
 
 
+class _Index:
+    """The list of a part's documents, written as it grows, under a name of its own until it is whole."""
+
+    def __init__(self, path: str, kind: pa.DataType):
+        self.fs, self.path = _open(path)
+        self.temporary = f"{self.path}.{uuid.uuid4().hex}"
+        self.schema = pa.schema([("doc_id", kind), ("start", pa.int64()), ("n_tokens", pa.int64())])
+        self.sink = self.fs.open_output_stream(self.temporary)
+        self.stream = pa.ipc.new_stream(self.sink, self.schema)
+        self.rows: list[tuple] = []
+        self.total = 0
+
+    def flush(self) -> None:
+        if self.rows:
+            self.stream.write_batch(pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*self.rows), self.schema)], schema=self.schema))
+            self.total += len(self.rows)
+            self.rows = []
+
+    def close(self) -> None:
+        self.flush()
+        self.stream.close(), self.sink.close()
+        self.fs.move(self.temporary, self.path)
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, folder: str | None = None) -> DataFrame:
     """Writes docs(doc_id, text) in ascending doc_id order; returns the staged manifest (part, path, n_docs, n_tokens,
     start), start being the number of ids in all parts before.
 
-    Texts are dealt by ranges of doc_id (one shuffle) and encoded where they are written.
+    Texts are dealt by ranges of doc_id (one shuffle) and encoded where they are written; many rows with one id are dealt by
+    their texts, and equal rows by their places.
     """
     folder = folder or shared_dir(docs.sparkSession)
     wide = max(about(tokenizer)[0], end_id + 1) > 1 << 16
@@ -200,29 +225,26 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048,
 
     def rows(batches):
         part = TaskContext.get().partitionId()
-        path, cache, writer, documents = f"{folder}/part-{part:07d}.arrows", None, None, []
+        path, cache, writer, index = f"{folder}/part-{part:07d}.arrows", None, None, None
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 cache = cache or word_cache(tokenizer)
-                writer = writer or _Writer(path, length, wide)
+                if not writer:
+                    writer, index = _Writer(path, length, wide), _Index(f"{path}.docs", kind)
                 some = batch.slice(lo, 256)
                 for doc, ids in zip(some.column(0).to_pylist(), cache.encode([t or "" for t in some.column(1).to_pylist()])):
-                    documents.append((doc, writer.total, len(ids) + 1))
+                    index.rows.append((doc, writer.total, len(ids) + 1))
                     writer.add(np.append(ids, np.asarray(end_id, writer.kind)))
+                if len(index.rows) >= 4096:
+                    index.flush()
         if writer:
-            writer.close()
-            keys, starts, sizes = zip(*documents)
-            index = pa.record_batch([pa.array(keys, kind), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "start", "n_tokens"])
-            index_fs, index_path = _open(f"{path}.docs")
-            temporary = f"{index_path}.{uuid.uuid4().hex}"
-            with index_fs.open_output_stream(temporary) as sink, pa.ipc.new_stream(sink, index.schema) as stream:
-                stream.write_batch(index)
-            index_fs.move(temporary, index_path)
-            yield pa.record_batch([pa.array([part]), pa.array([path]), pa.array([len(documents)]), pa.array([writer.total])], ["part", "path", "n_docs", "n_tokens"])
+            writer.close(), index.close()
+            yield pa.record_batch([pa.array([part]), pa.array([path]), pa.array([index.total]), pa.array([writer.total])], ["part", "path", "n_docs", "n_tokens"])
 
     kind = pa.string() if dict(docs.dtypes)["doc_id"] == "string" else pa.int64()
     n = max(1, shuffle_partitions(docs.sparkSession))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    salt = F.struct(F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("row"))  # null and repeated ids, and equal rows, are dealt over several parts
+    ordered = docs.select("doc_id", "text", salt.alias("__salt")).repartitionByRange(n, "doc_id", "__salt.text", "__salt.row").sortWithinPartitions("doc_id", "__salt.text", "text").select("doc_id", "text")
     manifest = staged(ordered.mapInArrow(rows, "part long, path string, n_docs long, n_tokens long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
