@@ -1,6 +1,7 @@
 """Checks of a bus, its messages and its signals; each gives findings in one schema.
 
-finding: (log_id, check, severity, title, time_start, time_end, entities, value).
+finding: (log_id, check, severity, title, explanation, confidence, suggestion, time_start, time_end, entities, evidence, value);
+evidence is a short array of (t, id), the instants to look at, id null where it means the bus.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from framelake.operators import timing
 from framelake.operators.align import previous
 from framelake.operators.decode import byte_fields, data_frames, samples
 from framelake.plans.catalog import Catalog
+from framelake.sources.places import staged
 
 SEVERITIES = ("critical", "error", "warn", "info")
 # Names that say what a signal is.
@@ -55,14 +57,59 @@ class Config:
         return min((self.periods[i] for i in self.nodes[node] if i in self.periods), default=100.0)
 
 
-def finding(rows: DataFrame, check: str, severity: Column | str, title: Column, start: Column | None = None, end: Column | None = None, entities: Column | None = None, value: Column | None = None) -> DataFrame:
+#: What to do about a finding of each check.
+ADVICE = {
+    "bus_load": "lower the rates of periodic messages, or spread them over more buses or a faster one",
+    "periodicity": "look at the sending node around that time: restarts, blocked tasks, arbitration lost to urgent messages",
+    "bus_silence": "tell a sleeping or unpowered bus from a recorder that was cut off",
+    "node_offline": "check the node's power, connector and transceiver, and whether the recording has its channel",
+    "error_frame": "look for a faulty node, shielding, ground or disturbances from outside",
+    "error_state_machine": "check the transceiver and wiring of the node that counts errors; leaving bus-off takes a reset",
+    "baud_mismatch": "measure bit widths and compare bit rate and sample point of the nodes",
+    "termination_wiring": "measure the resistance between both lines and look at the levels for reflections",
+    "msg_period": "compare the schema's cycle time with what the sender is meant to do; event messages have none",
+    "msg_gap": "where others went on sending, look at the sender at that time; else at power and recorder",
+    "msg_burst": "look for a second sender of the id, a gateway that sends it back, or events on top of the cycle",
+    "msg_stop": "find what happened to the sender at its last frame: power, reset, or bus-off without recovery",
+    "msg_late": "check when the sender wakes up and whether the recording began before it",
+    "msg_dlc": "compare the sender's version with the schema's",
+    "msg_multichannel": "find out whether a gateway forwards the message or the recording joins two taps",
+    "msg_payload_stuck": "see whether the sender still fills in its signals; without a counter frozen data go unnoticed",
+    "msg_error_nearby": "see whether the errors stopped the message or both have one cause",
+    "msg_decode": "use the schema of this vehicle's version, or its other length variant",
+    "msg_absent": "check the id and its base, or whether this recording has the bus it is on",
+    "msg_raw_counter": "see whether frames were lost or the sender restarted at that time",
+    "sig_constant": "if it should follow what the vehicle does, see whether the sender fills it in",
+    "sig_stuck": "compare with related signals during that time",
+    "sig_range": "check scale and bounds of the schema, and the sender's invalid values",
+    "sig_enum_invalid": "add the values to the schema, or find out why the sender uses reserved ones",
+    "sig_counter": "see whether frames were lost, or the sender restarted or stopped its task",
+    "sig_checksum": "see whether the sender computes it at all",
+}
+
+
+def finding(rows: DataFrame, check: str, severity: Column | str, title: Column, start: Column | None = None, end: Column | None = None, entities: Column | None = None, value: Column | None = None, why: Column | None = None, evidence: Column | None = None, confidence: float = 1.0) -> DataFrame:
     of = lambda c, kind: (c if c is not None else F.lit(None)).cast(kind)
     return rows.select(
-        "log_id", F.lit(check).alias("check"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), title.alias("title"), of(start, "double").alias("time_start"),
-        of(end, "double").alias("time_end"), F.coalesce(of(entities, "array<string>"), F.array().cast("array<string>")).alias("entities"), of(value, "double").alias("value"),
+        "log_id", F.lit(check).alias("check"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), title.alias("title"), (title if why is None else why).alias("explanation"),
+        F.lit(float(confidence)).alias("confidence"), F.lit(ADVICE.get(check, "")).alias("suggestion"), of(start, "double").alias("time_start"), of(end, "double").alias("time_end"),
+        F.coalesce(of(entities, "array<string>"), F.array().cast("array<string>")).alias("entities"), F.coalesce(of(evidence, EVIDENCE), F.array().cast(EVIDENCE)).alias("evidence"), of(value, "double").alias("value"),
     )
 
 
+EVIDENCE = "array<struct<t:double,id:bigint>>"
+
+
+def seen_at(*instants: Column | str, ident: Column | str | None = None) -> Column:
+    """Evidence: frames of an id (or of the bus) at some instants."""
+    of = F.lit(None).cast("long") if ident is None else F.col(ident) if isinstance(ident, str) else ident
+    return F.array(*(F.struct((F.col(t) if isinstance(t, str) else t).cast("double").alias("t"), of.cast("long").alias("id")) for t in instants))
+
+
+def the_bus() -> Column:
+    return F.array(F.lit("bus"))
+
+
 def hex_id(frame_id: Column | str) -> Column:
     return F.concat(F.lit("0x"), F.hex(frame_id))
 
@@ -80,7 +127,8 @@ def check_load(frames: DataFrame, config: Config) -> DataFrame:
     severity = F.when(most >= config.load_critical, "critical").when(most >= config.load_warn, "warn")
     rows = timing.bus_load(frames, config.baud, config.load_window).withColumn("severity", severity).where("severity is not null")
     title = F.format_string("channel %d: mean load %.2f %%, peak %.2f %%", "channel", "mean_load", "peak_load")
-    return finding(rows, "bus_load", F.col("severity"), title, entities=F.array(F.col("channel").cast("string")), value=F.round("peak_load", 2))
+    why = F.format_string("frames fill %.2f %% of the time on average and %.2f %% at most, at %s bits a second", "mean_load", "peak_load", F.lit(f"{config.baud:g}"))
+    return finding(rows, "bus_load", F.col("severity"), title, entities=F.array(F.col("channel").cast("string")), value=F.round("peak_load", 2), why=why)
 
 
 def periodicity(frames: DataFrame, config: Config) -> DataFrame:
@@ -88,17 +136,19 @@ def periodicity(frames: DataFrame, config: Config) -> DataFrame:
     rows = timing.deltas(frames, ["log_id", "frame_id"], config.chunk).where("before is not null").join(periods_table(frames, config), "frame_id")
     gap = F.col("delta") * 1000
     late = rows.where(gap > F.col("cycle_time_ms") * (1 + config.tolerance))
-    return late.select("log_id", "frame_id", F.col("before").alias("start"), F.col("t").alias("end"), gap.alias("gap_ms"), timing.missing(gap, F.col("cycle_time_ms")).alias("missing"))
+    return late.select("log_id", "frame_id", F.col("before").alias("start"), F.col("t").alias("end"), gap.alias("gap_ms"), timing.missing(gap, F.col("cycle_time_ms")).alias("missing"), "cycle_time_ms")
 
 
 def check_periodicity(frames: DataFrame, config: Config) -> DataFrame:
     title = F.format_string("%s silent for %.1f ms, about %d frames missing", hex_id("frame_id"), "gap_ms", "missing")
-    return finding(periodicity(frames, config), "periodicity", "warn", title, F.col("start"), F.col("end"), F.array(hex_id("frame_id")), F.col("gap_ms"))
+    why = F.format_string("due every %.0f ms, came after %.1f ms", "cycle_time_ms", "gap_ms")
+    return finding(periodicity(frames, config), "periodicity", "warn", title, F.col("start"), F.col("end"), F.array(hex_id("frame_id")), F.col("gap_ms"), why, seen_at("start", "end", ident="frame_id"))
 
 
 def check_silence(frames: DataFrame, config: Config) -> DataFrame:
     rows = timing.silence(frames, config.silence, config.chunk)
-    return finding(rows, "bus_silence", "error", F.format_string("no frame for %.3f s", "gap"), F.col("start"), F.col("end"), value=F.col("gap"))
+    why = F.format_string("no channel has a frame between %.3f and %.3f s", "start", "end")
+    return finding(rows, "bus_silence", "error", F.format_string("no frame for %.3f s", "gap"), F.col("start"), F.col("end"), the_bus(), F.col("gap"), why, seen_at("start", "end"))
 
 
 def node_table(frames: DataFrame, config: Config) -> DataFrame:
@@ -128,8 +178,13 @@ def node_gaps(frames: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
 
 def check_nodes(frames: DataFrame, config: Config) -> DataFrame:
     gaps, unseen = node_gaps(frames, config)
-    one = finding(unseen, "node_offline", "error", F.format_string("node %s sent nothing", "node"), entities=F.array("node"))
-    return one.unionByName(finding(gaps, "node_offline", "error", F.format_string("node %s silent for %.3f s while others sent", "node", "gap"), F.col("start"), F.col("end"), F.array("node"), F.col("gap")))
+    ids, first = F.lit(None).cast("string"), F.lit(None).cast("long")
+    for node, sends in config.nodes.items():
+        ids = F.when(F.col("node") == node, ", ".join(f"0x{i:X}" for i in sends[:8]) + ("" if len(sends) <= 8 else ", ...")).otherwise(ids)
+        first = F.when(F.col("node") == node, F.lit(sends[0]) if sends else F.lit(None)).otherwise(first)
+    one = finding(unseen, "node_offline", "error", F.format_string("node %s sent nothing", "node"), entities=F.array("node"), why=F.concat(F.lit("the recording has none of its messages: "), ids))
+    why = F.format_string("none of its messages between %.3f and %.3f s, while other nodes sent", "start", "end")
+    return one.unionByName(finding(gaps, "node_offline", "error", F.format_string("node %s silent for %.3f s while others sent", "node", "gap"), F.col("start"), F.col("end"), F.array("node"), F.col("gap"), why, seen_at("start", ident=first)))
 
 
 def error_storms(frames: DataFrame, config: Config) -> DataFrame:
@@ -148,10 +203,11 @@ def error_types(frames: DataFrame) -> DataFrame:
 
 def check_errors(frames: DataFrame, config: Config) -> DataFrame:
     storms = error_storms(frames, config)
-    storm = finding(storms, "error_frame", "critical", F.format_string("error storm: %d error frames", "n"), F.col("start"), F.col("end"), value=F.col("n"))
+    why = F.format_string("%d error frames between %.3f and %.3f s", "n", "start", "end")
+    storm = finding(storms, "error_frame", "critical", F.format_string("error storm: %d error frames", "n"), F.col("start"), F.col("end"), the_bus(), F.col("n"), why, seen_at("start"))
     told = error_types(frames).groupBy("log_id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.format_string("%s x%d", "error_type", "n"))).alias("types"))
     few = told.join(storms.select("log_id").distinct(), "log_id", "left_anti")
-    return storm.unionByName(finding(few, "error_frame", "warn", F.format_string("%d scattered error frames", "n"), entities=F.col("types"), value=F.col("n")))
+    return storm.unionByName(finding(few, "error_frame", "warn", F.format_string("%d scattered error frames", "n"), entities=the_bus(), value=F.col("n"), why=F.concat(F.lit("by kind: "), F.array_join("types", ", "))))
 
 
 def first_states(frames: DataFrame) -> DataFrame:
@@ -163,7 +219,8 @@ def first_states(frames: DataFrame) -> DataFrame:
 def check_states(frames: DataFrame, config: Config) -> DataFrame:
     rows = first_states(frames).where("state in ('bus_off', 'passive')")
     severity = F.when(F.col("state") == "bus_off", "critical").otherwise("warn")
-    return finding(rows, "error_state_machine", severity, F.format_string("first %s", "state"), F.col("t"), F.col("t"), F.array("state"))
+    why = F.when(F.col("state") == "bus_off", F.format_string("at %.3f s a node had so many errors that it left the bus", "t")).otherwise(F.format_string("at %.3f s a node's error count passed 127", "t"))
+    return finding(rows, "error_state_machine", severity, F.format_string("first %s", "state"), F.col("t"), None, the_bus(), F.col("channel"), why, seen_at("t"))
 
 
 def error_ratios(frames: DataFrame) -> DataFrame:
@@ -176,8 +233,9 @@ def check_physical(frames: DataFrame, config: Config) -> DataFrame:
     share = F.col("ack") / F.col("total")
     baud = rows.where((F.col("bit_level") / F.col("total") > 0.5) & (F.col("bit_level") > F.col("ack")))
     wiring = rows.where((F.col("ack") > 0) & (F.col("bit_level") > 0) & (share > 0.2) & (share < 0.8))
-    one = finding(baud, "baud_mismatch", "warn", F.lit("mostly bit-level errors: bit rates may differ"), value=F.col("bit_level") / F.col("total"))
-    return one.unionByName(finding(wiring, "termination_wiring", "warn", F.lit("bit-level and acknowledge errors: termination or wiring may be wrong"), value=share))
+    told = F.format_string("%d of %d errors are on the level of bits, %d are missing acknowledgements", "bit_level", "total", "ack")
+    one = finding(baud, "baud_mismatch", "warn", F.lit("mostly bit-level errors: bit rates may differ"), entities=the_bus(), value=F.col("bit_level") / F.col("total"), why=told, confidence=0.5)
+    return one.unionByName(finding(wiring, "termination_wiring", "warn", F.lit("bit-level and acknowledge errors: termination or wiring may be wrong"), entities=the_bus(), value=share, why=told, confidence=0.4))
 
 
 BUS_CHECKS = (check_load, check_periodicity, check_silence, check_nodes, check_errors, check_states, check_physical)
@@ -227,14 +285,18 @@ def message_gaps(frames: DataFrame, config: Config, every: DataFrame | None = No
     return timing.with_traffic(timing.message_gaps(frames, bases(frames, config), gap_factor(config), config.chunk), timing.counts_before(frames if every is None else every, chunk_seconds=config.chunk))
 
 
-def check_message_gaps(frames: DataFrame, config: Config, most: int = 10, every: DataFrame | None = None) -> DataFrame:
-    """The longest gaps of each id; where there are more, a summary says how many frames are missing in all."""
-    gaps = message_gaps(frames, config, every)
-    by_length = Window.partitionBy("log_id", "frame_id").orderBy(F.desc("gap_ms"), "start")
+def check_message_gaps(frames: DataFrame, config: Config, most: int = 10, every: DataFrame | None = None, gaps: DataFrame | None = None) -> DataFrame:
+    """The longest gaps of each id; where there are more, a summary says how many frames are missing in all. gaps: what
+    message_gaps() gives, if it is at hand."""
+    gaps = message_gaps(frames, config, every) if gaps is None else gaps
+    by_length = Window.partitionBy("log_id", "frame_id").orderBy(F.desc("gap_ms"), "start", "channel")
     longest = gaps.withColumn("nth", F.row_number().over(by_length)).where(F.col("nth") <= most)
-    one = finding(longest, "msg_gap", F.when(F.col("inside") > 0, "error").otherwise("warn"), F.format_string("%s missing for %.1f ms", hex_id("frame_id"), "gap_ms"), F.col("start"), F.col("end"), F.array(hex_id("frame_id")), F.col("missing"))
+    traffic = F.when(F.col("inside") > 0, F.format_string("%d frames of others lie between", "inside")).otherwise("the bus was silent too")
+    why = F.concat(F.format_string("due every %.1f ms, about %d frames are missing; ", "base_ms", "missing"), traffic)
+    one = finding(longest, "msg_gap", F.when(F.col("inside") > 0, "error").otherwise("warn"), F.format_string("%s missing for %.1f ms", hex_id("frame_id"), "gap_ms"), F.col("start"), F.col("end"), F.array(hex_id("frame_id")), F.col("missing"), why, seen_at("start", "end", ident="frame_id"))
     many = gaps.groupBy("log_id", "frame_id").agg(F.count("*").alias("n"), F.sum("missing").alias("missing"), F.min("start").alias("start"), F.max("end").alias("end")).where(F.col("n") > most)
-    return one.unionByName(finding(many, "msg_gap", "error", F.format_string("%s: %d gaps, %d frames missing", hex_id("frame_id"), "n", "missing"), F.col("start"), F.col("end"), F.array(hex_id("frame_id")), F.col("missing")))
+    why = F.format_string("of %d gaps the %d longest are listed", "n", F.lit(most))
+    return one.unionByName(finding(many, "msg_gap", "error", F.format_string("%s: %d gaps, %d frames missing", hex_id("frame_id"), "n", "missing"), F.col("start"), F.col("end"), F.array(hex_id("frame_id")), F.col("missing"), why))
 
 
 def primary(stats: DataFrame) -> DataFrame:
@@ -243,26 +305,28 @@ def primary(stats: DataFrame) -> DataFrame:
     return stats.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
 
 
-def check_message_periods(frames: DataFrame, config: Config) -> DataFrame:
-    rows = primary(bases(frames, config))
+def check_message_periods(frames: DataFrame, config: Config, base: DataFrame | None = None) -> DataFrame:
+    rows = primary(bases(frames, config) if base is None else base)
     off = F.abs(F.col("median_ms") - F.col("dbc_ms")) / F.col("dbc_ms") > config.tolerance
     jitter = F.col("p99_ms") > F.col("dbc_ms") * (1 + config.tolerance)
     what = F.when(F.col("n_frames") == 1, "single frame").when(off, "period differs from the schema").when(jitter, "jitter").when(F.col("dbc_ms").isNull(), "period measured")
     rows = rows.withColumn("what", what).where("what is not null")
     severity = F.when(F.col("what") == "period measured", "info").otherwise("warn")
-    return finding(rows, "msg_period", severity, F.format_string("%s: %s", hex_id("frame_id"), "what"), F.col("first_t"), F.col("last_t"), F.array(hex_id("frame_id")), F.col("median_ms"))
+    shown = lambda c: F.coalesce(F.format_string("%.1f ms", c), F.lit("none"))
+    why = F.concat(F.format_string("%d frames; schema: ", "n_frames"), F.when(F.col("dbc_ms").isNull(), "none").otherwise(shown("dbc_ms")), *(F.concat(F.lit(f", {name}: "), F.when(F.col(c).isNull(), "none").otherwise(shown(c))) for name, c in (("median", "median_ms"), ("least", "min_ms"), ("most", "max_ms"), ("99 of 100 below", "p99_ms"))))
+    return finding(rows, "msg_period", severity, F.format_string("%s: %s", hex_id("frame_id"), "what"), F.when(F.col("n_frames") == 1, F.col("first_t")), None, F.array(hex_id("frame_id")), F.col("median_ms"), why)
 
 
-def check_stop_late(frames: DataFrame, config: Config, every: DataFrame | None = None) -> DataFrame:
-    rows = timing.stop_late(frames if every is None else every, bases(frames, config))
+def check_stop_late(frames: DataFrame, config: Config, every: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
+    rows = timing.stop_late(frames if every is None else every, bases(frames, config) if base is None else base)
     id_ = F.array(hex_id("frame_id"))
-    stopped = finding(rows.where("stopped"), "msg_stop", "error", F.format_string("%s ends %.3f s before the log", hex_id("frame_id"), "silent_s"), entities=id_, value=F.col("silent_s"))
-    return stopped.unionByName(finding(rows.where("late"), "msg_late", "warn", F.format_string("%s begins %.3f s after the log", hex_id("frame_id"), "late_s"), entities=id_, value=F.col("late_s")))
+    stopped = finding(rows.where("stopped"), "msg_stop", "error", F.format_string("%s ends %.3f s before the log", hex_id("frame_id"), "silent_s"), F.col("last_t"), F.col("log_end"), id_, F.col("silent_s"), F.format_string("last frame at %.3f s, the log ends at %.3f s; due every %.1f ms", "last_t", "log_end", "base_ms"), seen_at("last_t", ident="frame_id"))
+    return stopped.unionByName(finding(rows.where("late"), "msg_late", "warn", F.format_string("%s begins %.3f s after the log", hex_id("frame_id"), "late_s"), F.col("log_start"), F.col("first_t"), id_, F.col("late_s"), F.format_string("the log begins at %.3f s, the first frame comes at %.3f s; due every %.1f ms", "log_start", "first_t", "base_ms"), seen_at("first_t", ident="frame_id")))
 
 
-def check_bursts(frames: DataFrame, config: Config) -> DataFrame:
-    rows = timing.bursts(frames, bases(frames, config), config.chunk)
-    return finding(rows, "msg_burst", "warn", F.format_string("%s: %d frames too early", hex_id("frame_id"), "bursts"), entities=F.array(hex_id("frame_id")), value=F.col("bursts"))
+def check_bursts(frames: DataFrame, config: Config, base: DataFrame | None = None) -> DataFrame:
+    rows = timing.bursts(frames, bases(frames, config) if base is None else base, config.chunk)
+    return finding(rows, "msg_burst", "warn", F.format_string("%s: %d frames too early", hex_id("frame_id"), "bursts"), entities=F.array(hex_id("frame_id")), value=F.col("bursts"), why=F.format_string("%d frames came less than a quarter of the period after the one before", "bursts"))
 
 
 def dlc_histogram(frames: DataFrame) -> DataFrame:
@@ -302,15 +366,19 @@ def check_payloads(frames: DataFrame, config: Config = Config()) -> DataFrame:
     id_ = F.array(hex_id("frame_id"))
     whole = rows.where("n >= 3 and changes = 0")
     part = rows.where("changes > 0").where(F.col("held") >= timing.stuck_bound(F.col("last_t") - F.col("first_t")))
-    one = finding(whole, "msg_payload_stuck", "warn", F.format_string("%s never changes", hex_id("frame_id")), F.col("first_t"), F.col("last_t"), id_, F.col("held"))
-    return one.unionByName(finding(part, "msg_payload_stuck", "warn", F.format_string("%s unchanged for %.3f s", hex_id("frame_id"), "held"), F.col("run_start"), F.col("run_end"), id_, F.col("held")))
+    one = finding(whole, "msg_payload_stuck", "warn", F.format_string("%s never changes", hex_id("frame_id")), F.col("first_t"), F.col("last_t"), id_, F.col("held"), F.format_string("all %d payloads are equal", "n"))
+    why = F.format_string("%d equal payloads in a row, with %d changes in all", "run_length", "changes")
+    return one.unionByName(finding(part, "msg_payload_stuck", "warn", F.format_string("%s unchanged for %.3f s", hex_id("frame_id"), "held"), F.col("run_start"), F.col("run_end"), id_, F.col("held"), why, seen_at("run_start", "run_end", ident="frame_id")))
 
 
-def check_errors_near(frames: DataFrame, config: Config, most: int = 10) -> DataFrame:
-    gaps = timing.message_gaps(frames, bases(frames, config), gap_factor(config), config.chunk).select("log_id", "frame_id", "channel", "start", "end")
-    near = timing.errors_near(gaps, frames, config.near, config.chunk).groupBy("log_id", "frame_id", "start", "end").agg(F.array_sort(F.collect_list(F.format_string("%s x%d", "what", "n"))).alias("what"), F.sum("n").alias("n"))
-    first = near.withColumn("nth", F.row_number().over(Window.partitionBy("log_id", "frame_id").orderBy("start"))).where(F.col("nth") <= most)
-    return finding(first, "msg_error_nearby", "error", F.format_string("%s: %d bus errors at a gap", hex_id("frame_id"), "n"), F.col("start"), F.col("end"), F.col("what"), F.col("n"))
+def check_errors_near(frames: DataFrame, config: Config, most: int = 10, gaps: DataFrame | None = None) -> DataFrame:
+    if gaps is None:
+        gaps = timing.message_gaps(frames, bases(frames, config), gap_factor(config), config.chunk)
+    near = timing.errors_near(gaps.select("log_id", "frame_id", "channel", "start", "end"), frames, config.near, config.chunk)
+    near = near.groupBy("log_id", "frame_id", "channel", "start", "end").agg(F.array_sort(F.collect_list(F.format_string("%s x%d", "what", "n"))).alias("what"), F.sum("n").alias("n"))
+    first = near.withColumn("nth", F.row_number().over(Window.partitionBy("log_id", "frame_id").orderBy("start", "channel"))).where(F.col("nth") <= most)
+    why = F.concat(F.format_string("within %s s of the gap: ", F.lit(f"{config.near:g}")), F.array_join("what", ", "))
+    return finding(first, "msg_error_nearby", "error", F.format_string("%s: %d bus errors at a gap", hex_id("frame_id"), "n"), F.col("start"), F.col("end"), F.array(hex_id("frame_id")), F.col("n"), why, seen_at("start", "end", ident="frame_id"))
 
 
 def check_decode(frames: DataFrame, messages: DataFrame) -> DataFrame:
@@ -321,8 +389,10 @@ def check_decode(frames: DataFrame, messages: DataFrame) -> DataFrame:
 def message_findings(frames: DataFrame, catalog: Catalog, config: Config) -> DataFrame:
     """Findings of all messages, worst first, then earliest first."""
     messages = catalog.message_table(frames.sparkSession)
-    parts = [check_message_periods(frames, config), check_message_gaps(frames, config), check_bursts(frames, config), check_stop_late(frames, config), check_dlc(frames, messages), check_channels(frames)]
-    parts += [check_payloads(frames, config), check_errors_near(frames, config), check_decode(frames, messages)]
+    base = staged(bases(frames, config))  # a row for each message and channel
+    gaps = staged(timing.with_traffic(timing.message_gaps(frames, base, gap_factor(config), config.chunk), timing.counts_before(frames, chunk_seconds=config.chunk)))
+    parts = [check_message_periods(frames, config, base), check_message_gaps(frames, config, gaps=gaps), check_bursts(frames, config, base), check_stop_late(frames, config, base=base), check_dlc(frames, messages), check_channels(frames)]
+    parts += [check_payloads(frames, config), check_errors_near(frames, config, gaps=gaps), check_decode(frames, messages)]
     return union(parts).orderBy(severity_order(), F.coalesce("time_start", F.lit(0.0)), "check", "title")
 
 
@@ -399,16 +469,21 @@ def signal_meta(values: DataFrame, catalog: Catalog) -> DataFrame:
     return catalog.signal_table(values.sparkSession).select("message_id", F.col("name").alias("signal"), "minimum", "maximum", (F.size("choices") > 0).alias("enumerated"), F.col("length").alias("bits"))
 
 
+def signal_entities() -> Column:
+    return F.array(hex_id("message_id"), F.col("signal"))
+
+
 def check_constant(profiles: DataFrame) -> DataFrame:
     rows = profiles.where("constant and n >= 3")
-    return finding(rows, "sig_constant", "info", F.format_string("%s never changes", "signal"), F.col("first_t"), F.col("last_t"), F.array("signal"))
+    return finding(rows, "sig_constant", "info", F.format_string("%s never changes", "signal"), F.col("first_t"), F.col("last_t"), signal_entities(), F.col("n"), F.format_string("all %d samples are %s", "n", "last"))
 
 
 def check_stuck(profiles: DataFrame) -> DataFrame:
     """Held longer than the bound and than ten times its usual time between changes."""
     held, span = F.col("run_end") - F.col("run_start"), F.col("last_t") - F.col("first_t")
     rows = profiles.where("changes > 0").withColumn("held", held).where((held >= timing.stuck_bound(span)) & (held >= 10 * span / F.col("changes")))
-    return finding(rows, "sig_stuck", "warn", F.format_string("%s unchanged for %.3f s", "signal", "held"), F.col("run_start"), F.col("run_end"), F.array("signal"), F.col("held"))
+    why = F.format_string("%d equal samples in a row, though it changes %d times", "run_length", "changes")
+    return finding(rows, "sig_stuck", "warn", F.format_string("%s unchanged for %.3f s", "signal", "held"), F.col("run_start"), F.col("run_end"), signal_entities(), F.col("held"), why, seen_at("run_start", "run_end", ident="message_id"))
 
 
 def out_of_range(values: DataFrame, catalog: Catalog) -> DataFrame:
@@ -452,20 +527,21 @@ def counter_freezes(steps: DataFrame, base: DataFrame, chunk_seconds: float = ti
 def signal_findings(frames: DataFrame, catalog: Catalog, config: Config) -> DataFrame:
     """Findings of all signals of all messages that can be decoded, worst first."""
     values = samples(frames, catalog)
-    profiles, base = signal_profiles(values, config.chunk), bases(frames, config)
+    profiles, base = signal_profiles(values, config.chunk), staged(bases(frames, config))
     steps = counter_steps(values, catalog, config.chunk)
-    name = F.array("signal")
+    name, at = signal_entities(), seen_at("first_t", ident="message_id")
     beyond, unnamed = out_of_range(values, catalog), invalid_labels(values, catalog)
-    jumps = counter_jumps(steps, timing.message_gaps(frames, base, gap_factor(config), config.chunk)).groupBy(*SIGNAL).agg(F.count("*").alias("n"), F.min("t").alias("t"))
+    jumps = counter_jumps(steps, timing.message_gaps(frames, base, gap_factor(config), config.chunk)).groupBy(*SIGNAL).agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.min_by("step", "t").alias("step"))
     sums = [s.name for m in catalog.messages for s in m.signals if re.search(CHECKSUM_NAME, s.name)]
+    same = profiles.where("constant and n >= 3").where(F.col("signal").isin(sums))
     parts = [
         check_constant(profiles),
         check_stuck(profiles),
-        finding(beyond, "sig_range", "warn", F.format_string("%s out of range %d times", "signal", "n"), F.col("first_t"), None, name, F.col("n")),
-        finding(unnamed, "sig_enum_invalid", "warn", F.format_string("%s has unnamed values %d times", "signal", "n"), F.col("first_t"), None, name, F.col("n")),
-        finding(jumps, "sig_counter", "error", F.format_string("%s jumps %d times", "signal", "n"), F.col("t"), None, name, F.col("n")),
-        finding(counter_freezes(steps, base, config.chunk), "sig_counter", "error", F.format_string("%s stops counting", "signal"), F.col("start"), F.col("end"), name),
-        finding(profiles.where("constant and n >= 3").where(F.col("signal").isin(sums)), "sig_checksum", "warn", F.format_string("checksum %s never changes", "signal"), F.col("first_t"), F.col("last_t"), name),
+        finding(beyond, "sig_range", "warn", F.format_string("%s out of range %d times", "signal", "n"), F.col("first_t"), None, name, F.col("n"), F.format_string("from %s to %s", F.col("lowest").cast("string"), F.col("highest").cast("string")), at),
+        finding(unnamed, "sig_enum_invalid", "warn", F.format_string("%s has unnamed values %d times", "signal", "n"), F.col("first_t"), None, name, F.col("n"), F.concat(F.lit("raw values: "), F.array_join(F.transform(F.slice("raws", 1, 8), lambda r: r.cast("string")), ", ")), at),
+        finding(jumps, "sig_counter", "error", F.format_string("%s jumps %d times", "signal", "n"), F.col("first_t"), None, name, F.col("n"), F.format_string("first by %d, and not across a gap", "step"), at),
+        finding(counter_freezes(steps, base, config.chunk), "sig_counter", "error", F.format_string("%s stops counting", "signal"), F.col("start"), F.col("end"), name, F.col("end") - F.col("start"), F.format_string("no step between %.3f and %.3f s", "start", "end"), seen_at("start", "end", ident="message_id")),
+        finding(same, "sig_checksum", "warn", F.format_string("checksum %s never changes", "signal"), F.col("first_t"), F.col("last_t"), name, F.col("n"), F.format_string("all %d samples are %s", "n", "last")),
     ]
     return union(parts).orderBy(severity_order(), F.coalesce("time_start", F.lit(0.0)), "check", "title")
 

@@ -15,6 +15,7 @@ from framelake.operators import diagnostics, timing
 from framelake.operators.align import previous
 from framelake.operators.decode import byte_fields, data_frames
 from framelake.plans.catalog import Catalog
+from framelake.sources.places import staged
 
 
 @dataclass
@@ -74,9 +75,9 @@ def raw_findings(frames: DataFrame, config: diagnostics.Config) -> tuple[DataFra
     steps, base = raw_steps(frames, counters, config.chunk), diagnostics.bases(frames, config)
     gaps = timing.message_gaps(frames, base, diagnostics.gap_factor(config), config.chunk)
     jumps = diagnostics.counter_jumps(steps, gaps).groupBy(*diagnostics.SIGNAL).agg(F.count("*").alias("n"), F.min("t").alias("t"))
-    name = F.array("signal")
-    found = diagnostics.finding(jumps, "msg_raw_counter", "error", F.format_string("%s jumps %d times", "signal", "n"), F.col("t"), None, name, F.col("n"))
-    stops = diagnostics.finding(diagnostics.counter_freezes(steps, base, config.chunk), "msg_raw_counter", "error", F.format_string("%s stops counting", "signal"), F.col("start"), F.col("end"), name)
+    name = diagnostics.signal_entities()
+    found = diagnostics.finding(jumps, "msg_raw_counter", "error", F.format_string("%s jumps %d times", "signal", "n"), F.col("t"), None, name, F.col("n"), F.format_string("%d steps are neither one nor none, and not across a gap", "n"), diagnostics.seen_at("t", ident="message_id"))
+    stops = diagnostics.finding(diagnostics.counter_freezes(steps, base, config.chunk), "msg_raw_counter", "error", F.format_string("%s stops counting", "signal"), F.col("start"), F.col("end"), name, F.col("end") - F.col("start"), F.format_string("no step between %.3f and %.3f s", "start", "end"), diagnostics.seen_at("start", "end", ident="message_id"))
     kinds = counters.select("log_id", "frame_id", "byte", "field", F.lit("counter").alias("role"), "ratio")
     sums = diagnostics.checksum_bytes(fields, counters).select("log_id", "frame_id", "byte", F.lit("byte").alias("field"), F.lit("checksum").alias("role"), "ratio")
     return kinds.unionByName(sums), found.unionByName(stops)
@@ -87,9 +88,10 @@ def signal_section(frames: DataFrame, catalog: Catalog, config: diagnostics.Conf
     from framelake.operators.decode import samples
 
     found = diagnostics.signal_findings(frames, catalog, config)
-    issues = found.select("log_id", F.explode("entities").alias("signal"), "check").groupBy("log_id", "signal").agg(F.array_sort(F.collect_set("check")).alias("issues"))
+    issues = found.select("log_id", F.col("entities")[1].alias("signal"), "check", "time_start").groupBy("log_id", "signal").agg(F.array_sort(F.collect_set("check")).alias("issues"), F.min("time_start").alias("first_issue_t"))
+    roles = F.when(F.regexp_like("signal", F.lit(diagnostics.COUNTER_NAME)), "counter").when(F.regexp_like("signal", F.lit(diagnostics.CHECKSUM_NAME)), "checksum")
     profiles = diagnostics.signal_profiles(samples(frames, catalog), config.chunk).join(issues, ["log_id", "signal"], "left")
-    return profiles.withColumn("issues", F.coalesce("issues", F.array().cast("array<string>"))), found
+    return profiles.withColumn("issues", F.coalesce("issues", F.array().cast("array<string>"))).withColumn("role", roles), found
 
 
 def diagnose(frames: DataFrame, catalog: Catalog, frame_id: int, config: diagnostics.Config | None = None) -> Report:
@@ -102,9 +104,11 @@ def diagnose(frames: DataFrame, catalog: Catalog, frame_id: int, config: diagnos
         return Report(about, message is not None, False, absent(frames, catalog, frame_id), nearby=nearby(frames, catalog, frame_id))
     small = Catalog((message,) if message else (), catalog.nodes)
     table = small.message_table(frames.sparkSession)
-    parts = [diagnostics.check_message_periods(own, config), diagnostics.check_message_gaps(own, config, every=frames), diagnostics.check_bursts(own, config), diagnostics.check_stop_late(own, config, every=frames)]
-    parts += [diagnostics.check_dlc(own, table), diagnostics.check_channels(own), diagnostics.check_payloads(own, config), diagnostics.check_errors_near(own, config), diagnostics.check_decode(own, table)]
-    stats = timing.period_stats(mine, chunk_seconds=config.chunk).join(diagnostics.channels_of(mine), ["log_id", "frame_id"])
+    base = staged(diagnostics.bases(own, config))
+    gaps = staged(timing.with_traffic(timing.message_gaps(own, base, diagnostics.gap_factor(config), config.chunk), timing.counts_before(frames, chunk_seconds=config.chunk)))
+    parts = [diagnostics.check_message_periods(own, config, base), diagnostics.check_message_gaps(own, config, gaps=gaps), diagnostics.check_bursts(own, config, base), diagnostics.check_stop_late(own, config, frames, base)]
+    parts += [diagnostics.check_dlc(own, table), diagnostics.check_channels(own), diagnostics.check_payloads(own, config), diagnostics.check_errors_near(own, config, gaps=gaps), diagnostics.check_decode(own, table)]
+    stats = base.join(diagnostics.channels_of(mine), ["log_id", "frame_id"])
     out = Report(about, message is not None, True, diagnostics.union(parts), stats=stats)
     if message is None:
         out.raw, more = raw_findings(mine, config)

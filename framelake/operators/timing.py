@@ -102,11 +102,11 @@ def log_bounds(frames: DataFrame) -> DataFrame:
 
 
 def stop_late(frames: DataFrame, bases: DataFrame) -> DataFrame:
-    """(keys..., stopped, late, silent_s, late_s): messages that end well before the log or begin well after it does."""
+    """(keys..., stopped, late, silent_s, late_s, first_t, last_t, log_start, log_end, base_ms): messages that end well before the log or begin well after it does."""
     bound = F.greatest(5 * F.col("base_ms") / 1000, F.lit(0.5))
     rows = bases.join(F.broadcast(log_bounds(frames)), "log_id")  # a row per log
     rows = rows.withColumn("silent_s", F.col("log_end") - F.col("last_t")).withColumn("late_s", F.col("first_t") - F.col("log_start"))
-    return rows.select(*MESSAGE, (F.col("silent_s") > bound).alias("stopped"), (F.col("late_s") > bound).alias("late"), "silent_s", "late_s")
+    return rows.select(*MESSAGE, (F.col("silent_s") > bound).alias("stopped"), (F.col("late_s") > bound).alias("late"), "silent_s", "late_s", "first_t", "last_t", "log_start", "log_end", "base_ms")
 
 
 def counts_before(frames: DataFrame, keys: list[str] = ["log_id"], chunk_seconds: float = CHUNK) -> DataFrame:  # noqa: B006

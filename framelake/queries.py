@@ -697,19 +697,128 @@ def q_nearby_ids(spark, sf_dir):
     return diagnostics.nearby_ids(_frames(spark, sf_dir), 258)
 
 
-@query(None)
+#: Findings as compared: times in milliseconds, evidence as text.
+_TOLD = """ SELECT "check", severity, entities, confidence, CASE WHEN a IS NULL THEN NULL ELSE round(a * 1000)::BIGINT END AS start_ms, CASE WHEN z IS NULL THEN NULL ELSE round(z * 1000)::BIGINT END AS end_ms,
+    round(value, 3)::DOUBLE AS value, array_to_string(list_transform(evidence, lambda e: round(e[1] * 1000)::BIGINT || CASE WHEN e[2] IS NULL THEN '' ELSE '@' || e[2]::BIGINT END), ',') AS evidence FROM found"""
+
+
+def _told(found: DataFrame) -> DataFrame:
+    ms = lambda t: F.round(t * 1000).cast("long")
+    evidence = F.array_join(F.transform("evidence", lambda e: F.concat(ms(e["t"]).cast("string"), F.coalesce(F.concat(F.lit("@"), e["id"].cast("string")), F.lit("")))), ",")
+    return found.select("check", "severity", F.array_join("entities", ",").alias("entities"), "confidence", ms(F.col("time_start")).alias("start_ms"), ms(F.col("time_end")).alias("end_ms"), F.round("value", 3).alias("value"), evidence.alias("evidence"))
+
+
+_COLUMNS = ', {entities} AS entities, {sure}::DOUBLE AS confidence, {a}::DOUBLE AS a, {z}::DOUBLE AS z, {value}::DOUBLE AS value, {evidence}::DOUBLE[][] AS evidence FROM {rows}'
+_HEX = "printf('0x%X', frame_id)"
+
+
+def _found(check: str, severity: str, rows: str, entities: str = "'bus'", a: str = "NULL", z: str = "NULL", value: str = "NULL", evidence: str = "[]", sure: str = "1") -> str:
+    """SQL of one check's findings."""
+    severity = severity if severity.startswith("CASE") else f"'{severity}'"
+    return f"SELECT '{check}' AS \"check\", {severity} AS severity" + _COLUMNS.format(entities=entities, sure=sure, a=a, z=z, value=value, evidence=evidence, rows=rows)
+
+
+_ENDS = "[[a, id], [z, id]]"
+_BUS_SQL = (
+    BASE
+    + """, load AS (SELECT channel, sum((47 + 8 * dlc) * 1.2::DOUBLE) AS bits, min(t) AS a, max(t) - min(t) AS span FROM data GROUP BY channel),
+    bins AS (SELECT d.channel, least(floor((d.t - a) / (span / greatest(ceil(span / 3600), 1))), greatest(ceil(span / 3600), 1) - 1) AS bin, sum((47 + 8 * dlc) * 1.2::DOUBLE) AS w FROM data d JOIN load USING (channel) GROUP BY 1, 2),
+    loads AS (SELECT channel, bits / span * 100 AS mean, (SELECT max(w) FROM bins WHERE bins.channel = load.channel) / 3600 * 100 AS peak FROM load),
+    p AS (SELECT frame_id AS id, lag(t) OVER (PARTITION BY frame_id ORDER BY t, seq) AS a, t AS z FROM data WHERE frame_id IN (256, 258, 260)),
+    quiet AS (SELECT lag(t) OVER (ORDER BY t) AS a, t AS z FROM (SELECT DISTINCT t FROM data)),
+    n AS (SELECT 'Node' || (frame_id % 3) AS node, (frame_id % 3) AS m, t, seq FROM data WHERE frame_id <= 261), g AS (SELECT node, m, lag(t) OVER (PARTITION BY node ORDER BY t, seq) AS a, t AS z FROM n),
+    s AS (SELECT min(t) AS first, max(t) - min(t) AS span, greatest(ceil((max(t) - min(t)) / 3600), 1) AS bins FROM frames WHERE kind = 'error'),
+    storms AS (SELECT first + bin * (span / bins) AS a, first + (bin + 1) * (span / bins) AS z, n FROM s, (SELECT least(floor((t - first) / (span / bins)), bins - 1) AS bin, count(*) AS n FROM frames, s WHERE kind = 'error' GROUP BY 1 HAVING count(*) >= 3)),
+    states AS (SELECT state, min(t) AS a, arg_min(channel, (t, seq)) AS channel FROM frames WHERE state IN ('bus_off', 'passive') GROUP BY 1),
+    r AS (SELECT count(*) AS total, count_if(error_type <> 'ack') AS bits, count_if(error_type = 'ack') AS ack FROM frames WHERE kind = 'error'),
+    found AS ("""
+    + " UNION ALL ".join([
+        _found("bus_load", "CASE WHEN greatest(mean, peak) >= 70 THEN 'critical' ELSE 'warn' END", "loads WHERE greatest(mean, peak) >= 50", "channel::VARCHAR", value="round(peak, 2)"),
+        _found("periodicity", "warn", "p WHERE (z - a) * 1000 > 2000000 * 1.25", "printf('0x%X', id)", "a", "z", "(z - a) * 1000", _ENDS),
+        _found("bus_silence", "error", "quiet WHERE z - a > 1800", a="a", z="z", value="z - a", evidence="[[a, NULL], [z, NULL]]"),
+        _found("node_offline", "error", "g WHERE (z - a) * 1000 > 3 * 2000000 AND EXISTS (SELECT 1 FROM data d WHERE d.t BETWEEN a AND z AND (d.frame_id > 261 OR d.frame_id % 3 <> m))", "node", "a", "z", "z - a", "[[a, [258, 256, 257][m + 1]]]"),
+        _found("error_frame", "critical", "storms", a="a", z="z", value="n", evidence="[[a, NULL]]"),
+        _found("error_frame", "warn", "r WHERE total > 0 AND NOT EXISTS (SELECT 1 FROM storms)", value="total"),
+        _found("error_state_machine", "CASE WHEN state = 'bus_off' THEN 'critical' ELSE 'warn' END", "states", a="a", value="channel", evidence="[[a, NULL]]"),
+        _found("baud_mismatch", "warn", "r WHERE bits / total > 0.5 AND bits > ack", value="bits / total", sure="0.5"),
+        _found("termination_wiring", "warn", "r WHERE ack > 0 AND bits > 0 AND ack / total > 0.2 AND ack / total < 0.8", value="ack / total", sure="0.4"),
+    ])
+    + ")" + _TOLD
+)
+
+
+@query(_BUS_SQL)
 def q_bus_findings(spark, sf_dir):
-    return diagnostics.bus_findings(_frames(spark, sf_dir), _config())
+    return _told(diagnostics.bus_findings(_frames(spark, sf_dir), _config()))
 
 
-@query(None)
+_STUCK = "greatest(1, least(0.25 * (last_t - first_t), 10))"
+_MESSAGE_SQL = (
+    STATS
+    + f""", ends AS (SELECT min(t) AS log_start, max(t) AS log_end FROM data),
+    known AS (SELECT *, CASE WHEN frame_id IN (256, 258, 260) THEN 2000000.0::DOUBLE END AS dbc_ms FROM base, ends),
+    main AS (SELECT *, abs(median_ms - dbc_ms) / dbc_ms > 0.25 AS off, p99_ms > dbc_ms * 1.25 AS jitter FROM known QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY n_frames DESC, channel) = 1),
+    listed AS (SELECT frame_id, frame_id AS id, channel, start AS a, "end" AS z, missing, inside, row_number() OVER (PARTITION BY frame_id ORDER BY gap_ms DESC, start, channel) AS nth FROM inside),
+    many AS (SELECT frame_id, min(start) AS a, max("end") AS z, sum(missing) AS missing FROM inside GROUP BY 1 HAVING count(*) > 10),
+    early AS (SELECT frame_id, count(*) AS n FROM d JOIN base USING (frame_id, channel) WHERE ms < 0.25 * base_ms GROUP BY 1),
+    lengths AS (SELECT frame_id, count(DISTINCT dlc) AS n, max(dlc) AS dlc, count(DISTINCT channel) AS channels, count_if(dlc >= 8) AS ok, count(*) AS frames FROM data GROUP BY 1),
+    pay AS (SELECT frame_id, t, seq, CASE WHEN dlc = 4 THEN word & 4294967295 ELSE word END AS w FROM data), c AS (SELECT *, coalesce((w IS DISTINCT FROM lag(w) OVER o AND row_number() OVER o > 1)::INT, 0) AS ch FROM pay WINDOW o AS (PARTITION BY frame_id ORDER BY t, seq)),
+    r AS (SELECT *, sum(ch) OVER (PARTITION BY frame_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS run FROM c), runs AS (SELECT frame_id, run, count(*) AS len, min(t) AS a, max(t) AS z FROM r GROUP BY 1, 2),
+    held AS (SELECT frame_id, frame_id AS id, sum(len) AS n, count(*) - 1 AS changes, arg_max(a, len * 1000000 - run) AS a, arg_max(z, len * 1000000 - run) AS z, min(a) AS first_t, max(z) AS last_t FROM runs GROUP BY 1),
+    e AS (SELECT t FROM frames WHERE kind <> 'data'),
+    near AS (SELECT frame_id, frame_id AS id, start AS a, "end" AS z, n, row_number() OVER (PARTITION BY frame_id ORDER BY start, channel) AS nth FROM (SELECT frame_id, channel, start, "end", count(*) AS n FROM gaps JOIN e ON e.t BETWEEN start - 60 AND "end" + 60 GROUP BY 1, 2, 3, 4)),
+    found AS ("""
+    + " UNION ALL ".join([
+        _found("msg_period", "CASE WHEN n_frames > 1 AND NOT coalesce(off, false) AND NOT coalesce(jitter, false) THEN 'info' ELSE 'warn' END", "main WHERE n_frames = 1 OR off OR jitter OR dbc_ms IS NULL", _HEX, "CASE WHEN n_frames = 1 THEN first_t END", value="median_ms"),
+        _found("msg_gap", "CASE WHEN inside > 0 THEN 'error' ELSE 'warn' END", "listed WHERE nth <= 10", _HEX, "a", "z", "missing", _ENDS),
+        _found("msg_gap", "error", "many", _HEX, "a", "z", "missing"),
+        _found("msg_burst", "warn", "early", _HEX, value="n"),
+        _found("msg_stop", "error", "known WHERE log_end - last_t > greatest(5 * base_ms / 1000, 0.5)", _HEX, "last_t", "log_end", "log_end - last_t", "[[last_t, frame_id]]"),
+        _found("msg_late", "warn", "known WHERE first_t - log_start > greatest(5 * base_ms / 1000, 0.5)", _HEX, "log_start", "first_t", "first_t - log_start", "[[first_t, frame_id]]"),
+        _found("msg_dlc", "warn", "lengths WHERE n > 1 OR (frame_id <= 261 AND dlc <> 8)", _HEX),
+        _found("msg_multichannel", "info", "lengths WHERE channels > 1", _HEX),
+        _found("msg_payload_stuck", "warn", "held WHERE n >= 3 AND changes = 0", _HEX, "first_t", "last_t", "z - a"),
+        _found("msg_payload_stuck", "warn", f"held WHERE changes > 0 AND z - a >= {_STUCK}", _HEX, "a", "z", "z - a", _ENDS),
+        _found("msg_error_nearby", "error", "near WHERE nth <= 10", _HEX, "a", "z", "n", _ENDS),
+        _found("msg_decode", "error", "lengths WHERE frame_id <= 261 AND ok = 0", _HEX, value="frames"),
+    ])
+    + ")" + _TOLD
+)
+
+
+@query(_MESSAGE_SQL)
 def q_message_findings(spark, sf_dir):
-    return diagnostics.message_findings(_frames(spark, sf_dir), source.event_catalog(), _config())
+    return _told(diagnostics.message_findings(_frames(spark, sf_dir), source.event_catalog(), _config()))
 
 
-@query(None)
+_SIGNAL = "printf('0x%X', id) || ',' || signal"
+_SIGNAL_SQL = (
+    STEPS
+    + LONG[len(BASE) :]
+    + f""", v AS (SELECT *, coalesce(label, raw::VARCHAR) AS shown FROM long), h AS (SELECT *, coalesce((shown IS DISTINCT FROM lag(shown) OVER o AND row_number() OVER o > 1)::INT, 0) AS ch FROM v WINDOW o AS (PARTITION BY signal ORDER BY t, seq)),
+    r AS (SELECT *, sum(ch) OVER (PARTITION BY signal ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS run FROM h), runs AS (SELECT message_id AS id, signal, run, count(*) AS len, min(t) AS a, max(t) AS z FROM r GROUP BY 1, 2, 3),
+    held AS (SELECT id, signal, sum(len) AS n, count(*) - 1 AS changes, arg_max(a, len * 1000000 - run) AS a, arg_max(z, len * 1000000 - run) AS z, min(a) AS first_t, max(z) AS last_t FROM runs GROUP BY 1, 2),
+    beyond AS (SELECT message_id AS id, signal, count(*) AS n, min(t) AS a FROM long WHERE signal LIKE 'Value%' AND (num > 480 + 1e-9 OR num < -1e-9) GROUP BY 1, 2),
+    unnamed AS (SELECT message_id AS id, signal, count(*) AS n, min(t) AS a FROM long WHERE signal LIKE 'Mode%' AND label IS NULL GROUP BY 1, 2),
+    jumps AS (SELECT frame_id AS id, 'Counter' || frame_id AS signal, count(*) AS n, min(t) AS a FROM c WHERE step IS NOT NULL AND step NOT IN (0, 1, -15) AND NOT EXISTS (SELECT 1 FROM gaps g WHERE g.frame_id = c.frame_id AND g.channel = c.channel AND g.start = c.before) GROUP BY 1, 2),
+    sh AS (SELECT *, coalesce((step <> 0)::INT, 0) AS ch FROM c), sr AS (SELECT *, sum(ch) OVER (PARTITION BY frame_id, channel ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS run FROM sh), sg AS (SELECT frame_id, channel, run, count(*) AS len, min(t) AS a, max(t) AS z FROM sr GROUP BY 1, 2, 3),
+    frozen AS (SELECT frame_id AS id, 'Counter' || frame_id AS signal, a, z FROM (SELECT frame_id, channel, arg_max(a, len * 1000000 - run) AS a, arg_max(z, len * 1000000 - run) AS z, max(len) AS len FROM sg GROUP BY 1, 2) JOIN base USING (frame_id, channel) WHERE len > 1 AND z - a >= greatest(0.1, 5 * base_ms / 1000)),
+    found AS ("""
+    + " UNION ALL ".join([
+        _found("sig_constant", "info", "held WHERE changes = 0 AND n >= 3", _SIGNAL, "first_t", "last_t", "n"),
+        _found("sig_stuck", "warn", f"held WHERE changes > 0 AND z - a >= {_STUCK} AND z - a >= 10 * (last_t - first_t) / changes", _SIGNAL, "a", "z", "z - a", _ENDS),
+        _found("sig_range", "warn", "beyond", _SIGNAL, "a", value="n", evidence="[[a, id]]"),
+        _found("sig_enum_invalid", "warn", "unnamed", _SIGNAL, "a", value="n", evidence="[[a, id]]"),
+        _found("sig_counter", "error", "jumps", _SIGNAL, "a", value="n", evidence="[[a, id]]"),
+        _found("sig_counter", "error", "frozen", _SIGNAL, "a", "z", "z - a", _ENDS),
+    ])
+    + ")" + _TOLD
+)
+
+
+@query(_SIGNAL_SQL)
 def q_signal_findings(spark, sf_dir):
-    return diagnostics.signal_findings(_frames(spark, sf_dir), source.event_catalog(), _config())
+    return _told(diagnostics.signal_findings(_frames(spark, sf_dir), source.event_catalog(), _config()))
 
 
 @query(BASE + "SELECT seq, array_to_string(list_transform(range(dlc), lambda i: printf('%02x', (word >> (8 * i)) & 255)), ' ') AS payload FROM frames")
