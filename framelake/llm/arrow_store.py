@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from framelake.llm.common import shared_dir, shuffle_partitions, staged
 
 #: Words whose ids a task keeps at hand, and sequences in a record batch.
-KEPT_WORDS, BATCH = 300_000, 64
+KEPT_WORDS, BATCH = 600_000, 64
 
 
 def schema(length: int, wide: bool) -> pa.Schema:
@@ -100,17 +100,22 @@ class WordCache:
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, parts: list[str]) -> None:
-        """Puts the ids of parts into self.parts."""
-        plain = [p for p in parts if p.isalpha() and (p.isascii() or not FAR(p))]  # split() has lower-cased them
-        for at in range(0, len(plain), 2_000):
-            some = plain[at : at + 2_000]
+    def letter_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of words of letters in lower case."""
+        for at in range(0, len(words), 2_000):
+            some = words[at : at + 2_000]
             ids = np.array(self.letters.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
-            last = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            last = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
             if len(last) != len(some) or last[-1] != ids.nbytes:
                 raise RuntimeError("a word of letters has more than one token that ends it")
-            whole = ids.tobytes()
-            self.parts.update(zip(some, (whole[a:b] for a, b in zip([0, *last[:-1].tolist()], last.tolist()))))
+            whole, first = ids.tobytes(), 0
+            for word, end in zip(some, last):
+                yield word, whole[first:end]
+                first = end
+
+    def learn(self, parts: list[str]) -> None:
+        """Puts the ids of parts into self.parts."""
+        self.parts.update(self.letter_words([p for p in parts if p.isalpha() and (p.isascii() or not FAR(p))]))  # split() has lower-cased them
         other = [p for p in parts if p not in self.parts]
         for at in range(0, len(other), 5_000):
             some = other[at : at + 5_000]
@@ -130,13 +135,17 @@ class WordCache:
         now = set().union(*split)
         if len(self.words) > KEPT_WORDS:  # words of this batch stay, among them the frequent ones
             self.words = {w: self.words[w] for w in now if w in self.words}
-        new = {w: (w.lower(), "") if w.isascii() and w.isalpha() else self.split(w) for w in now.difference(self.words)}
-        every = {p for both in new.values() for p in both}
+        new = now.difference(self.words)
+        plain = [w for w in new if w.isalpha() and w.islower() and w.isascii()]  # most words: nothing to split or to lower-case
+        self.words.update(self.letter_words(plain))
+        other = {w: (w.lower(), "") if w.isascii() and w.isalpha() else self.split(w) for w in new.difference(plain)}
+        every = {p for both in other.values() for p in both}
         if len(self.parts) > KEPT_WORDS:
             self.parts = {p: self.parts[p] for p in every if p in self.parts}
-        self.learn(list(every - self.parts.keys()))
-        parts = self.parts
-        self.words.update((w, parts[a] + parts[b]) for w, (a, b) in new.items())
+        words, parts = self.words, self.parts
+        parts.update((p, words[p]) for p in every - parts.keys() if p in words)
+        self.learn(list(every - parts.keys()))
+        words.update((w, parts[a] + parts[b]) for w, (a, b) in other.items())
         known = self.words.__getitem__
         return [np.frombuffer(b"".join(map(known, words)), self.kind) for words in split]
 
