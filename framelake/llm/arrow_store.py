@@ -6,8 +6,8 @@ equally long and all batches but the last have the same size, sequence k of a pa
 (`Sequences`). A second stream file lists (doc_id, start, n_tokens) of the part's documents. Ids are 16 bits wide where
 the tokenizer's vocabulary allows it, else 32.
 
-Null and empty texts have the end id alone. Null doc_ids come first, rows with equal ids in the order of a hash of their
-texts. An empty table makes a manifest without rows.
+Null and empty texts have the end id alone. Null doc_ids come first, rows with equal ids in the order of the
+first 64 characters of their texts (in a part, of their texts). An empty table makes a manifest without rows.
 """
 
 import functools
@@ -225,7 +225,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048,
     start), start being the number of ids in all parts before.
 
     Texts are dealt by ranges of doc_id (one shuffle) and encoded where they are written; many rows with one id are dealt by
-    their texts, and equal rows by their places.
+    the heads of their texts, and equal ones by their places.
     """
     folder = folder or shared_dir(docs.sparkSession)
     wide = max(about(tokenizer)[0], end_id + 1) > 1 << 16
@@ -252,8 +252,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048,
 
     kind = pa.string() if dict(docs.dtypes)["doc_id"] == "string" else pa.int64()
     n = max(1, shuffle_partitions(docs.sparkSession))
-    salt = F.struct(F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("row"))  # null and repeated ids, and equal rows, are dealt over several parts
-    ordered = docs.select("doc_id", "text", salt.alias("__salt")).repartitionByRange(n, "doc_id", "__salt.text", "__salt.row").sortWithinPartitions("doc_id", "__salt.text", "text").select("doc_id", "text")
+    head, row = F.substring("text", 1, 64).alias("__head"), F.monotonically_increasing_id().alias("__row")
+    dealt = docs.select("doc_id", "text", head, row).repartitionByRange(n, "doc_id", "__head", "__row")  # so null and repeated ids, and equal rows, fill several parts
+    ordered = dealt.sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     manifest = staged(ordered.mapInArrow(rows, "part long, path string, n_docs long, n_tokens long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
