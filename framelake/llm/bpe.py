@@ -108,15 +108,19 @@ def _digests(words: pa.Array, sizes: np.ndarray) -> str:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Non-negative integers below 2^24, each byte plane by itself, compressed."""
-    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """Non-negative integers below 2^32, each byte plane by itself, compressed; the first byte tells the number of planes."""
+    most = int(x.max(initial=0))
+    if most >= 1 << 32:
+        raise ValueError(f"{most} is too large")
+    planes = max(1, (most.bit_length() + 7) // 8)
+    whole = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T)
+    return bytes([planes]) + zstandard.ZstdCompressor(level=1).compress(whole.tobytes())
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(3, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
     whole = np.zeros((planes.shape[1], 4), np.uint8)
-    whole[:, :3] = planes.T
+    whole[:, : blob[0]] = planes.T
     return whole.reshape(-1).view("<u4")
 
 

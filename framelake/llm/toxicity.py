@@ -67,7 +67,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, steps: int = 200, l2: float = 1e-3) -> Model:
     """Counts and features are gathered by Spark; the driver gets at most 2^BITS ratios and, for each of the at most
-    `sample` rows, which features it has, in 4 bytes each."""
+    `sample` rows, which features it has: in 2 bytes each, or in 2^BITS bits if there are many. So however long texts are,
+    a row takes 32 kB at most, and 8,000 rows take 262 MB."""
 
     def counts(batches):
         total = np.zeros((2, 1 << BITS), np.int64)
@@ -99,23 +100,45 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     truth, has = [], []
     for r in staged(rows.select("text", "label").mapInArrow(hits, "label int, has binary")).toLocalIterator():  # a part at a time
         truth.append(r[0])
-        has.append(np.frombuffer(r[1], np.int32))
-    order = sorted(range(len(has)), key=lambda i: (truth[i], hashlib.blake2b(has[i], digest_size=16).digest()))  # the rows' order is Spark's
+        has.append(Features(np.frombuffer(r[1], np.int32)))
+    order = sorted(range(len(has)), key=lambda i: (truth[i], has[i].digest()))  # the rows' order is Spark's
     weights, bias = regression([has[i] for i in order], np.array(truth)[order], ratios, steps, l2)
     return Model(weights * ratios, bias)
 
 
-def regression(has: list[np.ndarray], truth: np.ndarray, ratios: np.ndarray, steps: int, l2: float) -> tuple[np.ndarray, float]:
+class Features:
+    """Which features a row has: sorted, 2 bytes for each with the places at which the upper bits change; or a bit for every one."""
+
+    def __init__(self, ids: np.ndarray):
+        ids = np.sort(ids)
+        self.dense = 16 * len(ids) > 1 << BITS
+        if self.dense:
+            flags = np.zeros(1 << BITS, bool)
+            flags[ids] = True
+            self.held = np.packbits(flags)
+        else:
+            self.held, self.ends = ids.astype(np.uint16), np.searchsorted(ids, np.arange(0, (1 << BITS) + 1, 1 << 16)).astype(np.int32)
+
+    def ids(self) -> np.ndarray:
+        if self.dense:
+            return np.flatnonzero(np.unpackbits(self.held))
+        return self.held + np.repeat(np.arange(len(self.ends) - 1) << 16, np.diff(self.ends))
+
+    def digest(self) -> bytes:
+        return hashlib.blake2b(self.ids().astype(np.int32).tobytes(), digest_size=16).digest()
+
+
+def regression(has: list[Features], truth: np.ndarray, ratios: np.ndarray, steps: int, l2: float) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic regression on features scaled by ratios, both labels weighing the same; L-BFGS."""
     scale = np.where(truth == 1, 0.5 / (truth == 1).sum(), 0.5 / (truth != 1).sum())
 
     def loss(x):
         w = (x[:-1] * ratios).astype(np.float32)
-        z = np.array([w[one].sum() for one in has], np.float64) + x[-1]
+        z = np.array([w[one.ids()].sum() for one in has], np.float64) + x[-1]
         error = (logits(z) - truth) * scale
         g = np.zeros(len(ratios), np.float32)
         for one, e in zip(has, error.astype(np.float32)):
-            g[one] += e  # the features of a row are distinct
+            g[one.ids()] += e  # the features of a row are distinct
         value = float((scale * (np.logaddexp(0, z) - truth * z)).sum() + l2 / 2 * (x[:-1] @ x[:-1]))
         return value, np.append(g * ratios + l2 * x[:-1], error.sum())
 

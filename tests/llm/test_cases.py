@@ -116,3 +116,28 @@ def test_guess_costs_by_trying_all():
         assert got >= least - 1e-9 and got <= sum(math.log2(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in value) + 1e-9
         same += got == pytest.approx(least)
     assert same >= 240
+
+
+def test_packed_numbers_of_any_size():
+    import numpy as np
+
+    from framelake.llm.bpe import _packed, _unpacked
+
+    for most in (0, 1, 255, 256, 65_535, 65_536, (1 << 24) - 1, 1 << 24, (1 << 24) + 3, (1 << 32) - 1):
+        some = np.array([0, most // 2, most, 3 % (most + 1)], np.int64)
+        assert _unpacked(_packed(some)).tolist() == some.tolist()
+    assert _unpacked(_packed(np.zeros(0, np.int64))).tolist() == []
+    with pytest.raises(ValueError):
+        _packed(np.array([1 << 32]))
+
+
+def test_features_of_a_row_take_32_kb_at_most():
+    import numpy as np
+
+    from framelake.llm.toxicity import BITS, Features
+
+    draw = np.random.default_rng(1)
+    for n in (0, 1, 50, 16_384, 16_385, 1 << BITS):
+        ids = draw.permutation(1 << BITS)[:n].astype(np.int32)
+        row = Features(ids)
+        assert row.ids().tolist() == sorted(ids.tolist()) and row.held.nbytes <= 1 << BITS - 3
