@@ -15,6 +15,7 @@ from framelake.operators.align import at_ticks, hold, recorded
 from framelake.plans.catalog import Catalog
 from framelake.plans.conditions import Compiler, summary
 from framelake.plans.functions import Machine
+from framelake.sources.places import staged
 
 EVIDENCE = "array<struct<ok: boolean, kind: string, signal: string, op: string, value: string, actual: string, previous: string, margin: double, text: string>>"
 
@@ -107,11 +108,12 @@ def attempts(steps: DataFrame, catalog: Catalog, machines: list[Machine]) -> Dat
 
 def intervals(steps: DataFrame) -> DataFrame:
     """(log_id, function, start, end, open): when each machine was on. One that starts on is on from the log's first
-    tick; one still on at the end is closed at the last tick."""
-    bounds = steps.groupBy("log_id", "function").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.first("initial").alias("initial"), F.min_by("before", "t").alias("__was"))
-    turned = steps.where("before <> after").select("log_id", "function", "t", F.col("after").alias("on"))
+    tick; one still on at the end is closed at the last tick. Steps are read once, into a small row for each chunk."""
+    turned = F.when(F.col("before") != F.col("after"), F.struct("t", F.col("after").alias("on")))
+    chunks = staged(steps.groupBy("log_id", "function", "chunk").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.first("initial").alias("initial"), F.array_compact(F.collect_list(turned)).alias("turned")))
+    bounds = chunks.groupBy("log_id", "function").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("initial").alias("initial"))
     begun = bounds.where("initial").select("log_id", "function", F.col("first").alias("t"), F.lit(True).alias("on"), F.lit(0).alias("nth"))
-    both = begun.unionByName(turned.withColumn("nth", F.lit(1)))
+    both = begun.unionByName(chunks.select("log_id", "function", F.inline("turned")).withColumn("nth", F.lit(1)))
     following = F.lead("t").over(Window.partitionBy("log_id", "function").orderBy("t", "nth"))
     spans = both.withColumn("end", following).where("on").join(bounds.select("log_id", "function", "last"), ["log_id", "function"])
     return spans.select("log_id", "function", F.col("t").alias("start"), F.coalesce("end", "last").alias("end"), F.col("end").isNull().alias("open"))
@@ -126,13 +128,13 @@ def watch(frames: DataFrame, catalog: Catalog, condition: dict, chunk_seconds: f
     compiler, names = Compiler(catalog), signals_of(condition)
     wide = hold(at_ticks(frames, catalog, names), names, chunk_seconds).withColumn("ok", compiler.test(condition))
     # The condition's truth at the tick before, across chunks: each chunk's last one goes to the next.
-    last = wide.groupBy("log_id", "chunk").agg(F.max_by("ok", "t").alias("__left"))
-    last = last.select("log_id", "chunk", F.lag("__left").over(Window.partitionBy("log_id").orderBy("chunk")).alias("__got"))
+    last = staged(wide.groupBy("log_id", "chunk").agg(F.max_by("ok", "t").alias("__left"), F.max("t").alias("__last")))
+    ends = last.groupBy("log_id").agg(F.max("__last").alias("last"))
+    got = last.select("log_id", "chunk", F.lag("__left").over(Window.partitionBy("log_id").orderBy("chunk")).alias("__got"))
     inside = Window.partitionBy("log_id", "chunk").orderBy("t")
-    wide = wide.join(last, ["log_id", "chunk"]).withColumn("was", F.coalesce(F.lag("ok").over(inside), F.col("__got")))
-    turned = wide.where("was is not null and ok <> was")
-    transitions = turned.select("log_id", "t", F.col("ok").alias("to"), F.lit(summary(condition)).alias("summary"), compiler.evidence(condition).alias("evidence"))
-    ends = wide.groupBy("log_id").agg(F.max("t").alias("last"))
-    starts = wide.where("was is null or ok <> was").select("log_id", "t", "ok")
-    spans = starts.withColumn("end", F.lead("t").over(Window.partitionBy("log_id").orderBy("t"))).where("ok").join(ends, "log_id")
+    wide = wide.join(got, ["log_id", "chunk"]).withColumn("was", F.coalesce(F.lag("ok").over(inside), F.col("__got")))
+    turned = wide.where("was is null or ok <> was")  # few: both tables come of them
+    turned = staged(turned.select("log_id", "t", "ok", "was", compiler.evidence(condition).alias("evidence")))
+    transitions = turned.where("was is not null").select("log_id", "t", F.col("ok").alias("to"), F.lit(summary(condition)).alias("summary"), "evidence")
+    spans = turned.withColumn("end", F.lead("t").over(Window.partitionBy("log_id").orderBy("t"))).where("ok").join(ends, "log_id")
     return transitions, spans.select("log_id", F.col("t").alias("start"), F.coalesce("end", "last").alias("end"))

@@ -123,6 +123,15 @@ def diagnose(frames: DataFrame, catalog: Catalog, frame_id: int, config: diagnos
     return out
 
 
+def as_dict(report: Report) -> dict:
+    """The report as plain values, for JSON; its tables have a row per channel, signal, field or finding of one message."""
+    rows = lambda table, *order: [] if table is None else [r.asDict(True) for r in table.orderBy(*order).collect()]
+    return {
+        "message": report.identity, "in_schema": report.in_schema, "in_log": report.in_log, "stats": rows(report.stats, "log_id", "channel"), "signals": rows(report.signals, "log_id", "signal"),
+        "raw": rows(report.raw, "byte", "field"), "nearby": rows(report.nearby, "frame_id"), "findings": rows(report.findings, diagnostics.severity_order(), "time_start", "check", "title"), "notes": report.notes,
+    }
+
+
 def markdown(report: Report) -> str:
     """The report as text; it has a row per channel, signal and finding of one message."""
     about = report.identity

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.bits import payload_text
-from framelake.operators.decode import data_frames, decode_status, plotted, resolve, sample
+from framelake.operators.decode import data_frames, decode_status, plotted, resolve, sample, with_words
 from framelake.plans.catalog import Catalog
+from framelake.sources.frames import first_of_each
 
 
 def points(frames: DataFrame, catalog: Catalog, names: list[str], start: float | None = None, end: float | None = None) -> DataFrame:
@@ -17,9 +18,9 @@ def points(frames: DataFrame, catalog: Catalog, names: list[str], start: float |
         rows = rows.where(F.col("t") >= start)
     if end is not None:
         rows = rows.where(F.col("t") <= end)
-    each = []
+    rows, each = with_words(rows), []
     for name, (message, signal) in resolve(catalog, names).items():
-        value = sample(message, signal)
+        value = sample(message, signal, words=True)
         each.append(F.when(value.isNotNull(), F.struct(F.lit(name).alias("signal"), plotted(signal, value).alias("y"), F.lit(bool(signal.choices)).alias("enumerated"))))
     return rows.select("log_id", "t", "seq", F.explode(F.array_compact(F.array(*each))).alias("s")).select("log_id", "s.signal", "t", "seq", "s.y", "s.enumerated")
 
@@ -55,14 +56,15 @@ def lowest_highest(series: DataFrame, buckets: int, start: float, end: float) ->
 
 
 def trace(frames: DataFrame, catalog: Catalog, start: float, end: float, most: int = 2000) -> DataFrame:
-    """(log_id, t, seq, channel, frame_id, name, dlc, payload, signals map<string, string>): the first frames of a window."""
-    rows = data_frames(frames).where(F.col("t").between(start, end)).orderBy("t", "seq").limit(most)
+    """(log_id, t, seq, channel, frame_id, name, dlc, payload, signals map<string, string>): of each log the
+    first frames of a window."""
+    rows = with_words(first_of_each(data_frames(frames).where(F.col("t").between(start, end)), most, "t", "seq"))
     name, decoded = F, F
     for message in catalog.messages:
         name = name.when(F.col("frame_id") == message.frame_id, F.lit(message.name))
         pairs = []
         for signal in message.signals:
-            value = sample(message, signal)
+            value = sample(message, signal, words=True)
             pairs.append(F.when(value.isNotNull(), F.struct(F.lit(signal.name).alias("k"), F.coalesce(value["label"], value["num"].cast("string")).alias("v"))))
         decoded = decoded.when(F.col("frame_id") == message.frame_id, F.map_from_entries(F.array_compact(F.array(*pairs))))
     return rows.select("log_id", "t", "seq", "channel", "frame_id", name.alias("name"), "dlc", payload_text(F.col("data")).alias("payload"), decoded.alias("signals"))
@@ -93,8 +95,8 @@ def event_total(events: DataFrame, functions: DataFrame, types: list[str] | None
 
 
 def latest_event(events: DataFrame, t: float) -> DataFrame:
-    """Of each log and function the last event at or before t."""
-    before = events.where(F.col("t") <= t)
+    """Of each log and function the last event at or before t (or later by less than rounding may make of it)."""
+    before = events.where(F.col("t") <= t + 1e-9)
     return before.groupBy("log_id", "function").agg(F.max_by(F.struct("type", "t", "summary"), F.struct("t", "position", "type")).alias("e")).select("log_id", "function", "e.*")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +60,18 @@ def query(sql: str | None = None):
     return add
 
 
+#: Logs that a session has loaded: (application, folder of the tables) -> where its frames are.
+_LOADED: dict[tuple[str, str], str] = {}
+
+
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.event_frames(spark, sf_dir)
+    """Frames of `events`, loaded once a session as a log is: projected, and written to Parquet in order of time."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOADED:
+        folder = shared_folder(spark)
+        source.event_frames(spark, sf_dir).repartitionByRange("t", "seq").sortWithinPartitions("t", "seq").write.parquet(folder)
+        _LOADED[key] = folder
+    return spark.read.schema(source.FRAMES).parquet(_LOADED[key])
 
 
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,6 +245,38 @@ def q_fsm_fast_attempts(spark, sf_dir):
     return found.select("function", "t", F.size("blocking").alias("blocking"))
 
 
+#: Machines whose results depend on which ticks they see: a trigger that is a level, and one that all ticks above a value turn.
+LEVEL_SPEC = {
+    "functions": [
+        {"id": "low", "enter": {"signal": "Value256", "op": ">", "value": 400}, "exit": {"signal": "Value256", "op": "<", "value": 50}, "trigger": {"signal": "Value256", "op": ">", "value": 300}},
+        {"id": "turn", "enter": {"signal": "Value256", "op": ">", "value": 250}, "exit": {"signal": "Value256", "op": ">", "value": 250}},
+    ]
+}
+_LEVEL_SQL = """,
+l0 AS (SELECT 'low' AS function, t, coalesce(v > 400, true) AS e, coalesce(v < 50, false) AS x, coalesce(v > 300, true) AS g FROM {z} UNION ALL SELECT 'turn', t, coalesce(v > 250, true), coalesce(v > 250, true), false FROM {z}),
+l1 AS (SELECT *, sum((e AND x)::INT) OVER w AS tog, CASE WHEN e AND NOT x THEN 1 WHEN x AND NOT e THEN 0 END AS s FROM l0 WINDOW w AS (PARTITION BY function ORDER BY t ROWS UNBOUNDED PRECEDING)),
+l2 AS (SELECT *, last_value(s IGNORE NULLS) OVER w AS ls, last_value(CASE WHEN s IS NOT NULL THEN tog END IGNORE NULLS) OVER w AS lt FROM l1 WINDOW w AS (PARTITION BY function ORDER BY t ROWS UNBOUNDED PRECEDING)),
+l3 AS (SELECT *, (coalesce(ls + tog - lt, tog) % 2) = 1 AS after FROM l2), l4 AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY function ORDER BY t), false) AS before FROM l3)
+SELECT function, CASE WHEN after THEN 'enter' ELSE 'exit' END AS type, t FROM l4 WHERE before <> after UNION ALL SELECT function, 'attempt', t FROM l4 WHERE g AND NOT e AND NOT after"""
+
+
+def _levels(spark, sf_dir, fast) -> DataFrame:
+    machines_, catalog = specs.parse(LEVEL_SPEC)[0], source.event_catalog()
+    steps = machines.run(_frames(spark, sf_dir), catalog, machines_, fast, CHUNK)
+    tried = machines.attempts(steps, catalog, machines_).select("function", F.lit("attempt").alias("type"), "t")
+    return machines.events(steps, catalog, machines_).select("function", "type", "t").unionByName(tried)
+
+
+@query(ZOH + _LEVEL_SQL.replace("{z}", "zoh"))
+def q_fsm_levels(spark, sf_dir):
+    return _levels(spark, sf_dir, False)
+
+
+@query(ZOH + ", " + _KEPT.format("own", "sv OR t = (SELECT min(t) FROM cur)") + _LEVEL_SQL.replace("{z}", "own"))
+def q_fsm_levels_fast(spark, sf_dir):
+    return _levels(spark, sf_dir, True)
+
+
 @query(
     ZOH
     + """, ok AS (SELECT t, CASE WHEN v IS NULL THEN true ELSE v > 250 END AS ok FROM zoh), w AS (SELECT *, lag(ok) OVER (ORDER BY t) AS was FROM ok),
@@ -293,10 +337,14 @@ def q_trace(spark, sf_dir):
     return rows.select("seq", "frame_id", "name", "dlc", F.col("signals")[F.concat(F.lit("Counter"), F.col("frame_id"))].alias("count"))
 
 
-@query("SELECT * FROM (VALUES ('level', 'Value256', 'available'), ('level', 'Absent', 'missing'), ('mode', 'Mode257', 'available')) v(function, signal, status)")
+@query(
+    BASE
+    + """, wanted(function, signal, id) AS (VALUES ('level', 'Value256', 256), ('level', 'Absent', NULL), ('level', 'K260', 260), ('mode', 'Mode257', 257), ('mode', 'Counter262', NULL))
+    SELECT function, signal, CASE WHEN id IS NULL THEN 'missing' WHEN EXISTS (SELECT 1 FROM data WHERE frame_id = id AND frame_id <> 260 AND dlc >= 8) THEN 'available' ELSE 'nodata' END AS status FROM wanted"""
+)
 def q_function_coverage(spark, sf_dir):
-    wanted = spark.createDataFrame([("level", 0, "Value256"), ("level", 1, "Absent"), ("mode", 0, "Mode257")], "function string, position int, signal string")
-    return series.coverage(wanted, source.event_catalog(), _frames(spark, sf_dir)).select("function", "signal", "status")
+    wanted = spark.createDataFrame([("level", 0, "Value256"), ("level", 1, "Absent"), ("level", 2, "K260"), ("mode", 0, "Mode257"), ("mode", 1, "Counter262")], "function string, position int, signal string")
+    return series.coverage(wanted, source.event_catalog(), _frames(spark, sf_dir).where("frame_id <> 260")).select("function", "signal", "status")
 
 
 @query(
@@ -605,6 +653,30 @@ def q_code_fast(spark, sf_dir):
     return _coded(spark, sf_dir, True)
 
 
+#: Says something at every tick above a value: in fast mode at its own ticks alone.
+TICK_CODE = """
+def update(t, s, dt):
+    if s.Value256 is not None and s.Value256 > 400:
+        attempt("high")
+"""
+
+
+def _ticking(spark, sf_dir, fast):
+    _, coded = specs.parse({"functions": [{"id": "high", "code": TICK_CODE}]}, source.event_catalog())
+    out = code_functions.run(_frames(spark, sf_dir), source.event_catalog(), coded, fast, allow_code=True, chunk_seconds=CHUNK)
+    return out.select("kind", "t")
+
+
+@query(ZOH + " SELECT 'attempt' AS kind, t FROM zoh WHERE v > 400")
+def q_code_ticks(spark, sf_dir):
+    return _ticking(spark, sf_dir, False)
+
+
+@query(ZOH + " SELECT 'attempt' AS kind, t FROM cur WHERE v > 400 AND sv")
+def q_code_ticks_fast(spark, sf_dir):
+    return _ticking(spark, sf_dir, True)
+
+
 def _rendered(spark, sf_dir, line) -> DataFrame:
     """Lines of text made of the projection's frames, one log per channel."""
     frames = _frames(spark, sf_dir)
@@ -680,16 +752,33 @@ def q_parse_trc(spark, sf_dir):
     return _parsed(textlogs.parse_trc(_rendered(spark, sf_dir, line)))
 
 
-@query("SELECT * FROM (VALUES ('00 11', '0011'), ('0011', '0011'), ('0x00 0x11', '0011'), ('1,2', '0102'), ('f', '0F'), ('', ''), ('100 1', NULL), ('zz', NULL), ('0x1ff', NULL)) v(text, bytes)")
-def q_hex_bytes(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in ("00 11", "0011", "0x00 0x11", "1,2", "f", "", "100 1", "zz", "0x1ff")], "text string")
-    return rows.select("text", F.hex(bits.hex_bytes(F.col("text"))).alias("bytes"))
+_FORMS = ", f AS (SELECT seq, (seq % 9)::INT AS form, printf('%02x', k) AS a, printf('%02x', v100 & 255) AS b FROM frames)"
 
 
-@query("SELECT text, coalesce(number::VARCHAR, 'none') AS number FROM (VALUES ('0x1F', 31), ('1F', 31), ('100', 100), ('abcdef012', NULL), ('x', NULL), ('-5', -5)) v(text, number)")
+@query(
+    BASE + _FORMS + """ SELECT seq, CASE form WHEN 0 THEN upper(a || b) WHEN 1 THEN upper(a || b) WHEN 2 THEN upper(a || b) WHEN 3 THEN upper('0' || substr(a, 2, 1) || '0' || substr(b, 2, 1)) WHEN 4 THEN upper('0' || substr(b, 2, 1)) WHEN 5 THEN '' END AS bytes FROM f"""
+)
+def q_hex_bytes(spark, sf_dir):
+    """Numbers of the frames written in nine forms, of which three are none of bytes, and read."""
+    two = lambda n: F.lower(F.lpad(F.hex(n), 2, "0"))
+    frames = source.event_words(spark.read.parquet(f"{sf_dir}/events.parquet")).select("seq", two(F.col("k")).alias("a"), two(F.col("v100").bitwiseAND(F.lit(255))).alias("b"))
+    forms = ("{a} {b}", "{a}{b}", "0x{a} 0x{b}", "{a1},{b1}", "{b1}", "", "1{a} 1", "z{a}", "0x1{b}")
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        parts = {"a": F.col("a"), "b": F.col("b"), "a1": F.substring("a", 2, 1), "b1": F.substring("b", 2, 1)}
+        cells = [parts[p[1:-1]] if p.startswith("{") else F.lit(p) for p in re.findall(r"\{\w+\}|[^{}]+", form)] or [F.lit("")]
+        text = F.when(F.col("seq") % len(forms) == i, F.concat(*cells)).otherwise(text)
+    return frames.select("seq", text.alias("text")).select("seq", F.hex(bits.hex_bytes(F.col("text"))).alias("bytes"))
+
+
+@query(BASE + " SELECT seq, CASE (seq % 6)::INT WHEN 0 THEN seq WHEN 1 THEN seq + 2684354560 WHEN 2 THEN seq WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN -seq END::BIGINT AS number FROM frames")
 def q_parse_int(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t in ("0x1F", "1F", "100", "abcdef012", "x", "-5")], "text string")
-    return rows.select("text", F.coalesce(bits.integer(F.col("text")).cast("string"), F.lit("none")).alias("number"))
+    """Numbers of the frames written as 0x and digits, as digits with a letter, as decimals, as too long runs, as no numbers, and
+    with a sign, and read."""
+    n, form = F.col("seq"), F.col("seq") % 6
+    hexed = F.lower(F.hex(n + F.lit(0xA0000000)))
+    text = F.when(form == 0, F.concat(F.lit("0X"), F.hex(n))).when(form == 1, hexed).when(form == 2, n.cast("string")).when(form == 3, F.concat(hexed, F.lit("0f"))).when(form == 4, F.concat(F.lit("x"), n.cast("string"))).otherwise(F.concat(F.lit(" -"), n.cast("string")))
+    return _frames(spark, sf_dir).select("seq", text.alias("text")).select("seq", bits.integer(F.col("text")).alias("number"))
 
 
 @query(BASE + "SELECT DISTINCT frame_id FROM data WHERE abs(frame_id - 258) <= 4 AND frame_id <> 258")

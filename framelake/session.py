@@ -7,10 +7,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.operators import align, code_functions, decode, diagnostics, machines, message_report, series
+from framelake.operators import align, code_functions, decode, diagnostics, machines, message_report, series, timing
 from framelake.plans import functions as specs
 from framelake.plans.catalog import Catalog, parse_dbc
 from framelake.sources import frames as source
+from framelake.sources.places import staged
 from framelake.sources.textlogs import read_log
 
 
@@ -76,13 +77,23 @@ class Project:
             out["intervals"].append(rows.where("kind = 'interval'").select("log_id", "function", F.col("t").alias("start"), "end"))
         return {name: diagnostics.union(parts) for name, parts in out.items() if parts}
 
-    def events(self, types: list[str] | None = None, ids: list[str] | None = None, text: str | None = None, most: int = 3000, fast: bool = False) -> dict:
-        """events (the first that match, in order of time), total and truncated, of the spec's declared functions."""
-        declared, _ = specs.parse(self.spec, self.catalog)
-        found = machines.events(machines.run(self.frames, self.catalog, declared, fast), self.catalog, declared)
-        names = self.spark.createDataFrame([(m.id, m.name) for m in declared], "function string, name string")
+    def events(self, types: list[str] | None = None, ids: list[str] | None = None, text: str | None = None, most: int = 3000, fast: bool = False, allow_code: bool = False) -> dict:
+        """events (the first that match, in order of time), their total, whether some were left out, and counts of all events by
+        function and type; of declared functions and, if they are allowed, code functions. They are computed once."""
+        declared, coded = specs.parse(self.spec, self.catalog)
+        parts, columns = [], ["log_id", "function", "position", "type", "t", "summary"]
+        if declared:
+            parts.append(machines.events(machines.run(self.frames, self.catalog, declared, fast), self.catalog, declared).select(columns))
+        if coded:
+            place = F.lit(len(declared))
+            for k, one in enumerate(coded):
+                place = F.when(F.col("function") == one.id, F.lit(len(declared) + k)).otherwise(place)
+            rows = code_functions.run(self.frames, self.catalog, coded, fast, allow_code)
+            parts.append(rows.where("kind = 'event'").withColumn("position", place).select(columns))
+        found = staged(diagnostics.union(parts))
+        names = self.spark.createDataFrame([(f.id, f.name) for f in (*declared, *coded)], "function string, name string")
         total = series.event_total(found, names, types, ids, text, most).first()
-        return {"events": series.event_list(found, names, types, ids, text, most), "total": total["total"], "truncated": total["truncated"]}
+        return {"events": series.event_list(found, names, types, ids, text, most), "total": total["total"], "truncated": total["truncated"], "counts": series.event_counts(found, names)}
 
     def diagnose(self, text: str | int, config: diagnostics.Config | None = None) -> message_report.Report | dict:
         """The report of one message, named as resolve() understands it; if that knows no message, what may be meant."""
@@ -104,19 +115,33 @@ class Project:
             parts.append(diagnostics.signal_findings(self.frames, self.catalog, config))
         return diagnostics.union(parts)
 
-    def report(self, config: diagnostics.Config | None = None, form: str = "markdown", most: int | None = None, ident: str | int | None = None) -> str:
-        """All findings as text, worst first (or the first `most`); with ident, the report of that one message."""
+    def report(self, config: diagnostics.Config | None = None, form: str = "markdown", most: int = 1000, ident: str | int | None = None) -> str:
+        """Findings as text, the `most` worst of them and the number of all by severity; with ident, the report of that one
+        message. A log may have many more findings than a text should: findings() gives them all as a table."""
         if ident is not None:
             one = self.diagnose(ident, config)
+            if form == "json":
+                return json.dumps(message_report.as_dict(one) if isinstance(one, message_report.Report) else one)
             return message_report.markdown(one) if isinstance(one, message_report.Report) else "No such message. Candidates: " + ", ".join(one["candidates"]) + "\n"
-        found = self.findings(config).orderBy(diagnostics.severity_order(), "time_start")
-        rows = (found if most is None else found.limit(most)).collect()
+        every = staged(self.findings(config))
+        rows = every.orderBy(diagnostics.severity_order(), "time_start", "check", "title").limit(most).collect()
+        counts = {r["severity"]: r["n"] for r in diagnostics.severity_counts(every).collect()}
         about, can = self.summary(), diagnostics.capabilities(self.frames, bool(self.catalog.messages))
         if form == "json":
-            return json.dumps({"summary": about, "capabilities": can, "severity_counts": {s: sum(r["severity"] == s for r in rows) for s in diagnostics.SEVERITIES}, "findings": [r.asDict() for r in rows]})
+            return json.dumps({"summary": about, "capabilities": can, "metrics": self.metrics(config), "severity_counts": counts, "findings": [r.asDict(True) for r in rows]})
+        about |= {f"{k} findings": n for k, n in counts.items()}
+        if sum(counts.values()) > len(rows):
+            about["findings listed"] = len(rows)
         lines = ["# Bus report", "", "## Overview", *(f"- {k}: {v}" for k, v in about.items()), "", "## Capabilities", *(f"- {k}: {'yes' if v else 'no'}" for k, v in can.items()), "", "## Findings"]
         return "\n".join([*lines, *(f"- **{r['severity']}** {r['check']}: {r['title']}" + (f" ({r['time_start']:.3f} s)" if r["time_start"] is not None else "") for r in rows)]) + "\n"
 
+    def metrics(self, config: diagnostics.Config | None = None) -> dict:
+        """Figures of the bus beside its findings: load of each log and channel, and error frames by kind."""
+        config = config or diagnostics.Config.of(self.catalog)
+        load = timing.bus_load(self.frames, config.baud, config.load_window).orderBy("log_id", "channel").collect()
+        errors = diagnostics.error_types(self.frames).orderBy("log_id", "error_type").collect()
+        return {"load": [r.asDict() for r in load], "errors": [r.asDict() for r in errors]}
+
     def resolve(self, text: str) -> dict:
         """The message that a text means: 0x1F, 1Fh, decimal (or, where only that is known, its digits as hexadecimal), a
         name or part of one; else what may be meant, at most 20."""

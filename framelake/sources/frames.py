@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.bits import little
@@ -29,26 +29,31 @@ def normalised(rows: DataFrame) -> DataFrame:
 
 
 def window(frames: DataFrame, start: float | None = None, end: float | None = None, most: int | None = None) -> DataFrame:
-    """Frames of an inclusive span of time; of those at most `most`, the first in recording order."""
+    """Frames of an inclusive span of time; of each log at most `most`, the first in recording order."""
     if start is not None:
         frames = frames.where(F.col("t") >= start)
     if end is not None:
         frames = frames.where(F.col("t") <= end)
-    return frames if most is None else frames.orderBy("log_id", "seq").limit(most)
+    return frames if most is None else first_of_each(frames, most, "seq")
+
+
+def first_of_each(frames: DataFrame, most: int, *order: Column | str) -> DataFrame:
+    """The first `most` rows of each log; Spark leaves out all others before it shuffles."""
+    nth = F.row_number().over(Window.partitionBy("log_id").orderBy(*order))
+    return frames.withColumn("__nth", nth).where(F.col("__nth") <= most).drop("__nth")
 
 
 def capped_by_time(frames: DataFrame, most: int) -> DataFrame:
-    """The first `most` frames of a log in order of time, events before data at one instant. Where no data frame fits,
+    """Of each log the first `most` frames in order of time, events before data at one instant. Where no data frame fits,
     only events stay; else events after the last data frame kept go."""
-    first = frames.orderBy("t", F.col("kind") == "data", "seq").limit(most)
-    last = first.agg(F.max(F.when(F.col("kind") == "data", F.col("t"))).alias("last"))  # one row
-    kept = first.join(F.broadcast(last))
-    return kept.where("last is null or t <= last").drop("last")
+    first = first_of_each(frames, most, "t", F.col("kind") == "data", "seq")
+    last = F.max(F.when(F.col("kind") == "data", F.col("t"))).over(Window.partitionBy("log_id"))
+    return first.withColumn("last", last).where("last is null or t <= last").drop("last")
 
 
 def truncated(frames: DataFrame, most: int) -> DataFrame:
-    """One row: whether at least `most` frames came."""
-    return frames.agg((F.count("*") >= most).alias("truncated"))
+    """(log_id, truncated): whether at least `most` frames came of each log."""
+    return frames.groupBy("log_id").agg((F.count("*") >= most).alias("truncated"))
 
 
 # The demo's schema.
