@@ -1,7 +1,8 @@
 """Signals from payloads: bit fields as column expressions, so decoding stays in generated code.
 
 Frames shorter than their message's schema length are not decoded at all; longer ones are read up to it. A member of a
-multiplexed message has a sample only where the selector's raw value is the member's.
+multiplexed message has a sample only where the selector's raw value is the member's, or in one of its ranges; selectors may
+be selected themselves.
 """
 
 from __future__ import annotations
@@ -101,8 +102,11 @@ def label(signal: Signal, value: Column) -> Column:
 def present(message: Message, signal: Signal, data: Column, dlc: Column, frame_id: Column, words: bool = False) -> Column:
     """Whether a frame carries a sample of the signal."""
     here = (frame_id == message.frame_id) & (dlc >= message.length)
-    if signal.selected_by is not None and message.selector:
-        here = here & (raw(message.selector, data, words) == signal.selected_by)
+    for selector, ranges in message.conditions(signal):
+        value, within = raw(selector, data, words), F.lit(False)
+        for low, high in ranges:
+            within = within | value.between(low, high)
+        here = here & within
     return F.coalesce(here, F.lit(False))
 
 
@@ -152,9 +156,10 @@ def _signals(frames: DataFrame, pairs: list[tuple[Message, Signal]]) -> DataFram
     """A row per signal, small as the schema is."""
     rows = []
     for m, s in pairs:
-        mux = s.selected_by is not None and m.selector is not None
-        rows.append((m.frame_id, m.length, s.name, _field(s), _field(m.selector) if mux else None, s.selected_by if mux else None, float(s.scale), float(s.offset), s.length, s.is_float, dict(reversed(s.choices))))
-    kind = f"message_id long, least int, signal string, field {_FIELD}, selector {_FIELD}, selected_by long, scale double, offset double, bits int, is_float boolean, choices map<bigint, string>"
+        over = [(_field(selector), [{"low": a, "high": b} for a, b in ranges]) for selector, ranges in m.conditions(s)]
+        rows.append((m.frame_id, m.length, s.name, _field(s), over, float(s.scale), float(s.offset), s.length, s.is_float, dict(reversed(s.choices))))
+    selectors = f"array<struct<field: {_FIELD}, ranges: array<struct<low: bigint, high: bigint>>>>"
+    kind = f"message_id long, least int, signal string, field {_FIELD}, selectors {selectors}, scale double, offset double, bits int, is_float boolean, choices map<bigint, string>"
     return frames.sparkSession.createDataFrame(rows, kind)
 
 
@@ -185,12 +190,15 @@ def samples(frames: DataFrame, catalog: Catalog, names: list[str] | None = None)
     else:
         pairs = list(resolve(catalog, names).values())
     ids = sorted({m.frame_id for m, _ in pairs})
-    wide_fields = any(place(x)[1] > 8 for m, s in pairs for x in (s, m.selector) if x)
+    chains = [[selector for selector, _ in m.conditions(s)] for m, s in pairs]
+    wide_fields = any(place(x)[1] > 8 for (_, s), chain in zip(pairs, chains) for x in (s, *chain))
     rows = with_words(data_frames(frames, ids).select("log_id", "frame_id", "channel", "t", "seq", "dlc", "data"))
     known = F.broadcast(_signals(frames, pairs))  # as many rows as the schema has signals
     rows = rows.join(known, (F.col("frame_id") == F.col("message_id")) & (F.col("dlc") >= F.col("least")))
-    if any(s.selected_by is not None and m.selector for m, s in pairs):
-        rows = rows.where(F.col("selector").isNull() | (_bits_of(F.col("selector"), wide_fields) == F.col("selected_by")))
+    for k in range(max(map(len, chains), default=0)):  # selectors of selectors: as deep as the schema nests them
+        over = F.get("selectors", F.lit(k))
+        rows = rows.withColumn("__over", _bits_of(over["field"], wide_fields))
+        rows = rows.where(over.isNull() | F.exists(over["ranges"], lambda r: F.col("__over").between(r["low"], r["high"])))
     rows = rows.select("log_id", "message_id", "signal", "channel", "t", "seq", _bits_of(F.col("field"), wide_fields).alias("raw"), "scale", "offset", "bits", "is_float", "choices")
     number = F.col("raw").cast("double")
     if any(s.is_float for _, s in pairs):

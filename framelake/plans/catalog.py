@@ -29,6 +29,8 @@ class Signal:
     selector: bool = False
     selected_by: int | None = None
     comment: str = ""
+    multiplexer: str | None = None  # the selector's name, where it isn't the message's own
+    ranges: tuple[tuple[int, int], ...] = ()  # its raw values, where they are more than selected_by
     receivers: tuple[str, ...] = ()
 
     @property
@@ -50,7 +52,21 @@ class Message:
 
     @property
     def selector(self) -> Signal | None:
-        return next((s for s in self.signals if s.selector), None)
+        """The selector that no other selects, else the first."""
+        found = [s for s in self.signals if s.selector]
+        return next((s for s in found if s.selected_by is None and not s.ranges), found[0] if found else None)
+
+    def conditions(self, signal: Signal) -> list[tuple[Signal, tuple[tuple[int, int], ...]]]:
+        """(selector, its raw values as inclusive ranges) that a frame must have to carry the signal: of its own selector, of
+        the one that selects that, and so on."""
+        chain: list = []
+        while (ranges := signal.ranges or (((signal.selected_by, signal.selected_by),) if signal.selected_by is not None else ())):
+            over = next((s for s in self.signals if s.name == signal.multiplexer), None) if signal.multiplexer else self.selector
+            if over is None or over is signal or any(over is s for s, _ in chain):
+                break
+            chain.append((over, ranges))
+            signal = over
+        return chain
 
 
 @dataclass(frozen=True)
@@ -91,6 +107,7 @@ _CHOICES = re.compile(r"^VAL_\s+(\d+)\s+(\w+)\s+(.*);\s*$")
 _CYCLE = re.compile(r'^BA_\s+"GenMsgCycleTime"\s+BO_\s+(\d+)\s+([-\d.eE+]+)\s*;')
 _CYCLE_DEFAULT = re.compile(r'^BA_DEF_DEF_\s+"GenMsgCycleTime"\s+([-\d.eE+]+)\s*;')
 _FLOAT = re.compile(r"^SIG_VALTYPE_\s+(\d+)\s+(\w+)\s*:?\s*([12])\s*;")
+_MULTIPLEXED = re.compile(r"^SG_MUL_VAL_\s+(\d+)\s+(\w+)\s+(\w+)\s+(.*?);")
 _COMMENT = re.compile(r'CM_\s+(BO_\s+(\d+)|SG_\s+(\d+)\s+(\w+))\s+"([^"]*)"\s*;')
 _NODES = re.compile(r"^BU_\s*:\s*(.*)$")
 _SENDERS = re.compile(r"^BO_TX_BU_\s+(\d+)\s*:\s*(.*);")
@@ -108,7 +125,7 @@ def parse_dbc(text: str) -> Catalog:
 
     Extended ids carry bit 31; a scale of 0 counts as 1; equal bounds mean none."""
     messages: dict[int, dict] = {}
-    choices, floats, cycles, comments, senders = {}, set(), {}, {}, {}
+    choices, floats, cycles, comments, senders, multiplexed = {}, set(), {}, {}, {}, {}
     nodes: tuple[str, ...] = ()
     now = None
     for line in text.splitlines():
@@ -131,6 +148,8 @@ def parse_dbc(text: str) -> Catalog:
             cycles.setdefault(None, float(m[1]))
         elif m := _FLOAT.match(line):
             floats.add((int(m[1]), m[2]))
+        elif m := _MULTIPLEXED.match(line):
+            multiplexed[int(m[1]), m[2]] = (m[3], tuple((int(a), int(b)) for a, b in re.findall(r"(\d+)\s*-\s*(\d+)", m[4])))
         elif m := _NODES.match(line):
             nodes = tuple(m[1].split())
         elif m := _SENDERS.match(line):
@@ -141,7 +160,7 @@ def parse_dbc(text: str) -> Catalog:
         raise SchemaError("the schema names no message")
     out = []
     for key, found in messages.items():
-        signals = tuple(replace(s, choices=choices.get((key, s.name), ()), is_float=(key, s.name) in floats, comment=comments.get((key, s.name), "")) for s in found["signals"])
+        signals = tuple(replace(s, choices=choices.get((key, s.name), ()), is_float=(key, s.name) in floats, comment=comments.get((key, s.name), ""), **dict(zip(("multiplexer", "ranges"), multiplexed.get((key, s.name), ())))) for s in found["signals"])
         from_ = tuple(dict.fromkeys(x for x in (found["sender"], *senders.get(key, ())) if x != "Vector__XXX"))
         cycle = cycles.get(key, cycles.get(None)) or None
         out.append(Message(key & 0x1FFFFFFF, found["name"], found["length"], signals, from_, bool(key >> 31), cycle, comments.get((key, None), "")))

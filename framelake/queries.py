@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framelake.functions import bits
 from framelake.operators import align, code_functions, decode, diagnostics, machines, message_report, series, timing
 from framelake.plans import functions as specs
+from framelake.plans.catalog import parse_dbc
 from framelake.plans.conditions import Compiler, normalised
 from framelake.sources import frames as source
 from framelake.sources import blf, textlogs
@@ -98,6 +99,31 @@ def q_decode_signals(spark, sf_dir):
     return decode.samples(_frames(spark, sf_dir), source.event_catalog()).select("seq", "signal", "raw", F.round("num", 6).alias("num"), "label")
 
 
+#: Two selectors, one selected by the other, and members selected by ranges of values.
+NESTED = """
+BU_: N
+BO_ 256 Nested: 8 N
+ SG_ Root M : 34|3@1+ (1,0) [0|0] "" N
+ SG_ Sub m1M : 0|4@1+ (1,0) [0|0] "" N
+ SG_ Plain m0 : 8|16@1+ (0.01,0) [0|0] "" N
+ SG_ Deep m2 : 8|16@1+ (1,0) [0|0] "" N
+ SG_ Span m2 : 32|7@1+ (1,0) [0|0] "" N
+SG_MUL_VAL_ 256 Sub Root 1-1;
+SG_MUL_VAL_ 256 Deep Sub 2-5, 9-9;
+SG_MUL_VAL_ 256 Span Root 2-3, 6-7;
+"""
+
+
+@query(
+    BASE
+    + """, n AS (SELECT seq, (word >> 34) & 7 AS root, word & 15 AS sub, (word >> 8) & 65535 AS v, (word >> 32) & 127 AS k FROM data WHERE frame_id = 256 AND dlc >= 8)
+    SELECT seq, 'Root' AS signal, root AS raw, root::DOUBLE AS num FROM n UNION ALL SELECT seq, 'Sub', sub, sub::DOUBLE FROM n WHERE root = 1 UNION ALL SELECT seq, 'Plain', v, round(v * 0.01::DOUBLE, 6) FROM n WHERE root = 0
+    UNION ALL SELECT seq, 'Deep', v, v::DOUBLE FROM n WHERE root = 1 AND (sub BETWEEN 2 AND 5 OR sub = 9) UNION ALL SELECT seq, 'Span', k, k::DOUBLE FROM n WHERE root IN (2, 3, 6, 7)"""
+)
+def q_nested_multiplexers(spark, sf_dir):
+    return decode.samples(_frames(spark, sf_dir), parse_dbc(NESTED)).select("seq", "signal", "raw", F.round("num", 6).alias("num"))
+
+
 @query(BASE + "SELECT seq, frame_id, kind FROM frames WHERE t BETWEEN (SELECT min(t) + 100000 FROM frames) AND (SELECT min(t) + 900000 FROM frames) ORDER BY seq LIMIT 500")
 def q_window_filter_cap(spark, sf_dir):
     frames = _frames(spark, sf_dir)

@@ -28,6 +28,28 @@ def test_schema_text():
         parse_dbc("nothing")
 
 
+def test_selectors_of_selectors(spark):
+    text = """BO_ 5 M: 4 E
+ SG_ A M : 0|4@1+ (1,0) [0|0] "" X
+ SG_ B m1M : 4|4@1+ (1,0) [0|0] "" X
+ SG_ C m7 : 8|8@1+ (1,0) [0|0] "" X
+ SG_ D m2 : 16|8@1+ (1,0) [0|0] "" X
+SG_MUL_VAL_ 5 C B 0-2, 7-7;"""
+    catalog = parse_dbc(text)
+    message = catalog.messages[0]
+    assert message.selector.name == "A" and [[(o.name, r) for o, r in message.conditions(s)] for s in message.signals] == [[], [("A", ((1, 1),))], [("B", ((0, 2), (7, 7))), ("A", ((1, 1),))], [("A", ((2, 2),))]]
+    payloads = [bytes([a | b << 4, 33, 44, 0]) for a in range(4) for b in range(16)]
+    frames = source.normalised(spark.createDataFrame([(i, float(i), 5, bytearray(p)) for i, p in enumerate(payloads)], "seq long, t double, frame_id long, data binary"))
+    expected = set()
+    for i, p in enumerate(payloads):
+        a, b = p[0] & 15, p[0] >> 4
+        expected |= {(i, "A", a)} | ({(i, "B", b)} if a == 1 else set()) | ({(i, "C", 33)} if a == 1 and b in (0, 1, 2, 7) else set()) | ({(i, "D", 44)} if a == 2 else set())
+    assert {(r["seq"], r["signal"], r["raw"]) for r in decode.samples(frames, catalog).collect()} == expected
+    wide = decode.wide(frames, catalog, ["A", "B", "C", "D"]).collect()
+    assert {(r["seq"], n, r[n]["raw"]) for r in wide for n in "ABCD" if r[n] is not None} == expected
+    assert not Catalog((Message(1, "x", 8, (Signal("S", 0, 8, selector=True, selected_by=1),)),)).messages[0].conditions(Signal("S", 0, 8, selected_by=1, multiplexer="none"))
+
+
 def plain_raw(signal, data):
     """Bit by bit, from the definition of the two bit orders."""
     value = 0
