@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import bits
-from framelake.operators import align, code_functions, decode, diagnostics, machines, message_report, series, timing
+from framelake.operators import align, code_functions, decode, diagnostics, machines, message_report, review, series, timing
 from framelake.plans import functions as specs
 from framelake.plans.catalog import parse_dbc
 from framelake.plans.conditions import Compiler, normalised
@@ -99,6 +99,14 @@ def q_decode_signals(spark, sf_dir):
     return decode.samples(_frames(spark, sf_dir), source.event_catalog()).select("seq", "signal", "raw", F.round("num", 6).alias("num"), "label")
 
 
+#: Samples of all signals in long form.
+LONG_OF = (
+    """, long AS (SELECT frame_id AS message_id, channel, t, seq, 'Counter' || frame_id AS signal, c_raw AS raw, c_raw::DOUBLE AS num, NULL::VARCHAR AS label, 4 AS bits FROM good
+  UNION ALL SELECT frame_id, channel, t, seq, 'Value' || frame_id, v_raw, v_raw * 0.01::DOUBLE, NULL, 16 FROM good UNION ALL SELECT frame_id, channel, t, seq, 'K' || frame_id, k_raw, k_raw::DOUBLE, NULL, 7 FROM good
+  UNION ALL SELECT frame_id, channel, t, seq, 'Mode' || frame_id, m_raw, m_raw::DOUBLE, m_label, 3 FROM good)"""
+)
+
+
 #: Two selectors, one selected by the other, and members selected by ranges of values.
 NESTED = """
 BU_: N
@@ -373,6 +381,63 @@ def q_function_coverage(spark, sf_dir):
     return series.coverage(wanted, source.event_catalog(), _frames(spark, sf_dir).where("frame_id <> 260")).select("function", "signal", "status")
 
 
+@query(
+    BASE
+    + """, wanted(function, signal, id) AS (VALUES ('level', 'Value256', 256), ('level', 'Absent', NULL), ('gone', 'K260', 260), ('gone', 'Nothing', NULL), ('mode', 'Mode257', 257)),
+    has AS (SELECT *, CASE WHEN id IS NULL THEN 'missing' WHEN EXISTS (SELECT 1 FROM data WHERE frame_id = id AND frame_id <> 260 AND dlc >= 8) THEN 'available' ELSE 'nodata' END AS status FROM wanted)
+    SELECT function, count_if(status = 'available')::BIGINT AS available, count_if(status = 'nodata')::BIGINT AS nodata, count_if(status = 'missing')::BIGINT AS missing, count_if(status = 'available') = 0 AS dead FROM has GROUP BY 1"""
+)
+def q_dead_functions(spark, sf_dir):
+    wanted = spark.createDataFrame([("level", 0, "Value256"), ("level", 1, "Absent"), ("gone", 0, "K260"), ("gone", 1, "Nothing"), ("mode", 0, "Mode257")], "function string, position int, signal string")
+    return review.function_status(series.coverage(wanted, source.event_catalog(), _frames(spark, sf_dir).where("frame_id <> 260")))
+
+
+@query(
+    BASE
+    + """ SELECT seq, array_to_string(list_sort(list_concat(['t', 'id', 'data', 'channel', 'is_extended'], CASE WHEN kind = 'error' THEN list_concat(['kind', 'error_type'], CASE WHEN state IS NULL THEN [] ELSE ['state'] END) ELSE [] END)), ',') AS fields,
+    frame_id AS id, array_to_string(list_transform(range(dlc), lambda i: printf('%02x', (word >> (8 * i)) & 255)), ' ') AS data, CASE WHEN kind = 'error' THEN error_type END AS error_type FROM frames"""
+)
+def q_frame_json(spark, sf_dir):
+    rows = review.frame_json(_frames(spark, sf_dir))
+    of = lambda name: F.get_json_object("json", f"$.{name}")
+    return rows.select("seq", F.array_join(F.sort_array(F.json_object_keys("json")), ",").alias("fields"), of("id").cast("long").alias("id"), of("data").alias("data"), of("error_type").alias("error_type"))
+
+
+@query(
+    FSM
+    + """, ev AS (SELECT function, CASE WHEN after THEN 'enter' ELSE 'exit' END AS type, t, CASE function WHEN 'level' THEN 0 ELSE 1 END AS position FROM steps WHERE before <> after), cursor_ AS (SELECT min(t) + 2000000 AS t FROM zoh),
+    b AS (SELECT ev.*, row_number() OVER (ORDER BY ev.t DESC, position DESC, type DESC) AS n FROM ev, cursor_ WHERE ev.t <= cursor_.t), a AS (SELECT ev.*, row_number() OVER (ORDER BY ev.t, position, type) AS n FROM ev, cursor_ WHERE ev.t > cursor_.t)
+    SELECT CASE n WHEN 1 THEN 'current' ELSE 'previous' END AS which, function, type, t FROM b WHERE n <= 2 UNION ALL SELECT 'next', function, type, t FROM a WHERE n = 1"""
+)
+def q_event_steps(spark, sf_dir):
+    frames = _frames(spark, sf_dir)
+    at = frames.where("kind = 'data'").agg(F.min("t")).first()[0] + 2_000_000
+    found = machines.events(_steps(spark, sf_dir), source.event_catalog(), _machines())
+    return review.around(found, at).select("which", "function", "type", "t")
+
+
+@query(BASE + """, v AS (SELECT min(v_raw * 0.01::DOUBLE) AS lo, max(v_raw * 0.01::DOUBLE) AS hi FROM good WHERE frame_id = 256), k AS (SELECT min(k_raw)::DOUBLE AS lo, max(k_raw)::DOUBLE AS hi FROM good WHERE frame_id = 258 AND k_raw = 7)
+    SELECT 'Value256' AS signal, round(lo - (hi - lo) * 0.08, 6) AS low, round(hi + (hi - lo) * 0.08, 6) AS high FROM v UNION ALL SELECT 'Mode257', -0.4, 3.4 UNION ALL SELECT 'K258', lo - 1, hi + 1 FROM k""")
+def q_axis_ranges(spark, sf_dir):
+    """Axes of a signal, of an enumeration, and of one that is constant among the frames kept."""
+    frames, catalog = _frames(spark, sf_dir), source.event_catalog()
+    points = series.points(frames, catalog, ["Value256", "Mode257", "K258"]).where("signal <> 'K258' or y = 7")
+    return review.axis_ranges(series.bounds(points), catalog).select("signal", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query(
+    FSM
+    + LONG_OF
+    + """, texts AS (SELECT 'frames' AS part, concat_ws('|', seq, t_us, channel, frame_id, kind, array_to_string(list_transform(range(dlc), lambda i: printf('%02x', (word >> (8 * i)) & 255)), '')) AS x FROM frames
+    UNION ALL SELECT 'samples', concat_ws('|', signal, seq, raw, round_even(num * 1e6, 0)::BIGINT, coalesce(label, '~')) FROM long
+    UNION ALL SELECT 'events', concat_ws('|', function, CASE WHEN after THEN 'enter' ELSE 'exit' END, round_even(t * 1e6, 0)::BIGINT) FROM steps WHERE before <> after)
+    SELECT part, count(*)::BIGINT AS n, sum(('0x' || substr(md5(x), 1, 12))::BIGINT)::VARCHAR AS digest FROM texts GROUP BY part"""
+)
+def q_golden(spark, sf_dir):
+    frames, catalog = _frames(spark, sf_dir), source.event_catalog()
+    return review.golden(frames, decode.samples(frames, catalog), machines.events(_steps(spark, sf_dir), catalog, _machines()))
+
+
 @query(
     BASE
     + """, s AS (SELECT channel, count(*)::BIGINT AS n_frames, sum((47 + 8 * dlc) * 1.2::DOUBLE) AS bits, min(t) AS a, max(t) - min(t) AS span FROM data GROUP BY channel),
@@ -532,12 +597,7 @@ def q_rank_messages(spark, sf_dir):
 
 
 #: Long samples of all signals.
-LONG = (
-    BASE
-    + """, long AS (SELECT frame_id AS message_id, channel, t, seq, 'Counter' || frame_id AS signal, c_raw AS raw, c_raw::DOUBLE AS num, NULL::VARCHAR AS label, 4 AS bits FROM good
-  UNION ALL SELECT frame_id, channel, t, seq, 'Value' || frame_id, v_raw, v_raw * 0.01::DOUBLE, NULL, 16 FROM good UNION ALL SELECT frame_id, channel, t, seq, 'K' || frame_id, k_raw, k_raw::DOUBLE, NULL, 7 FROM good
-  UNION ALL SELECT frame_id, channel, t, seq, 'Mode' || frame_id, m_raw, m_raw::DOUBLE, m_label, 3 FROM good)"""
-)
+LONG = BASE + LONG_OF
 
 
 @query(
@@ -909,7 +969,7 @@ def q_message_findings(spark, sf_dir):
 _SIGNAL = "printf('0x%X', id) || ',' || signal"
 _SIGNAL_SQL = (
     STEPS
-    + LONG[len(BASE) :]
+    + LONG_OF
     + f""", v AS (SELECT *, coalesce(label, raw::VARCHAR) AS shown FROM long), h AS (SELECT *, coalesce((shown IS DISTINCT FROM lag(shown) OVER o AND row_number() OVER o > 1)::INT, 0) AS ch FROM v WINDOW o AS (PARTITION BY signal ORDER BY t, seq)),
     r AS (SELECT *, sum(ch) OVER (PARTITION BY signal ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS run FROM h), runs AS (SELECT message_id AS id, signal, run, count(*) AS len, min(t) AS a, max(t) AS z FROM r GROUP BY 1, 2, 3),
     held AS (SELECT id, signal, sum(len) AS n, count(*) - 1 AS changes, arg_max(a, len * 1000000 - run) AS a, arg_max(z, len * 1000000 - run) AS z, min(a) AS first_t, max(z) AS last_t FROM runs GROUP BY 1, 2),

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.operators import align, code_functions, decode, diagnostics, machines, message_report, series, timing
+from framelake.operators import align, code_functions, decode, diagnostics, machines, message_report, review, series, timing
 from framelake.plans import functions as specs
 from framelake.plans.catalog import Catalog, parse_dbc
 from framelake.sources import frames as source
@@ -93,7 +93,18 @@ class Project:
         found = staged(diagnostics.union(parts))
         names = self.spark.createDataFrame([(f.id, f.name) for f in (*declared, *coded)], "function string, name string")
         total = series.event_total(found, names, types, ids, text, most).first()
-        return {"events": series.event_list(found, names, types, ids, text, most), "total": total["total"], "truncated": total["truncated"], "counts": series.event_counts(found, names)}
+        return {"events": series.event_list(found, names, types, ids, text, most), "total": total["total"], "truncated": total["truncated"], "counts": series.event_counts(found, names), "reason": None if total["total"] else review.empty_reason(self.coverage(), bool(types or ids or text))}
+
+    def coverage(self) -> DataFrame:
+        """(function, position, signal, status) of the signals that the spec's functions name."""
+        declared, coded = specs.parse(self.spec, self.catalog)
+        wanted = [(f.id, k, n) for f in (*declared, *coded) for k, n in enumerate(f.signals)]
+        return series.coverage(self.spark.createDataFrame(wanted, "function string, position int, signal string"), self.catalog, self.frames)
+
+    def mismatches(self) -> list[tuple[str, int, int]]:
+        """What speaks against schema, log and spec belonging together."""
+        about = self.summary()
+        return review.mismatches(self.coverage(), about["ids"], about["unknown_ids"])
 
     def diagnose(self, text: str | int, config: diagnostics.Config | None = None) -> message_report.Report | dict:
         """The report of one message, named as resolve() understands it; if that knows no message, what may be meant."""

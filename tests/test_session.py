@@ -73,3 +73,21 @@ def test_caps_are_per_log(spark):
     assert {r["log_id"]: r["count"] for r in source.window(both, 1.0, 2.0, 50).groupBy("log_id").count().collect()} == {"cruise": 50, "again": 50}
     assert {r["log_id"]: r["count"] for r in source.capped_by_time(both, 30).groupBy("log_id").count().collect()} == {"cruise": 30, "again": 30}
     assert {tuple(r) for r in source.truncated(both, 6005).collect()} == {("cruise", False), ("again", False)}
+
+
+def test_mismatches_and_reasons(spark):
+    from dataclasses import replace
+
+    from framelake.plans.catalog import Catalog
+
+    project = Project(spark)
+    project.load_demo()
+    assert project.mismatches() == [] and project.events(text="no such name")["reason"] == "filtered" and project.events()["reason"] is None
+    project.spec = {"functions": [{"id": "never", "enter": {"signal": "VehSpd", "op": ">", "value": 900}}]}
+    assert project.events()["reason"] == "never_met"
+    project.spec["functions"].append({"id": "other", "enter": {"signal": "Elsewhere", "op": "==", "value": "A"}})
+    assert project.mismatches() == [("functions_dead", 1, 2)]
+    project.spec["functions"] = project.spec["functions"][1:]
+    assert project.mismatches() == [("all_functions_dead", 1, 1)]
+    project.catalog = Catalog(tuple(replace(m) for m in project.catalog.messages[:2]), ())
+    assert ("unknown_ids", 2, 4) in project.mismatches()
