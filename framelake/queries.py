@@ -13,7 +13,7 @@ from framelake.plans import functions as specs
 from framelake.plans.catalog import parse_dbc
 from framelake.plans.conditions import Compiler, normalised
 from framelake.sources import frames as source
-from framelake.sources import blf, textlogs
+from framelake.sources import blf, mf4, textlogs
 from framelake.sources.places import shared_folder
 
 QUERIES: dict = {}
@@ -824,6 +824,15 @@ def q_read_blf(spark, sf_dir):
     return frames.select(F.rint(F.col("t") * 1e6).cast("long").alias("t_us"), "channel", "kind", "dlc", "error_type", "frame_id", F.when(F.col("kind") == "error", F.lit(0).cast("long")).otherwise(bits.little_word(F.col("data"))).alias("word"))
 
 
+@query(BASE + "SELECT t_us, channel, dlc, frame_id, CASE WHEN dlc = 4 THEN word & 4294967295 ELSE word END::BIGINT AS word FROM data")
+def q_read_mf4(spark, sf_dir):
+    """All data frames written as measurement files, one for each of Spark's partitions, and read again by 64 kB of records."""
+    folder = shared_folder(spark)
+    mf4.write(_frames(spark, sf_dir), folder, 20_000).agg(F.sum("frames")).collect()
+    frames = mf4.read(spark, folder, 64 << 10)
+    return frames.select(F.rint(F.col("t") * 1e6).cast("long").alias("t_us"), "channel", "dlc", "frame_id", bits.little_word(F.col("data")).alias("word"))
+
+
 @query(_PARSED.format(channel="channel", id="frame_id", dlc="dlc", error="NULL::VARCHAR", where="WHERE kind = 'data'"))
 def q_parse_json(spark, sf_dir):
     frames = _frames(spark, sf_dir).where("kind = 'data'")

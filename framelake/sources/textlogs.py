@@ -170,7 +170,7 @@ def parse_json(documents: DataFrame) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str, start: float | None = None, end: float | None = None, most: int | None = None) -> DataFrame:
     """Frames of a log by the end of its name, an inclusive span of time and at most so many in recording order."""
-    from framelake.sources import blf
+    from framelake.sources import blf, mf4
     from framelake.sources.frames import window
 
     kind = path.lower().rsplit(".", 1)[-1]
@@ -186,7 +186,7 @@ def read_log(spark: SparkSession, path: str, start: float | None = None, end: fl
     elif kind == "blf":
         frames = blf.read(spark, path)
     elif kind == "mf4":
-        raise SchemaError("MF4 recordings need a reader that isn't installed")
+        frames = mf4.read(spark, path)
     else:
         raise SchemaError(f"no reader for {path!r}")
     return window(frames, start, end, most)

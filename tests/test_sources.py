@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framelake.functions import bits
 from framelake.operators import decode
 from framelake.plans.catalog import Catalog, Message, SchemaError, Signal, parse_dbc
-from framelake.sources import blf, frames as source, textlogs
+from framelake.sources import blf, frames as source, mf4, textlogs
 
 
 def lines(spark, *texts):
@@ -166,8 +166,6 @@ def test_binary_log(spark, tmp_path):
     assert shown(textlogs.read_log(spark, str(tmp_path / "a.blf"))) == shown(blf.whole_files(spark, str(tmp_path / "a.blf"))) == expected
     with pytest.raises(SchemaError):
         next(blf.frames_of(b"nothing"))
-    with pytest.raises(SchemaError):
-        textlogs.read_log(spark, "x.mf4")
 
 
 def test_binary_log_in_ranges(spark, tmp_path):
@@ -220,3 +218,72 @@ def test_hex_and_numbers(spark):
     rows = spark.createDataFrame([("00 11", b"\x00\x11"), ("0x1 0xFF", b"\x01\xff"), ("abc", None), ("", b""), ("1FF 0", None)], "text string, expected binary")
     for r in rows.select("text", "expected", bits.hex_bytes(F.col("text")).alias("got")).collect():
         assert (r["got"] is None and r["expected"] is None) or bytes(r["got"]) == bytes(r["expected"]), r
+
+
+def measured(n, seed=1):
+    draw = random.Random(seed)
+    return [(i / 100, draw.randrange(3), draw.choice([5, 0x7FF, 0x800, 0x1FFFFFFF]), draw.randbytes(draw.choice([0, 1, 8, 12, 64]))) for i in range(n)]
+
+
+def shown(frames):
+    return [(r["t"], r["channel"], r["frame_id"], bytes(r["data"]), r["is_extended"]) for r in frames.orderBy("log_id", "seq").collect()]
+
+
+def test_measurement_files_in_blocks(spark, tmp_path):
+    """Plain and packed blocks that cut records anywhere, several groups, other channels beside frames."""
+    rows = measured(700)
+    whole = b"".join(mf4.record(*r) for r in rows[:500])
+    out, draw = mf4.Builder(), random.Random(2)
+    blocks, sizes, at = [], [], 0
+    while at < len(whole):
+        part = whole[at : at + draw.randint(1, 3000)]
+        blocks.append(draw.choice([lambda: out.block("DT", [], part), lambda: out.zipped(part), lambda: out.zipped(part, 79), lambda: out.zipped(part, 7)])())
+        sizes.append(len(part))
+        at += len(part)
+    first = out.group(out.frame_channels(64), 79, 500)
+    other = out.group(out.channel("Temperature", 0, 4, 8, 64, out.channel("t", 2, 4, 0, 64)), 16, 1)
+    groups = [(other, out.block("DT", [], bytes(16)), 0), (first, out.listed(blocks, sizes), 0), (out.group(out.frame_channels(64), 79, 200), out.block("DT", [], b"".join(mf4.record(*r) for r in rows[500:])), 0)]
+    (tmp_path / "a.mf4").write_bytes(out.finished(groups))
+    expected = [(t, c, i, d, i > 0x7FF) for t, c, i, d in rows]
+    for split in (79, 5000, 1 << 30):
+        read = mf4.read(spark, str(tmp_path / "a.mf4"), split if split > 79 else 2000)
+        assert shown(read) == expected
+    assert mf4.read(spark, str(tmp_path / "a.mf4"), 5000).rdd.getNumPartitions() == 8 + 4
+    assert shown(textlogs.read_log(spark, str(tmp_path / "a.mf4"), 1.0, 2.0)) == [r for r in expected if 1.0 <= r[0] <= 2.0]
+
+
+def test_measurement_files_of_mixed_records(spark, tmp_path):
+    """Records of several groups after one another, with numbers; lengths from codes; bytes apart; times with a conversion."""
+    rows = measured(300, 3)
+    out, data, stored = mf4.Builder(), b"", b""
+    for k, (t, c, i, d) in enumerate(rows):
+        data += b"\x01" + struct.pack("<IIBQ", round(t * 1000), i | 1 << 31, {0: 0, 1: 1, 8: 8, 12: 9, 64: 15}[len(d)] | 0xF0 & (k << 4), len(stored))
+        stored += struct.pack("<I", len(d)) + d
+        data += b"\x02" + bytes(5) if k % 3 == 0 else b"\x03" + struct.pack("<I", k % 4) + bytes(k % 4) if k % 3 == 1 else b""
+    apart = out.block("SD", [], stored)
+    milli = out.block("CC", [0, 0, 0, 0], struct.pack("<BBHHHdddd", 1, 0, 0, 0, 2, 0.0, 0.0, 0.0, 0.001))
+    at = out.channel("CAN_DataFrame.DataBytes", 1, 10, 9, 64, data=apart)
+    at = out.channel("CAN_DataFrame.DLC", 0, 0, 8, 4, at)
+    at = out.channel("CAN_DataFrame.ID", 0, 0, 4, 31, at)
+    first = out.channel("t", 2, 0, 0, 32, out.channel("CAN_DataFrame", 0, 10, 4, 104, 0, at), conversion=milli)
+    group = out.group(first, 17, 300, out.group(0, 5, 100, out.group(0, 0, 100, number=3, flags=1), number=2), number=1)
+    cut = len(data) // 2 + 5
+    listed = out.listed([out.block("DT", [], data[:cut]), out.zipped(data[cut:])], [cut, len(data) - cut])
+    (tmp_path / "b.mf4").write_bytes(out.finished([(group, listed, 1)]))
+    assert [(round(t, 6), c, i, d) for t, c, i, d, _ in shown(mf4.read(spark, str(tmp_path)))] == [(t, 0, i, d) for t, c, i, d in rows]
+
+
+def test_no_measurement_file(spark, tmp_path):
+    (tmp_path / "x.mf4").write_bytes(b"MDF     3.00    ".ljust(200, b"\0"))
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y/y.mf4").write_bytes(mf4.Builder().finished([]))
+    for path in ("x.mf4", "y"):
+        with pytest.raises(Exception, match="not a measurement file|no channels"):
+            mf4.read(spark, str(tmp_path / path)).count()
+
+
+def test_written_measurement_files(spark, tmp_path):
+    frames = source.cruise_frames(spark)
+    assert mf4.write(frames.repartition(2), f"file://{tmp_path}/m", 9000).agg(F.sum("frames")).first()[0] == 6004
+    key = lambda df: sorted((r["t"], r["frame_id"], bytes(r["data"])) for r in df.collect())
+    assert key(mf4.read(spark, f"file://{tmp_path}/m", 40_000)) == key(frames)
