@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import shared_dir, shuffle_partitions, staged
 
-#: Words whose ids a task keeps at hand, and sequences in a record batch.
-KEPT_WORDS, BATCH = 600_000, 64
+#: Words whose ids a task keeps at hand (as many young ones, and old ones that haven't come since), stems and signs of words,
+#: and sequences in a record batch.
+KEPT_WORDS, KEPT_PARTS, BATCH = 120_000, 60_000, 64
 
 
 def schema(length: int, wide: bool) -> pa.Schema:
@@ -84,6 +85,7 @@ class WordCache:
             self.letters.normalizer = None
             self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     @staticmethod
@@ -133,14 +135,18 @@ class WordCache:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         now = set().union(*split)
-        if len(self.words) > KEPT_WORDS:  # words of this batch stay, among them the frequent ones
-            self.words = {w: self.words[w] for w in now if w in self.words}
+        if len(self.words) > KEPT_WORDS:  # words that come again go over to the young ones
+            self.old, self.words = self.words, {}
         new = now.difference(self.words)
+        if self.old:
+            again = new.intersection(self.old)
+            self.words.update(zip(again, map(self.old.__getitem__, again)))
+            new -= again
         plain = [w for w in new if w.isalpha() and w.islower() and w.isascii()]  # most words: nothing to split or to lower-case
         self.words.update(self.letter_words(plain))
         other = {w: (w.lower(), "") if w.isascii() and w.isalpha() else self.split(w) for w in new.difference(plain)}
         every = {p for both in other.values() for p in both}
-        if len(self.parts) > KEPT_WORDS:
+        if len(self.parts) > KEPT_PARTS:
             self.parts = {p: self.parts[p] for p in every if p in self.parts}
         words, parts = self.words, self.parts
         parts.update((p, words[p]) for p in every - parts.keys() if p in words)
