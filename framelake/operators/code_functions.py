@@ -10,13 +10,16 @@ to keep it.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators.align import at_ticks, hold, recorded
+from framelake.operators.align import ticks
+from framelake.operators.decode import samples
 from framelake.plans.catalog import Catalog, SchemaError
 from framelake.plans.functions import CodeFunction
 
@@ -129,23 +132,28 @@ def replay_wide(timeline: DataFrame, functions: list[CodeFunction], names: list[
     """timeline(log_id, t, one column per name) through all functions; where it has __runs (ids of functions), a tick is run
     by those only. Each (log, function) is one ordered stream in one task: rows come in Arrow batches, and only a batch is
     in memory at a time."""
-    by_id = {f.id: f for f in functions}
     runs = F.col("__runs") if "__runs" in timeline.columns else F.array(*(F.lit(f.id) for f in functions))
     rows = timeline.withColumn("function", F.explode(runs)).select("log_id", "t", *names, "function")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[dict] = []
+    def ticks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, float, dict]]:
+        for batch in batches:
+            columns = batch.to_pydict()
+            for i, (log, function, t) in enumerate(zip(columns["log_id"], columns["function"], columns["t"])):
+                values = {n: columns[n][i] for n in names}
+                yield log, function, t, {n: int(v) if isinstance(v, float) and n in integral else v for n, v in values.items()}
 
-        def streams() -> Iterator[tuple[str, str, float, dict]]:
-            for batch in batches:
-                columns = batch.to_pydict()
-                for i, (log, function, t) in enumerate(zip(columns["log_id"], columns["function"], columns["t"])):
-                    values = {n: columns[n][i] for n in names}
-                    yield log, function, t, {n: int(v) if isinstance(v, float) and n in integral else v for n, v in values.items()}
+    ordered = rows.repartition("log_id", "function").sortWithinPartitions("log_id", "function", "t")
+    return ordered.mapInArrow(_runner(functions, ticks), RESULT)
 
-        import itertools
 
-        for (log, function), group in itertools.groupby(streams(), key=lambda r: (r[0], r[1])):
+def _runner(functions: list[CodeFunction], ticks):
+    """A function for mapInArrow: ticks(batches) gives (log, function, t, values) in order, and each stream of a log and function
+    goes through that function's code."""
+    by_id = {f.id: f for f in functions}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        for (log, function), group in groupby(ticks(batches), key=itemgetter(0, 1)):
             for row in replay(function, by_id[function].code, ((t, values) for _, _, t, values in group)):
                 out.append({"log_id": log, "function": function} | row)
                 if len(out) >= 5000:
@@ -153,8 +161,34 @@ def replay_wide(timeline: DataFrame, functions: list[CodeFunction], names: list[
                     out.clear()
         yield _batch(out)
 
-    ordered = rows.repartition("log_id", "function").sortWithinPartitions("log_id", "function", "t")
-    return ordered.mapInArrow(run, RESULT)
+    return run
+
+
+def replay_changes(changes: DataFrame, functions: list[CodeFunction], integral: frozenset[str] = frozenset()) -> DataFrame:
+    """changes(log_id, function, t, seq, signal, num, text, runs) through all functions: each gets its own signals' samples, and
+    rows without a signal for ticks. Values are held where the code runs. A tick is run if one of its rows says so; of
+    several samples at one instant the last counts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    def ticks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, float, dict]]:
+        for (log, function), stream in groupby(rows(batches), key=itemgetter(0, 1)):
+            values: dict[str, Any] = {}
+            for t, tick in groupby(stream, key=itemgetter(2)):
+                new, runs = {}, False
+                for _, _, _, name, num, text, says in tick:
+                    runs = runs or says
+                    if name is not None:
+                        new[name] = text if text is not None else int(num) if num is not None and name in integral else num
+                if new:
+                    values = values | new  # the tick before keeps its own
+                if runs:
+                    yield log, function, t, values
+
+    ordered = changes.repartition("log_id", "function").sortWithinPartitions("log_id", "function", "t", "seq")
+    return ordered.select("log_id", "function", "t", "signal", "num", "text", "runs").mapInArrow(_runner(functions, ticks), RESULT)
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -165,21 +199,27 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.record_batch([*arrays, evidence], [*names, "evidence"])
 
 
-def run(frames: DataFrame, catalog: Catalog, functions: list[CodeFunction], fast: bool = False, allow_code: bool = False, chunk_seconds: float = 600.0) -> DataFrame:
+def run(frames: DataFrame, catalog: Catalog, functions: list[CodeFunction], fast: bool = False, allow_code: bool = False) -> DataFrame:
     """Events, attempts and intervals of code functions over a log. With fast a function sees only ticks at which one of the
-    signals that its text names is recorded, or all ticks if none ever is."""
+    signals that its text names is recorded, or all ticks if none ever is. What goes to a function's task is a row for each
+    of its own samples and for each tick, whatever other functions read."""
     if not allow_code:
         raise PermissionError("code in specs runs only with allow_code=True")
-    names = catalog.names() if any(f.every_signal for f in functions) else sorted({n for f in functions for n in f.signals})
-    ticks = at_ticks(frames, catalog, names)
-    if fast:
-        own = {f.id: recorded([n for n in f.signals if n in names]) for f in functions}
-        some = ticks.groupBy("log_id").agg(*(F.max(seen).alias(f"__any_{i}") for i, seen in enumerate(own.values())))
-        runs = F.array_compact(F.array(*(F.when(seen | ~F.col(f"__any_{i}"), F.lit(id_)) for i, (id_, seen) in enumerate(own.items()))))
-        ticks = ticks.join(some, "log_id").withColumn("__runs", runs).where(F.size("__runs") > 0).drop(*(f"__any_{i}" for i in range(len(own))))
-    held = hold(ticks, names, chunk_seconds)
-    enumerated = {n for n in names if (found := catalog.find(n)) and found[1].choices}
-    integral = frozenset(n for n in names if (found := catalog.find(n)) and found[1].integral)
-    value = lambda n: F.coalesce(F.col(f"cur_{n}")["label"], F.col(f"cur_{n}")["num"].cast("string")) if n in enumerated else F.col(f"cur_{n}")["num"]
-    runs = ["__runs"] if fast else []
-    return replay_wide(held.select("log_id", "t", *(value(n).alias(n) for n in names), *runs), functions, names, integral - frozenset(enumerated))
+    own = {f.id: catalog.names() if f.every_signal else [n for n in f.signals if catalog.find(n)] for f in functions}
+    pairs = [(f.id, n, not fast or n in f.signals) for f in functions for n in own[f.id]]
+    names = sorted({n for _, n, _ in pairs})
+    enumerated = [n for n in names if catalog.find(n)[1].choices]
+    integral = frozenset(n for n in names if catalog.find(n)[1].integral) - frozenset(enumerated)
+    wanted = F.broadcast(frames.sparkSession.createDataFrame(pairs, "function string, signal string, runs boolean"))  # as many rows as the spec names signals
+    text = F.when(F.col("signal").isin(enumerated), F.coalesce("label", F.col("num").cast("string")))
+    rows = samples(frames, catalog, names).join(wanted, "signal").select("log_id", "function", "t", "seq", "signal", "num", text.alias("text"), "runs")
+    instants = ticks(frames)
+    ids = F.explode(F.array(*(F.lit(f.id) for f in functions))).alias("function")
+    if fast:  # functions of which a log has no sample see all its ticks
+        silent = instants.select("log_id").distinct().select("log_id", ids).join(rows.where("runs").select("log_id", "function").distinct(), ["log_id", "function"], "left_anti")
+        marks = instants.join(silent, "log_id")
+    else:
+        marks = instants.select("log_id", "t", ids)
+    null = lambda kind: F.lit(None).cast(kind)
+    marks = marks.select("log_id", "function", "t", null("long").alias("seq"), null("string").alias("signal"), null("double").alias("num"), null("string").alias("text"), F.lit(True).alias("runs"))
+    return replay_changes(rows.unionByName(marks), functions, integral)

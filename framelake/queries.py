@@ -725,7 +725,7 @@ _CODE_SQL = """, r AS (SELECT t, m, pm, n, v, CASE WHEN v > 350 THEN 1 WHEN v <
 
 def _coded(spark, sf_dir, fast):
     _, coded = specs.parse({"functions": [{"id": "high", "code": CODE}]}, source.event_catalog())
-    out = code_functions.run(_frames(spark, sf_dir), source.event_catalog(), coded, fast, allow_code=True, chunk_seconds=CHUNK)
+    out = code_functions.run(_frames(spark, sf_dir), source.event_catalog(), coded, fast, allow_code=True)
     return out.where("kind <> 'interval'").select("kind", "type", "t")
 
 
@@ -749,7 +749,7 @@ def update(t, s, dt):
 
 def _ticking(spark, sf_dir, fast):
     _, coded = specs.parse({"functions": [{"id": "high", "code": TICK_CODE}]}, source.event_catalog())
-    out = code_functions.run(_frames(spark, sf_dir), source.event_catalog(), coded, fast, allow_code=True, chunk_seconds=CHUNK)
+    out = code_functions.run(_frames(spark, sf_dir), source.event_catalog(), coded, fast, allow_code=True)
     return out.select("kind", "t")
 
 
