@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import bpe, exact, jaccard, mixing, quality
-from framelake.llm.common import read, staged
+from framelake.llm.common import dropped, read, staged
 
 #: SQL can't express the classifier, the similarity join or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -50,9 +50,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The stages over `documents`, each on the table that the one before wrote; a table goes when the next one is whole, the
+    last but one stays, as the result reads it. Null and empty texts, null and repeated ids are rows like others."""
+    docs, old = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = staged(docs)
+            new: list[str] = []
+            docs = staged(docs, new)
+            dropped(spark, old)
+            old = new
     return docs

@@ -45,7 +45,7 @@ COPIES = 2
 #: The share of all shingles that are looked at to tell classes apart, and the bound of their 62-bit hashes.
 RATE = 1 / 3
 BOUND = int(RATE * (1 << 62))
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def _multipliers(n: int) -> list[np.uint64]:
