@@ -30,7 +30,7 @@ from framelake.llm.common import shared_dir, shuffle_partitions, staged
 
 #: Words whose ids a task keeps at hand (as many young ones, and old ones that haven't come since), stems and signs of words,
 #: and sequences in a record batch.
-KEPT_WORDS, KEPT_PARTS, BATCH = 120_000, 60_000, 64
+KEPT_WORDS, KEPT_PARTS, BATCH = 280_000, 150_000, 64
 
 
 def schema(length: int, wide: bool) -> pa.Schema:
