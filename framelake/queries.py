@@ -15,6 +15,7 @@ from framelake.plans.conditions import Compiler, normalised
 from framelake.sources import frames as source
 from framelake.sources import blf, mf4, textlogs
 from framelake.sources.places import shared_folder
+from framelake.streaming import live
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -513,6 +514,12 @@ def q_period_stats(spark, sf_dir):
     return timing.period_stats(_frames(spark, sf_dir), chunk_seconds=CHUNK).select("frame_id", "channel", "n_frames", *(F.round(c, 3).alias(c) for c in ("median_ms", "mean_ms", "min_ms", "max_ms", "p99_ms", "std_ms")))
 
 
+@query(STATS + "SELECT frame_id, channel, round((n_frames - 1) / (last_t - first_t), 9) AS rate FROM st")
+def q_message_rates(spark, sf_dir):
+    stats = timing.period_stats(_frames(spark, sf_dir), chunk_seconds=CHUNK)
+    return stats.select("frame_id", "channel", F.round(timing.rate(F.col("n_frames"), F.col("first_t"), F.col("last_t")), 9).alias("rate"))
+
+
 @query(STATS + 'SELECT frame_id, channel, start, "end", round(gap_ms, 3) AS gap_ms, missing, inside FROM inside')
 def q_gaps(spark, sf_dir):
     return diagnostics.message_gaps(_frames(spark, sf_dir), _config()).select("frame_id", "channel", "start", "end", F.round("gap_ms", 3).alias("gap_ms"), "missing", "inside")
@@ -763,6 +770,55 @@ def q_code_ticks_fast(spark, sf_dir):
     return _ticking(spark, sf_dir, True)
 
 
+# --- the same over streams ------------------------------------------------------------------------------------------
+
+
+def _stream(spark, sf_dir) -> DataFrame:
+    """The log's frames as a stream, and a data and an error frame a month later, so that the watermark passes all others."""
+    frames = _frames(spark, sf_dir)
+    last = frames.agg(F.max("t")).first()[0]
+    ends = [frames.where(F.col("kind") == kind).limit(1).withColumn("t", F.lit(last + 30 * 86_400.0)).withColumn("frame_id", F.lit(0).cast("long")) for kind in ("data", "error")]
+    folder = shared_folder(spark)
+    diagnostics.union([frames, *ends]).withColumn("ts", F.timestamp_seconds("t")).write.parquet(folder)
+    return spark.readStream.schema(f"{source.FRAMES}, ts timestamp").parquet(folder)
+
+
+def _streamed(stream: DataFrame) -> DataFrame:
+    """What the stream gives until its input is used up."""
+    spark, folder, name = stream.sparkSession, shared_folder(stream.sparkSession), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query_ = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        query_.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query(ZOH + _LEVEL_SQL.replace("{z}", "zoh"))
+def q_stream_machines(spark, sf_dir):
+    """The machines of q_fsm_levels over a stream of frames: signals held, and their states kept, by operators with state."""
+    return _streamed(live.machines_of(_stream(spark, sf_dir), source.event_catalog(), specs.parse(LEVEL_SPEC)[0], "1 hour")).select("function", "type", "t")
+
+
+@query(BASE + " SELECT channel, floor(t / 3600)::BIGINT * 3600 AS start, round(sum((47 + 8 * dlc) * 1.2::DOUBLE) / 3600 * 100, 6) AS load FROM data GROUP BY 1, 2")
+def q_stream_load(spark, sf_dir):
+    found = _streamed(live.load(_stream(spark, sf_dir), 1.0, "1 hour", 3600.0))
+    return found.select("channel", F.unix_seconds("start").alias("start"), F.round("load", 6).alias("load"))
+
+
+@query(BASE + " SELECT floor(t / 3600)::BIGINT * 3600 AS start, count(*)::BIGINT AS n FROM frames WHERE kind = 'error' GROUP BY 1 HAVING count(*) >= 4")
+def q_stream_storms(spark, sf_dir):
+    return _streamed(live.storms(_stream(spark, sf_dir), 4, "1 hour")).select(F.unix_seconds("start").alias("start"), "n")
+
+
+@query(BASE + ", b AS (SELECT t_us, lag(t_us) OVER (ORDER BY t_us) AS p FROM data), s AS (SELECT t_us, sum((p IS NULL OR t_us - p >= 1200000000)::INT) OVER (ORDER BY t_us ROWS UNBOUNDED PRECEDING) AS k FROM b) SELECT min(t_us) AS start_us, max(t_us) + 1200000000 AS end_us, count(*)::BIGINT AS n FROM s GROUP BY k")
+def q_stream_busy(spark, sf_dir):
+    found = _streamed(live.busy_spans(_stream(spark, sf_dir), "20 minutes"))
+    return found.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 def _rendered(spark, sf_dir, line) -> DataFrame:
     """Lines of text made of the projection's frames, one log per channel."""
     frames = _frames(spark, sf_dir)
@@ -794,6 +850,19 @@ def q_parse_csv(spark, sf_dir):
     return _parsed(textlogs.parse_csv(_rendered(spark, sf_dir, line), head))
 
 
+@query(BASE + "SELECT kind, t_us, CASE WHEN kind = 'data' THEN frame_id ELSE 0 END AS frame_id, CASE WHEN kind = 'data' THEN dlc ELSE 0 END AS dlc FROM frames WHERE t BETWEEN (SELECT min(t) + 100000 FROM frames) AND (SELECT min(t) + 900000 FROM frames)")
+def q_read_log(spark, sf_dir):
+    """The log written as text files, data frames in one format and errors in another, and a span of it read by their names."""
+    frames, folder = _frames(spark, sf_dir), shared_folder(spark)
+    first = frames.agg(F.min("t")).first()[0]
+    data = F.format_string("%d) %s %s Rx %d %s", "seq", _seconds(F.rint(F.col("t") * 1e6).cast("long")), F.lpad(F.hex("frame_id"), 4, "0"), "dlc", bits.payload_text(F.col("data")))
+    error = F.format_string("%s %d ErrorFrame Flags = %s error", _seconds(F.rint(F.col("t") * 1e6).cast("long")), "channel", "error_type")
+    frames.where("kind = 'data'").select(data.alias("value")).write.text(f"{folder}/log.trc")
+    frames.where("kind = 'error'").select(error.alias("value")).write.text(f"{folder}/log.asc")
+    parts = [textlogs.read_log(spark, f"{folder}/log.{form}", first + 100_000, first + 900_000) for form in ("trc", "asc")]
+    return diagnostics.union(parts).select("kind", F.rint(F.col("t") * 1e6).cast("long").alias("t_us"), "frame_id", "dlc")
+
+
 @query(_PARSED.format(channel="0", id="frame_id", dlc="dlc", error="NULL::VARCHAR", where="WHERE kind = 'data'"))
 def q_parse_csv_heads(spark, sf_dir):
     """Four tables of the same frames' quarters, whose heads name the columns otherwise and in other orders."""
@@ -936,6 +1005,11 @@ def q_bus_findings(spark, sf_dir):
     return _told(diagnostics.bus_findings(_frames(spark, sf_dir), _config()))
 
 
+@query(_BUS_SQL[: -len(_TOLD)] + " SELECT v.severity, count(f.severity)::BIGINT AS n FROM (VALUES ('critical'), ('error'), ('warn'), ('info')) v(severity) LEFT JOIN found f ON f.severity = v.severity GROUP BY 1")
+def q_severity_counts(spark, sf_dir):
+    return diagnostics.severity_counts(diagnostics.bus_findings(_frames(spark, sf_dir), _config()))
+
+
 _STUCK = "greatest(1, least(0.25 * (last_t - first_t), 10))"
 _MESSAGE_SQL = (
     STATS
