@@ -284,15 +284,16 @@ def links_inside(regions: DataFrame, texts: DataFrame, n: int, percent: int) ->
 
 
 def distances(regions: DataFrame, chosen: DataFrame, texts: DataFrame, n: int, percent: int, paths: list[str]) -> DataFrame:
-    """Staged (region, c, n, d array<double>, linked array<long>) of the classes of regions(region, c, n, members) that
-    aren't among chosen(region, p): distances to the region's pivots in the order of p, and pivots within the threshold.
+    """Staged (region, c, n, d array<double>, linked array<long>) of the classes of regions(region, c, n, members):
+    distances to the region's pivots chosen(region, p) in the order of p, and pivots within the threshold. Pivots are
+    compared with one another too: of each two the larger links with the smaller; their d is null.
 
     A region is dealt over as many tasks as it has times LOCAL classes; each gets the pivots first, then its classes."""
     shares = F.greatest(F.lit(1), F.ceil(F.col("members") / LOCAL)).cast("int")
     rows = regions.select("region", F.pmod(F.xxhash64("c"), shares).cast("int").alias("share"), F.lit(1).alias("role"), "c", "n")
     heads = regions.select("region", shares.alias("shares")).distinct().join(chosen, "region")
     heads = heads.select("region", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), F.col("p").alias("c"), F.lit(0).cast("long").alias("n"))
-    both = heads.unionByName(rows.join(chosen.withColumnRenamed("p", "c"), ["region", "c"], "left_anti")).join(texts, "c")
+    both = heads.unionByName(rows).join(texts, "c")
     dealt = both.select("region", "share", "role", "c", "n", "blob").repartition(shuffle_partitions(regions.sparkSession), "region", "share").sortWithinPartitions("region", "share", "role", "c")
 
     def measured(batches):
@@ -315,7 +316,11 @@ def distances(regions: DataFrame, chosen: DataFrame, texts: DataFrame, n: int, p
                     place = np.minimum(np.searchsorted(universe, grams), len(universe) - 1)
                     both = table[place[universe[place] == grams]].sum(0)
                     union = len(grams) + sizes - both
-                    out.append((region, c, size, 1 - both / union, [p for p, yes in zip(pivots, 100 * both >= percent * union) if yes]))
+                    near = [p for p, yes in zip(pivots, 100 * both >= percent * union) if yes]
+                    if c in pivots:
+                        out.append((region, c, size, None, [p for p in near if p < c]))
+                    else:
+                        out.append((region, c, size, 1 - both / union, near))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, types)], ["region", "c", "n", "d", "linked"])
 
@@ -359,7 +364,7 @@ def _round(regions: DataFrame, pivots: int, turn: int, texts: DataFrame, n: int,
     chosen = staged(regions.where("root <> main").groupBy("region", bucket.alias("bucket")).agg(F.min("c").alias("p")).select("region", "p"), paths)
     measured = distances(regions.select("region", "c", "n", "members"), chosen, texts, n, percent, paths)
     links = measured.select(F.explode("linked").alias("b"), F.col("c").alias("a")).select("a", "b")
-    placed = measured.withColumn("home", F.array_position("d", F.array_min("d")).cast("int"))
+    placed = measured.where("d is not null").withColumn("home", F.array_position("d", F.array_min("d")).cast("int"))
     radius = placed.groupBy("region", "home").agg(F.max(F.element_at("d", F.col("home"))).alias("radius"))
     radii = staged(radius.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("home", "radius"))).alias("radii")), paths)  # an entry for each pivot
     near = F.filter(F.sequence(F.lit(1), F.size("d")), lambda k: F.element_at("d", k) <= F.coalesce(F.try_element_at("radii", k), F.lit(-1.0)) + eps)

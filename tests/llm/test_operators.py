@@ -311,6 +311,22 @@ def test_jaccard_join(documents, monkeypatch, local):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in got})
 
 
+def test_jaccard_links_between_pivots(documents, monkeypatch):
+    """Pairs that differ by a word share a passage with all others; nearly all of the region are pivots of its first round."""
+    from framelake.llm import jaccard
+
+    draw = random.Random(11)
+    words = ["w%d" % i for i in range(5000)]
+    some = lambda n: [draw.choice(words) for _ in range(n)]
+    passage = some(60)
+    rows = [(i, " ".join(passage + some(8 + i % 3))) for i in range(0, 20, 2)]
+    rows += [(i + 1, text + " end") for i, text in rows]
+    monkeypatch.setattr(jaccard, "LOCAL", 2)
+    monkeypatch.setattr(jaccard, "MOST_PIVOTS", 4096)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2048)
+    assert sorted(tuple(r) for r in jaccard.near_duplicates(documents(*rows), percent=95).collect()) == plain_components(rows, percent=95)
+
+
 def test_jaccard_repeats_and_null_ids(documents):
     from framelake.llm import jaccard
 
