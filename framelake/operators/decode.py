@@ -243,14 +243,19 @@ def with_data(frames: DataFrame, messages: DataFrame) -> DataFrame:
     return messages.join(some, "frame_id", "left").withColumn("has_data", F.coalesce("__has", F.lit(False))).drop("__has")
 
 
+def byte_values(data: str, count: str) -> Column:
+    """The first `count` bytes of a payload as numbers; there must be one at least."""
+    return F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda i: F.conv(F.substring(F.hex(data), i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+
+
+def nibbles(byte: Column) -> dict[str, Column]:
+    return {"byte": byte, "low": byte.bitwiseAND(F.lit(15)), "high": F.shiftright(byte, 4)}
+
+
 def byte_fields(frames: DataFrame) -> DataFrame:
     """(log_id, frame_id, channel, t, seq, byte, bits, field, value): every byte, its low and its high nibble."""
     rows = data_frames(frames).where("dlc > 0")
-    values = F.transform(F.sequence(F.lit(0), F.col("dlc") - 1), lambda i: F.conv(F.substring(F.hex("data"), i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
-    bytes_ = rows.select("log_id", "frame_id", "channel", "t", "seq", F.posexplode(values).alias("byte", "v"))
-    fields = F.array(
-        F.struct(F.lit("byte").alias("field"), F.lit(8).alias("bits"), F.col("v").alias("value")),
-        F.struct(F.lit("low").alias("field"), F.lit(4).alias("bits"), F.col("v").bitwiseAND(F.lit(15)).alias("value")),
-        F.struct(F.lit("high").alias("field"), F.lit(4).alias("bits"), F.shiftright("v", 4).alias("value")),
-    )
+    bytes_ = rows.select("log_id", "frame_id", "channel", "t", "seq", F.posexplode(byte_values("data", "dlc")).alias("byte", "v"))
+    parts = nibbles(F.col("v"))
+    fields = F.array(*(F.struct(F.lit(name).alias("field"), F.lit(bits).alias("bits"), parts[name].alias("value")) for name, bits in (("byte", 8), ("low", 4), ("high", 4))))
     return bytes_.select("log_id", "frame_id", "channel", "t", "seq", "byte", F.inline(fields))

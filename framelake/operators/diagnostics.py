@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import timing
 from framelake.operators.align import previous
-from framelake.operators.decode import byte_fields, data_frames, samples
+from framelake.operators.decode import byte_values, data_frames, nibbles, samples
 from framelake.plans.catalog import Catalog
 from framelake.sources.places import staged
 
@@ -423,12 +423,18 @@ def raw_fields(frames: DataFrame, chunk_seconds: float = timing.CHUNK) -> DataFr
     sizes = data_frames(frames).groupBy("log_id", "frame_id", "channel").agg(F.count("*").alias("n"), F.min("dlc").alias("width"))
     nth = F.row_number().over(Window.partitionBy("log_id", "frame_id").orderBy(F.desc("n"), "channel"))
     main = sizes.withColumn("nth", nth).where("nth = 1 and n >= 8").select("log_id", "frame_id", "channel", "width")
-    rows = byte_fields(frames).join(main, ["log_id", "frame_id", "channel"]).where("byte < width")
-    rows = previous(rows, ["log_id", "frame_id", "byte", "field"], {"value": "last"}, chunk_seconds).withColumn("step", F.col("value") - F.col("last"))
-    rows = rows.withColumn("modulus", F.when(F.col("bits") == 8, 256).otherwise(16))
-    is_step = (F.col("step") == 1) | (F.col("step") == 1 - F.col("modulus"))
+    rows = data_frames(frames).where("dlc > 0").join(F.broadcast(main), ["log_id", "frame_id", "channel"])  # a row for each message
+    rows = previous(rows.select("log_id", "frame_id", "t", "seq", "data", "width"), ["log_id", "frame_id"], {"data": "last"}, chunk_seconds)
+    # Of a byte 65,537 pairs of neighbours at most are left, before any shuffle but that of the frames.
+    both = F.arrays_zip(byte_values("data", "width").alias("v"), byte_values("last", "width").alias("last"))
+    pairs = rows.where("width > 0").select("log_id", "frame_id", F.posexplode(both).alias("byte", "p")).groupBy("log_id", "frame_id", "byte", "p.v", "p.last").agg(F.count("*").alias("m"))
+    now, last = nibbles(F.col("v")), nibbles(F.col("last"))
+    fields = F.array(*(F.struct(F.lit(name).alias("field"), F.lit(bits).alias("bits"), now[name].alias("value"), (now[name] - last[name]).alias("step")) for name, bits in (("byte", 8), ("low", 4), ("high", 4))))
+    rows = pairs.select("log_id", "frame_id", "byte", "m", F.inline(fields))
+    is_step = (F.col("step") == 1) | (F.col("step") == 1 - F.when(F.col("bits") == 8, 256).otherwise(16))
+    number = lambda which: F.coalesce(F.sum(F.when(which, F.col("m"))), F.lit(0))
     return rows.groupBy("log_id", "frame_id", "byte", "field", "bits").agg(
-        F.count("*").alias("n"), F.count_distinct("value").alias("uniques"), F.count_if(is_step).alias("steps"), F.count_if(F.col("step") == 0).alias("equal"), F.count_if(F.col("step") != 0).alias("changes")
+        F.sum("m").alias("n"), F.count_distinct("value").alias("uniques"), number(is_step).alias("steps"), number(F.col("step") == 0).alias("equal"), number(F.col("step") != 0).alias("changes")
     )
 
 
@@ -507,7 +513,7 @@ def counter_steps(values: DataFrame, catalog: Catalog, chunk_seconds: float = ti
     rows = rows.withColumn("is_step", (F.col("step") == 1) | (F.col("step") == 1 - F.col("modulus")))
     about = rows.groupBy(*SIGNAL).agg(F.count("*").alias("n"), F.count_distinct("raw").alias("uniques"), F.count_if("is_step").alias("steps"), F.count("step").alias("pairs"))
     counts = about.where(F.regexp_like("signal", F.lit(COUNTER_NAME)) | ((F.col("n") >= 8) & (F.col("uniques") >= 4) & (F.col("steps") >= 0.7 * F.col("pairs")))).select(*SIGNAL)
-    return rows.join(counts, SIGNAL, "left_semi")
+    return rows.join(F.broadcast(counts), SIGNAL, "left_semi")  # a row for each signal
 
 
 def counter_jumps(steps: DataFrame, gaps: DataFrame) -> DataFrame:
