@@ -59,7 +59,8 @@ def absent(frames: DataFrame, catalog: Catalog, frame_id: int) -> DataFrame:
 def raw_steps(frames: DataFrame, counters: DataFrame, chunk_seconds: float = timing.CHUNK) -> DataFrame:
     """Values of raw fields that count, of the primary channel, with their steps, as counter_steps() gives those of signals."""
     main = diagnostics.primary(data_frames(frames).groupBy("log_id", "frame_id", "channel").agg(F.count("*").alias("n_frames"))).select("log_id", "frame_id", "channel")
-    rows = byte_fields(frames).join(main, ["log_id", "frame_id", "channel"]).join(counters.select("log_id", "frame_id", "byte", "field"), ["log_id", "frame_id", "byte", "field"])
+    own = data_frames(frames).join(F.broadcast(main), ["log_id", "frame_id", "channel"])  # a row for each message, and for each of its bytes
+    rows = byte_fields(own).join(F.broadcast(counters.select("log_id", "frame_id", "byte", "field")), ["log_id", "frame_id", "byte", "field"])
     name = F.concat(F.lit("Byte"), F.col("byte").cast("string"), F.when(F.col("field") == "byte", "").otherwise(F.concat(F.lit("."), F.col("field"))))
     rows = rows.select("log_id", F.col("frame_id").alias("message_id"), name.alias("signal"), "channel", "t", "seq", F.col("value").alias("raw"), "bits")
     modulus = F.when(F.col("bits") == 8, 256).otherwise(16)
