@@ -85,14 +85,14 @@ def missing(gap: Column, base: Column) -> Column:
 
 def message_gaps(frames: DataFrame, bases: DataFrame, factor: float, chunk_seconds: float = CHUNK) -> DataFrame:
     """Gaps of more than base_ms * factor: (keys..., start, end, gap_ms, missing, base_ms)."""
-    rows = deltas(frames, MESSAGE, chunk_seconds).where("before is not null").join(bases.select(*MESSAGE, "base_ms"), MESSAGE)
+    rows = deltas(frames, MESSAGE, chunk_seconds).where("before is not null").join(F.broadcast(bases.select(*MESSAGE, "base_ms")), MESSAGE)  # a row for each message and channel
     gap = F.col("delta") * 1000
     return rows.where((F.col("base_ms") > 0) & (gap > F.col("base_ms") * factor)).select(*MESSAGE, F.col("before").alias("start"), F.col("t").alias("end"), gap.alias("gap_ms"), missing(gap, F.col("base_ms")).alias("missing"), "base_ms")
 
 
 def bursts(frames: DataFrame, bases: DataFrame, chunk_seconds: float = CHUNK) -> DataFrame:
     """Per id: arrivals less than a quarter of the base period after the one before; ids without any are left out."""
-    rows = deltas(frames, MESSAGE, chunk_seconds).join(bases.select(*MESSAGE, "base_ms"), MESSAGE)
+    rows = deltas(frames, MESSAGE, chunk_seconds).join(F.broadcast(bases.select(*MESSAGE, "base_ms")), MESSAGE)
     counts = rows.groupBy("log_id", "frame_id").agg(F.count_if(F.col("delta") * 1000 < 0.25 * F.col("base_ms")).alias("bursts"))
     return counts.where("bursts > 0")
 
@@ -135,7 +135,7 @@ def errors_near(gaps: DataFrame, frames: DataFrame, slack: float = 0.05, chunk_s
     events = frames.where("kind <> 'data'").groupBy("log_id", F.coalesce("error_type", "state", "kind").alias("what"), "t").agg(F.count("*").alias("__n"))
     kinds = events.select("log_id", "what").distinct()
     ends = F.array(F.struct((F.col("start") - slack).alias("t"), F.lit(-1).alias("__side")), F.struct((F.col("end") + slack).alias("t"), F.lit(1).alias("__side")))
-    asked = gaps.distinct().join(kinds, "log_id").select(F.struct(*gaps.columns).alias("__gap"), "log_id", "what", F.inline(ends))
+    asked = gaps.distinct().join(F.broadcast(kinds), "log_id").select(F.struct(*gaps.columns).alias("__gap"), "log_id", "what", F.inline(ends))
     none = F.lit(None).cast(asked.schema["__gap"].dataType)
     both = asked.withColumn("__n", F.lit(0).cast("long")).unionByName(events.select(none.alias("__gap"), "log_id", "what", "t", F.lit(0).alias("__side"), "__n"))
     both = both.withColumn("__chunk", chunk_of(F.col("t"), chunk_seconds))
@@ -155,7 +155,7 @@ def binned(rows: DataFrame, keys: list[str], seconds: float, weight: Column) ->
     spans = rows.groupBy(*keys).agg(F.min("t").alias("start"), F.max("t").alias("end"))
     spans = spans.withColumn("span", F.col("end") - F.col("start")).withColumn("bins", F.greatest(F.ceil(F.col("span") / seconds), F.lit(1)).cast("long"))
     at = F.least(F.floor((F.col("t") - F.col("start")) / (F.col("span") / F.col("bins"))), F.col("bins") - 1)
-    placed = rows.withColumn("__w", weight).join(spans.drop("end"), keys).where("span > 0").withColumn("bin", at.cast("long"))
+    placed = rows.withColumn("__w", weight).join(F.broadcast(spans.drop("end")), keys).where("span > 0").withColumn("bin", at.cast("long"))
     return placed.groupBy(*keys, "bin", "bins", "span", "start").agg(F.sum("__w").alias("weight"))
 
 
@@ -185,24 +185,33 @@ def longest_runs(rows: DataFrame, keys: list[str], value: str, chunk_seconds: fl
     """(keys..., n, changes, run_start, run_end, run_length) of rows(keys..., t, seq, value): the longest stretch of
     equal consecutive values, by samples; the earliest of equally long ones.
 
-    Runs are found within chunks of time. Only a chunk's first and last run may go on in its neighbours: over all chunks
-    these, two small rows a chunk, are put in order, and joined where their values are equal."""
+    Runs are found within chunks of time, in one sort: where one begins, the one before has ended. A small row a chunk has
+    its first and its last run and the longest of the others. Only the first and the last may go on in the neighbours:
+    over all chunks these are put in order, and joined where their values are equal."""
     order = Window.partitionBy(*keys, "__chunk").orderBy("t", "seq")
-    marked = rows.select(*keys, "t", "seq", F.col(value).alias("__v"), chunk_of(F.col("t"), chunk_seconds).alias("__chunk"))
-    marked = marked.withColumn("__new", (~F.col("__v").eqNullSafe(F.lag("__v").over(order)) & (F.row_number().over(order) > 1)).cast("int"))
-    marked = marked.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     place = F.struct("t", "seq")
-    runs = marked.groupBy(*keys, "__chunk", "__run").agg(F.first("__v").alias("__v"), F.count("*").alias("length"), F.min(place).alias("start"), F.max(place).alias("end"))
-    runs = runs.withColumn("__last", F.max("__run").over(Window.partitionBy(*keys, "__chunk")))
-    inner, outer = (F.col("__run") > 0) & (F.col("__run") < F.col("__last")), Window.partitionBy(*keys).orderBy("__chunk", "__run")
-    edges = runs.where(~inner)
+    marked = rows.select(*keys, "t", "seq", F.col(value).alias("__v"), chunk_of(F.col("t"), chunk_seconds).alias("__chunk"))
+    marked = marked.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "__chunk")  # few bytes a row: Spark would join these into large tasks
+    marked = marked.withColumns({"__nth": F.row_number().over(order), "__new": ~F.col("__v").eqNullSafe(F.lag("__v").over(order)), "__before": F.lag(place).over(order)})
+    marked = marked.withColumns({"__n": F.count("*").over(whole), "__final": F.last(place).over(whole)})
+    runs = marked.where("__nth = 1 or __new").withColumns({"__next": F.lead("__nth").over(order), "__ended": F.lead("__before").over(order)})
+    length = F.coalesce(F.col("__next"), F.col("__n") + 1) - F.col("__nth")
+    runs = runs.select(*keys, "__chunk", "__v", (F.col("__nth") > 1).alias("__later"), F.col("__next").isNotNull().alias("__inner"), length.alias("length"), place.alias("start"), F.coalesce("__ended", "__final").alias("end"))
+    run, inner = F.struct("__v", "length", "start", "end"), F.col("__later") & F.col("__inner")
+    best = lambda which: F.min_by(F.struct("start", "end", "length"), F.when(which, F.struct((-F.col("length")).alias("size"), "start")))
+    chunks = runs.groupBy(*keys, "__chunk").agg(
+        F.count("*").alias("__runs"), F.min_by(run, "start").alias("__a"), F.max_by(run, "start").alias("__z"), F.sum(F.when(inner, F.col("length"))).alias("samples"), best(inner).alias("__most")
+    )
+    within = chunks.where("__runs > 2").select(*keys, "__most.length", "__most.start", "__most.end", "samples", (F.col("__runs") - 2).alias("runs"))
+    ends = F.when(F.col("__runs") > 1, F.array("__a", "__z")).otherwise(F.array("__a"))
+    edges, outer = chunks.select(*keys, "__chunk", F.posexplode(ends).alias("__pos", "__r")).select(*keys, "__chunk", "__pos", "__r.*"), Window.partitionBy(*keys).orderBy("__chunk", "__pos")
     goes_on = F.col("__v").eqNullSafe(F.lag("__v").over(outer)) & (F.col("__chunk") != F.lag("__chunk").over(outer))
     edges = edges.withColumn("__new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
     edges = edges.withColumn("__run", F.sum("__new").over(outer.rowsBetween(Window.unboundedPreceding, 0)))
     edges = edges.groupBy(*keys, "__run").agg(F.sum("length").alias("length"), F.min("start").alias("start"), F.max("end").alias("end"))
-    every = edges.select(*keys, "length", "start", "end").unionByName(runs.where(inner).select(*keys, "length", "start", "end"))
-    best = F.min_by(F.struct("start", "end", "length"), F.struct((-F.col("length")).alias("size"), "start")).alias("r")
-    found = every.groupBy(*keys).agg(F.sum("length").alias("n"), (F.count("*") - 1).alias("changes"), best)
+    every = edges.select(*keys, "length", "start", "end", F.col("length").alias("samples"), F.lit(1).cast("long").alias("runs")).unionByName(within)
+    found = every.groupBy(*keys).agg(F.sum("samples").alias("n"), (F.sum("runs") - 1).alias("changes"), best(F.lit(True)).alias("r"))
     return found.select(*keys, "n", "changes", F.col("r.start.t").alias("run_start"), F.col("r.end.t").alias("run_end"), F.col("r.length").alias("run_length"))
 
 

@@ -94,3 +94,50 @@ def test_no_window_over_a_whole_log(spark):
     for df in (timing.period_stats(rows), timing.message_gaps(rows, timing.base_period(timing.period_stats(rows), None, 0.25), 1.5)):
         assert not windows_over_whole_keys(df)
         assert "percentile" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def hot_joins(spark, df):
+    """Joins that shuffle all rows of a message, signal or channel into one task."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = [line for line in plan.splitlines() if "SortMergeJoin [" in line or "ShuffledHashJoin [" in line]
+    return [line for line in lines if "channel#" in line and not any(part in line for part in ("__chunk", "__bin", "before#", "start#"))]
+
+
+@pytest.mark.parametrize("part", ["raw fields", "raw steps", "gaps"])
+def test_small_tables_are_not_joined_by_shuffling(spark, part):
+    from framelake.operators import diagnostics, message_report
+
+    rows = normalised(spark.range(100).select(F.col("id").alias("seq"), (F.col("id") * 1.0).alias("t"), F.lit(1).cast("long").alias("frame_id"), F.to_binary(F.lpad(F.hex("id"), 4, "0"), F.lit("hex")).alias("data")))
+    fields = diagnostics.raw_fields(rows, 7.0)
+    if part == "raw fields":
+        assert not hot_joins(spark, fields)
+        found = {(r["byte"], r["field"]): (r["n"], r["uniques"], r["steps"], r["equal"], r["changes"]) for r in fields.collect()}
+        assert found == {
+            (0, "byte"): (100, 1, 0, 99, 0), (0, "low"): (100, 1, 0, 99, 0), (0, "high"): (100, 1, 0, 99, 0),
+            (1, "byte"): (100, 100, 99, 0, 99), (1, "low"): (100, 16, 99, 0, 99), (1, "high"): (100, 7, 6, 93, 6),
+        }
+    elif part == "raw steps":
+        counters = spark.createDataFrame([("log", 1, 1, "byte")], "log_id string, frame_id long, byte int, field string")
+        assert not hot_joins(spark, message_report.raw_steps(rows, counters, 7.0))
+    else:
+        base = spark.createDataFrame([("log", 1, 0, 1000.0)], "log_id string, frame_id long, channel int, base_ms double")
+        assert not hot_joins(spark, timing.message_gaps(rows, base, 1.5))
+
+
+def test_counters_are_chosen_without_shuffling_samples(spark):
+    from framelake.operators import decode, diagnostics
+    from framelake.sources import frames as source
+
+    catalog = source.event_catalog((256,))
+    rows = normalised(spark.range(20).select(F.col("id").alias("seq"), (F.col("id") * 1.0).alias("t"), F.lit(256).cast("long").alias("frame_id"), F.lit(b"12345678").alias("data")))
+    steps = diagnostics.counter_steps(decode.samples(rows, catalog), catalog, 7.0)
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "SortMergeJoin [" in line and "LeftSemi" in line]
+    # Rows of equal consecutive values take few bytes: their tasks are numbered, so that none grows with the log.
+    runs = timing.longest_runs(steps, ["signal"], "raw", 7.0)
+    assert "REPARTITION_BY_NUM" in runs._jdf.queryExecution().executedPlan().toString()
