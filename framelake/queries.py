@@ -799,7 +799,7 @@ def _streamed(stream: DataFrame) -> DataFrame:
 @query(ZOH + _LEVEL_SQL.replace("{z}", "zoh"))
 def q_stream_machines(spark, sf_dir):
     """The machines of q_fsm_levels over a stream of frames: signals held, and their states kept, by operators with state."""
-    return _streamed(live.machines_of(_stream(spark, sf_dir), source.event_catalog(), specs.parse(LEVEL_SPEC)[0], "1 hour")).select("function", "type", "t")
+    return _streamed(live.machines_of(_stream(spark, sf_dir), source.event_catalog(), specs.parse(LEVEL_SPEC)[0], "1 hour", 21_600.0)).select("function", "type", "t")
 
 
 @query(BASE + " SELECT channel, floor(t / 3600)::BIGINT * 3600 AS start, round(sum((47 + 8 * dlc) * 1.2::DOUBLE) / 3600 * 100, 6) AS load FROM data GROUP BY 1, 2")

@@ -8,9 +8,11 @@ batch. Late rows beyond the watermark are dropped. Operators with state of their
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -66,45 +68,59 @@ AHEAD = 86_400.0
 class Hold(StatefulProcessor):
     """Signals of one log, held: for each instant of its frames the values in force at it and at the instant before.
 
-    Frames wait in a list until the watermark has passed them, so that they come out in order of (t, seq) however they came
-    in; a timer stands for the first that waits. State: the waiting frames, the last value of each signal, and the last
-    instant that was given out. What is waiting is as much as comes within the watermark's delay. Frames of instants that
-    were given out already are too late and left out."""
+    Frames wait in pieces of time until the watermark has passed a piece's end, for which there is a timer, so that they come
+    out in order of (t, seq) however they came in. State: the waiting frames, in packs by piece; the last value of each
+    signal; and the last instant that was given out. Python holds BUFFER new frames or one piece, however many frames a
+    batch has. Frames of instants that were given out already are too late and left out."""
 
-    def __init__(self, names: list[str]):
-        self.names = names
+    BUFFER = 50_000
+
+    def __init__(self, names: list[str], piece: float = 1.0):
+        self.names, self.width = names, max(1, round(piece * 1000))
         self.columns = ["log_id", "t", "ts", *(f.name for which in ("cur", "prev") for f in _sample_columns([f"{which}_{n}" for n in names]))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        frame = [T.StructField("t", T.DoubleType()), T.StructField("seq", T.LongType()), *_sample_columns(self.names)]
-        self.waiting = handle.getListState("waiting", T.StructType(frame))
+        at = [T.StructField("piece", T.LongType()), T.StructField("pack", T.LongType())]
+        self.packs = handle.getMapState("packs", T.StructType(at), T.StructType([T.StructField("frames", T.BinaryType())]))
+        self.count = handle.getMapState("count", T.StructType(at[:1]), T.StructType(at[1:]))
         self.values = handle.getMapState("values", T.StructType([T.StructField("signal", T.StringType())]), T.StructType(_sample_columns([""])))
         self.done = handle.getValueState("done", T.StructType([T.StructField("t", T.DoubleType())]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         done = self.done.get()[0] if self.done.exists() else None
         parts = ["t", "seq", *(f.name for f in _sample_columns(self.names))]
-        new = [tuple(r[c] for c in parts) for r in rows]
-        new = [r for r in new if done is None or r[0] > done]
-        return self._given_out(key, [*(tuple(r) for r in self.waiting.get()), *new], timerValues)
+        waiting: dict[int, list[tuple]] = {}
+        held = 0
+        for r in rows:
+            frame = tuple(r[c] for c in parts)
+            if done is None or frame[0] > done:
+                waiting.setdefault(math.floor((frame[0] + AHEAD) * 1000) // self.width, []).append(frame)
+                held += 1
+                if held >= self.BUFFER:
+                    self._put(waiting)
+                    waiting, held = {}, 0
+        self._put(waiting)
+        return iter(())
+
+    def _put(self, waiting: dict[int, list[tuple]]) -> None:
+        for piece, frames in waiting.items():
+            pack = self.count.getValue((piece,))[0] if self.count.containsKey((piece,)) else 0
+            self.packs.updateValue((piece, pack), (pickle.dumps(frames),))
+            self.count.updateValue((piece,), (pack + 1,))
+            if not pack:
+                self.handle.registerTimer((piece + 1) * self.width)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        return self._given_out(key, [tuple(r) for r in self.waiting.get()], timerValues)
-
-    def _given_out(self, key, frames: list[tuple], timer_values) -> Iterator[Row]:
-        """Rows of the instants that the watermark has passed; the other frames go on waiting."""
-        passed = timer_values.getCurrentWatermarkInMs() / 1000 - AHEAD
-        frames.sort(key=lambda r: r[:2])
-        ready = [r for r in frames if r[0] < passed]
-        left = frames[len(ready) :]
-        self.waiting.put(left) if left else self.waiting.clear()
-        if left:
-            self.handle.registerTimer(math.floor((left[0][0] + AHEAD) * 1000) + 1)
-        if not ready:
-            return
+        piece = expiredTimerInfo.getExpiryTimeInMs() // self.width - 1
+        ready: list[tuple] = []
+        for pack in range(self.count.getValue((piece,))[0]):
+            ready += pickle.loads(self.packs.getValue((piece, pack))[0])
+            self.packs.removeKey((piece, pack))
+        self.count.removeKey((piece,))
+        ready.sort(key=lambda r: r[:2])
         held = [tuple(self.values.getValue((n,))) if self.values.containsKey((n,)) else (None, None, None) for n in self.names]
-        started = self.done.exists()
+        started, told = self.done.exists(), Row(*self.columns)
         for k, frame in enumerate(ready):
             if k == 0 or frame[0] != ready[k - 1][0]:
                 before = list(held) if started else [(None, None, None)] * len(self.names)
@@ -114,7 +130,7 @@ class Hold(StatefulProcessor):
                     held[i] = sample
             if k + 1 == len(ready) or ready[k + 1][0] != frame[0]:
                 started = True
-                yield Row(*self.columns)(key[0], frame[0], datetime.fromtimestamp(frame[0], timezone.utc), *(x for s in held for x in s), *(x for s in before for x in s))
+                yield told(key[0], frame[0], datetime.fromtimestamp(frame[0], timezone.utc), *(x for s in held for x in s), *(x for s in before for x in s))
         for n, sample in zip(self.names, held):
             if sample != (None, None, None):
                 self.values.updateValue((n,), sample)
@@ -124,9 +140,10 @@ class Hold(StatefulProcessor):
         pass
 
 
-def held(frames: DataFrame, catalog: Catalog, names: list[str], late: str = "2 seconds") -> DataFrame:
+def held(frames: DataFrame, catalog: Catalog, names: list[str], late: str = "2 seconds", piece: float = 1.0) -> DataFrame:
     """(log_id, t, ts, cur_<name>, prev_<name>) of each instant of a stream's data frames, as align.held() gives it for a log
-    that is at rest: an instant comes out when the watermark, `late` behind the newest frame, has passed it."""
+    that is at rest: an instant comes out when the watermark, `late` behind the newest frame, has passed the end of its
+    piece of time. A piece, of so many seconds, is what Python holds at once; there is a timer for each."""
     found = resolve(catalog, names)
     samples = [(sample(*found[n], words=True) if n in found else F.lit(None).cast(SAMPLE)).alias(n) for n in names]
     timed = frames.where("kind = 'data'").withColumn("__ts", F.timestamp_seconds(F.col("t") + AHEAD)).withWatermark("__ts", late)
@@ -134,15 +151,15 @@ def held(frames: DataFrame, catalog: Catalog, names: list[str], late: str = "2 s
     rows = rows.select("log_id", "__ts", "t", "seq", *(F.col(n)[part].alias(f"{n}_{part}") for n in names for part in ("raw", "num", "label")))
     flat = _sample_columns([f"{which}_{n}" for which in ("cur", "prev") for n in names])
     out = T.StructType([T.StructField("log_id", T.StringType()), T.StructField("t", T.DoubleType()), T.StructField("ts", T.TimestampType()), *flat])
-    told = rows.groupBy("log_id").transformWithState(Hold(names), out, "Append", "EventTime")
+    told = rows.groupBy("log_id").transformWithState(Hold(names, piece), out, "Append", "EventTime")
     one = lambda name: F.when(F.col(f"{name}_raw").isNotNull() | F.col(f"{name}_num").isNotNull(), F.struct(F.col(f"{name}_raw").alias("raw"), F.col(f"{name}_num").alias("num"), F.col(f"{name}_label").alias("label"))).alias(name)
     return told.select("log_id", "t", "ts", *(one(f"{which}_{n}") for n in names for which in ("cur", "prev")))
 
 
-def machine_steps(frames: DataFrame, catalog: Catalog, functions: list[Machine], late: str = "2 seconds") -> DataFrame:
+def machine_steps(frames: DataFrame, catalog: Catalog, functions: list[Machine], late: str = "2 seconds", piece: float = 1.0) -> DataFrame:
     """(log_id, function, t, ts, on_enter, on_exit, on_trigger): what each machine is told at each instant of a stream."""
     names = sorted({n for m in functions for n in m.signals})
-    return machines.told(held(frames, catalog, names, late), catalog, functions).select("log_id", "function", "t", "ts", "on_enter", "on_exit", "on_trigger")
+    return machines.told(held(frames, catalog, names, late, piece), catalog, functions).select("log_id", "function", "t", "ts", "on_enter", "on_exit", "on_trigger")
 
 
 class Latch(StatefulProcessor):
@@ -158,9 +175,16 @@ class Latch(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         on, since = self.state.get() if self.state.exists() else (key[1] in self.initial, None)
-        out = []
-        steps = (part if "on_trigger" in part.columns else part.assign(on_trigger=False) for part in rows)
-        for t, enter, leave, trigger in sorted(r for part in steps for r in part[["t", "on_enter", "on_exit", "on_trigger"]].itertuples(index=False, name=None)):
+        columns = ["log_id", "function", "type", "t", "since"]
+        times, codes, out = [np.zeros(0)], [np.zeros(0, np.uint8)], []  # 9 bytes a row
+        for part in rows:
+            flags = [part[c].fillna(False).astype(bool).to_numpy() if c in part.columns else np.zeros(len(part), bool) for c in ("on_enter", "on_exit", "on_trigger")]
+            times.append(part["t"].to_numpy(np.float64)), codes.append(flags[0] * np.uint8(4) + flags[1] * np.uint8(2) + flags[2] * np.uint8(1))
+        every, code = np.concatenate(times), np.concatenate(codes)
+        del times, codes
+        order = np.lexsort((code, every))
+        for k in order:
+            t, enter, leave, trigger = float(every[k]), bool(code[k] & 4), bool(code[k] & 2), bool(code[k] & 1)
             if on and leave:
                 out.append((*key, "exit", t, since))
                 on, since = False, None
@@ -169,18 +193,21 @@ class Latch(StatefulProcessor):
                 on, since = True, t
             if trigger and not enter and not on:
                 out.append((*key, "attempt", t, None))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
         self.state.update((on, since))
-        yield pd.DataFrame(out, columns=["log_id", "function", "type", "t", "since"])
+        yield pd.DataFrame(out, columns=columns)
 
     def close(self) -> None:
         pass
 
 
-def machines_of(frames: DataFrame, catalog: Catalog, functions: list[Machine], late: str = "2 seconds") -> DataFrame:
+def machines_of(frames: DataFrame, catalog: Catalog, functions: list[Machine], late: str = "2 seconds", piece: float = 1.0) -> DataFrame:
     """(log_id, function, type, t, since) from a stream of frames: enters, exits (with when the machine was entered, so that
     they are intervals too) and blocked attempts, the same as machines.run() finds in the log at rest."""
     initial = frozenset(m.id for m in functions if m.initial)
-    return machine_events(machine_steps(frames, catalog, functions, late), initial)
+    return machine_events(machine_steps(frames, catalog, functions, late, piece).where("on_enter or on_exit or on_trigger"), initial)
 
 
 def machine_events(steps: DataFrame, initial: frozenset[str] = frozenset()) -> DataFrame:

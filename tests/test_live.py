@@ -119,3 +119,50 @@ def test_machines_over_a_stream_that_starts_again(spark, tmp_path, rocks):
     assert 0 < first < len(got) == len(want)
     assert {(r["log_id"], r["function"], r["type"], r["t"]) for r in got} == want
     assert {(r["log_id"], r["function"], r["since"], r["t"]) for r in got if r["type"] == "exit" and r["since"] is not None} <= spans
+
+
+class Shelf(dict):
+    """A state of a processor, kept in memory."""
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return self["value"]
+
+    def update(self, value):
+        self["value"] = value
+
+
+def test_hold_keeps_a_piece_of_a_batch_in_memory():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    timers = []
+    handle = SimpleNamespace(getMapState=lambda *_: Shelf(), getValueState=lambda *_: Shelf(), registerTimer=timers.append)
+    hold = live.Hold(["x"], 5.0)
+    hold.BUFFER = 500
+    hold.init(handle)
+    told, n = Row("t", "seq", "x_raw", "x_num", "x_label"), 40_000
+    tracemalloc.start()
+    assert not list(hold.handleInputRows(("log",), (told((n - k) / 100, k, k % 7 or None, None, None) for k in range(n)), None))
+    stays, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak - stays < 1_000_000 and len(timers) == len(set(timers)) == 81
+    out = [r for at in sorted(timers) for r in hold.handleExpiredTimer(("log",), None, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))]
+    assert [r["t"] for r in out] == [k / 100 for k in range(1, n + 1)] and not hold.packs and not hold.count
+    assert all(a["cur_x_raw"] == b["prev_x_raw"] for a, b in zip(out, out[1:]))
