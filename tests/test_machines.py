@@ -101,3 +101,19 @@ def test_specs():
     names, dynamic = functions.code_signals("def update(t, s, dt):\n  tracks.append(s.A)\n  return s['B'] or s.rising('C') or s.prev.D or s[x]")
     assert names == ["A", "B", "C", "D"] and dynamic
     assert conditions.default_trigger({"all": [{"rising": "A"}, {"changed": "B"}]}) == {"any": [{"rising": "A"}, {"changed": "B"}]}
+
+
+def test_code_function_orders_packed_pieces(spark):
+    """The task that runs the code gets pieces that others have put in order; of samples at one instant the last counts."""
+    from pyspark.sql import functions as F
+
+    from framelake.operators import code_functions
+    from framelake.plans.functions import CodeFunction
+
+    rows = [("log", "f", float(k // 3), k, "x", float(k), None, k % 3 == 0) for k in range(3000)]
+    changes = spark.createDataFrame(rows[::-1], "log_id string, function string, t double, seq long, signal string, num double, text string, runs boolean").repartition(3)
+    code = "def update(t, s, dt):\n    if t % 100 == 0:\n        attempt(str(s.x))\n"
+    found = code_functions.replay_changes(changes, [CodeFunction("f", "f", "", code, ("x",), False)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "RepartitionByExpression [log_id" in plan
+    assert [(r["t"], r["summary"]) for r in found.orderBy("t").collect()] == [(100.0 * k, str(300.0 * k + 2)) for k in range(10)]
