@@ -3,6 +3,8 @@
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Whether shuffle files go when the query that made them ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes at which Spark ends an Arrow batch for Python (by itself at 10,000 rows or 64 MB): each is held by Spark and by the worker.
+PIECES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 21)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,21 +37,30 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
-def staged(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+@contextmanager
+def configured(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings that hold for the queries that run inside."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def staged(df: DataFrame, paths: list[str] | None = None, pieces: bool = False) -> DataFrame:
     """Writes df to a shared folder and reads it back: cuts lineage, fixes row identity, survives lost executors.
 
     The shuffles that led to the table end with its write, so Spark is told to drop their files then. Its path is added to
-    `paths`, for dropped()."""
+    `paths`, for dropped(). pieces: Python gets texts in PIECES."""
     spark = df.sparkSession
     path = shared_dir(spark)
     if paths is not None:
         paths.append(path)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with configured(spark, {CLEANUP: "true"} | (PIECES if pieces else {})):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -45,7 +45,7 @@ COPIES = 2
 #: The share of all shingles that are looked at to tell classes apart, and the bound of their 62-bit hashes.
 RATE = 1 / 3
 BOUND = int(RATE * (1 << 62))
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def _multipliers(n: int) -> list[np.uint64]:
@@ -113,7 +113,7 @@ def classes(docs: DataFrame, n: int, percent: int, paths: list[str]) -> DataFram
             yield pa.record_batch([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "row_key", "n_shingles", "digest", "grams"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return staged(docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(rows, f"doc_id {kind}, row_key long, n_shingles long, digest binary, grams array<long>"), paths)
+    return staged(docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(rows, f"doc_id {kind}, row_key long, n_shingles long, digest binary, grams array<long>"), paths, pieces=True)
 
 
 def able(numbered: DataFrame, percent: int, paths: list[str]) -> DataFrame:
@@ -136,7 +136,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, paths: list[str]) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array([pack.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["c", "blob"])
 
     rows = found.join(F.broadcast(wanted) if few(wanted) else wanted, same).select("c", "text")
-    return staged(rows.mapInArrow(packed, "c long, blob binary").dropDuplicates(["c"]), paths)
+    return staged(rows.mapInArrow(packed, "c long, blob binary").dropDuplicates(["c"]), paths, pieces=True)
 
 
 def _unpacked(blobs: list[bytes], n: int) -> list[np.ndarray]:
@@ -156,15 +156,24 @@ class Region:
     def __init__(self, sets: list[np.ndarray], groups: list[int], percent: int):
         self.order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
         self.sizes = np.array([len(sets[i]) for i in self.order])
-        _, number, often = np.unique(np.concatenate([sets[i] for i in self.order]), return_inverse=True, return_counts=True)
-        ends, number = np.cumsum(self.sizes), number.reshape(-1)
-        self.sets = [one[often[one] > 1] for one in np.split(number, ends[:-1])]
-        self.table = np.zeros(len(often), bool)
+        every = np.concatenate([sets[i] for i in self.order])
+        every.sort()
+        several = np.unique(every[1:][every[1:] == every[:-1]])
+        del every
+        self.sets = [self.numbered(sets[i], several) for i in self.order]
+        self.table = np.zeros(len(several), bool)
         self.percent, self.eps = percent, 1 - percent / 100 + 1e-9
         self.parent: dict[int, int] = {}
         self.group = [groups[i] for i in self.order]
         self.links: list[tuple[int, int]] = []
 
+    @staticmethod
+    def numbered(grams: np.ndarray, several: np.ndarray) -> np.ndarray:
+        if not len(several):
+            return np.zeros(0, np.int32)
+        at = np.minimum(np.searchsorted(several, grams), len(several) - 1)
+        return at[several[at] == grams].astype(np.int32)
+
     def root(self, i: int) -> int:
         return self.root_of(self.group[i])
 
@@ -186,9 +195,10 @@ class Region:
     def measured(self, i: int, members: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Distances of class i to members, which it links with where they are within the threshold."""
         self.table[self.sets[i]] = True
-        upto = np.concatenate([[0], np.cumsum(self.table[flat])])
+        upto = np.zeros(len(flat) + 1, np.int32)
+        np.cumsum(self.table[flat], out=upto[1:])
         self.table[self.sets[i]] = False
-        both = upto[starts[1:]] - upto[starts[:-1]]
+        both = (upto[starts[1:]] - upto[starts[:-1]]).astype(np.int64)
         union = self.sizes[i] + self.sizes[members] - both
         for j in members[100 * both >= self.percent * union].tolist():
             self.link(i, j)
@@ -222,6 +232,7 @@ class Region:
         pivots = np.linspace(0, len(members) - 1, PIVOTS).astype(int)  # over all sizes
         flat, starts = self.flat(members)
         d = np.stack([self.measured(members[k], members, flat, starts) for k in pivots])
+        del flat
         free = np.setdiff1d(np.arange(len(members)), pivots)
         d, rest = d[:, free], members[free]
         home = d.argmin(0)
@@ -324,7 +335,7 @@ def distances(regions: DataFrame, chosen: DataFrame, texts: DataFrame, n: int, p
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, types)], ["region", "c", "n", "d", "linked"])
 
-    return staged(dealt.mapInArrow(measured, "region long, c long, n long, d array<double>, linked array<long>"), paths)
+    return staged(dealt.mapInArrow(measured, "region long, c long, n long, d array<double>, linked array<long>"), paths, pieces=True)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -399,7 +410,7 @@ def links_of(docs: DataFrame, known: DataFrame, n: int, percent: int, rows: list
     links, turn = [], 0
     while True:
         opened = staged(_open(_with_roots(todo, union(links) if links else None)), paths)
-        links.append(staged(links_inside(opened.where("fits"), texts, n, percent), paths))
+        links.append(staged(links_inside(opened.where("fits"), texts, n, percent), paths, pieces=True))
         todo = opened.where(~F.col("fits"))
         if todo.isEmpty():
             return names, union(links)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelake.llm import tokens
-from framelake.llm.common import held_out
+from framelake.llm.common import PIECES, configured, held_out
 from framelake.llm.jaccard import sliced
 from framelake.llm.labelled import SAMPLE, logits, training_rows
 
@@ -55,7 +55,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     columns = [f"v{j}" for j in range(WIDTH)]
     rows = docs.select("text").mapInArrow(sums, ", ".join(["bucket long", *(f"{c} double" for c in columns)]))
-    found = rows.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+    with configured(docs.sparkSession, PIECES):
+        found = rows.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
     vectors = np.zeros((BUCKETS, WIDTH))
     vectors[found["bucket"].to_numpy(np.int64)] = found[columns].to_numpy()
     return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -150,8 +151,9 @@ def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
     def rows(batches):
         for batch in batches:
             known = shared.value
-            x = pooled(batch.column(place), known.vectors)
-            yield pa.record_batch([*batch.columns, pa.array(logits(known.logit(x) / known.temperature))], [*batch.schema.names, name])
+            for start, part in sliced(batch.column(place)):
+                x = pooled(part, known.vectors)
+                yield pa.record_batch([*batch.slice(start, len(part)).columns, pa.array(logits(known.logit(x) / known.temperature))], [*batch.schema.names, name])
 
     return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 

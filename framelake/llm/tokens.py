@@ -48,8 +48,8 @@ def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse; a worker keeps a table of 2^21 of them, longer ones are made anew."""
-    up, down = _table(1 << 21) if n <= 1 << 21 else _table.__wrapped__(n)
+    """The first n powers of the base and of its inverse; a worker keeps a table of 2^19 of them, longer ones are made anew."""
+    up, down = _table(1 << 19) if n <= 1 << 19 else _table.__wrapped__(n)
     return up[:n], down[:n]
 
 
