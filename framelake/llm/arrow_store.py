@@ -17,20 +17,23 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.common import shared_dir, shuffle_partitions, staged
+from framelake.llm.tokens import joined
 
-#: Words whose ids a task keeps at hand (as many young ones, and old ones that haven't come since), stems and signs of words,
-#: and sequences in a record batch.
-KEPT_WORDS, KEPT_PARTS, BATCH = 280_000, 150_000, 64
+#: Pieces of words whose ids a task keeps at hand (as many young ones, and old ones that haven't come since), bytes of texts
+#: that are taken apart at once (a longer text is one by itself), and sequences in a record batch.
+KEPT_WORDS, CHUNK, BATCH = 280_000, 1 << 22, 64
 
 
 def schema(length: int, wide: bool) -> pa.Schema:
@@ -42,118 +45,141 @@ ENDINGS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and
 
 
 #: Finds signs of a word that may be composed or lower-cased otherwise than Python does it.
-FAR = re.compile("[^\\x00-\\u024f]|\\u0130").search
+FAR = re.compile("[^\\x00-\u024f]|\u0130").search
 
 # What WordCache takes for granted in a tokenizer's file.
 _NORMAL = ("NFC", "Replace", "Lowercase")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+# By byte: lower case of ASCII letters, and signs of ENDINGS; by code point of one or two bytes: letters and digits.
+_LOWER = np.array([ord(chr(b).lower()) if b < 0x80 else b for b in range(256)], np.uint8)
+_SIGN = np.array([chr(b) in ENDINGS for b in range(256)])
+_STEM = np.array([chr(c).isalpha() or chr(c).isdecimal() for c in range(0x800)])
 
-def about(path: str) -> tuple[int, bool, np.ndarray]:
-    """(ids of the vocabulary and the added tokens, whether words can be encoded apart, ids that end a word) of a tokenizer."""
+
+def about(path: str) -> tuple[int, bool]:
+    """(ids of the vocabulary and the added tokens, whether words can be encoded apart) of a tokenizer."""
     with open(path) as source:
         said = json.load(source)
     vocabulary, suffix = said["model"].get("vocab", {}), said["model"].get("end_of_word_suffix")
-    pairs = [*vocabulary.items(), *((a["content"], a["id"]) for a in said["added_tokens"])] if isinstance(vocabulary, dict) else []
-    ends = np.zeros(max((i for _, i in pairs), default=-1) + 1, bool)
-    if suffix:
-        ends[[i for t, i in pairs if t.endswith(suffix)]] = True
+    ids = [*vocabulary.values(), *(a["id"] for a in said["added_tokens"])] if isinstance(vocabulary, dict) else []
     normal = tuple(x["type"] for x in (said["normalizer"] or {}).get("normalizers", ()))
     splits = [x for x in (said["pre_tokenizer"] or {}).get("pretokenizers", ()) if x["type"] == "Split"]
     special = all("<|" in a["content"] for a in said["added_tokens"])
     apart = bool(suffix) and normal == _NORMAL and [x["pattern"].get("Regex") for x in splits] == [_PATTERN] and said["post_processor"] is None and special
-    return len(ends), apart, ends
+    return max(ids, default=-1) + 1, apart
+
+
+def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """(pieces of all words, first piece of each text and their number) of texts, raw[offsets[i] : offsets[i + 1]] in UTF-8.
+
+    Spaces and newlines part words. A word is two pieces, its stem and its trailing signs, where the tokenizer always splits
+    it there, else one; ASCII letters are lower-cased. Words with signs that FAR finds or with "<|" are left as they are."""
+    gap = (raw == 0x20) | (raw == 0x0A)
+    gaps = np.flatnonzero(gap)
+    raw, texts = raw[~gap], offsets - np.searchsorted(gaps, offsets)
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[gaps - np.arange(len(gaps))] = edge[texts] = True
+    bounds = np.flatnonzero(edge)
+    starts, ends = bounds[:-1], bounds[1:]
+
+    left = raw >= 0xC9  # U+0240 and more, which is U+024F or less for FAR
+    left[:-1] |= (raw[:-1] == 0xC4) & (raw[1:] == 0xB0) | (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+    whole = np.zeros(len(starts), bool)
+    whole[np.searchsorted(starts, np.flatnonzero(left), "right") - 1] = True
+    low = np.where(np.repeat(whole, ends - starts), raw, _LOWER[raw]) if whole.any() else _LOWER[raw]
+
+    sign = _SIGN[low]
+    runs = np.append(0, np.flatnonzero(sign[1:] & ~sign[:-1]) + 1)  # where signs begin
+    signed = np.flatnonzero(sign[ends - 1] & ~whole)
+    cuts = runs[np.searchsorted(runs, ends[signed]) - 1]
+    cuts = cuts[cuts > starts[signed]]
+    last, lead = low[cuts - 1].astype(np.int64), low[cuts - 2].astype(np.int64)
+    edge[cuts[_STEM[np.where(last < 0x80, last, (lead & 0x1F) << 6 | last & 0x3F)]]] = True
+
+    bounds = np.flatnonzero(edge)
+    return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(low)), np.searchsorted(bounds, texts)
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of about CHUNK bytes."""
+    before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64) // CHUNK
+    first = np.flatnonzero(np.diff(before, prepend=-1)).tolist()
+    return zip(first, [*first[1:], len(texts)])
 
 
 class WordCache:
-    """Encodes texts word by word, each word once while it is kept, with tokenizers that lower-case, drop white space and split
+    """Encodes texts piece by piece, each once while it is kept, with tokenizers that lower-case, drop white space and split
     letters from other signs: space and newline always part words there, and a word's trailing signs are tokens of their
-    own. Words of letters alone need no normalising (they are lower-cased, and composed as far as they may be) and no
-    splitting, so many are encoded at once; a token with the suffix for ends ends each. Texts of other tokenizers are
-    encoded whole."""
+    own. Pieces are found, and their ids put together, for many texts at once. Words of letters alone need no normalising
+    (they are lower-cased, and composed as far as they may be) and no splitting, so they go straight to the tokenizer's
+    model. Texts of other tokenizers are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core; threads of the library only cost more
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for one in (self.tokenizer, self.letters):
-            one.no_padding(), one.no_truncation()
-        size, self.apart, self.ends = about(path)
-        self.kind = np.uint32 if size > 1 << 16 else np.uint16
-        if self.apart:
-            self.letters.normalizer = None
-            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding(), self.tokenizer.no_truncation()
+        size, self.apart = about(path)
+        self.kind = np.dtype(np.uint32 if size > 1 << 16 else np.uint16)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        near = {c for n in range(0x250) if chr(n).isalpha() for c in chr(n) + chr(n).lower()}
+        self.spelt = {c: level.pre_tokenize_str(c)[0][0] for c in near}  # a character per byte
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    @staticmethod
-    def split(word: str) -> tuple[str, str]:
-        """(lower-cased stem, trailing signs) where that is the same to the tokenizer, else (word, "")."""
-        if not word.isascii() and FAR(word) or "<|" in word:
-            return word, ""
-        low = word.lower()
-        if low.isalpha():
-            return low, ""
-        stem = low.rstrip(ENDINGS)
-        return (stem, low[len(stem) :]) if stem and (stem[-1].isalpha() or stem[-1].isdecimal()) else (low, "")
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def letter_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """(word, ids) of words of letters in lower case."""
-        for at in range(0, len(words), 2_000):
-            some = words[at : at + 2_000]
-            ids = np.array(self.letters.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
-            last = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
-            if len(last) != len(some) or last[-1] != ids.nbytes:
-                raise RuntimeError("a word of letters has more than one token that ends it")
-            whole, first = ids.tobytes(), 0
-            for word, end in zip(some, last):
-                yield word, whole[first:end]
-                first = end
-
-    def learn(self, parts: list[str]) -> None:
-        """Puts the ids of parts into self.parts."""
-        self.parts.update(self.letter_words([p for p in parts if p.isalpha() and (p.isascii() or not FAR(p))]))  # split() has lower-cased them
-        other = [p for p in parts if p not in self.parts]
+    def learn(self, new: list[str]) -> None:
+        """Puts the ids of pieces into self.words."""
+        words, model, other = self.words, self.tokenizer.model.tokenize, []
+        for piece in new:
+            if piece.isascii():
+                low = spelt = piece
+            elif FAR(piece) or "<|" in piece:
+                low = ""
+            else:
+                low = piece.lower()
+                spelt = "".join(map(self.spelt.__getitem__, low)) if low.isalpha() else ""
+            if low.isalpha():
+                words[piece] = array(self.kind.char, [t.id for t in model(spelt)]).tobytes()
+            else:
+                other.append(piece)
         for at in range(0, len(other), 5_000):
             some = other[at : at + 5_000]
-            self.parts.update(zip(some, (x.tobytes() for x in self.plain(some))))
+            words.update(zip(some, (x.tobytes() for x in self.plain(some))))
+
+    def known(self, some: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        if len(self.words) > KEPT_WORDS:  # pieces that come again go over to the young ones
+            self.old, self.words = self.words, {}
+        words, old = self.words, self.old
+        new = [p for p in some if p not in words]
+        words.update((p, old[p]) for p in new if p in old)
+        self.learn([p for p in new if p not in old])
+        return list(map(words.__getitem__, some))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.apart:
             return self.plain(texts)
-        gc.disable()  # words and their ids make no cycles, but looking for some among so many takes time
+        gc.disable()  # pieces and their ids make no cycles, but looking for some among so many takes time
         try:
-            return self._encode(texts)
+            return self._encode(pa.array(texts, pa.string()))
         finally:
             gc.enable()
+            pa.default_memory_pool().release_unused()  # else it keeps some 80 MB from one chunk to the next
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        now = set().union(*split)
-        if len(self.words) > KEPT_WORDS:  # words that come again go over to the young ones
-            self.old, self.words = self.words, {}
-        new = now.difference(self.words)
-        if self.old:
-            again = new.intersection(self.old)
-            self.words.update(zip(again, map(self.old.__getitem__, again)))
-            new -= again
-        plain = [w for w in new if w.isalpha() and w.islower() and w.isascii()]  # most words: nothing to split or to lower-case
-        self.words.update(self.letter_words(plain))
-        other = {w: (w.lower(), "") if w.isascii() and w.isalpha() else self.split(w) for w in new.difference(plain)}
-        every = {p for both in other.values() for p in both}
-        if len(self.parts) > KEPT_PARTS:
-            self.parts = {p: self.parts[p] for p in every if p in self.parts}
-        words, parts = self.words, self.parts
-        parts.update((p, words[p]) for p in every - parts.keys() if p in words)
-        self.learn(list(every - parts.keys()))
-        words.update((w, parts[a] + parts[b]) for w, (a, b) in other.items())
-        known = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(known, words)), self.kind) for words in split]
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        found, first = pieces(*joined(texts))
+        found = found.dictionary_encode()
+        ids = self.known(found.dictionary.to_numpy(zero_copy_only=False).tolist())  # to_pylist() takes ten times as long
+        offsets = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize, out=offsets[1:])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), self.kind))).take(found.indices)
+        every, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()[first]
+        return [every[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 @functools.lru_cache(maxsize=1)
@@ -242,11 +268,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048,
         part = TaskContext.get().partitionId()
         path, cache, writer, index = f"{folder}/part-{part:07d}.arrows", None, None, None
         for batch in batches:
-            for lo in range(0, len(batch), 256):
+            for lo, hi in chunks(batch.column(1)):
                 cache = cache or word_cache(tokenizer)
                 if not writer:
                     writer, index = _Writer(path, length, wide), _Index(f"{path}.docs", kind)
-                some = batch.slice(lo, 256)
+                some = batch.slice(lo, hi - lo)
                 for doc, ids in zip(some.column(0).to_pylist(), cache.encode([t or "" for t in some.column(1).to_pylist()])):
                     index.rows.append((doc, writer.total, len(ids) + 1))
                     writer.add(np.append(ids, np.asarray(end_id, writer.kind)))
