@@ -10,7 +10,9 @@ no region would be smaller than the corpus. Pivots therefore get the classes tha
 threshold share one of their first (1 - t) n + 1 shingles in any fixed order, so the smallest class that has a shingle
 there is the pivot of all other classes that do; the pivot's region holds them all. First, classes that cannot link with
 any other leave: of the shingles whose hash is below a bound (RATE of all), those that no other class has are counted, and
-a class with more than (1 - t) n of them is within the threshold of none. That spares documents which share a passage only.
+a class with more than (1 - t) n of them is within the threshold of none. Among the classes that stay, shingles are ordered
+by how many of them have it, the rarest first. So a passage that many documents share makes no region of its own, which
+would grow with the corpus, but where it is most of a document.
 Regions of at most LOCAL classes and ELEMENTS shingles are joined inside one task, larger ones by rounds of Spark joins.
 Both go the same way, until nothing is left:
   - a region picks pivots among classes that aren't connected with most others yet; every class of it gets its exact
@@ -18,7 +20,8 @@ Both go the same way, until nothing is left:
   - a region whose classes are all connected ends;
   - each class joins the part of its nearest pivot (Voronoi), and a class at most `eps` beyond the radius of another
     pivot's part is copied there (triangle inequality: else it cannot link with any class at home there). The parts are
-    the next regions, unless the copies outweigh what the division saves: then the region stays whole.
+    the next regions, unless the copies outweigh what the division saves: then the region stays whole. A whole region
+    too large for a task is compared with twice as many pivots each round, in blocks, so that the rounds stay few.
 """
 
 import hashlib
@@ -29,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm import tokens
@@ -92,10 +95,9 @@ def class_of(grams: np.ndarray) -> bytes | None:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
 
 
-def classes(docs: DataFrame, n: int, percent: int, paths: list[str]) -> DataFrame:
+def classes(docs: DataFrame, n: int, paths: list[str]) -> DataFrame:
     """Staged (doc_id, row_key, n_shingles, digest, grams): row_key is a hash of the text, digest is the class's, null
-    without words. A task gives a class's first shingles once, as 62-bit hashes that rise: those below BOUND, and the
-    first (1 - t) n + 1 in any case."""
+    without words. A task gives a class's shingles below BOUND once, as 62-bit hashes."""
 
     def rows(batches):
         seen: set[bytes] = set()
@@ -108,7 +110,7 @@ def classes(docs: DataFrame, n: int, percent: int, paths: list[str]) -> DataFram
                     if len(seen) < 200_000:
                         seen.add(key)
                     place = (grams >> np.uint64(2)).view(np.int64)
-                    first = place[: max(int(np.searchsorted(place, BOUND)), size - -(-percent * size // 100) + 1)]
+                    first = place[: int(np.searchsorted(place, BOUND))]
                 sizes.append(size), keys.append(key), firsts.append(first)
             yield pa.record_batch([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "row_key", "n_shingles", "digest", "grams"])
 
@@ -117,14 +119,36 @@ def classes(docs: DataFrame, n: int, percent: int, paths: list[str]) -> DataFram
 
 
 def able(numbered: DataFrame, percent: int, paths: list[str]) -> DataFrame:
-    """Staged (c, n, prefix) of the classes that may link with another; numbered(c, n, grams) has all."""
-    grams = numbered.select("c", F.explode(F.filter("grams", lambda g: g < BOUND)).alias("gram"))
+    """Staged (c, n) of the classes that may link with another; numbered(c, n, grams) has all."""
+    grams = numbered.select("c", F.explode("grams").alias("gram"))
     alone = grams.groupBy("gram").agg(F.min("c").alias("c"), F.count("*").alias("m")).where("m = 1").groupBy("c").agg(F.count("*").alias("own"))
-    prefix = F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    both = numbered.select("c", "n", prefix.alias("prefix")).join(alone, "c", "left")
+    both = numbered.select("c", "n").join(alone, "c", "left")
     return staged(both.where(100 * F.coalesce("own", F.lit(0)) <= (100 - percent) * F.col("n")).drop("own"), paths)
 
 
+def rarest(texts: DataFrame, n: int, percent: int, paths: list[str]) -> DataFrame:
+    """Staged (c, n, gram): of each class of texts(c, blob) its first (1 - t) n + 1 shingles, the rarest first, as far as
+    another class has them. Counted from the end, these are the ones from the (t n)-th on."""
+
+    def rows(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                sets = _unpacked(part.column(1).to_pylist(), n)
+                sizes = np.array([len(s) for s in sets])
+                columns = np.repeat(part.column(0).to_numpy(), sizes), np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64)
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in columns], ["c", "n", "gram"])
+
+    held: list[str] = []
+    every = staged(texts.mapInArrow(rows, "c long, n long, gram long"), held, pieces=True)
+    several = every.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    nth = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("m"), F.desc("gram")))
+    first = every.join(several, "gram").withColumn("nth", nth).where(F.col("nth") >= F.ceil(F.col("n") * percent / 100))
+    out = staged(first.select("c", "n", "gram"), paths)
+    dropped(texts.sparkSession, held)
+    return out
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame, paths: list[str]) -> DataFrame:
     """Staged (c, blob): a compressed text of each class of wanted(c, doc_id, row_key)."""
     found = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key"), "text")
@@ -338,6 +362,61 @@ def distances(regions: DataFrame, chosen: DataFrame, texts: DataFrame, n: int, p
     return staged(dealt.mapInArrow(measured, "region long, c long, n long, d array<double>, linked array<long>"), paths, pieces=True)
 
 
+def compared(regions: DataFrame, chosen: DataFrame, texts: DataFrame, n: int, percent: int, paths: list[str]) -> DataFrame:
+    """Staged links (a, b) of the classes of regions(region, c, members) with the region's pivots chosen(region, p, n), which
+    connect all that are within the threshold.
+
+    Pivots are dealt over blocks of about ELEMENTS / 4 shingles, classes over shares of LOCAL; each task gets a block's pivots
+    first, then a share's classes. It counts what they have in common by a sorted list of the pivots' shingles."""
+    shares, blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / LOCAL)).cast("int"), F.greatest(F.lit(1), F.ceil(4 * F.sum("n") / ELEMENTS)).cast("int")
+    about = regions.select("region", shares.alias("shares")).distinct().join(chosen.groupBy("region").agg(blocks.alias("blocks")), "region")
+    heads = chosen.join(about, "region").select(
+        "region", F.pmod(F.xxhash64("p"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), F.col("p").alias("c")
+    )
+    rows = regions.join(about, "region").select(
+        "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("c"), "shares").cast("int").alias("share"), F.lit(1).alias("role"), "c"
+    )
+    both = heads.unionByName(rows).join(texts, "c")
+    dealt = both.select("region", "block", "share", "role", "c", "blob").repartition(shuffle_partitions(regions.sparkSession), "region", "block", "share").sortWithinPartitions("region", "block", "share", "role", "c")
+
+    def top(parent: list[int], x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def linked(batches):
+        at, pivots, sets, every = None, [], [], None
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                keys = list(zip(*(part.column(i).to_pylist() for i in range(5))))
+                out = []
+                for (region, block, share, role, c), grams in zip(keys, _unpacked(part.column(5).to_pylist(), n)):
+                    if (region, block, share) != at:
+                        at, pivots, sets, every = (region, block, share), [], [], None
+                    if role == 0:
+                        pivots.append(c), sets.append(grams)
+                        continue
+                    if every is None:
+                        sizes = np.array([len(s) for s in sets])
+                        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                        order = np.argsort(every, kind="stable")
+                        every, owner, sets, parent = every[order], owner[order], [], list(range(len(sizes)))
+                    first = np.searchsorted(every, grams)
+                    many = np.searchsorted(every, grams, side="right") - first
+                    places = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    shared = np.bincount(owner[places], minlength=len(sizes))
+                    near = [k for k in np.flatnonzero(100 * shared >= percent * (len(grams) + sizes - shared)).tolist() if pivots[k] != c]
+                    for k in near:  # pivots that are connected already need one link
+                        x, y = top(parent, k), top(parent, near[0])
+                        if k == near[0] or x != y:
+                            parent[x] = y
+                            out.append((c, pivots[k]))
+                yield pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], ["a", "b"])
+
+    return staged(dealt.mapInArrow(linked, "a long, b long"), paths, pieces=True)
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -353,7 +432,7 @@ def _with_roots(regions: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _open(regions: DataFrame) -> DataFrame:
-    """Regions (region, c, n, root) whose classes aren't all connected, with their size, whether a task can join them, and the
+    """Regions (region, c, n, whole, root) whose classes aren't all connected, with their size, whether a task can join them, and the
     root of most of their classes; of equal regions one stays."""
     groups = regions.groupBy("region", "root").agg(
         F.count("*").alias("classes"), F.sum("n").alias("elements"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("mark"), F.min("c").alias("least"), F.max("c").alias("most")
@@ -368,8 +447,8 @@ def _open(regions: DataFrame) -> DataFrame:
 
 
 def _round(regions: DataFrame, pivots: int, turn: int, texts: DataFrame, n: int, percent: int, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(next regions (region, c, n), links) after one round over regions (region, c, n, root, members, main). The pivots are
-    classes outside the main group, the smallest of each of so many hash buckets."""
+    """(next regions (region, c, n, whole), links) after one round over regions (region, c, n, root, members, main). The pivots
+    are classes outside the main group, the smallest of each of so many hash buckets."""
     eps = 1 - percent / 100 + 1e-9
     bucket = F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(pivots))
     chosen = staged(regions.where("root <> main").groupBy("region", bucket.alias("bucket")).agg(F.min("c").alias("p")).select("region", "p"), paths)
@@ -383,7 +462,16 @@ def _round(regions: DataFrame, pivots: int, turn: int, texts: DataFrame, n: int,
     about = spread.groupBy("region").agg(F.count("*").alias("rows"), F.sum(F.size("parts")).alias("copies"))
     worth = staged(about.select("region", (F.col("copies") <= COPIES * F.col("rows")).alias("divided")), paths)
     both = spread.join(worth, "region").withColumn("part", F.explode(F.when(F.col("divided"), F.col("parts")).otherwise(F.array(F.lit(0)))))
-    return both.select(F.xxhash64("region", "part", F.lit(turn)).alias("region"), "c", "n"), links
+    return both.select(F.xxhash64("region", "part", F.lit(turn)).alias("region"), "c", "n", (~F.col("divided")).alias("whole")), links
+
+
+def _round_of_whole(regions: DataFrame, pivots: int, turn: int, texts: DataFrame, n: int, percent: int, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The same for whole regions, which keep their names: pivots are compared with all, and leave."""
+    bucket = F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(pivots))
+    chosen = staged(regions.where("root <> main").groupBy("region", bucket.alias("bucket")).agg(F.min(F.struct(F.col("c").alias("p"), "n")).alias("one")).select("region", "one.*"), paths)
+    links = compared(regions.select("region", "c", "members"), chosen, texts, n, percent, paths)
+    left = regions.select("region", "c", "n").join(chosen.select("region", F.col("p").alias("c")), ["region", "c"], "left_anti")
+    return left.withColumn("whole", F.lit(True)), links
 
 
 def links_of(docs: DataFrame, known: DataFrame, n: int, percent: int, rows: list[str], paths: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -394,8 +482,11 @@ def links_of(docs: DataFrame, known: DataFrame, n: int, percent: int, rows: list
     numbered = staged(distinct.select(F.monotonically_increasing_id().alias("c"), "digest", "n", "grams"), early)
     names = staged(known.drop("grams").join(numbered.select("digest", "c"), "digest", "left").drop("digest"), paths)
     dropped(spark, rows)
-    keyed = able(numbered.drop("digest"), percent, paths).select("c", "n", F.explode("prefix").alias("gram"))
+    may = able(numbered.drop("digest"), percent, paths)
     dropped(spark, early)
+    wanted = staged(names.join(may.select("c"), "c").groupBy("c").agg(F.min(F.struct("doc_id", "row_key")).alias("row")).select("c", "row.*"), paths)
+    texts = texts_of(docs, wanted, paths)
+    keyed = rarest(texts, n, percent, paths)
     pivots = keyed.groupBy("gram").agg(F.min("c").alias("p"), F.count("*").alias("m")).where("m > 1").select("gram", "p")
     shared = staged(keyed.join(pivots, "gram"), paths)
     # A pivot's region; where that is too large for a task, a region for each of its shingles if these overlap little.
@@ -404,9 +495,7 @@ def links_of(docs: DataFrame, known: DataFrame, n: int, percent: int, rows: list
     large = staged(about.where(((F.col("members") > LOCAL) | (F.col("elements") > ELEMENTS)) & (F.col("rows") <= 4 * F.col("members"))).select("p"), paths)
     regions = mine.join(large, "p", "left_anti").select(F.col("p").alias("region"), "c", "n")
     apart = shared.join(large, "p", "left_semi").select(F.xxhash64("gram", F.lit(-1)).alias("region"), "c", "n")
-    todo = staged(regions.unionByName(apart), paths)
-    wanted = staged(names.join(todo.select("c").distinct(), "c").groupBy("c").agg(F.min(F.struct("doc_id", "row_key")).alias("row")).select("c", "row.*"), paths)
-    texts = texts_of(docs, wanted, paths)
+    todo = staged(regions.unionByName(apart).withColumn("whole", F.lit(False)), paths)
     links, turn = [], 0
     while True:
         opened = staged(_open(_with_roots(todo, union(links) if links else None)), paths)
@@ -414,16 +503,20 @@ def links_of(docs: DataFrame, known: DataFrame, n: int, percent: int, rows: list
         todo = opened.where(~F.col("fits"))
         if todo.isEmpty():
             return names, union(links)
-        todo, new = _round(todo, min(MOST_PIVOTS, 2 * PIVOTS << turn), turn, texts, n, percent, paths)
-        todo, turn = staged(todo, paths), turn + 1
-        links.append(new)
+        nexts = []
+        for whole, step, pivots in ((False, _round, min(MOST_PIVOTS, 2 * PIVOTS << turn)), (True, _round_of_whole, 2 * PIVOTS << turn)):
+            part = todo.where(F.col("whole") == whole)
+            if not part.isEmpty():
+                left, new = step(part, pivots, turn, texts, n, percent, paths)
+                nexts.append(left), links.append(new)
+        todo, turn = staged(union(nexts), paths), turn + 1
 
 
 def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Staged (doc_id, row_key, n_shingles, root): row_key is a hash of the text, root names the component, null without words."""
     rows: list[str] = []
     paths: list[str] = []
-    names, links = links_of(docs, classes(docs, n, percent, rows), n, percent, rows, paths)
+    names, links = links_of(docs, classes(docs, n, rows), n, percent, rows, paths)
     roots = components(links).withColumnRenamed("node", "c")
     out = staged(names.join(roots, "c", "left").select("doc_id", "row_key", "n_shingles", F.coalesce("root", "c").alias("root")))
     dropped(docs.sparkSession, paths)

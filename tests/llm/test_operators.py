@@ -362,6 +362,42 @@ def test_jaccard_links_between_pivots(documents, monkeypatch):
     assert sorted(tuple(r) for r in jaccard.near_duplicates(documents(*rows), percent=95).collect()) == plain_components(rows, percent=95)
 
 
+def test_jaccard_passages_make_no_regions(documents, monkeypatch):
+    """A passage of 40 documents, of which each two share more: only these two meet, so no region needs a round of joins."""
+    from framelake.llm import jaccard
+
+    draw = random.Random(3)
+    some = lambda n: ["w%d" % draw.randrange(5000) for _ in range(n)]
+    passage, rows = some(40), []
+    for i in range(0, 40, 2):
+        text = " ".join(passage + some(60))
+        rows += [(i, text), (i + 1, text + " end" * (i % 4))]
+    regions = []
+    monkeypatch.setattr(jaccard, "LOCAL", 8)
+    monkeypatch.setattr(jaccard, "_round", lambda *a: regions.append(a) or 1 / 0)
+    assert sorted(tuple(r) for r in jaccard.near_duplicates(documents(*rows)).collect()) == plain_components(rows)
+    assert not regions
+
+
+def test_jaccard_rounds_of_whole_regions(documents, monkeypatch):
+    """Documents of the same blocks in other orders: one region, which distances can't divide, of few links."""
+    from framelake.llm import jaccard
+
+    draw = random.Random(8)
+    words = ["w%d" % i for i in range(5000)]
+    blocks = [[draw.choice(words) for _ in range(12)] for _ in range(14)]
+    rows = [(i, " ".join(w for b in draw.sample(blocks, 9) for w in b)) for i in range(90)]
+    rows += [(90 + i, text + " end") for i, text in rows[:12]]
+    monkeypatch.setattr(jaccard, "LOCAL", 8)
+    monkeypatch.setattr(jaccard, "ELEMENTS", 4000)  # several blocks of pivots
+    monkeypatch.setattr(jaccard, "MOST_PIVOTS", 4)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    rounds, opened = [], jaccard._open
+    monkeypatch.setattr(jaccard, "_open", lambda regions: rounds.append(1) or opened(regions))
+    assert sorted(tuple(r) for r in jaccard.near_duplicates(documents(*rows)).collect()) == plain_components(rows)
+    assert 2 < len(rounds) < 8  # 4 pivots a round would need 20 and more
+
+
 def test_jaccard_repeats_and_null_ids(documents):
     from framelake.llm import jaccard
 
