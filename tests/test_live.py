@@ -166,3 +166,54 @@ def test_hold_keeps_a_piece_of_a_batch_in_memory():
     out = [r for at in sorted(timers) for r in hold.handleExpiredTimer(("log",), None, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))]
     assert [r["t"] for r in out] == [k / 100 for k in range(1, n + 1)] and not hold.packs and not hold.count
     assert all(a["cur_x_raw"] == b["prev_x_raw"] for a, b in zip(out, out[1:]))
+
+
+def test_only_packs_go_through_the_task_of_a_log(spark, tmp_path, rocks, monkeypatch):
+    both, parts = shuffled_parts(spark)
+    seen, plain = tmp_path / "seen", live.Hold
+
+    class Counted(plain):
+        def handleInputRows(self, key, rows, timerValues):
+            rows = list(rows)
+            with seen.open("a") as f:
+                f.write(f"{len(rows)}\n")
+            return plain.handleInputRows(self, key, iter(rows), timerValues)
+
+    monkeypatch.setattr(live, "Hold", Counted)
+    got = rows(live.held(batches(spark, tmp_path, parts), source.cruise_catalog(), ["VehSpd"], "4 seconds"), "live_packs")
+    assert len(got) == 2 * 1000 and both.where("kind = 'data'").count() > 2000
+    assert 0 < sum(map(int, seen.read_text().split())) <= 2 * 21  # a row for each second of a log
+
+
+@pytest.mark.parametrize("overlap", [False, True])
+def test_machines_in_packs_against_a_loop(overlap):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    draw = random.Random(overlap)
+    latch, state = live.Latch(frozenset({"f"})), Shelf()
+    latch.init(SimpleNamespace(getValueState=lambda *_: state))
+    latch.STEPS = 20
+    on, since, want, got = True, None, [], []
+    for batch in range(3):
+        steps = [(batch * 1000.0 + k, draw.choice([0, 0, 0, 1, 1, 2, 3, 4, 5, 6, 7])) for k in range(300)]
+        for t, code in steps:
+            enter, leave, trigger = code & 4, code & 2, code & 1
+            if on and leave:
+                want.append(("exit", t, since))
+                on, since = False, None
+            elif not on and enter:
+                want.append(("enter", t, None))
+                on, since = True, t
+            if trigger and not enter and not on:
+                want.append(("attempt", t, None))
+        parts = [steps[k :: 25] for k in range(25)] if overlap else [steps[k : k + 12] for k in range(0, 300, 12)]
+        draw.shuffle(parts)
+        packs = [(p[0][0], p[-1][0], np.array([t for t, _ in p]).tobytes() + bytes(code for _, code in p)) for p in parts]
+        frames = [pd.DataFrame(packs[k : k + 10], columns=["first", "last", "pack"]) for k in range(0, 25, 10)]
+        found = list(latch.handleInputRows(("log", "f"), iter(frames), None))
+        assert overlap or len(found) > 10
+        got += [(kind, t, None if np.isnan(s) else s) for f in found for kind, t, s in zip(f["type"], f["t"], f["since"])]
+    assert got == want and len(want) > 200 and state.get() == (on, since)
