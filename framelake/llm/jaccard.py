@@ -113,6 +113,7 @@ def classes(docs: DataFrame, n: int, paths: list[str]) -> DataFrame:
                     first = place[: int(np.searchsorted(place, BOUND))]
                 sizes.append(size), keys.append(key), firsts.append(first)
             yield pa.record_batch([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "row_key", "n_shingles", "digest", "grams"])
+        pa.default_memory_pool().release_unused()
 
     kind = dict(docs.dtypes)["doc_id"]
     return staged(docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(rows, f"doc_id {kind}, row_key long, n_shingles long, digest binary, grams array<long>"), paths, pieces=True)
@@ -134,13 +135,13 @@ def rarest(texts: DataFrame, n: int, percent: int, paths: list[str]) -> DataFram
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
-                sets = _unpacked(part.column(1).to_pylist(), n)
-                sizes = np.array([len(s) for s in sets])
-                columns = np.repeat(part.column(0).to_numpy(), sizes), np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64)
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in columns], ["c", "n", "gram"])
+                sets = [s.view(np.int64) for s in _unpacked(part.column(1).to_pylist(), n)]
+                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["c", "grams"])
+        pa.default_memory_pool().release_unused()  # the worker stays, beside those of the next stage
 
     held: list[str] = []
-    every = staged(texts.mapInArrow(rows, "c long, n long, gram long"), held, pieces=True)
+    sets = texts.mapInArrow(rows, "c long, grams array<long>")
+    every = staged(sets.select("c", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram")), held, pieces=True)
     several = every.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
     nth = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("m"), F.desc("gram")))
     first = every.join(several, "gram").withColumn("nth", nth).where(F.col("nth") >= F.ceil(F.col("n") * percent / 100))
